@@ -3,8 +3,8 @@
 1. Voters: words and word beginnings that lean to toxic or clean labels, found on a bounded
    sample of labelled training rows, besides a short list of patterns.
 2. Label model: a two-class mixture fitted by expectation-maximisation to the voters' votes alone.
-   It estimates each voter's firing rate in both classes and the correlation of each pair of
-   voters given the class; a voter's evidence is divided by how many voters repeat it.
+   It estimates each voter's accuracy and the correlation of each pair of voters given the
+   class; a voter's evidence is divided by how many voters repeat it.
 3. Classifier: logistic regression over the voters' votes, trained on the posterior labels.
 Every document is then scored on its whole text by one pass without a shuffle.
 """
@@ -27,8 +27,10 @@ from quillon.llm.common import materialise
 MAX_LABELLED = 20_000
 #: Most voters of either polarity; the shortest and longest word beginning that can be a voter.
 MAX_VOTERS, PREFIXES = 150, (4, 5, 6)
-#: A voter fires in at least so many sampled rows, with at least this log odds ratio.
-MIN_ROWS, MIN_LOG_ODDS = 6, 2.0
+#: A voter fires in at least so many sampled rows of its side, and this share of them, with at least this log odds ratio.
+MIN_ROWS, MIN_SHARE, MIN_LOG_ODDS = 5, 0.01, 2.5
+#: A toxic voter is right in at least this share of its sampled rows, so that one vote can reject a text.
+MIN_PRECISION = 0.8
 #: A voter's label given by hand: phrases that insult the reader, whatever the sample holds.
 PATTERNS = (
     r"\b(you|u) (are|r) (an? )?(idiot|moron|loser|stupid|worthless|pathetic)\b",
@@ -87,39 +89,49 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def label_model(votes: np.ndarray, toxic_side: np.ndarray, prior: float, rounds: int = 50) -> np.ndarray:
-    """Posterior probability of toxic for each row of votes (0/1), without any label.
+def label_model(votes: np.ndarray, toxic_side: np.ndarray, start: np.ndarray, prior: float, rounds: int = 50) -> np.ndarray:
+    """Posterior probability of toxic for each row of votes (0: abstains, 1: votes for its side).
 
-    Firing rates by class start from the voters' sides and the prior and are refined by EM. Each
-    voter's log likelihood ratio is divided by the sum of its absolute correlations, given the
-    class, with all voters (itself 1), so that copies of one voter count once together.
+    Each voter has one accuracy, the chance that a vote it casts is right; abstaining says
+    nothing. Accuracies begin at start and are refined by EM from the votes. Correlations are
+    those of voters of one side within the class that the majority of votes gives a row; a
+    voter's log odds are divided by the sum of its strong correlations (its own 1 among them),
+    so that voters that repeat one another count once together. The classes are taken as equally
+    likely among rows with votes; a row without votes gets half the prior.
     """
     n, m = votes.shape
     if n == 0:
         return np.zeros(0)
     v = votes.astype(np.float64)
-    any_toxic, any_clean = v[:, toxic_side].sum(1), v[:, ~toxic_side].sum(1)
-    p = np.where(any_toxic > 0, 0.9, np.where(any_clean > 0, 0.02, max(prior / 4, 1e-3)))
-    share = np.ones(m)
-    for k in range(rounds):
-        on = np.array([(p @ v + 0.5 * prior) / (p.sum() + 1), ((1 - p) @ v + 0.5 * (1 - prior)) / ((1 - p).sum() + 1)])
-        on = np.clip(on, 1e-6, 1 - 1e-6)
-        # a voter keeps its side: rates may not cross
-        lo, hi = np.minimum(on[0], on[1]), np.maximum(on[0], on[1])
-        on = np.array([np.where(toxic_side, hi, lo), np.where(toxic_side, lo, hi)])
-        if k % 5 == 0:
-            dev = v - np.outer(p, on[0]) - np.outer(1 - p, on[1])
-            sd = np.sqrt((dev * dev).mean(0)) + 1e-9
-            share = 1 / np.maximum(1, np.abs((dev.T @ dev) / n / np.outer(sd, sd)).sum(0))
-        fire, hush = np.log(on[0] / on[1]) * share, np.log((1 - on[0]) / (1 - on[1])) * share
-        z = np.log(prior / (1 - prior)) + v @ fire + (1 - v) @ hush
-        new = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-        if np.abs(new - p).max() < 1e-4:
-            return new
-        p = new
+    cast, voted = v.sum(0), v.sum(1) > 0
+    sign = np.where(toxic_side, 1.0, -1.0)
+    share = 1 / np.maximum(1, repeats(v, toxic_side, v @ sign > 0))
+    right = np.clip(start, 0.55, 0.99)
+    p = np.full(n, prior / 2)
+    for _ in range(rounds):
+        new = np.where(voted, 1 / (1 + np.exp(-np.clip(v @ (np.log(right / (1 - right)) * share * sign), -50, 50))), prior / 2)
+        moved, p = np.abs(new - p).max(), new
+        agree = np.where(toxic_side, p @ v, (1 - p) @ v)
+        right = np.clip((agree + 10 * start) / (cast + 10), 0.55, 0.99)  # start counts as ten votes
+        if moved < 1e-4:
+            break
     return p
 
 
+def repeats(v: np.ndarray, toxic_side: np.ndarray, toxic_rows: np.ndarray, strong: float = 0.5) -> np.ndarray:
+    """For each voter, the sum of its correlations of at least strong with voters of its side, within its class."""
+    out = np.ones(v.shape[1])
+    for side, rows in ((toxic_side, toxic_rows), (~toxic_side, ~toxic_rows)):
+        if rows.sum() > 1 and side.any():
+            x = v[np.ix_(rows, side)]
+            dev = x - x.mean(0)
+            sd = np.sqrt((dev * dev).mean(0)) + 1e-9
+            alike = np.abs((dev.T @ dev) / len(x) / np.outer(sd, sd))
+            np.fill_diagonal(alike, 1)
+            out[side] = np.where(alike >= strong, alike, 0).sum(0)
+    return out
+
+
 def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 40) -> tuple[np.ndarray, float]:
     """Logistic regression with soft labels by Newton steps."""
     a = np.c_[x.astype(np.float64), np.ones(len(x))]
@@ -142,8 +154,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLE
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("_toxic", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def find_voters(sample: DataFrame, limit: int = MAX_VOTERS) -> tuple[list[str], np.ndarray, float]:
-    """Voters and their sides from a sample (_toxic, text), and the share of toxic rows.
+def find_voters(sample: DataFrame, limit: int = MAX_VOTERS) -> tuple[list[str], np.ndarray, np.ndarray, float]:
+    """Voters, their sides and first accuracies from a sample (_toxic, text), and the share of toxic rows.
 
     Documents with each feature are counted by class in each task, then summed; of the features
     that pass, the driver takes the limit best of either side.
@@ -161,19 +173,21 @@ def find_voters(sample: DataFrame, limit: int = MAX_VOTERS) -> tuple[list[str],
     total = counts.where("feature = ''").agg(F.sum("n1").alias("a"), F.sum("n0").alias("b")).first()
     a, b = int(total["a"] or 0), int(total["b"] or 0)
     if not a or not b:
-        return [], np.zeros(0, bool), 0.0
+        return [], np.zeros(0, bool), np.zeros(0), 0.0
     odds = F.log((F.col("n1") + 0.5) / (a + 1.0)) - F.log((F.col("n0") + 0.5) / (b + 1.0))
-    seen = counts.where("feature <> ''").where(F.col("n1") + F.col("n0") >= MIN_ROWS).withColumn("odds", odds)
-    toxic = seen.where(F.col("odds") >= MIN_LOG_ODDS).orderBy((F.col("odds") * F.sqrt("n1")).desc(), "feature").limit(limit).collect()
-    clean = seen.where(F.col("odds") <= -MIN_LOG_ODDS).orderBy((F.col("odds") * F.sqrt("n0")).asc(), "feature").limit(limit // 3).collect()
-    return [r["feature"] for r in toxic + clean], np.r_[np.ones(len(toxic), bool), np.zeros(len(clean), bool)], a / (a + b)
+    seen = counts.where("feature <> ''").withColumn("odds", odds)
+    toxic = seen.where(F.col("n1") >= max(MIN_ROWS, MIN_SHARE * a)).where(F.col("odds") >= MIN_LOG_ODDS).where(
+        F.col("n1") >= MIN_PRECISION * (F.col("n1") + F.col("n0"))).orderBy((F.col("odds") * F.sqrt("n1")).desc(), "feature").limit(limit).collect()
+    clean = seen.where(F.col("n0") >= max(MIN_ROWS, MIN_SHARE * b)).where(F.col("odds") <= -MIN_LOG_ODDS).orderBy((F.col("odds") * F.sqrt("n0")).asc(), "feature").limit(limit // 3).collect()
+    precise = [(r["n1"] + 0.5) / (r["n1"] + r["n0"] + 1) for r in toxic] + [(r["n0"] + 0.5) / (r["n1"] + r["n0"] + 1) for r in clean]
+    return [r["feature"] for r in toxic + clean], np.r_[np.ones(len(toxic), bool), np.zeros(len(clean), bool)], np.array(precise), a / (a + b)
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> ToxicityModel:
     """Fit all three parts on the bounded sample; only its votes (a byte each) reach the driver."""
     sample = materialise(training_sample(docs, labels, limit))
-    voters, side, prior = find_voters(sample)
-    side = np.r_[side, np.ones(len(PATTERNS), bool)]
+    voters, side, start, prior = find_voters(sample)
+    side, start = np.r_[side, np.ones(len(PATTERNS), bool)], np.r_[start, np.full(len(PATTERNS), 0.9)]
     model = ToxicityModel(voters, side, np.zeros(len(side)), -3.0)
     if not voters:
         return model
@@ -186,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Toxici
     rows = sorted(bytes(r[0]) for r in sample.mapInArrow(vote, "bits binary").collect())
     bits = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
     votes = np.unpackbits(bits, axis=1)[:, :len(side)].astype(np.float32)
-    posterior = label_model(votes, side, min(max(prior, 0.005), 0.5))
+    posterior = label_model(votes, side, start, min(max(prior, 0.005), 0.5))
     model.weights, model.bias = fit_linear(votes, posterior)
     return model
 
