@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import mixing, pieces, sharding, substrings, toxicity, urls
+from quillon.llm import mixing, ngrams, pieces, sharding, substrings, toxicity, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sharding": lambda s, d: sharding.op2(_read(s, d, "documents")),
         "op5_sentencepiece": lambda s, d: pieces.op5(_read(s, d, "documents")),
         "op7_substring_dedup": lambda s, d: substrings.op7(_read(s, d, "documents")),
+        "op8_ngram_join": lambda s, d: ngrams.op8(_read(s, d, "documents")),
         "op9_url_filter": lambda s, d: urls.op9(_read(s, d, "pages")),
         "op10_toxicity": lambda s, d: toxicity.op10(_read(s, d, "documents"), _read(s, d, "labels")),
     }
