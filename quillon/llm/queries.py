@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import mixing, ngrams, pieces, sharding, substrings, toxicity, urls, vectors
+from quillon.llm import mixing, ngrams, pages, pieces, sharding, substrings, toxicity, urls, vectors
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": lambda s, d: mixing.op1(_read(s, d, "documents")),
         "op2_sharding": lambda s, d: sharding.op2(_read(s, d, "documents")),
+        "op3_html_extraction": lambda s, d: pages.op3(_read(s, d, "pages")),
         "op4_top_k": lambda s, d: vectors.op4(_read(s, d, "embeddings")),
         "op6_embedding_dedup": lambda s, d: vectors.op6(_read(s, d, "embeddings")),
         "op5_sentencepiece": lambda s, d: pieces.op5(_read(s, d, "documents")),
