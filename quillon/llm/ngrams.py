@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import bundles as B
-from quillon.llm.common import components, materialise, release
+from quillon.llm.common import components, free_name, materialise, release
 from quillon.llm.words import BASES, Words, mix, span_hash
 
 SHINGLE = 5
@@ -278,13 +278,14 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: tuple[int, in
 def keep_one(docs: DataFrame, size: int = SHINGLE, percent: tuple[int, int] = PERCENT) -> DataFrame:
     """docs with one row of each group of near duplicates: that of the smallest doc_id.
 
-    Rows that share this doc_id are told apart by their texts' hash, and one stays. Texts without
-    words are in no group and all stay.
+    A text without words is in no group and stays. Should several rows have the kept doc_id, each
+    of them stays, for its id names them all; so does a group whose ids are all null.
     """
-    kept = near_duplicates(docs, size, percent).where("component_id is null or doc_id = component_id or n_shingles = 0").select("doc_id", "n_shingles").distinct()
-    kept = materialise(kept.groupBy("doc_id").agg(F.max("n_shingles").alias("_n")))
-    joined = docs.join(kept.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-    return joined
+    kept = near_duplicates(docs, size, percent).where("doc_id <=> component_id or n_shingles = 0").select(F.col("doc_id").alias("_id")).distinct()
+    kept = materialise(kept)
+    names = docs.columns
+    own = free_name("_id", docs)
+    return docs.join(kept.withColumnRenamed("_id", own), docs["doc_id"].cast("long").eqNullSafe(F.col(own)), "left_semi").select(*[docs[c] for c in names])
 
 
 def op8(docs: DataFrame) -> DataFrame:
