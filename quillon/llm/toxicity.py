@@ -30,7 +30,7 @@ MAX_VOTERS, PREFIXES = 150, (4, 5, 6)
 #: A voter fires in at least so many sampled rows of its side, and this share of them, with at least this log odds ratio.
 MIN_ROWS, MIN_SHARE, MIN_LOG_ODDS = 5, 0.01, 2.5
 #: A toxic voter is right in at least this share of its sampled rows, so that one vote can reject a text.
-MIN_PRECISION = 0.8
+MIN_PRECISION = 0.95
 #: A voter's label given by hand: phrases that insult the reader, whatever the sample holds.
 PATTERNS = (
     r"\b(you|u) (are|r) (an? )?(idiot|moron|loser|stupid|worthless|pathetic)\b",
@@ -132,7 +132,7 @@ def repeats(v: np.ndarray, toxic_side: np.ndarray, toxic_rows: np.ndarray, stron
     return out
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 40) -> tuple[np.ndarray, float]:
+def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5, rounds: int = 40) -> tuple[np.ndarray, float]:
     """Logistic regression with soft labels by Newton steps."""
     a = np.c_[x.astype(np.float64), np.ones(len(x))]
     w = np.zeros(a.shape[1])
