@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,3 +99,21 @@ def _small_star(e: DataFrame) -> DataFrame:
     low = e.groupBy("u").agg(F.min("v").alias("m"))
     moved = e.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+
+
+def forest(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning edges (node, root) of the components of pairs, one for each node that is no root."""
+    nodes, flat = np.unique(pairs, return_inverse=True)
+    flat = flat.reshape(-1, 2)
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[flat[:, 0]], root[flat[:, 1]])
+        new = root.copy()
+        np.minimum.at(new, root[flat[:, 0]], low)
+        np.minimum.at(new, root[flat[:, 1]], low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    away = root != np.arange(len(nodes))
+    return nodes[away], nodes[root[away]]

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import bundles as B
-from quillon.llm.common import components, free_name, materialise, release
-from quillon.llm.words import BASES, Words, mix, span_hash
+from quillon.llm.common import components, forest, free_name, materialise, release
+from quillon.llm.words import BASES, Words, isin_sorted, mix, span_hash
 
 SHINGLE = 5
 #: Link if PERCENT[0] * intersection >= PERCENT[1] * union.
@@ -21,8 +21,8 @@ PERCENT = (100, 75)
 #: which may put a rare one later in the common order but never loses a link. Raise it with the
 #: corpus: 12 more than the logarithm of its distinct shingles keeps such meetings rare.
 KEY_BITS = 40
-#: Classes of one n-gram that one task pairs with as many others.
-BLOCK = 1024
+#: An n-gram of more classes is compared in blocks of sets instead of pair by pair; sets of one side of a block.
+CROWD, BLOCK = 48, 512
 #: Tokens of a set, cut to 48 bits for the exact comparison of two documents.
 SET_BYTES = 6
 
@@ -223,9 +223,10 @@ def class_links(rows: DataFrame, percent: tuple[int, int] = PERCENT) -> DataFram
     """Links (a, b) between classes that have the same connected components as all links.
 
     First every class is compared with the smallest class of each of its prefix tokens: one
-    candidate a row. Then only tokens whose classes are still in several components matter; all
-    their pairs from different components that pass the filters are compared, in blocks of
-    bounded size. A pair inside one component can add no component, so none is lost.
+    candidate a row. Then only tokens whose classes are still in several components matter: their
+    pairs from different components that pass the filters are compared, those of tokens of more
+    than CROWD classes in blocks of sets. A pair inside one component can add no component, so
+    none is lost.
     """
     prefix = rows.where(F.col("kind") == PREFIX).select("token", "cid", "n", "pos", "spread").distinct()
     prefix = materialise(prefix)
@@ -240,17 +241,79 @@ def class_links(rows: DataFrame, percent: tuple[int, int] = PERCENT) -> DataFram
     found = components(links)
     named = prefix.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     named = materialise(named)
-    mixed = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    mixed = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("token", "m")
     mixed = materialise(mixed)
-    spread = named.join(mixed, "token").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     rows_of = lambda s: [*side(s), F.col("component").alias(f"c{s}")]
-    # block i meets each block j >= i: the left side names the pair by (i, j), and so does the right
-    left = spread.select("token", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), *rows_of("a"))
-    right = spread.select("token", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), *rows_of("b"))
-    more = (left.join(right, ["token", "i", "j"]).where("ca <> cb").where((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))).where(may_link(percent))
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    few = named.join(mixed.where(F.col("m") <= CROWD), "token")
+    more = (few.select("token", *rows_of("a")).join(few.select("token", *rows_of("b")), "token").where("a < b and ca <> cb").where(may_link(percent))
+            .select("a", "b").distinct())
     more = materialise(more.join(tried, ["a", "b"], "left_anti"))
-    return links.unionByName(verify(more, sets, percent))
+    crowded = named.join(mixed.where(F.col("m") > CROWD).select("token"), "token").select("token", "cid", "component")
+    return links.unionByName(verify(more, sets, percent)).unionByName(crowd_links(materialise(crowded), sets, percent))
+
+
+def crowd_links(crowded: DataFrame, sets: DataFrame, percent: tuple[int, int] = PERCENT) -> DataFrame:
+    """Links among classes (token, cid, component) that meet on tokens of many classes.
+
+    Such tokens belong to large groups of near copies. Classes that share one, directly or in a
+    chain, form a crowd; within it every class outside the crowd's largest component is compared
+    with every other class, once, in tasks of at most BLOCK by BLOCK sets. A task counts all its
+    intersections by matrix products and returns links that span the components it found, at
+    most one a class, so neither pairs nor a whole crowd are ever gathered.
+    """
+    a_, b_ = percent
+    head = crowded.groupBy("token").agg(F.min("cid").alias("head"))
+    groups = components(crowded.join(head, "token").select(F.col("head").alias("a"), F.col("cid").alias("b")))
+    members = crowded.select("cid", "component").distinct().join(groups.select(F.col("node").alias("cid"), F.col("component").alias("crowd")), "cid")
+    members = materialise(members)
+    parts = members.groupBy("crowd", "component").agg(F.count("*").alias("n"))
+    facts = parts.groupBy("crowd").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"))
+    facts = materialise(facts.select("crowd", F.col("top.component").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("nj"),
+                                     F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("ni")).where("ni > 0"))
+    known = members.join(facts, "crowd").join(sets, "cid")
+    spot = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rest = known.where("component <> main").select("crowd", spot("ni").alias("i"), every("nj").alias("j"), F.lit(True).alias("rest"), "cid", "component", "tokens")
+    full = known.select("crowd", every("ni").alias("i"), spot("nj").alias("j"), F.lit(False).alias("rest"), "cid", "component", "tokens")
+
+    def compare(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        flags, cids, parts = (t.column(c).to_pylist() for c in ("rest", "cid", "component"))
+        left, right = [k for k, f in enumerate(flags) if f], [k for k, f in enumerate(flags) if not f]
+        if not left or not right:
+            return pa.table([pa.array([], pa.binary())] * 2, names=["a", "b"])
+        raw = t.column("tokens").to_pylist()
+        x, y = [_set(raw[k]) for k in left], [_set(raw[k]) for k in right]
+        nx, ny = (np.array([len(s) for s in side]) for side in (x, y))
+        shared = _intersections(x, y)
+        differ = np.array([[parts[i] != parts[j] for j in right] for i in left])
+        linked = differ & (a_ * shared >= b_ * (nx[:, None] + ny[None] - shared))
+        r, c = np.nonzero(linked)
+        if not len(r):
+            return pa.table([pa.array([], pa.binary())] * 2, names=["a", "b"])
+        number = {x: k for k, x in enumerate(dict.fromkeys(cids))}
+        of = np.array([number[x] for x in cids])
+        node, root = forest(np.stack([of[np.array(left)[r]], of[np.array(right)[c]]], 1))
+        names = list(number)
+        return pa.table([pa.array([names[k] for k in node], pa.binary()), pa.array([names[k] for k in root], pa.binary())], names=["a", "b"])
+
+    return rest.unionByName(full).groupBy("crowd", "i", "j").applyInArrow(compare, "a binary, b binary")
+
+
+def _intersections(x: list[np.ndarray], y: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, by products of 0/1 matrices over strips of tokens."""
+    fx, fy = np.concatenate(x), np.concatenate(y)
+    rx, ry = np.repeat(np.arange(len(x)), [len(s) for s in x]), np.repeat(np.arange(len(y)), [len(s) for s in y])
+    both = np.intersect1d(fx, fy)
+    hx, hy = isin_sorted(fx, both), isin_sorted(fy, both)
+    fx, rx, fy, ry = np.searchsorted(both, fx[hx]), rx[hx], np.searchsorted(both, fy[hy]), ry[hy]
+    out = np.zeros((len(x), len(y)), np.float64)
+    for at in range(0, len(both), width):
+        a, b = np.zeros((len(x), width), np.float32), np.zeros((len(y), width), np.float32)
+        for m, f, r in ((a, fx, rx), (b, fy, ry)):
+            on = (f >= at) & (f < at + width)
+            m[r[on], f[on] - at] = 1
+        out += a @ b.T
+    return out.astype(np.int64)
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: tuple[int, int] = PERCENT) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import components, guarded, materialise
+from quillon.llm.common import components, forest, materialise
 
 SCALE, TOP_K, QUERY_STEP = 1024, 10, 100
 #: Candidates and queries of one task.
@@ -255,31 +255,13 @@ def _range_join_of(vectors: DataFrame, n: int, radius: float, cosine: float) ->
             code = np.unique(r * STRIP + first[c])
             code = code[code // STRIP != code % STRIP]
             edges.append(np.stack([mine[code // STRIP], mine[code % STRIP]], 1))
-        node, root = _forest(np.concatenate(edges))
+        node, root = forest(np.concatenate(edges))
         return pa.table([pa.array(np.r_[a, node]), pa.array(np.r_[links, np.zeros(len(node), np.int64)]), pa.array(np.r_[a, root])], names=["cid", "links", "root"])
 
     packed = vectors.select("cid", "x", "weight").mapInArrow(deal, "cell int, i int, j int, member boolean, ids binary, weights binary, xs binary")
     return packed.groupBy("cell", "i", "j").applyInArrow(compare, "cid long, links long, root long")
 
 
-def _forest(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning edges (node, root) of the components of pairs, one for each node that is no root."""
-    nodes, flat = np.unique(pairs, return_inverse=True)
-    flat = flat.reshape(-1, 2)
-    root = np.arange(len(nodes))
-    while True:
-        low = np.minimum(root[flat[:, 0]], root[flat[:, 1]])
-        new = root.copy()
-        np.minimum.at(new, root[flat[:, 0]], low)
-        np.minimum.at(new, root[flat[:, 1]], low)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    away = root != np.arange(len(nodes))
-    return nodes[away], nodes[root[away]]
-
-
 def near_vectors(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of embeddings.
 
