@@ -491,9 +491,9 @@ def final_draws(v: View) -> DataFrame:
 
 @query("w3_redraw_plan", f"""with dr as (select model, query, arm, rep, key, unnest(range(1, case when {h("'draw|' || key")} % 10 = 0 then 3 else 2 end)) as draw from answers),
 ou as (select *, {h("'outcome|' || key || '|' || draw")} % 100 < 20 as bad from dr), g as (select model, query, arm, rep, bool_or(not bad) as ok, max(draw) as last from ou group by all)
-select model, query, arm, rep, case when not ok and last < 3 then last + 1 end as next_draw, case when ok then 'done' when last < 3 then 'plan' else 'short' end as status from g""")
+select model, query, arm, rep, case when not ok and last < 3 then last + 1 else 0 end as next_draw, case when ok then 'done' when last < 3 then 'plan' else 'short' end as status from g""")
 def redraw_plan(v: View) -> DataFrame:
-    return layers.redraw_plan(v.draws())
+    return layers.redraw_plan(v.draws()).na.fill(0, ["next_draw"])
 
 
 @query("w4_w5_ranked_shares", """with c as (select arm, name, count(*) as n from answers join mentions using (key) group by all) select arm, name, n, round(n / sum(n) over (partition by arm), 6) as share, row_number() over (partition by arm order by n desc, name) as "rank" from c""")
