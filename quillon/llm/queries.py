@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import mixing, ngrams, pages, pieces, sharding, substrings, toxicity, urls, vectors
+from quillon.llm import mixing, ngrams, oracles, pages, pieces, sharding, substrings, toxicity, urls, vectors
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,4 +29,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.ORACLE}
+    return {
+        "op1_mixing": mixing.ORACLE,
+        "op4_top_k": oracles.TOP_K,
+        "op6_embedding_dedup": oracles.NEAR_VECTORS,
+        "op7_substring_dedup": oracles.SUBSTRINGS,
+        "op8_ngram_join": oracles.NEAR_DOCUMENTS,
+    }
