@@ -33,7 +33,7 @@ class SortedLists:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.x = ids[order], x[order].astype(np.float64)  # whole numbers, exact in doubles
+        self.ids, self.x = ids[order], x[order]
         self.lists = np.argsort(-self.x, axis=0, kind="stable")  # by dimension: rows from the largest component down
         self.sorted = np.take_along_axis(self.x, self.lists, 0)
 
@@ -48,7 +48,7 @@ class SortedLists:
         use = np.flatnonzero(q)
         down = q[use] > 0
         seen = np.zeros(n, bool)
-        rows, scores = np.empty(0, np.int64), np.empty(0)
+        rows, scores = np.empty(0, np.int64), np.empty(0, self.x.dtype)
         depth, step = 0, 32
         while depth < n:
             end = min(n, depth + step)
@@ -100,8 +100,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, scale: int = S
         out: list[list] = [[], [], []]
         if a.num_rows and b.num_rows:
             a, b = a.combine_chunks(), b.combine_chunks()
-            lists = SortedLists(np.asarray(a.column("vec_id").chunk(0)), _dense(a.column("x").chunk(0), np.int64))
-            asked = _dense(b.column("x").chunk(0), np.float64)
+            x, asked = (_dense(t.column("x").chunk(0), np.int64) for t in (a, b))
+            most = [float(np.abs(m.astype(np.float64)).max(initial=0)) for m in (x, asked)]
+            kind = np.float64 if most[0] * most[1] * max(1, x.shape[1]) < 2 ** 53 else np.int64  # doubles are faster, and exact so far
+            lists, asked = SortedLists(np.asarray(a.column("vec_id").chunk(0)), x.astype(kind)), asked.astype(kind)
             for q, own in zip(asked, b.column("vec_id").to_pylist()):
                 ids, scores = lists.top(q, own, k)
                 out[0] += [own] * len(ids)

@@ -226,7 +226,7 @@ def test_top_k(embeddings, block):
 
 def test_threshold_search_stops_early():
     rng = np.random.default_rng(0)
-    x = np.rint(rng.normal(size=(3000, 3)) * 1000)
+    x = np.rint(rng.normal(size=(3000, 3)) * 1000)  # few dimensions: the bound bites
     lists = vectors.SortedLists(np.arange(3000), x)
     q = np.array([900.0, -700.0, 3.0])
     ids, scores = lists.top(q, -1, 5)
@@ -498,3 +498,11 @@ def test_pipeline_stages(spark, tmp_path):
         now = spark.read.parquet(f"{tmp_path}/{k}")
     final = sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()))
     assert final == sorted(map(tuple, now.collect())) and final
+
+
+def test_top_k_of_large_components(spark):
+    """Products beyond the whole numbers that doubles hold stay exact."""
+    rows = [(0, [2e6, 1.0])] + [(i, [2e6, i / 1024]) for i in range(1, 30)]
+    got = vectors.op4(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    big = 2 * 10 ** 6 * 1024
+    assert [(r.vec_id, r.score) for r in got] == [(29 - k, big * big + 1024 * (29 - k)) for k in range(10)]
