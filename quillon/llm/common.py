@@ -70,9 +70,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     edges: columns (a, b) of one orderable type. Returns (node, component) for every node of an
     edge; component is the smallest node reachable. Nulls and self loops are ignored. Each step
-    is a partially aggregated minimum and an equi-join on the node, so a hub costs one
-    aggregated row and a join that adaptive execution can split. Nothing reaches the driver but
-    two numbers a round, by which convergence is seen.
+    is a partially aggregated minimum, written out, and an equi-join on the node: broadcast
+    where the minima are few, else a join of two plain shuffles, which adaptive execution splits
+    at a hub. Nothing reaches the driver but a few counts a round, by which convergence is seen.
     """
     e = materialise(edges.where("a is not null and b is not null and a <> b")
                     .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -91,13 +91,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    low = guarded(materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))))
     return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
-    low = e.groupBy("u").agg(F.min("v").alias("m"))
-    moved = e.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = materialise(e.groupBy("u").agg(F.min("v").alias("m")))
+    moved = e.join(guarded(low), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 

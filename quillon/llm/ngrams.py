@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import bundles as B
-from quillon.llm.common import components, forest, free_name, materialise, release
+from quillon.llm.common import components, forest, free_name, guarded, materialise, release
 from quillon.llm.words import BASES, Words, isin_sorted, mix, span_hash
 
 SHINGLE = 5
@@ -234,7 +234,8 @@ def class_links(rows: DataFrame, percent: tuple[int, int] = PERCENT) -> DataFram
     sets = materialise(sets)
     side = lambda s: [F.col("cid").alias({"a": "a", "b": "b"}[s]), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"), F.col("spread").alias(f"s{s}")]
     heads = prefix.groupBy("token").agg(F.min(F.struct("cid", "n", "pos", "spread")).alias("h"), F.count("*").alias("m")).where("m > 1")
-    heads = heads.select("token", *[F.col(f"h.{c}").alias(x) for c, x in (("cid", "a"), ("n", "na"), ("pos", "pa"), ("spread", "sa"))])
+    # written out, so that the join below meets two plain shuffles and can be split at a frequent token
+    heads = materialise(heads.select("token", *[F.col(f"h.{c}").alias(x) for c, x in (("cid", "a"), ("n", "na"), ("pos", "pa"), ("spread", "sa"))]))
     first = heads.join(prefix.select("token", *side("b")), "token").where("a <> b").where(may_link(percent)).select("a", "b").distinct()
     tried = materialise(first)
     links = materialise(verify(tried, sets, percent))
@@ -262,7 +263,7 @@ def crowd_links(crowded: DataFrame, sets: DataFrame, percent: tuple[int, int] =
     most one a class, so neither pairs nor a whole crowd are ever gathered.
     """
     a_, b_ = percent
-    head = crowded.groupBy("token").agg(F.min("cid").alias("head"))
+    head = guarded(materialise(crowded.groupBy("token").agg(F.min("cid").alias("head"))))
     groups = components(crowded.join(head, "token").select(F.col("head").alias("a"), F.col("cid").alias("b")))
     members = crowded.select("cid", "component").distinct().join(groups.select(F.col("node").alias("cid"), F.col("component").alias("crowd")), "cid")
     members = materialise(members)
@@ -333,7 +334,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: tuple[int, in
     classes = members.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("low"))
     classes = materialise(classes.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid")))
     lows = classes.groupBy("component").agg(F.min("low").alias("component_id"))
-    by_class = classes.join(lows, "component").select("cid", "component_id")
+    by_class = materialise(classes.join(lows, "component").select("cid", "component_id"))
     return members.join(by_class, "cid", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 

@@ -281,7 +281,7 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     seen = materialise(range_join(distinct, cosine))
     found = components(seen.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     links = seen.groupBy("cid").agg(F.sum("links").alias("links"))
-    facts = links.join(found.withColumnRenamed("node", "cid"), "cid", "left")
+    facts = materialise(links.join(found.withColumnRenamed("node", "cid"), "cid", "left"))
     linked = named.join(facts, "cid", "left").select(
         "vec_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component_id"))
     alone = rows.where("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
