@@ -345,11 +345,12 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, percent: tuple[int, int] = PE
     A text without words is in no group and stays. Should several rows have the kept doc_id, each
     of them stays, for its id names them all; so does a group whose ids are all null.
     """
-    kept = near_duplicates(docs, size, percent).where("doc_id <=> component_id or n_shingles = 0").select(F.col("doc_id").alias("_id")).distinct()
-    kept = materialise(kept)
-    names = docs.columns
-    own = free_name("_id", docs)
-    return docs.join(kept.withColumnRenamed("_id", own), docs["doc_id"].cast("long").eqNullSafe(F.col(own)), "left_semi").select(*[docs[c] for c in names])
+    own, names = free_name("_id", docs), docs.columns
+    keep = F.expr("doc_id <=> component_id or n_shingles = 0")
+    # the ids that go are fewer than those that stay; while they are few, the texts are not shuffled
+    gone = near_duplicates(docs, size, percent).groupBy(F.col("doc_id").alias(own)).agg(F.bool_or(keep).alias("_keep")).where("not _keep").select(own)
+    gone = guarded(materialise(gone))
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col(own)), "left_anti").select(*[docs[c] for c in names])
 
 
 def op8(docs: DataFrame) -> DataFrame:
