@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +16,12 @@ from quillon.llm.urls import url_host
 
 #: Pages of one host that are aligned with one another; a larger host is cut into such groups.
 GROUP_PAGES = 64
-#: Largest product of two child lists that is aligned pair by pair; longer lists align in order.
-MAX_CELLS = 40_000
+#: Largest table kept to read a matching back; longer lists are halved by Hirschberg's method, with the same matching size.
+TABLE_CELLS = 1_000_000
+#: Sizes of shape pairs kept between pages; they are only remembered, so forgetting them changes nothing.
+KEPT_SIZES = 1_000_000
+#: In an alignment a matched node outweighs any number of equal texts, which decide between matchings of one size.
+NODE_WEIGHT = 1 << 24
 
 # Element names of the HTML standard, and words that sites give to parts that are no article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,10 +47,10 @@ PARTS = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "aside", "children", "shape")
+    __slots__ = ("tag", "aside", "children", "shape", "text")
 
     def __init__(self, tag: str, aside: bool = False):
-        self.tag, self.aside, self.children, self.shape = tag, aside, [], -1
+        self.tag, self.aside, self.children, self.shape, self.text = tag, aside, [], -1, ""
 
     def elements(self) -> list[Node]:
         return [c for c in self.children if isinstance(c, Node)]
@@ -159,65 +164,93 @@ class Aligner:
     """Simple tree matching: the largest ordered matching of two trees' equal-named nodes, top down.
 
     A subtree's shape (its names and nesting) is numbered, and the matching's size is kept for
-    each pair of shapes, so repeated paragraphs cost one look-up.
+    each pair of shapes, so repeated paragraphs cost one look-up. Of matchings of one size that
+    with most equal texts among the siblings is read back. Nothing recurses, so depth is no limit.
     """
 
     def __init__(self) -> None:
         self.shapes: dict[tuple, int] = {}
         self.of: list[tuple[str, tuple[int, ...]]] = []
+        self.nodes: list[int] = []
         self.sizes: dict[tuple[int, int], int] = {}
 
     def number(self, root: Node) -> None:
         todo = [(root, False)]
         while todo:
             node, done = todo.pop()
+            inner = node.elements()
             if not done:
                 todo.append((node, True))
-                todo += [(c, False) for c in node.elements()]
+                todo += [(c, False) for c in inner]
                 continue
-            key = (f"{node.tag}{'-' if node.aside else ''}", tuple(c.shape for c in node.elements()))
+            node.text = _flow(node)
+            key = (f"{node.tag}{'-' if node.aside else ''}", tuple(c.shape for c in inner))
             node.shape = self.shapes.setdefault(key, len(self.of))
             if node.shape == len(self.of):
                 self.of.append(key)
+                self.nodes.append(1 + sum(self.nodes[c] for c in key[1]))
 
     def size(self, a: int, b: int) -> int:
         """Matched nodes of two shapes; 0 if their names differ."""
-        if (known := self.sizes.get((a, b))) is not None:
-            return known
-        if self.of[a][0] != self.of[b][0]:
-            got = 0
-        elif a == b:
-            got = 1 + sum(self.size(c, c) for c in self.of[a][1])
-        else:
-            got = 1 + self._table(self.of[a][1], self.of[b][1])[-1][-1]
-        self.sizes[a, b] = got
-        return got
-
-    def _table(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> list[list[int]]:
-        if len(xs) * len(ys) > MAX_CELLS:  # in order, place by place
-            total = sum(self.size(x, y) for x, y in zip(xs, ys))
-            return [[total]]
-        table = [[0] * (len(ys) + 1)]
+        todo = [(a, b)]
+        while todo:
+            x, y = todo[-1]
+            if self._known(x, y) is None:
+                xs, ys = _middle(self.of[x][1], self.of[y][1])
+                open_ = [(c, d) for c in set(xs) for d in set(ys) if self._known(c, d) is None]
+                if open_:
+                    todo += open_
+                    continue
+                same = sum(self.nodes[c] for c in self.of[x][1]) - sum(self.nodes[c] for c in xs)
+                self.sizes[x, y] = 1 + same + int(_last_row(self._weights(xs, ys), len(ys))[-1])
+            todo.pop()
+        return self._known(a, b)
+
+    def _known(self, a: int, b: int) -> int | None:
+        if a == b:
+            return self.nodes[a]
+        return 0 if self.of[a][0] != self.of[b][0] else self.sizes.get((a, b))
+
+    def _weights(self, xs: tuple[int, ...], ys: tuple[int, ...]):
+        """Rows of sizes of each of xs with all of ys; equal shapes share a row."""
+        shapes = sorted(set(ys))
+        place = np.searchsorted(shapes, ys) if ys else np.zeros(0, int)
+        rows: dict[int, np.ndarray] = {}
         for x in xs:
-            last, row, best = table[-1], [0], 0
-            for j, y in enumerate(ys):
-                w = self.size(x, y)
-                best = max(best, last[j + 1], last[j] + w if w else 0)
-                row.append(best)
-            table.append(row)
-        return table
-
-    def pairs(self, a: Node, b: Node) -> list[tuple[Node, Node]]:
-        """The matched nodes of two trees, read back from the tables."""
-        out, todo = [], [(a, b)]
+            if x not in rows:
+                rows[x] = np.array([self._known(x, y) for y in shapes], np.int64)
+            yield rows[x][place] if ys else place
+
+    def _match(self, xs: list[Node], ys: list[Node]) -> list[tuple[Node, Node]]:
+        """The largest ordered matching of two lists of siblings, in memory of TABLE_CELLS and the lists' own length."""
+        out: list[tuple[Node, Node]] = []
+        codes: dict[str, int] = {}
+        todo = [(xs, ys)]
         while todo:
-            x, y = todo.pop()
-            out.append((x, y))
-            xs, ys = x.elements(), y.elements()
-            if x.shape == y.shape or len(xs) * len(ys) > MAX_CELLS:
-                todo += [(c, d) for c, d in zip(xs, ys) if self.of[c.shape][0] == self.of[d.shape][0]]
+            xs, ys = todo.pop()
+            same = lambda c, d: c.shape == d.shape and c.text == d.text
+            while xs and ys and same(xs[0], ys[0]):
+                out.append((xs[0], ys[0]))
+                xs, ys = xs[1:], ys[1:]
+                k = next((i for i, (c, d) in enumerate(zip(xs, ys)) if not same(c, d)), min(len(xs), len(ys)))
+                out += zip(xs[:k], ys[:k])
+                xs, ys = xs[k:], ys[k:]
+            k = next((i for i, (c, d) in enumerate(zip(reversed(xs), reversed(ys))) if not same(c, d)), min(len(xs), len(ys)))
+            if k:
+                out += zip(xs[-k:], ys[-k:])
+                xs, ys = xs[:-k], ys[:-k]
+            if not xs or not ys:
                 continue
-            table = self._table(tuple(c.shape for c in xs), tuple(c.shape for c in ys))
+            if len(xs) > 1 and len(xs) * len(ys) > TABLE_CELLS:
+                half = len(xs) // 2
+                head = _last_row(self._scored(xs[:half], ys, codes), len(ys))
+                tail = _last_row(self._scored(xs[:half - 1:-1], ys[::-1], codes), len(ys))
+                cut = int(np.argmax(head + tail[::-1]))
+                todo += [(xs[:half], ys[:cut]), (xs[half:], ys[cut:])]
+                continue
+            table = [np.zeros(len(ys) + 1, np.int64)]
+            for w in self._scored(xs, ys, codes):
+                table.append(_next_row(table[-1], w))
             i, j = len(xs), len(ys)
             while i and j:
                 if table[i][j] == table[i - 1][j]:
@@ -226,18 +259,68 @@ class Aligner:
                     j -= 1
                 else:
                     i, j = i - 1, j - 1
-                    todo.append((xs[i], ys[j]))
+                    out.append((xs[i], ys[j]))
+        return out
+
+    def _scored(self, xs: list[Node], ys: list[Node], codes: dict[str, int]):
+        """As _weights, with the texts' bonus."""
+        texts = np.array([codes.setdefault(y.text, len(codes)) for y in ys])
+        for x, w in zip(xs, self._weights(tuple(x.shape for x in xs), tuple(y.shape for y in ys))):
+            yield w * NODE_WEIGHT + ((w > 0) & (texts == codes.get(x.text, -1)))
+
+    def pairs(self, a: Node, b: Node) -> list[tuple[Node, Node]]:
+        """The matched nodes of two trees, read back from the tables."""
+        self.size(a.shape, b.shape)
+        out, todo = [], [(a, b)]
+        while todo:
+            x, y = todo.pop()
+            out.append((x, y))
+            xs, ys = x.elements(), y.elements()
+            for c in {c.shape for c in xs}:
+                for d in {d.shape for d in ys}:
+                    if self._known(c, d) is None:
+                        self.size(c, d)
+            todo += self._match(xs, ys)
+        if len(self.sizes) > KEPT_SIZES:
+            self.sizes.clear()
         return out
 
 
-def _depth(root: Node, limit: int = 400) -> bool:
-    """Whether a tree is deeper than limit; such pages are read alone."""
-    level = [root]
-    for _ in range(limit):
-        level = [c for n in level for c in n.elements()]
-        if not level:
-            return False
-    return True
+def _next_row(last: np.ndarray, w: np.ndarray) -> np.ndarray:
+    row = last.copy()
+    np.maximum(last[1:], last[:-1] + w, out=row[1:])
+    return np.maximum.accumulate(row)
+
+
+def _last_row(rows, width: int) -> np.ndarray:
+    last = np.zeros(width + 1, np.int64)
+    for w in rows:
+        last = _next_row(last, w)
+    return last
+
+
+def _middle(xs: tuple[int, ...], ys: tuple[int, ...]) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """Two lists without their equal ends: nothing matches a shape better than itself."""
+    most = min(len(xs), len(ys))
+    head = next((k for k in range(most) if xs[k] != ys[k]), most)
+    tail = next((k for k in range(most - head) if xs[-1 - k] != ys[-1 - k]), most - head)
+    return xs[head:len(xs) - tail], ys[head:len(ys) - tail]
+
+
+def _flow(node: Node) -> str:
+    """The text that stands directly in an element: its strings and inline elements, without blocks and asides."""
+    out, todo = [], list(reversed(node.children))
+    if not any(isinstance(c, str) and c.strip() for c in node.children) and node.tag not in BLOCK:
+        return ""
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif x.tag == "br":
+            out.append(" ")
+        elif not x.aside and x.tag not in BLOCK:
+            todo += reversed(x.children)
+    return " ".join("".join(out).split())
 
 
 def _explicit(root: Node) -> Node | None:
@@ -279,14 +362,14 @@ def extract_group(htmls: list[str | None]) -> list[str]:
     align, or is alone, is read by its own marks.
     """
     trees = [parse(h or "") for h in htmls]
-    flat = [t for t in trees if not _depth(t)]
+    flat = trees
     roots: dict[int, Node] = {}
     constant: set[int] = set()
     if len(flat) > 1:
         aligner = Aligner()
         for t in flat:
             aligner.number(t)
-        order = sorted(range(len(flat)), key=lambda k: (aligner.size(flat[k].shape, flat[k].shape), k))
+        order = sorted(range(len(flat)), key=lambda k: (aligner.nodes[flat[k].shape], k))
         template = flat[order[len(order) // 2]]
         texts: dict[int, Counter] = {}
         matched: dict[int, dict[int, Node]] = {}

@@ -186,6 +186,33 @@ def test_html_bad_markup():
     assert got[0] == got[1] == "" and got[2] == "plain &am" and got[3] == "cut" and got[7] == "t" and got[8] == "" and got[9] == "a b c\n\nd"
 
 
+def test_html_long_lists_and_deep_trees_align():
+    rows = lambda i, more: "<ul><li>new</ul>" * more + "".join(f"<p>Words {i} {k}</p>" if k % 2 else f"<pre>Code {i} {k}</pre>" for k in range(400))
+    body = "<body><div>Top of the site</div><div>{0}<h4>All rights are kept here</h4></div></body>"
+    texts = pages.extract_group([body.format(rows(i, i % 2)) for i in range(5)])
+    assert not any("rights" in t or "Top" in t for t in texts) and all(f"Words {i} 399" in t and f"Code {i} 0" in t for i, t in enumerate(texts))
+    deep = "<body>" + "<div>" * 600 + "<h2>Tale {0}</h2><p>Long tale of {0} {0} {0} {0}</p><p>Our terms for all readers</p>"
+    assert pages.extract_group([deep.format(f"x{i}") for i in range(5)]) == [f"Tale x{i}\n\nLong tale of x{i} x{i} x{i} x{i}" for i in range(5)]
+
+
+def test_html_matching_is_exact(monkeypatch):
+    """Halved lists give the size of the whole table, which is the longest common one of equal-named leaves."""
+    rng = np.random.default_rng(5)
+    for cells in (1_000_000, 4):
+        monkeypatch.setattr(pages, "TABLE_CELLS", cells)
+        for _ in range(20):
+            a, b = [[str(t) for t in rng.choice(["i", "b", "u"], rng.integers(0, 12))] for _ in range(2)]
+            table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for i, x in enumerate(a):
+                for j, y in enumerate(b):
+                    table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + (x == y))
+            trees = [pages.parse("".join(f"<{t}></{t}>" for t in x)) for x in (a, b)]
+            aligner = pages.Aligner()
+            for t in trees:
+                aligner.number(t)
+            assert len(aligner.pairs(*trees)) == aligner.size(trees[0].shape, trees[1].shape) == 1 + table[-1][-1]
+
+
 def test_html_query(spark):
     rows = [(i, f"http://h{i % 2}.org/{i}", PAGE.format("m", f"v{i}", f"<article><p>t {i}</p></article>"), 1) for i in range(9)] + [(9, None, None, 1), (9, None, None, 1)]
     got = pages.op3(spark.createDataFrame(rows, "page_id long, url string, html string, host int"))
