@@ -22,6 +22,8 @@ TABLE_CELLS = 1_000_000
 KEPT_SIZES = 1_000_000
 #: In an alignment a matched node outweighs any number of equal texts, which decide between matchings of one size.
 NODE_WEIGHT = 1 << 24
+#: Distinct pages that template text needs at least, and words it needs inside article or main, where labels recur by chance.
+LEAST_PAGES, LEAST_WORDS = 3, 3
 
 # Element names of the HTML standard, and words that sites give to parts that are no article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,9 +57,6 @@ class Node:
     def elements(self) -> list[Node]:
         return [c for c in self.children if isinstance(c, Node)]
 
-    def own_text(self) -> str:
-        return " ".join(" ".join(c for c in self.children if isinstance(c, str)).split())
-
 
 def _aside(tag: str, attributes: str) -> bool:
     """The element's name, role, class or id say that it is no part of an article."""
@@ -323,21 +322,18 @@ def _flow(node: Node) -> str:
     return " ".join("".join(out).split())
 
 
-def _explicit(root: Node) -> Node | None:
-    """The page's own article or main element with the most text, outside asides."""
-    best, most, todo = None, -1, [root]
+def _marked(root: Node) -> list[Node]:
+    """The page's own outermost article and main elements outside asides, in page order."""
+    out, todo = [], [root]
     while todo:
         node = todo.pop()
         if node.aside:
             continue
         if node.tag in ("article", "main"):
-            size = sum(map(len, blocks(node)))
-            if node.tag == "main" and any(c.tag == "article" for c in _walk(node)):
-                size = -1  # look inside
-            if size > most:
-                best, most = node, size
-        todo += reversed(node.elements())
-    return best
+            out.append(node)
+        else:
+            todo += reversed(node.elements())
+    return out
 
 
 def _walk(root: Node):
@@ -349,66 +345,108 @@ def _walk(root: Node):
             todo += node.elements()
 
 
+def _voices(trees: list[Node]) -> list[int]:
+    """Places of pages that are no copies: of each kept page less than half of the text stands in another kept one."""
+    kept: list[tuple[int, Counter, int]] = []
+    for k, t in enumerate(trees):
+        found = Counter(blocks(t))
+        length = sum(len(b) * n for b, n in found.items())
+        if all(sum(len(b) * n for b, n in (found & f).items()) * 2 < min(length, m) for _, f, m in kept):
+            kept.append((k, found, length))
+    return [k for k, _, _ in kept]
+
+
 def extract_group(htmls: list[str | None]) -> list[str]:
     """Main texts of pages of one host.
 
     The page of the median size becomes the template; every other page is aligned with it. Of
-    each template node it is noted how its text differs over the pages: one text throughout makes
-    it template, several make it a slot. The content root is the article or main element of the
-    template if it has one, else the deepest node that holds most of the slots' text outside
-    asides. A page's text is that of its own node aligned with the root, without asides; where
-    no element says article, also without the template's constant nodes. Constant nodes inside a
-    marked article stay: copies of an article have constant paragraphs too. A page that does not
-    align, or is alone, is read by its own marks.
+    each template node it is noted how its text differs over the pages: what most distinct pages
+    have alike is template, the rest are slots. Pages count as distinct if they share less than
+    half of their text, so copies of an article are never taken for a template. The content root
+    is the deepest node that holds most of the slots' text outside asides. If article and main
+    elements hold most of it, an aligned page's text is that of all its outermost ones, else of
+    its node aligned with the root; either way without asides and without template text. Inside
+    article and main template text has at least LEAST_WORDS words, as labels like Introduction recur in articles too. A page that does not align (less than half of the smaller tree), is
+    alone, or stands in a group without enough distinct pages to tell, is read by its own marks.
     """
     trees = [parse(h or "") for h in htmls]
-    flat = trees
-    roots: dict[int, Node] = {}
-    constant: set[int] = set()
-    if len(flat) > 1:
-        aligner = Aligner()
-        for t in flat:
-            aligner.number(t)
-        order = sorted(range(len(flat)), key=lambda k: (aligner.nodes[flat[k].shape], k))
-        template = flat[order[len(order) // 2]]
-        texts: dict[int, Counter] = {}
-        matched: dict[int, dict[int, Node]] = {}
-        for t in flat:
-            for x, y in aligner.pairs(template, t):
-                texts.setdefault(id(x), Counter())[y.own_text()] += 1
-                matched.setdefault(id(x), {})[id(t)] = y
-        root = _explicit(template) or _content_root(template, texts)
-        if root is not None:
-            roots = matched.get(id(root), {})
-            if root.tag not in ("article", "main") and len(flat) >= 3:
-                for x in _walk(root):
-                    c = texts.get(id(x), Counter())
-                    if len(c) == 1 and sum(c.values()) >= 3 and next(iter(c)):
-                        constant |= {id(y) for y in matched[id(x)].values()}
-    out = []
-    for t in trees:
-        own = _explicit(t)
-        node = own if own is not None else roots.get(id(t), t)
-        for x in list(_walk(node)) if constant else ():
-            if id(x) in constant:
-                x.children = [c for c in x.children if isinstance(c, Node)]
-        out.append("\n\n".join(blocks(node)))
-    return out
+    content = [_marked(t) or [t] for t in trees]
+    if len(trees) > 1:
+        _decide(trees, content)
+    return ["\n\n".join(b for node in nodes for b in blocks(node)) for nodes in content]
 
 
-def _content_root(template: Node, texts: dict[int, Counter]) -> Node | None:
-    """From the top down, as long as one child holds most of the text that varies."""
+def _decide(trees: list[Node], content: list[list[Node]]) -> None:
+    """Put each aligned page's content nodes into content, and take template text out of them."""
+    aligner = Aligner()
+    for t in trees:
+        aligner.number(t)
+    order = sorted(range(len(trees)), key=lambda k: (aligner.nodes[trees[k].shape], k))
+    template = trees[order[len(order) // 2]]
+    marks = _marked(template)
+    voices = _voices(trees)
+    if len(voices) < LEAST_PAGES:
+        if marks:
+            return
+        if len(voices) < 2:
+            voices = list(range(len(trees)))
+    texts: dict[int, Counter] = {}
+    matched: dict[int, dict[int, Node]] = {}
+    heard = set(voices)
+    aligned = 0
+    for k, t in enumerate(trees):
+        pairs = aligner.pairs(template, t)
+        if 2 * len(pairs) < min(aligner.nodes[template.shape], aligner.nodes[t.shape]):
+            continue
+        aligned += k in heard
+        for x, y in pairs:
+            matched.setdefault(id(x), {})[k] = y
+            if k in heard:
+                texts.setdefault(id(x), Counter())[y.text] += 1
+    held = _slots(template, texts)
+    root = _content_root(template, held)
+    if root is None:
+        return
+    inside = {id(n) for m in marks for n in _walk(m)}
+    own = id(root) in inside or sum(held.get(id(m), 0) for m in marks) > 0.6 * held[id(root)] and all(id(m) in {id(n) for n in _walk(root)} for m in marks)
+    if not own:
+        for k, y in matched[id(root)].items():
+            content[k] = [y]
+    for x in _walk(template):
+        (text, n), = texts.get(id(x), Counter({"": 0})).most_common(1)
+        if text and n >= max(LEAST_PAGES, aligned / 2) and (id(x) not in inside or len(text.split()) >= LEAST_WORDS):
+            for y in matched[id(x)].values():
+                if y.text == text and y.tag in BLOCK:
+                    y.children = [c for c in y.children if isinstance(c, Node) and any(n.tag in BLOCK for n in _walk(c))]
+
+
+def _slots(template: Node, texts: dict[int, Counter]) -> dict[int, int]:
+    """Of each node outside asides, the length of the text in and below it that varies."""
+    held: dict[int, int] = {}
+    todo = [(template, False)]
+    while todo:
+        node, done = todo.pop()
+        if node.aside:
+            continue
+        if not done:
+            todo.append((node, True))
+            todo += [(c, False) for c in node.elements()]
+            continue
+        c = texts.get(id(node), Counter())
+        own = sum(len(t) * n for t, n in c.items()) if len(c) > 1 and node.tag in BLOCK else 0
+        held[id(node)] = own + sum(held.get(id(x), 0) for x in node.elements())
+    return held
 
-    def mass(node: Node) -> int:
-        return sum(sum(map(len, c)) for n in _walk(node) if len(c := texts.get(id(n), Counter())) > 1)
 
-    node, held = template, mass(template)
-    while held:
-        inner = [(mass(c), c) for c in node.elements() if not c.aside and c.tag in BLOCK and c.tag not in ("p", "h1", "h2", "h3", "li", "td")]
+def _content_root(template: Node, held: dict[int, int]) -> Node | None:
+    """From the top down, as long as one child holds most of the text that varies."""
+    node = template
+    while held.get(id(node)):
+        inner = [(held[id(c)], c) for c in node.elements() if not c.aside and c.tag in BLOCK and c.tag not in ("p", "h1", "h2", "h3", "li", "td")]
         best = max(inner, key=lambda x: x[0], default=(0, node))
-        if best[0] <= 0.6 * held:
+        if best[0] <= 0.6 * held[id(node)]:
             return node
-        held, node = best
+        node = best[1]
     return None
 
 

@@ -186,6 +186,16 @@ def test_html_bad_markup():
     assert got[0] == got[1] == "" and got[2] == "plain &am" and got[3] == "cut" and got[7] == "t" and got[8] == "" and got[9] == "a b c\n\nd"
 
 
+def test_html_template_text_in_articles():
+    """A call to action in every article goes; articles of other lengths and copies of one article keep all their text."""
+    say = lambda i: "".join(f"<p>Line {i} {k} of its own story {i * k}</p>" for k in range(2 + i % 3))
+    page = "<body><article><h1>Head {0}</h1>{1}<p>Please support our free work today</p></article></body>"
+    want = lambda i: "\n\n".join([f"Head {i}", *[f"Line {i} {k} of its own story {i * k}" for k in range(2 + i % 3)]])
+    assert pages.extract_group([page.format(i, say(i)) for i in range(6)]) == [want(i) for i in range(6)]
+    near = [page.format(0, say(4)) + f"<p>{i}" for i in range(6)]
+    assert all("Please support" in t and "Line 4 2" in t for t in pages.extract_group(near))
+
+
 def test_html_long_lists_and_deep_trees_align():
     rows = lambda i, more: "<ul><li>new</ul>" * more + "".join(f"<p>Words {i} {k}</p>" if k % 2 else f"<pre>Code {i} {k}</pre>" for k in range(400))
     body = "<body><div>Top of the site</div><div>{0}<h4>All rights are kept here</h4></div></body>"
