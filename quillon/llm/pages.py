@@ -27,6 +27,7 @@ LEAST_PAGES, LEAST_WORDS = 3, 3
 
 # Element names of the HTML standard, and words that sites give to parts that are no article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 BLOCK = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure
 footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th
@@ -49,28 +50,44 @@ PARTS = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "aside", "children", "shape", "text")
+    __slots__ = ("tag", "aside", "soft", "children", "shape", "text")
 
-    def __init__(self, tag: str, aside: bool = False):
-        self.tag, self.aside, self.children, self.shape, self.text = tag, aside, [], -1, ""
+    def __init__(self, tag: str, aside: bool = False, soft: bool = False):
+        self.tag, self.aside, self.soft, self.children, self.shape, self.text = tag, aside, soft, [], -1, ""
 
     def elements(self) -> list[Node]:
         return [c for c in self.children if isinstance(c, Node)]
 
 
-def _aside(tag: str, attributes: str) -> bool:
-    """The element's name, role, class or id say that it is no part of an article."""
+def _aside(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether the element's name, role or hiding say that it is no part of an article, and whether class or id do."""
     if tag in NOT_TEXT:
-        return True
+        return True, False
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return False, False
+    soft = False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in ASIDE_ROLES):
-            return True
-        if name in ("class", "id") and not ASIDE_WORDS.isdisjoint(PARTS.findall(value)):
-            return True
-    return False
+            return True, False
+        soft |= name in ("class", "id") and not ASIDE_WORDS.isdisjoint(PARTS.findall(value))
+    return False, soft
+
+
+def _settle(root: Node) -> None:
+    """A class or id word makes an aside only of what is and holds no heading or prose block."""
+    todo: list[tuple[Node, bool]] = [(root, False)]
+    prose: set[int] = set()
+    while todo:
+        node, done = todo.pop()
+        if not done:
+            todo.append((node, True))
+            todo += [(c, False) for c in node.elements()]
+        elif not node.aside:
+            if node.tag in PROSE or any(id(c) in prose for c in node.elements()):
+                prose.add(id(node))
+            else:
+                node.aside = node.soft
 
 
 def parse(html: str) -> Node:
@@ -105,7 +122,7 @@ def parse(html: str) -> Node:
             _close(stack, {"p"}, {"article", "section", "div", "td", "th", "li", "blockquote", "main", "aside", "table", "button"})
         if tag in CLOSES:
             _close(stack, CLOSES[tag], SCOPE[tag])
-        node = Node(tag, _aside(tag, m.group(3)))
+        node = Node(tag, *_aside(tag, m.group(3)))
         stack[-1].children.append(node)
         if tag in VOID or m.group(3).endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
@@ -115,6 +132,7 @@ def parse(html: str) -> Node:
             at = close.end() if close else end
             continue
         stack.append(node)
+    _settle(root)
     return root
 
 
@@ -366,7 +384,8 @@ def extract_group(htmls: list[str | None]) -> list[str]:
     is the deepest node that holds most of the slots' text outside asides. If article and main
     elements hold most of it, an aligned page's text is that of all its outermost ones, else of
     its node aligned with the root; either way without asides and without template text. Inside
-    article and main template text has at least LEAST_WORDS words, as labels like Introduction recur in articles too. A page that does not align (less than half of the smaller tree), is
+    article and main template text has at least LEAST_WORDS words or an aside's class or id, as
+    labels like Introduction recur in articles too. A page that does not align (less than half of the smaller tree), is
     alone, or stands in a group without enough distinct pages to tell, is read by its own marks.
     """
     trees = [parse(h or "") for h in htmls]
@@ -412,9 +431,10 @@ def _decide(trees: list[Node], content: list[list[Node]]) -> None:
     if not own:
         for k, y in matched[id(root)].items():
             content[k] = [y]
+    named = {id(n) for m in _walk(template) if m.soft for n in _walk(m)}
     for x in _walk(template):
         (text, n), = texts.get(id(x), Counter({"": 0})).most_common(1)
-        if text and n >= max(LEAST_PAGES, aligned / 2) and (id(x) not in inside or len(text.split()) >= LEAST_WORDS):
+        if text and n >= max(LEAST_PAGES, aligned / 2) and (id(x) not in inside or id(x) in named or len(text.split()) >= LEAST_WORDS):
             for y in matched[id(x)].values():
                 if y.text == text and y.tag in BLOCK:
                     y.children = [c for c in y.children if isinstance(c, Node) and any(n.tag in BLOCK for n in _walk(c))]

@@ -223,6 +223,13 @@ def test_html_matching_is_exact(monkeypatch):
             assert len(aligner.pairs(*trees)) == aligner.size(trees[0].shape, trees[1].shape) == 1 + table[-1][-1]
 
 
+def test_html_all_articles_and_named_sections():
+    two = "<main><h1>Title</h1><p>Lead.</p><article>One.</article><article>Two.</article></main>"
+    assert pages.extract_group([two, "<article>A</article><div>b</div><article>C</article>"]) == ["Title\n\nLead.\n\nOne.\n\nTwo.", "A\n\nC"]
+    named = "<article><h2 id='discussion'>Discussion</h2><section class='related-work'><p>Others did so.</p></section><div class='share'><a>Share</a></div></article>"
+    assert pages.extract_group([named]) == ["Discussion\n\nOthers did so."]
+
+
 def test_html_query(spark):
     rows = [(i, f"http://h{i % 2}.org/{i}", PAGE.format("m", f"v{i}", f"<article><p>t {i}</p></article>"), 1) for i in range(9)] + [(9, None, None, 1), (9, None, None, 1)]
     got = pages.op3(spark.createDataFrame(rows, "page_id long, url string, html string, host int"))
