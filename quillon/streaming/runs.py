@@ -10,8 +10,14 @@ def read_calls(spark: SparkSession, path: str, schema: str, files_per_trigger: i
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def once(calls: DataFrame, key: str, at: str = "ts", late: str = "1 hour") -> DataFrame:
-    """Each key once: a repeat within the watermark is dropped, and state older than it is forgotten."""
+def once(calls: DataFrame, key: str, at: str = "ts", late: str | None = "1 hour") -> DataFrame:
+    """Each key once: a repeat within the watermark is dropped, and state older than it is forgotten.
+
+    Rows that come later than the watermark are lost. Without one (late None) none is, in whatever
+    order they come, and the state keeps every key.
+    """
+    if late is None:
+        return calls.dropDuplicates([key])
     return calls.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
 
 

@@ -92,6 +92,20 @@ def test_streams(spark, tmp_path):
     assert {(r.g, r.calls) for r in spark.table("runs").collect()} == {("a", 3), ("b", 1)}
 
 
+def test_stream_query_keeps_events_of_unordered_files(spark, tmp_path):
+    from quillon.plans import catalogue, models  # noqa: F401
+
+    rows = spark.range(2000).select(F.col("id").alias("event_id"), F.timestamp_seconds(1_700_000_000 + F.col("id") * 7919 % 2000 * 1000).alias("ts"),
+                                    F.lit("a").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props"))
+    rows.repartition(20, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))  # a task, and so a file, for each file
+    try:
+        got = catalogue.QUERIES["x_stream_windows"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sum(r.n for r in got) == 2000
+
+
 def test_synthetic_study_is_independent_of_partitions(spark):
     a = sorted(map(str, readers.synthetic_study(spark, queries=6).collect()))
     b = sorted(map(str, readers.synthetic_study(spark.newSession(), queries=6).repartition(3).collect()))
