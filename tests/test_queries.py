@@ -40,6 +40,11 @@ def test_query(spark, duck, name):
     assert norm(rows_of(got)) == norm(rows_of(want))
 
 
+def test_interval_overlap_reads_all_answers(spark, duck):
+    whole = catalogue.SQL["j21_interval_overlap"].replace("where key % 1000 = 0 ", "")
+    assert rows_of(catalogue.QUERIES["j21_interval_overlap"](spark, str(DATA)).toPandas()) == rows_of(duck.execute(whole).df())
+
+
 def test_entry():
     import __spark_entry__ as e
 
