@@ -19,6 +19,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Links of a page: href values, quoted or bare.
 HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
 DAMPING, ROUNDS = 0.85, 10
+#: Ranks have converged when a round adds less than this to their sum, which nears at most 1.
+TOLERANCE = 1e-9
 #: A host is blocked if its distrust is more than this many times its trust.
 BALANCE = 1.0
 
@@ -55,12 +57,15 @@ def host_links(pages: DataFrame) -> DataFrame:
             .where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n")))
 
 
-def personalised_rank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def personalised_rank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """Personalised PageRank: edges (src, dst, n), seeds (host, weight summing to 1) -> (host, rank).
 
-    rank = (1 - damping) * seed + damping * what arrives over the edges, for a fixed number of
-    rounds; a host without links out passes nothing on. Each round is one join on the source
-    and one partially aggregated sum, written to the shared folder.
+    rank = (1 - damping) * seed + damping * what arrives over the edges, for at least so many
+    rounds and until one reaches no new host and adds less than tolerance to the sum of ranks
+    (ranks only grow, so that sum is the whole change; what is still to come is at most
+    damping / (1 - damping) times it). A host without links out passes nothing on. Each round is
+    one join on the source and one partially aggregated sum, written to the shared folder, and
+    one counted aggregate.
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("_all"))
     e = materialise(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("_all")).alias("p")))
@@ -68,10 +73,15 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS,
     rank = start = materialise(start)
     if e.isEmpty() or start.isEmpty():
         return start
-    for _ in range(rounds):
+    measure = lambda r: r.agg(F.count("*"), F.sum("rank")).first()
+    done, (hosts, total) = 0, measure(rank)
+    while True:
         moved = e.join(rank, e["src"] == rank["host"]).select(F.col("dst").alias("host"), (F.col("p") * F.col("rank") * damping).alias("rank"))
         rank = materialise(start.unionByName(moved).groupBy("host").agg(F.sum("rank").alias("rank")))
-    return rank
+        last_hosts, last_total = hosts, total
+        done, (hosts, total) = done + 1, measure(rank)
+        if done >= rounds and hosts == last_hosts and total - last_total < tolerance:
+            return rank
 
 
 def host_scores(pages: DataFrame) -> DataFrame:

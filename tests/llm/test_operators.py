@@ -459,6 +459,15 @@ def test_distrust_goes_against_links(spark):
     assert all(got[i].trust == pytest.approx(rank.get(h, 0.0)) for i, h in ((2, "feeder.net"), (4, "friend.net"), (3, "good.org")))
 
 
+def test_distrust_reaches_the_end_of_a_long_chain(spark):
+    rows = [(0, "http://x.com/de/1", "")] + [(i, f"http://h{i}.net/", f"<a href='http://{f'h{i - 1}.net' if i > 1 else 'x.com'}/'>t</a>") for i in range(1, 14)]
+    got = {r.page_id: r for r in urls.op9(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i].verdict == "block" and got[i].distrust == pytest.approx(0.15 * 0.85 ** i) for i in range(1, 14))
+    loop = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, n long")
+    rank = {r.host: r.rank for r in urls.personalised_rank(loop, spark.createDataFrame([("a", 1.0)], "host string, weight double"), tolerance=1e-3).collect()}
+    assert rank == {"a": pytest.approx(0.15 / (1 - 0.85 ** 2), abs=6e-3), "b": pytest.approx(0.15 * 0.85 / (1 - 0.85 ** 2), abs=6e-3)}
+
+
 def test_toxicity_learns_words_and_beginnings(spark):
     rng = random.Random(4)
     bad, stems = ["vilewort", "scumbag", "dimwit"], ["zorp"]
