@@ -45,6 +45,17 @@ def test_interval_overlap_reads_all_answers(spark, duck):
     assert rows_of(catalogue.QUERIES["j21_interval_overlap"](spark, str(DATA)).toPandas()) == rows_of(duck.execute(whole).df())
 
 
+def test_readme_claims_only_registered_statements():
+    """Numbers that the README lists as having DuckDB statements are in names of queries that have one."""
+    import re
+
+    text = Path(__file__).resolve().parents[1].joinpath("README.md").read_text().split("With DuckDB statements:")[1].split("These are the numbers")[0]
+    have = {m.upper() for name in catalogue.SQL for m in re.findall(r"(?:^|_)([a-z][0-9]+)(?=_)", name)}
+    for first, last in re.findall(r"\b([A-Z][0-9]+)(?:–([A-Z][0-9]+))?", text):
+        for n in range(int(first[1:]), int((last or first)[1:]) + 1):
+            assert f"{first[0]}{n}" in have
+
+
 def test_entry():
     import __spark_entry__ as e
 
