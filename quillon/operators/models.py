@@ -209,7 +209,8 @@ def randomisation(values: DataFrame, group: tuple[str, ...] = ("model", "contras
 
     values: (group, query, side 'a' or 'b', v), null v undefined. Each draw permutes the sides of
     every query's answers; markers of undefined values move with the answers. Queries with an
-    undefined side in the data take no part; a draw without a defined query is left out.
+    undefined side in the data take no part; a draw without a defined query is left out. Equal values
+    are exchangeable, so a draw is how many of each go to side a: its cost is the distinct values.
     """
     ddl = ", ".join(f"{g} string" for g in group) + ", n_queries int, observed double, p double"
 
@@ -225,12 +226,15 @@ def randomisation(values: DataFrame, group: tuple[str, ...] = ("model", "contras
                 continue
             stats.append(t)
             rng = np.random.default_rng([seed, *str((key, q)).encode()])
-            order = np.argsort(rng.random((draws, len(v))), axis=1)
-            moved, ok = v[order], np.isfinite(v[order])
-            s = lambda m: np.where(ok[:, m].sum(1) > 0, np.where(ok[:, m], moved[:, m], 0).sum(1) / np.maximum(ok[:, m].sum(1), 1), np.nan)
-            d = s(side) - s(~side)
-            total += np.nan_to_num(d)
-            counted += np.isfinite(d)
+            worth, each = np.unique(v, return_counts=True)
+            ok = np.isfinite(worth)
+            step = max(1, 1_000_000 // len(worth))
+            s = lambda m: np.where(m[:, ok].sum(1) > 0, m[:, ok] @ worth[ok] / np.maximum(m[:, ok].sum(1), 1), np.nan)
+            for k in range(0, draws, step):
+                a = rng.multivariate_hypergeometric(each, int(side.sum()), min(step, draws - k), method="marginals")
+                d = s(a) - s(each - a)
+                total[k:k + step] += np.nan_to_num(d)
+                counted[k:k + step] += np.isfinite(d)
         if not stats:
             return pd.DataFrame([(*map(str, key), 0, None, None)], columns=[c.split()[0] for c in ddl.split(", ")])
         observed, star = float(np.mean(stats)), (total / np.maximum(counted, 1))[counted > 0]

@@ -51,7 +51,7 @@ def randomisation(v: View) -> DataFrame:
     rows = v.counted().select("model", "query", "arm", estimate.local_share().alias("v"))
     sides = F.explode(F.array(*[F.struct(F.lit(f"{a}-{b}").alias("contrast"), F.when(F.col("arm") == a, "a").when(F.col("arm") == b, "b").alias("side")) for a, b in CONTRASTS])).alias("s")
     values = rows.select("model", "query", "v", sides).select("model", "query", "v", "s.contrast", "s.side").where("side is not null")
-    return rounded(models.randomisation(values, draws=400), "observed", "p")
+    return rounded(models.randomisation(values, draws=10_000), "observed", "p")
 
 
 @query("g5_alternative_annotator")

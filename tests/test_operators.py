@@ -164,6 +164,24 @@ def test_randomisation(spark):
     assert same == r
 
 
+def test_randomisation_query_draws_ten_thousand(spark, monkeypatch):
+    """The query's draws are the reference's, and the P value of few answers is that of all their assignments."""
+    from itertools import combinations
+
+    from quillon.plans import catalogue
+    from quillon.plans import models as registered
+
+    asked = []
+    monkeypatch.setattr(registered.models, "randomisation", lambda values, draws, real=models.randomisation: asked.append(draws) or real(values, draws=draws))
+    catalogue.QUERIES["h2_h3_randomisation"](spark, "/root/testdata/sf0.001")
+    assert asked == [10_000]
+    a, b = [5.0, 5.0, 2.0, 4.0], [1.0, 2.0, 2.0, 0.0]
+    values = spark.createDataFrame([("m", "c", "q", s, v) for s, vs in (("a", a), ("b", b)) for v in vs], "model string, contrast string, query string, side string, v double")
+    every = [sum((a + b)[i] for i in c) for c in combinations(range(8), 4)]
+    want = 2 * sum(x >= sum(a) for x in every) / len(every)
+    assert models.randomisation(values, draws=10_000).first().p == pytest.approx(want, abs=0.012)
+
+
 def test_alternative_annotator(spark):
     rows = [(r, i, 0.9 if i % 2 else 0.8, 0.85) for r in ("R1", "R2", "R3") for i in range(60)] + [("R9", i, 0.9, 0.1) for i in range(5)]
     got = {r.rater: r for r in models.alternative_annotator(spark.createDataFrame(rows, "rater string, item int, machine double, human double")).collect()}
