@@ -8,25 +8,34 @@ of copies costs at most one entry a bundle, and no task ever holds a group of do
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from quillon.llm.common import shuffle_width
+from quillon.llm.common import shuffle_width, trim
 
 #: Bytes of one bundle's rows before compression; a larger row has a bundle of its own.
-BUNDLE_BYTES = 4 << 20
+BUNDLE_BYTES = 1 << 20
+#: Bytes of text for one bucket of hashes, and for one task of bundles: about two million words.
+TASK_BYTES = 12 << 20
 BLOCKS = pa.schema([("bucket", pa.int32()), ("bundle", pa.int64()), ("payload", pa.binary())])
 BLOCKS_DDL = "bucket int, bundle long, payload binary"
 ANSWERS = pa.schema([("bundle", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary())])
 ANSWERS_DDL = "bundle long, bucket int, payload binary"
 
 
-def pack(docs: DataFrame, size: int = BUNDLE_BYTES) -> DataFrame:
-    """docs as (bundle, payload), dealt by bundle. Rows keep their order and all their columns.
+def tasks(docs: DataFrame, text: str = "text", size: int = TASK_BYTES) -> int:
+    """Tasks, and buckets of hashes, for docs: as their bytes of text say, and no fewer than shuffle partitions."""
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(shuffle_width(docs.sparkSession), -(-total // size))
+
+
+def pack(docs: DataFrame, parts: int, size: int = BUNDLE_BYTES) -> DataFrame:
+    """docs as (bundle, payload), dealt by bundle to parts tasks. Rows keep their order and all their columns.
 
     A bundle's number is its partition and its place in it, the same each time a table is read.
     """
@@ -44,13 +53,16 @@ def pack(docs: DataFrame, size: int = BUNDLE_BYTES) -> DataFrame:
             cuts = np.r_[0, np.flatnonzero(at[1:] != at[:-1]) + 1, b.num_rows]
             for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 sink = pa.BufferOutputStream()
-                part = pa.Table.from_batches([b.slice(i, j - i)])
+                part = pa.Table.from_batches([b.slice(i, j - i)]).rename_columns(names)
                 with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                     w.write_table(part)
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["bundle", "payload"])
                 number += 1
+        trim()
 
-    return docs.mapInArrow(run, "bundle long, payload binary").repartition("bundle")
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # mapInArrow reads columns by name, and names may have dots
+    return plain.mapInArrow(run, "bundle long, payload binary").repartition(parts, "bundle")
 
 
 def unpack(payload: bytes) -> pa.Table:
@@ -62,11 +74,6 @@ def column(table: pa.Table, name: str | int) -> pa.Array:
     return c.chunk(0) if c.num_chunks == 1 else pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type)
 
 
-def buckets(docs: DataFrame) -> int:
-    """Buckets that hashes are dealt to: as many as shuffle partitions."""
-    return shuffle_width(docs.sparkSession)
-
-
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     """By the upper bits, so that sorted hashes lie in sorted buckets."""
     return (((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
@@ -96,3 +103,26 @@ def unplanes(raw: bytes, width: int) -> np.ndarray:
     out = np.zeros((flat.shape[1], 8), np.uint8)
     out[:, :width] = flat.T
     return out.view("<u8").reshape(-1)
+
+
+def trimmed(f: Callable) -> Callable:
+    """f of a key and one or two tables, after which the worker gives the memory that it no longer uses back."""
+
+    def one(key, t):
+        try:
+            return f(key, t)
+        finally:
+            trim()
+
+    def two(key, left, right):
+        try:
+            return f(key, left, right)
+        finally:
+            trim()
+
+    return two if f.__code__.co_argcount == 3 else one
+
+
+def deal(blocks_of: DataFrame, parts: int, by: str) -> DataFrame:
+    """Rows dealt by their bucket or bundle to so many tasks, whatever spark.sql.shuffle.partitions says."""
+    return blocks_of.repartition(parts, by)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import free_name, guarded, materialise
+from quillon.llm.common import free_name, guarded, materialise, quoted
 
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -65,6 +65,7 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rate: int
     included (they draw alike); null texts have size 0; null sources form one source, the last.
     Every document of a source of size 0 is taken no times. Empty tables give empty results.
     """
+    key, text, source = map(quoted, (key, text, source))
     sized = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
     # two long columns and a short string for each document; the text is scanned once
     sized = materialise(sized)
@@ -82,8 +83,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rate: int = MAX
     """The mix itself: each row of docs as often as mix_plan says, with docs' columns.
 
     The copies follow from the row's own key and its source's rate, so the texts are read once
-    more and only met with the small table of sources; they are never shuffled.
+    more and only met with the small table of sources; they are never shuffled. Null texts have
+    size 0, null sources are one source; repeated rows draw alike, rows of size 0 follow their
+    source's rate, and a source of size 0 goes. Other columns, whatever their names, pass through.
+    Empty in, empty out.
     """
+    key, text, source = map(quoted, (key, text, source))
     sized = docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
     plan = source_targets(sized, weights, max_rate)
     s, r, n = (free_name(x, docs) for x in ("_source", "_rate", "_copy"))
@@ -93,7 +98,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rate: int = MAX
     whole = F.floor(r)
     copies = (whole + (draw(F.col(key), seed) < F.col(r) - whole).cast("long")).cast("int")
     out = docs.join(rates, docs[source].eqNullSafe(F.col(s)), "left")
-    return out.withColumn(n, F.explode(F.array_repeat(F.lit(0), copies))).select(*[docs[c] for c in docs.columns])
+    return out.withColumn(n, F.explode(F.array_repeat(F.lit(0), copies))).select(*map(quoted, docs.columns))
 
 
 def op1(docs: DataFrame) -> DataFrame:

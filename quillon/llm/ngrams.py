@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import bundles as B
-from quillon.llm.common import components, forest, free_name, guarded, materialise, release
-from quillon.llm.words import BASES, Words, isin_sorted, mix, span_hash
+from quillon.llm.common import components, discard, forest, free_name, guarded, materialise, quoted, release, trim
+from quillon.llm.words import Words, isin_sorted, mix, run_hashes
 
 SHINGLE = 5
 #: Link if PERCENT[0] * intersection >= PERCENT[1] * union.
@@ -23,7 +23,8 @@ PERCENT = (100, 75)
 KEY_BITS = 40
 #: An n-gram of more classes is compared in blocks of sets instead of pair by pair; sets of one side of a block.
 CROWD, BLOCK = 48, 512
-#: Tokens of a set, cut to 48 bits for the exact comparison of two documents.
+#: Tokens of a set are cut to 48 bits for the comparison of two documents: two sets of a thousand
+#: shingles then share one by chance, which matters only right at the limit, once in 3e8 pairs.
 SET_BYTES = 6
 
 ROWS = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("cid", pa.binary()), ("n", pa.int32()), ("token", pa.int64()),
@@ -35,8 +36,9 @@ DOCUMENT, PREFIX, SET = 0, 1, 2
 class _Sets:
     """The distinct shingle sets of a bundle's documents.
 
-    Documents with equal sets form a class, named by 128 bits of its set; the class is described
-    once. set i holds the sorted tokens of class i.
+    Shingles are hashed twice, by either half of their words' BLAKE2b digests: the first hash is the
+    shingle's token. Documents with equal sets form a class, named by the sums of both hashes over
+    its set (128 bits); the class is described once. set i holds the sorted tokens of class i.
     """
 
     def __init__(self, payload: bytes, size: int):
@@ -44,20 +46,23 @@ class _Sets:
         self.ids = B.column(t, "doc_id").cast(pa.int64())
         w = Words(B.column(t, "text"), lower=True)
         at, doc = w.windows(size)
-        h = span_hash(w.hashes[0], at, at + size, BASES[0])
+        pieces, owners = [tuple(run_hashes(h, size)[at] for h in w.hashes)], [doc]
         counts = w.counts()
-        short = np.flatnonzero((counts > 0) & (counts < size))  # the whole text is its one shingle
-        h = np.r_[h, span_hash(w.hashes[0], w.first[short], w.first[short + 1], BASES[0])]
-        doc = np.r_[doc, short]
+        for k in range(1, size):  # the whole text is its one shingle
+            short = np.flatnonzero(counts == k)
+            if len(short):
+                pieces.append(tuple(run_hashes(h, k)[w.first[short]] for h in w.hashes))
+                owners.append(short)
+        h, twin, doc = (np.concatenate(x) for x in (*zip(*pieces), owners))
         order = np.lexsort((h, doc))
-        h, doc = h[order], doc[order]
+        h, twin, doc = h[order], twin[order], doc[order]
         new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])] if len(h) else np.zeros(0, bool)
-        h, doc = h[new], doc[new]
+        h, twin, doc = h[new], twin[new], doc[new]
         self.n = np.bincount(doc, minlength=t.num_rows)
         ends = np.cumsum(self.n)
         total = np.zeros((2, len(h) + 1), np.uint64)
-        for k, salt in enumerate((np.uint64(0x51ED270B1234ABCD), np.uint64(0xA5A5F00DDEADBEEF))):
-            np.cumsum(mix(h ^ salt), out=total[k, 1:])
+        for k, x in enumerate((h, twin)):
+            np.cumsum(mix(x), out=total[k, 1:])
         name = np.stack([total[k][ends] - total[k][ends - self.n] for k in (0, 1)], 1)
         self.names = [x.tobytes() if m else None for x, m in zip(name, self.n.tolist())]
         first: dict[bytes, int] = {}
@@ -94,8 +99,8 @@ def describe(docs: DataFrame, size: int = SHINGLE, percent: tuple[int, int] = PE
     prefix that another class may hold. A class with none such links with nothing and has no
     further rows. No group of documents is ever gathered.
     """
-    n = B.buckets(docs)
-    packed = B.pack(docs)
+    n = B.tasks(docs)
+    packed = B.pack(docs, n)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -104,7 +109,9 @@ def describe(docs: DataFrame, size: int = SHINGLE, percent: tuple[int, int] = PE
                 places = np.searchsorted(_bucket(keys, n), np.arange(n + 1))
                 parts = [(k, _pack_counts(keys[places[k]:places[k + 1]], counts[places[k]:places[k + 1]])) for k in np.flatnonzero(np.diff(places)).tolist()]
                 yield from B.blocks(bundle, parts).to_batches()
+        trim()
 
+    @B.trimmed
     def answer(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         got = [_unpack_counts(x.as_py()) for x in t.column("payload")]
         keys, counts = (np.concatenate([x[k] for x in got]) for k in (0, 1))
@@ -122,6 +129,7 @@ def describe(docs: DataFrame, size: int = SHINGLE, percent: tuple[int, int] = PE
                 parts.append((bundle, B.planes(np.diff(hit, prepend=0), 4) + B.planes(own[hit], 6)))
         return B.answers(key[0].as_py(), parts)
 
+    @B.trimmed
     def finish(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return ROWS.empty_table()
@@ -153,8 +161,8 @@ def describe(docs: DataFrame, size: int = SHINGLE, percent: tuple[int, int] = PE
         return pa.concat_tables(out).combine_chunks()
 
     sent = packed.mapInArrow(send, B.BLOCKS_DDL)
-    counted = sent.groupBy("bucket").applyInArrow(answer, B.ANSWERS_DDL)
-    return packed.groupBy("bundle").cogroup(counted.groupBy("bundle")).applyInArrow(finish, ROWS_DDL)
+    counted = B.deal(sent, n, "bucket").groupBy("bucket").applyInArrow(answer, B.ANSWERS_DDL)
+    return packed.groupBy("bundle").cogroup(B.deal(counted, n, "bundle").groupBy("bundle")).applyInArrow(finish, ROWS_DDL)
 
 
 def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
@@ -212,6 +220,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: tuple[int, int] = PERCENT
                 shared = int((both[1:] == both[:-1]).sum())
                 keep[i] = a_ * shared >= b_ * (len(x) + len(y) - shared)
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(keep))
+        trim()
 
     own = sets.select("cid", "tokens")
     joined = (pairs.join(own.select(F.col("cid").alias("b"), F.col("tokens").alias("tb")), "b")
@@ -277,6 +286,7 @@ def crowd_links(crowded: DataFrame, sets: DataFrame, percent: tuple[int, int] =
     rest = known.where("component <> main").select("crowd", spot("ni").alias("i"), every("nj").alias("j"), F.lit(True).alias("rest"), "cid", "component", "tokens")
     full = known.select("crowd", every("ni").alias("i"), spot("nj").alias("j"), F.lit(False).alias("rest"), "cid", "component", "tokens")
 
+    @B.trimmed
     def compare(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         flags, cids, parts = (t.column(c).to_pylist() for c in ("rest", "cid", "component"))
         left, right = [k for k, f in enumerate(flags) if f], [k for k, f in enumerate(flags) if not f]
@@ -350,7 +360,7 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, percent: tuple[int, int] = PE
     # the ids that go are fewer than those that stay; while they are few, the texts are not shuffled
     gone = near_duplicates(docs, size, percent).groupBy(F.col("doc_id").alias(own)).agg(F.bool_or(keep).alias("_keep")).where("not _keep").select(own)
     gone = guarded(materialise(gone))
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col(own)), "left_anti").select(*[docs[c] for c in names])
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col(own)), "left_anti").select(*map(quoted, names))
 
 
 def op8(docs: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def shard_by_bytes(keyed: DataFrame, shards: int = SHARDS, order: tuple[str, ...
     shard = F.expr(f"least({shards - 1}, (2 * (_byte0 + _sum) - size) * {shards} div (2 * _total))").cast("int")
     placed = placed.withColumn("shard", shard).withColumn("_row", F.col("_row0") + F.col("_n") - 1)
     placed = materialise(placed.drop("_sum", "_n", "_byte0", "_row0", "_total"))
-    first = guarded(placed.groupBy("shard").agg(F.min("_row").alias("_first")))
+    first = guarded(materialise(placed.groupBy("shard").agg(F.min("_row").alias("_first"))))
     return (placed.join(first, "shard").withColumn("slot", F.col("_row") - F.col("_first"))
             .drop("_row", "_first", "_part", "_tie"))
 
@@ -49,6 +49,9 @@ def op2(docs: DataFrame) -> DataFrame:
     """All documents over 40 shards by the law 'bytes', in doc_id order.
 
     size: UTF-8 bytes of the text (null: none) plus 16; text_crc32 of a null text is that of no bytes.
+    Null ids come first; rows of one id stand by text_crc32 and size, and repeated rows in any order
+    among themselves. A text longer than a shard's target has its shard almost alone, and shards
+    beside it may be empty. Empty in, empty out; other columns are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", (F.octet_length(text) + F.lit(ROW_BYTES)).cast("long").alias("size"),

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import bundles as B
-from quillon.llm.words import Words, isin_sorted, span_hash, BASES
+from quillon.llm.common import quoted, trim
+from quillon.llm.words import Words, isin_sorted, run_hashes
 
 WINDOW = 50
 #: Every residue modulo 31 is a difference of two of these, so any two places have a common
@@ -21,11 +22,11 @@ LAST = np.iinfo(np.int64).max  # stands for a null doc_id: no document comes aft
 
 
 class _Bundle:
-    """One bundle's documents: words, and the windows' hashes of 64 and 32 bits."""
+    """One bundle's documents: words, and the windows' hashes of 128 bits."""
 
     def __init__(self, payload: bytes, window: int):
         self.table = B.unpack(payload)
-        self.words = Words(B.column(self.table, "text"), hashes=2)
+        self.words = Words(B.column(self.table, "text"))
         self.ids = np.asarray(B.column(self.table, "doc_id").cast(pa.int64()).fill_null(LAST))
         self.window = window
 
@@ -37,11 +38,10 @@ class _Bundle:
         on[list(cover)] = True
         ok = on[(at - self.words.first[doc]) % period] & (self.words.counts()[doc] >= self.window)
         at, doc = at[ok], doc[ok]
-        return span_hash(self.words.hashes[0], at, at + size, BASES[0]), at, doc
+        return run_hashes(self.words.hashes[0], size)[at], at, doc
 
     def window_hashes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h = span_hash(self.words.hashes[0], at, at + self.window, BASES[1])
-        return h, (span_hash(self.words.hashes[1], at, at + self.window, BASES[0]) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        return tuple(run_hashes(h, self.window)[at] for h in self.words.hashes)
 
 
 def _groups(h: np.ndarray, g: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,14 +61,16 @@ def shared_runs(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, cov
     1. anchors: every bundle sends the distinct hashes of its anchors; a bucket answers which are
        in more than one document. A window of 50 words shared by two documents holds a cover place
        of both within its first 31 words, so it contains a run of 20 words that is an anchor of both.
-    2. windows: only windows around shared anchors are hashed (96 bits) and sent, once a bundle
+    2. windows: only windows around shared anchors are sent, by 128 bits, once a bundle
        with the smallest doc_id of the bundle; a bucket answers which have a smaller one elsewhere.
     3. the bundle flags its windows by the answers and by its own documents.
 
-    Exact but for a collision of 96-bit hashes of different windows.
+    Windows are compared by two 64-bit hashes, each folded from its own half of the BLAKE2b digests of
+    their words. Those behave like random numbers whatever the words, so among n different windows
+    two meet with a chance of n * n / 2 ** 129 (at 10 ** 13 windows: 1.5e-13).
     """
-    n = B.buckets(docs)
-    packed = B.pack(docs.select("doc_id", "text", *carry))
+    n = B.tasks(docs)
+    packed = B.pack(docs.select("doc_id", "text", *map(quoted, carry)), n)
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -85,7 +87,9 @@ def shared_runs(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, cov
                     s = slice(places[k], places[k + 1])
                     parts.append((k, np.int64(many[s].sum()).tobytes() + u[s][many[s]].tobytes() + u[s][~many[s]].tobytes()))
                 yield from B.blocks(bundle, parts).to_batches()
+        trim()
 
+    @B.trimmed
     def answer_anchors(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         raws = [x.as_py() for x in t.column("payload")]
         hs = [np.frombuffer(x, np.uint64, offset=8) for x in raws]
@@ -99,6 +103,7 @@ def shared_runs(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, cov
         sent = [(i, x[isin_sorted(x, found)]) for i, x in zip(t.column("bundle").to_pylist(), hs)]
         return B.answers(key[0].as_py(), [(i, x.tobytes()) for i, x in sent if len(x)])
 
+    @B.trimmed
     def send_windows(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         bundle = key[0].as_py()
         if not left.num_rows or not right.num_rows:
@@ -122,6 +127,7 @@ def shared_runs(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, cov
         parts = [(k, _pack_windows(h[s], g[s], ids[s])) for k in np.flatnonzero(np.diff(places)).tolist() for s in [slice(places[k], places[k + 1])]]
         return B.blocks(bundle, parts)
 
+    @B.trimmed
     def answer_windows(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         got = [_unpack_windows(x.as_py()) for x in t.column("payload")]
         h, g, ids = (np.concatenate([x[k] for x in got]) for k in range(3))
@@ -134,6 +140,7 @@ def shared_runs(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, cov
         names = t.column("bundle").to_pylist()
         return B.answers(key[0].as_py(), [(names[i], h[s].tobytes() + g[s].tobytes()) for i in range(len(got)) for s in [late[ends[i]:ends[i + 1]]] if len(s)])
 
+    @B.trimmed
     def finish(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return empty
@@ -145,10 +152,10 @@ def shared_runs(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, cov
 
     empty = to_arrow_schema(StructType.fromDDL(ddl)).empty_table()
     anchors = packed.mapInArrow(send_anchors, B.BLOCKS_DDL)
-    shared = anchors.groupBy("bucket").applyInArrow(answer_anchors, B.ANSWERS_DDL)
-    windows = packed.groupBy("bundle").cogroup(shared.groupBy("bundle")).applyInArrow(send_windows, B.BLOCKS_DDL)
-    late = windows.groupBy("bucket").applyInArrow(answer_windows, B.ANSWERS_DDL)
-    return packed.groupBy("bundle").cogroup(late.groupBy("bundle")).applyInArrow(finish, ddl)
+    shared = B.deal(anchors, n, "bucket").groupBy("bucket").applyInArrow(answer_anchors, B.ANSWERS_DDL)
+    windows = packed.groupBy("bundle").cogroup(B.deal(shared, n, "bundle").groupBy("bundle")).applyInArrow(send_windows, B.BLOCKS_DDL)
+    late = B.deal(windows, n, "bucket").groupBy("bucket").applyInArrow(answer_windows, B.ANSWERS_DDL)
+    return packed.groupBy("bundle").cogroup(B.deal(late, n, "bundle").groupBy("bundle")).applyInArrow(finish, ddl)
 
 
 def _pack_windows(h: np.ndarray, g: np.ndarray, ids: np.ndarray) -> bytes:
@@ -157,7 +164,7 @@ def _pack_windows(h: np.ndarray, g: np.ndarray, ids: np.ndarray) -> bytes:
 
 def _unpack_windows(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     m = int(np.frombuffer(raw, np.int64, 1)[0])
-    return np.frombuffer(raw, np.uint64, m, 8), np.frombuffer(raw, np.uint32, m, 8 + 8 * m), B.unplanes(raw[8 + 12 * m:], 8).view(np.int64)
+    return np.frombuffer(raw, np.uint64, m, 8), np.frombuffer(raw, np.uint64, m, 8 + 8 * m), B.unplanes(raw[8 + 16 * m:], 8).view(np.int64)
 
 
 def _removed(w: _Bundle, raws: list[bytes]) -> np.ndarray:
@@ -167,9 +174,9 @@ def _removed(w: _Bundle, raws: list[bytes]) -> np.ndarray:
     ids = w.ids[doc]
     bad = np.zeros(len(at), bool)
     if raws:
-        m = [len(x) // 12 for x in raws]
+        m = [len(x) // 16 for x in raws]
         ah = np.concatenate([np.frombuffer(x, np.uint64, k) for x, k in zip(raws, m)])
-        ag = np.concatenate([np.frombuffer(x, np.uint32, k, 8 * k) for x, k in zip(raws, m)])
+        ag = np.concatenate([np.frombuffer(x, np.uint64, k, 8 * k) for x, k in zip(raws, m)])
         order = np.lexsort((ag, ah))
         ah, ag = ah[order], ag[order]
         place = np.searchsorted(ah, h)
@@ -195,12 +202,12 @@ def _removed(w: _Bundle, raws: list[bytes]) -> np.ndarray:
     return np.cumsum(mark[:-1]) > 0
 
 
-def kept_text(words: Words, removed: np.ndarray, i: int) -> bytes:
+def kept_text(words: Words, spans: tuple[np.ndarray, np.ndarray], removed: np.ndarray, i: int) -> bytes:
     """Text i without its removed words: kept runs stay as they are, joined by a space."""
     a, b = words.first[i], words.first[i + 1]
     keep = ~removed[a:b]
     edge = np.diff(np.r_[False, keep, False].astype(np.int8))
-    runs = zip(words.starts[a + np.flatnonzero(edge == 1)], words.ends[a + np.flatnonzero(edge == -1) - 1])
+    runs = zip(spans[0][a + np.flatnonzero(edge == 1)], spans[1][a + np.flatnonzero(edge == -1) - 1])
     return b" ".join(words.bytes[s:e].tobytes() for s, e in runs)
 
 
@@ -232,20 +239,19 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with repeated runs cut out of text (and n_chars, if there, counted anew).
 
     Texts without a repeated run stay byte for byte; a document of which nothing is left goes.
+    Null, empty and blank texts stay. A null doc_id counts as the largest, and rows of one doc_id
+    never cut one another, so repeated rows are cut alike. Other columns, whatever their names,
+    pass through. Empty in, empty out.
     """
-    from pyspark.sql.types import StructType
-
     names = docs.columns
-    own = docs.schema
-    ddl_schema = StructType(own.fields)
 
     def emit(t: pa.Table, words: Words, removed: np.ndarray) -> pa.Table:
         counts = words.counts()
         gone = np.add.reduceat(np.r_[removed, False].astype(np.int64), words.first[:-1]) * (counts > 0) if t.num_rows else np.zeros(0, np.int64)
         hit = np.flatnonzero(gone > 0)
-        texts = B.column(t, "text").to_pylist()
+        texts, spans = B.column(t, "text").to_pylist(), words.spans() if len(hit) else None
         for i in hit.tolist():
-            texts[i] = kept_text(words, removed, i).decode("utf-8")
+            texts[i] = kept_text(words, spans, removed, i).decode("utf-8")
         out = t.set_column(t.schema.get_field_index("text"), "text", pa.array(texts, t.schema.field("text").type))
         if "n_chars" in names:
             sizes = B.column(t, "n_chars").to_pylist()
@@ -256,8 +262,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         stay[hit] = gone[hit] < counts[hit]
         return out.select(names).filter(pa.array(stay))
 
-    return shared_runs(docs, window=window, emit=emit, ddl=_ddl(ddl_schema), carry=tuple(c for c in names if c not in ("doc_id", "text")))
+    return shared_runs(docs, window=window, emit=emit, ddl=_ddl(docs.schema), carry=tuple(c for c in names if c not in ("doc_id", "text")))
 
 
 def _ddl(schema) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    return ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in schema.fields)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialise
+from quillon.llm.common import materialise, trim
 
 #: Most labelled rows that voters, label model and classifier are fitted on, chosen by a hash of doc_id.
 MAX_LABELLED = 20_000
@@ -148,10 +148,15 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5, rounds: int =
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
-    """At most limit labelled rows outside the held-out fold: (_toxic, text)."""
+    """(_toxic, text) of at most limit labelled ids outside the held-out fold, one row an id.
+
+    An id is toxic if any of its labels is; of its documents the smallest text speaks for it, so an
+    id that many rows share still makes one row. Null texts are empty.
+    """
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)  # its size bound allows the broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("_toxic", F.coalesce("text", F.lit("")).alias("text"))
+    mine = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return mine.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("_toxic").alias("_toxic")).select("_toxic", "text")
 
 
 def find_voters(sample: DataFrame, limit: int = MAX_VOTERS) -> tuple[list[str], np.ndarray, np.ndarray, float]:
@@ -219,10 +224,15 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, limit: int = MAX_LABELLED) -> DataFrame:
-    """docs without the rows that score threshold or more; all columns stay, nothing is shuffled."""
+    """docs without the rows that score threshold or more; all columns stay, nothing is shuffled.
+
+    Null and empty texts get the score of no votes, and so stay; repeated rows share their fate. Other
+    columns, whatever their names, pass through. Empty in, empty out.
+    """
     model = fit(docs, labels, limit)
     names = docs.columns
     at = names.index("text")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # mapInArrow reads columns by name, and names may have dots
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -230,8 +240,9 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOL
                 part = b.slice(i, 512)
                 keep = model.score([t or "" for t in part.column(at).to_pylist()]) < threshold
                 yield part.filter(pa.array(keep))
+        trim()
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
 
 
 def op10(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -2,90 +2,102 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 
 #: The six ASCII white-space characters divide words.
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: A to Z become a to z; all other bytes stay.
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
-#: Odd multipliers of the two independent polynomial hashes.
-BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
-#: Bytes that are hashed at once.
-CHUNK = 1 << 19
-_powers: dict[tuple[int, int], np.ndarray] = {}
+#: Digests of distinct words that a worker keeps; the table starts anew beyond that.
+KEPT_DIGESTS = 1 << 17
+FOLD = np.uint64(0x9E3779B97F4A7C15)
+
 
+class _Digests(dict):
+    """The first 128 bits of a word's BLAKE2b digest, computed once while the word is kept."""
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base ** 0, 1, ..., n - 1 modulo 2 ** 64, kept for the next call."""
-    width = 1 << max(16, (n - 1).bit_length())
-    if (int(base), width) not in _powers:
-        step = np.full(width, base, np.uint64)
-        step[0] = 1
-        _powers[int(base), width] = np.cumprod(step)
-    return _powers[int(base), width][:n]
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= KEPT_DIGESTS:
+            self.clear()
+        self[word] = found = blake2b(word, digest_size=16).digest()
+        return found
 
 
-def inverse(base: np.uint64) -> np.uint64:
-    return np.uint64(pow(int(base), -1, 1 << 64))
+_digests = _Digests()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64) -> np.ndarray:
-    """Hash of values[s:e] for each span; equal spans hash alike wherever they stand."""
-    n = len(values)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * powers(base, n) if n else values, out=total[1:])
-    back = powers(inverse(base), n + 1)
-    return mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def run_hashes(h: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the size values that begin at each place; the last size - 1 places have none.
+
+    Runs of 1, 2, 4, ... values are folded pairwise, each time through the bijection, and size is
+    put together from its powers of two. So no pattern of repeats cancels, as it can in a
+    polynomial modulo a power of two.
+    """
+    n = len(h) - size + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    level, width, out, done = h, 1, None, 0
+    powers = []
+    while width <= size:
+        if size & width:
+            powers.append((width, level))
+        if 2 * width <= size:
+            level = mix(level[:-width] * FOLD + level[width:])
+        width *= 2
+    for width, level in reversed(powers):
+        part = level[done:done + n]
+        out = part if out is None else mix(out * FOLD + part)
+        done += width
+    return mix(out + np.uint64(size))
 
 
 class Words:
-    """The words of texts: byte spans, hashes, and the first word of each text."""
+    """The words of texts: 128 bits a word in two halves, and the first word of each text."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False, hashes: int = 1):
+    def __init__(self, texts: pa.Array, lower: bool = False):
         texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
         texts = texts.fill_null("")
         n = len(texts)
-        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + n + 1]
-        raw = texts.buffers()[2]
-        data = np.frombuffer(raw, np.uint8)[offsets[0]:offsets[-1]] if raw is not None and n else np.empty(0, np.uint8)
-        self.bytes = LOWER[data] if lower else data
-        self.offsets = offsets - offsets[0] if n else np.zeros(1, np.int64)
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + n + 1] if n else np.zeros(1, np.int64)
+        raw = texts.buffers()[2] if n else None
+        self.bytes = np.frombuffer(raw, np.uint8)[offsets[0]:offsets[-1]] if raw is not None else np.empty(0, np.uint8)
+        self.offsets = offsets - offsets[0]
+        data, get = memoryview(self.bytes), _digests.__getitem__
+        found, counts = [], np.zeros(n, np.int64)
+        for i, (a, b) in enumerate(zip(self.offsets[:-1].tolist(), self.offsets[1:].tolist())):
+            text = bytes(data[a:b])
+            ws = (text.lower() if lower else text).split()  # bytes: ASCII letters and ASCII white space only
+            counts[i] = len(ws)
+            found.append(b"".join(map(get, ws)))
+        self.first = np.r_[0, np.cumsum(counts)]
+        halves = np.frombuffer(b"".join(found), "<u8").reshape(-1, 2)
+        self.hashes = [np.ascontiguousarray(halves[:, k]) for k in (0, 1)]
+
+    def __len__(self) -> int:
+        return int(self.first[-1])
+
+    def spans(self) -> tuple[np.ndarray, np.ndarray]:
+        """First byte of each word, and the byte after it."""
         space = SPACE[self.bytes]
-        head = np.zeros(len(data) + 1, bool)
+        head = np.zeros(len(space) + 1, bool)
         head[self.offsets] = True
         begin = ~space
         begin[1:] &= space[:-1] | head[1:-1]
         end = ~space
         end[:-1] &= space[1:] | head[1:-1]
-        self.starts, self.ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
-        self.first = np.searchsorted(self.starts, self.offsets)  # n + 1 places
-        self.hashes = [self._hash(BASES[k]) for k in range(hashes)]
-
-    def __len__(self) -> int:
-        return len(self.starts)
-
-    def _hash(self, base: np.uint64) -> np.ndarray:
-        """Word by word over chunks of whole words, so that memory follows the chunk."""
-        out = np.empty(len(self.starts), np.uint64)
-        i = 0
-        while i < len(out):
-            j = max(i + 1, int(np.searchsorted(self.ends, self.starts[i] + CHUNK, "right")))
-            a, b = self.starts[i], self.ends[j - 1]
-            out[i:j] = span_hash(self.bytes[a:b].astype(np.uint64) + np.uint64(1), self.starts[i:j] - a, self.ends[i:j] - a, base)
-            i = j
-        return out
+        return np.flatnonzero(begin), np.flatnonzero(end) + 1
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quillon.llm import common, mixing, ngrams, pages, pieces, queries, sharding, substrings, toxicity, urls, vectors
 
 WORDS = [w + e for w in "alder birch cedar elm fir hazel larch maple oak pine rowan willow".split() for e in ("", "s", ".", "-a", "é")]
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, size int, bundle string, copies int"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, size int, bundle string, `a.b` int"
 
 
 def make_docs(seed=3, n=70):
@@ -559,3 +559,49 @@ def test_top_k_of_large_components(spark):
     got = vectors.op4(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
     big = 2 * 10 ** 6 * 1024
     assert [(r.vec_id, r.score) for r in got] == [(29 - k, big * big + 1024 * (29 - k)) for k in range(10)]
+
+
+def thue_morse(n, a="a", b="b"):
+    return [b if bin(i).count("1") % 2 else a for i in range(n)]
+
+
+def test_repeating_patterns_do_not_meet(spark):
+    """Words, and runs of words, that a polynomial modulo a power of two would take for one another."""
+    one = "".join(thue_morse(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    got = ngrams.op8(spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string"))
+    assert sorted(listed(got, "doc_id", "n_shingles", "component_id")) == [(1, 1, 1), (2, 1, 2)]
+    shared = [f"w{i}" for i in range(49)]
+    rows = [(1, " ".join([*shared, one])), (2, " ".join([*shared, two])), (3, " ".join(thue_morse(2048))), (4, " ".join(thue_morse(2048, "b", "a")))]
+    want = sorted((i, len(ws), sum(gone)) for i, ws, gone in repeated(rows))
+    assert sorted(listed(substrings.op7(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "n_words", "n_removed")) == want and want[1] == (2, 50, 0)
+
+
+def test_run_hashes():
+    from quillon.llm.words import run_hashes
+
+    h = np.random.default_rng(1).integers(0, 2 ** 63, 40).astype(np.uint64)
+    for size in (1, 2, 3, 5, 20, 40, 41):
+        got = run_hashes(h, size)
+        assert len(got) == max(0, 41 - size) and len(set(got.tolist())) == len(got)
+        assert all(run_hashes(h[i:i + size], size)[0] == got[i] for i in range(len(got)))
+
+
+def test_empty_tables_through_every_stage(spark, empty, tmp_path):
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for out in (toxicity.reject_toxic(empty, labels), ngrams.keep_one(empty), substrings.dedup_substrings(empty), mixing.mix(empty)):
+        assert out.columns == empty.columns and out.count() == 0
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+KNOWN = next(i for i in range(20) if zlib.crc32(str(i).encode()) % 4 != 2)  # an id outside the held-out fold
+
+
+def test_toxicity_sample_has_a_row_an_id(spark):
+    docs = spark.range(5000).select(F.lit(KNOWN).cast("long").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    labels = spark.createDataFrame([(KNOWN, 1, 1), (KNOWN + 1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert listed(toxicity.training_sample(docs, labels, 10), "_toxic", "text") == [(1, "t0")]
