@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,18 @@ def guarded(df: DataFrame, limit: int = BROADCAST_ROWS, size: int = BROADCAST_BY
     return F.broadcast(df) if small and df.count() <= limit else df
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Rows go to Python workers in Arrow batches of at most so many, for tables of whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before))) if int(before) > 0 else str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def trim() -> None:
     """Give memory that this Python worker no longer uses back to the system; workers outlive their tasks."""
     pa.default_memory_pool().release_unused()

@@ -36,8 +36,7 @@ DOCUMENT, PREFIX, SET = 0, 1, 2
 class _Sets:
     """The distinct shingle sets of a bundle's documents.
 
-    Shingles are hashed twice, by either half of their words' BLAKE2b digests: the first hash is the
-    shingle's token. Documents with equal sets form a class, named by the sums of both hashes over
+    Shingles are hashed twice, by either hash of their words: the first is the shingle's token. Documents with equal sets form a class, named by the sums of both hashes over
     its set (128 bits); the class is described once. set i holds the sorted tokens of class i.
     """
 

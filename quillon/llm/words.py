@@ -10,22 +10,15 @@ import pyarrow as pa
 #: The six ASCII white-space characters divide words.
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: Digests of distinct words that a worker keeps; the table starts anew beyond that.
-KEPT_DIGESTS = 1 << 17
+#: A to Z become a to z; all other bytes stay.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 FOLD = np.uint64(0x9E3779B97F4A7C15)
-
-
-class _Digests(dict):
-    """The first 128 bits of a word's BLAKE2b digest, computed once while the word is kept."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= KEPT_DIGESTS:
-            self.clear()
-        self[word] = found = blake2b(word, digest_size=16).digest()
-        return found
-
-
-_digests = _Digests()
+SEEDS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344))
+#: The lower 0 to 8 bytes of a number.
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes are digested by BLAKE2b, all others eight bytes at a time.
+LANE_BYTES = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -63,8 +56,33 @@ def run_hashes(h: np.ndarray, size: int) -> np.ndarray:
     return mix(out + np.uint64(size))
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit hashes of each word data[start:end], which depend on its bytes alone.
+
+    A word is folded in lanes of eight bytes, each time through the bijection, and its length last;
+    the first hash is one to one for words of up to eight bytes of one length.
+    """
+    size = ends - starts
+    padded = np.r_[data, np.zeros(8, np.uint8)]
+    lanes = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    lane = lanes[starts] & MASKS[np.minimum(size, 8)]
+    out = [mix(lane + seed) for seed in SEEDS]
+    more, at = np.flatnonzero((size > 8) & (size <= LANE_BYTES)), 8
+    while len(more):
+        left = size[more] - at
+        lane = lanes[starts[more] + at] & MASKS[np.minimum(left, 8)]
+        for h in out:
+            h[more] = mix(h[more] * FOLD + lane)
+        at += 8
+        more = more[left > 8]
+    for i in np.flatnonzero(size > LANE_BYTES).tolist():
+        digest = np.frombuffer(blake2b(data[starts[i]:ends[i]].tobytes(), digest_size=16).digest(), "<u8")
+        out[0][i], out[1][i] = digest
+    return [mix(h + size.astype(np.uint64) * FOLD) for h in out]
+
+
 class Words:
-    """The words of texts: 128 bits a word in two halves, and the first word of each text."""
+    """The words of texts: byte spans, two 64-bit hashes a word, and the first word of each text."""
 
     def __init__(self, texts: pa.Array, lower: bool = False):
         texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
@@ -72,32 +90,22 @@ class Words:
         n = len(texts)
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + n + 1] if n else np.zeros(1, np.int64)
         raw = texts.buffers()[2] if n else None
-        self.bytes = np.frombuffer(raw, np.uint8)[offsets[0]:offsets[-1]] if raw is not None else np.empty(0, np.uint8)
+        data = np.frombuffer(raw, np.uint8)[offsets[0]:offsets[-1]] if raw is not None else np.empty(0, np.uint8)
+        self.bytes = LOWER[data] if lower else data
         self.offsets = offsets - offsets[0]
-        data, get = memoryview(self.bytes), _digests.__getitem__
-        found, counts = [], np.zeros(n, np.int64)
-        for i, (a, b) in enumerate(zip(self.offsets[:-1].tolist(), self.offsets[1:].tolist())):
-            text = bytes(data[a:b])
-            ws = (text.lower() if lower else text).split()  # bytes: ASCII letters and ASCII white space only
-            counts[i] = len(ws)
-            found.append(b"".join(map(get, ws)))
-        self.first = np.r_[0, np.cumsum(counts)]
-        halves = np.frombuffer(b"".join(found), "<u8").reshape(-1, 2)
-        self.hashes = [np.ascontiguousarray(halves[:, k]) for k in (0, 1)]
-
-    def __len__(self) -> int:
-        return int(self.first[-1])
-
-    def spans(self) -> tuple[np.ndarray, np.ndarray]:
-        """First byte of each word, and the byte after it."""
         space = SPACE[self.bytes]
-        head = np.zeros(len(space) + 1, bool)
+        head = np.zeros(len(data) + 1, bool)
         head[self.offsets] = True
         begin = ~space
         begin[1:] &= space[:-1] | head[1:-1]
         end = ~space
         end[:-1] &= space[1:] | head[1:-1]
-        return np.flatnonzero(begin), np.flatnonzero(end) + 1
+        self.starts, self.ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
+        self.first = np.searchsorted(self.starts, self.offsets)  # n + 1 places
+        self.hashes = word_hashes(self.bytes, self.starts, self.ends)
+
+    def __len__(self) -> int:
+        return len(self.starts)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
