@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -14,8 +13,6 @@ from pyspark.sql import DataFrame
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-#: Words of more symbols are merged with a heap: the rounds would cost their length squared.
-LONG_WORD = 256
 #: Encoded words that a worker keeps.
 CACHE_WORDS = 300_000
 #: No piece holds a space mark after another character, so merges never leave such a run.
@@ -29,9 +26,16 @@ class PieceCoder:
     """Encodes and decodes as the library does with an identity-normalised BPE model.
 
     The text gets a space mark in front, its spaces become marks, and symbols start as single
-    characters. In each round every word merges its leftmost pair of the best score, all words
-    at once; rounds end when no word has a pair whose union is a piece. Characters that are no
-    piece become their UTF-8 bytes.
+    characters. In each round a pair is merged if it is the best, and of equals the leftmost,
+    within reach to either side in its word, all words at once; rounds end when no word has a pair
+    whose union is a piece. Characters that are no piece become their UTF-8 bytes.
+
+    The library merges a word's best pair, one at a time. Merging all pairs that are best within
+    reach gives the same: a merge from outside can only pass inwards through the one symbol that
+    stands on the border, which has at most as many characters as the longest piece; what follows
+    from a merge inside stays within another such length of it. With a reach of twice that length
+    and one, neither meets the other before the library would come to the inner pair, so their
+    order does not matter. A word within reach of itself has one merge a round.
     """
 
     def __init__(self, model_file: str):
@@ -63,7 +67,7 @@ class PieceCoder:
                 a, b = self._symbol(name[:k]), self._symbol(name[k:])
                 if a is not None and b is not None:
                     pairs[(a << 32) | b] = (rank[i], i)
-        self.pair_map = pairs
+        self.reach = 2 * max(map(len, self.ids), default=1) + 1
         keys = np.fromiter(pairs, np.int64, len(pairs))
         at = np.argsort(keys)
         self.keys = keys[at]
@@ -92,6 +96,16 @@ class PieceCoder:
         symbols = np.fromiter((self._symbol(chr(c)) for c in chars), np.int64, len(chars))[where]
         word = np.repeat(np.arange(len(words)), sizes)
         done_symbols, done_words = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for wide in (False, True):  # words within reach of themselves, and longer ones
+            mine = np.repeat((sizes > 2 * self.reach) == wide, sizes)
+            for s, w in self._rounds(symbols[mine], word[mine], wide):
+                done_symbols.append(s)
+                done_words.append(w)
+        symbols, word = np.concatenate(done_symbols), np.concatenate(done_words)
+        return symbols[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
+
+    def _rounds(self, symbols: np.ndarray, word: np.ndarray, wide: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Merge until no word has a pair, and yield symbols and words as words are done."""
         rank, made = self._pairs(symbols, word)
         while len(symbols):
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
@@ -100,14 +114,16 @@ class PieceCoder:
             final = best == NO_RANK
             if final.any():  # words without a pair leave the array
                 stay = ~np.repeat(final, spans)
-                done_symbols.append(symbols[~stay])
-                done_words.append(word[~stay])
+                yield symbols[~stay], word[~stay]
                 symbols, word, rank, made = symbols[stay], word[stay], rank[stay], made[stay]
                 best, spans = best[~final], spans[~final]
                 if not len(symbols):
                     break
-            hits = np.flatnonzero(rank == np.repeat(best, spans))
-            left = hits[np.r_[True, word[hits[1:]] != word[hits[:-1]]]]  # the leftmost in each word
+            if wide:
+                left = self._best_in_reach(symbols, word, rank, made)
+            else:
+                hits = np.flatnonzero(rank == np.repeat(best, spans))
+                left = hits[np.r_[True, word[hits[1:]] != word[hits[:-1]]]]  # the leftmost in each word
             symbols[left] = made[left]
             keep = np.ones(len(symbols), bool)
             keep[left + 1] = False
@@ -115,8 +131,35 @@ class PieceCoder:
             symbols, word, rank, made = symbols[keep], word[keep], rank[keep], made[keep]
             fix = np.r_[moved, np.maximum(moved - 1, 0)]
             rank[fix], made[fix] = self._pairs(symbols, word, fix)
-        symbols, word = np.concatenate(done_symbols), np.concatenate(done_words)
-        return symbols[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
+
+    def _best_in_reach(self, symbols: np.ndarray, word: np.ndarray, rank: np.ndarray, made: np.ndarray) -> np.ndarray:
+        """Places of pairs that no pair within reach beats, and that no equal pair before them changes.
+
+        Of equal pairs within reach the first is always merged. One after it is merged with it if
+        all equal ones before it are calm: their merges make no pair as good as themselves, so the
+        library would go on to the next equal pair. Words stand side by side; a better pair of a
+        neighbour may make a pair wait a round more, but the best pair of the array never waits.
+        """
+        n = len(rank)
+        before, after = _least_around(rank, min(self.reach, n))
+        on = (rank <= before) & (rank <= after) & (rank != NO_RANK)
+        begin = np.flatnonzero(on & ~np.r_[False, on[:-1]])
+        hits = np.flatnonzero(on)
+        hits = hits[(hits - begin[np.searchsorted(begin, hits, "right") - 1]) % 2 == 0]  # of overlapping pairs every other one
+        head = rank[hits] < before[hits]
+        if head.all():
+            return hits
+        new, own = made[hits], rank[hits]
+        joined = np.r_[False, hits[1:] == hits[:-1] + 2]
+        left = np.where(joined, np.r_[0, new[:-1]], symbols[np.maximum(hits - 1, 0)])
+        right = np.minimum(hits + 2, n - 1)
+        calm = (self._rank(left, new)[0] > own) | (word[np.maximum(hits - 1, 0)] != word[hits]) | (hits == 0)
+        calm &= (self._rank(new, symbols[right])[0] > own) | (word[right] != word[hits]) | (hits + 2 >= n)
+        # an equal pair before it that itself waits for a better one keeps it waiting too
+        waits = ~head & (_least_around(np.where(on, NO_RANK, rank), min(self.reach, n))[0][hits] <= own)
+        stops = np.cumsum(~calm) - ~calm + np.cumsum(waits)
+        first = np.maximum.accumulate(np.where(head, np.arange(len(hits)), 0))
+        return hits[head | (stops == stops[first])]
 
     def _pairs(self, symbols: np.ndarray, word: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Rank and result of the pair that starts at each place; none over a word's end."""
@@ -126,30 +169,6 @@ class PieceCoder:
         inside = (at + 1 < len(symbols)) & (word[at] == word[nxt])
         return np.where(inside, rank, NO_RANK), made
 
-    def merge_long(self, word: str) -> np.ndarray:
-        """One long word by a heap of (rank, place): the same merges in length times log length."""
-        s = [self._symbol(c) for c in word]
-        n = len(s)
-        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        get, heap = self.pair_map.get, []
-        for i in range(n - 1):
-            if (p := get((s[i] << 32) | s[i + 1])) is not None:
-                heap.append((p[0], i, s[i], s[i + 1], p[1]))
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b, made = heapq.heappop(heap)
-            j = nxt[i]
-            if s[i] != a or j >= n or s[j] != b:
-                continue
-            s[i], s[j], nxt[i] = made, -1, nxt[j]
-            if nxt[j] < n:
-                prv[nxt[j]] = i
-            for left in (prv[i], i):
-                right = nxt[left] if left >= 0 else n
-                if right < n and (p := get((s[left] << 32) | s[right])) is not None:
-                    heapq.heappush(heap, (p[0], left, s[left], s[right], p[1]))
-        return np.array([x for x in s if x >= 0], np.int64)
-
     def _to_ids(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words' symbols: characters that are no piece turn into their UTF-8 bytes' ids."""
         odd = np.flatnonzero(symbols >= self.char_base)
@@ -189,14 +208,7 @@ class PieceCoder:
         if not new:
             return
         whole = [w if w[0] in MARKED else SPACE + w for w in new]
-        long = [k for k, w in enumerate(whole) if len(w) > LONG_WORD]
-        for k in long:
-            ids, size = self._to_ids(merged := self.merge_long(whole[k]), np.array([len(merged)]))
-            self._store([new[k]], ids, size)
-        skip = set(long)
-        short = [k for k in range(len(new)) if k not in skip] if skip else range(len(new))
-        if len(short):
-            self._store([new[k] for k in short], *self._to_ids(*self.merge_words([whole[k] for k in short])))
+        self._store(new, *self._to_ids(*self.merge_words(whole)))
 
     def _store(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
         self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
@@ -227,6 +239,18 @@ class PieceCoder:
         return text[1:] if first is not None and self.bytes_of[first].startswith(b" ") and text.startswith(" ") else text
 
 
+def _least_around(rank: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least of the reach ranks before each place, and of those after it."""
+    n, width = len(rank), 1
+    padded = low = np.r_[np.full(reach, NO_RANK), rank, np.full(reach, NO_RANK)]
+    while 2 * width <= reach:  # least of width ranks from each place on
+        low = np.minimum(low[:-width], low[width:])
+        width *= 2
+    m = len(padded) - reach + 1
+    low = np.minimum(low[:m], low[reach - width:reach - width + m])
+    return low[:n], low[reach + 1:reach + 1 + n]
+
+
 @lru_cache(maxsize=2)
 def coder(model_file: str) -> PieceCoder:
     return PieceCoder(model_file)
@@ -272,7 +296,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
 def op5(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document's whole text.
 
-    Null texts count as empty: begin and end ids only. Nothing is shuffled; each row depends on
+    Null and empty texts have begin and end ids only. Empty in, empty out; other columns are not read. Nothing is shuffled; each row depends on
     its own text, so repeated rows and ties give equal rows, and a lost task is simply rerun.
     """
 

@@ -321,6 +321,32 @@ def test_pieces_match_the_library(spark):
     assert pieces.op5(rows.limit(0)).count() == 0
 
 
+def test_long_words_match_the_library():
+    """Words far beyond reach, of all kinds: the same ids as the library's one merge at a time."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    c = pieces.PieceCoder(pieces.model_path())
+    rng = random.Random(7)
+    english = "thequickbrownfoxjumpsoverthelazydoginternationalizationtheretheatinge"
+    kinds = ["abcdefghijklmnopqrstuvwxyz", "etaoinshr", "ab", "the", "aeiou人間①é", english, "ACGT", "0123456789abcdef", "-=*/"]
+    texts = ["".join(rng.choice(k) for _ in range(n)) for k in kinds for n in (60, 66, 67, 68, 130, 300, 2500)]
+    texts += ["a" * n for n in (66, 67, 68, 1000, 5001)] + [("the" * 700), " " * 900 + "x" + " " * 70, english * 40, "▁" * 333]
+    texts += ["".join(rng.choice(["the", "ing", "tion", "ther", "ation", "x", "str", "ere"]) for _ in range(800)) for _ in range(20)]
+    for t, ids in zip(texts, c.encode_batch(texts)):
+        assert ids.tolist() == sp.encode(t, add_bos=True, add_eos=True), t[:40]
+
+
+def test_word_hashes_depend_on_the_word_alone():
+    from quillon.llm.words import Words
+    import pyarrow as pa
+
+    words = ["a", "ab", "a\0", "\0", "abcdefgh", "abcdefghi", "abcdefgh\0", "x" * 64, "x" * 65, "x" * 66, "é" * 40, "b" * 16, "b" * 17, "b" * 63]
+    a, b = Words(pa.array([" ".join(words)])), Words(pa.array([f"zz {w}\n" for w in words]))
+    for k in (0, 1):
+        assert len(set(a.hashes[k].tolist())) == len(words) and a.hashes[k].tolist() == b.hashes[k][1::2].tolist()
+
+
 def test_piece_cache_restarts(monkeypatch):
     monkeypatch.setattr(pieces, "CACHE_WORDS", 5)
     c = pieces.PieceCoder(pieces.model_path())
