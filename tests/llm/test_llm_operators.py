@@ -273,12 +273,13 @@ def test_threshold_search_stops_early():
     x = np.rint(rng.normal(size=(3000, 3)) * 1000)  # few dimensions: the bound bites
     lists = vectors.SortedLists(np.arange(3000), x)
     q = np.array([900.0, -700.0, 3.0])
-    ids, scores = lists.top(q, -1, 5)
+    ids, scores, read = lists.top(q, -1, 5)
+    assert read < 1500
     order = np.lexsort((np.arange(3000), -(x @ q)))[:5]
     assert ids.tolist() == order.tolist() and scores.tolist() == (x @ q)[order].tolist()
 
 
-@pytest.mark.parametrize("limits", [None, (40, 30, 50)])
+@pytest.mark.parametrize("limits", [None, (40, 30, 50), (8, 100, 70), (10_000, 400, 400)])
 def test_near_vectors(embeddings, limits, monkeypatch):
     if limits:
         monkeypatch.setattr(vectors, "CELL_ROWS", limits[0])
@@ -631,3 +632,38 @@ def test_toxicity_sample_has_a_row_an_id(spark):
     docs = spark.range(5000).select(F.lit(KNOWN).cast("long").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
     labels = spark.createDataFrame([(KNOWN, 1, 1), (KNOWN + 1, 1, 0)], "doc_id long, quality int, toxic int")
     assert listed(toxicity.training_sample(docs, labels, 10), "_toxic", "text") == [(1, "t0")]
+
+
+def test_threshold_search_reads_few_rows_of_one_direction(spark):
+    """Vectors along one direction: the bound ends the search, whatever the block's size."""
+    rows = [(i, [float(i % 977), 0.01 * (i % 7), -0.02 * (i % 5)]) for i in range(3000)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for block in (4096, 500):
+        got = vectors.top_k(v, v.where("vec_id = 976"), k=3, block_rows=block, reads=True).collect()
+        score = lambda i: sum(int(np.floor(1024 * a)) * int(np.floor(1024 * b)) for a, b in zip(rows[976][1], rows[i][1]))
+        want = sorted(((-score(i), i) for i in range(3000) if i != 976))[:3]
+        assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
+        assert all(r.rows_read < 1500 for r in got)
+
+
+def test_top_k_of_repeated_queries(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (100, [0.0, 1.0]), (100, [1.0, 1.0])] + [(i, [i / 64, 1.0]) for i in range(1, 15)]
+    got = defaultdict(list)
+    for r in vectors.op4(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got[r.query_id].append((r["rank"], r.vec_id))
+    top = [100] + list(range(14, 5, -1))
+    assert sorted(got[0]) == sorted(2 * [(k + 1, i) for k, i in enumerate(top)])
+    assert len(got[100]) == 20 and not any(i == 100 for _, i in got[100])
+
+
+def test_near_vectors_of_one_id(spark):
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (7, [0.0, 1.0]), (9, [1.0, 0.1])]
+    got = vectors.op6(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert sorted(listed(got, "vec_id", "n_links", "component_id")) == [(5, 1, 5), (5, 1, 5), (7, 1, 5), (9, 1, 5)]
+
+
+def test_near_vectors_at_the_limit(spark):
+    """3-4-5 triangles: a cosine of exactly 0.8 links at 0.8, and its neighbour below does not."""
+    rows = [(1, [1.0, 0.0]), (2, [4.0, 3.0]), (3, [3.999, 3.001]), (4, [-1.0, 0.0])]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cosine=0.8)
+    assert sorted(listed(got, "vec_id", "n_links")) == [(1, 1), (2, 2), (3, 1), (4, 0)]
