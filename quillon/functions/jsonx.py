@@ -11,29 +11,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType
 
-FENCE = re.compile(r"```(?:json)?\s*(.*?)```", re.S | re.I)
+FENCE = re.compile(r"^```[a-zA-Z]*\s*(.*?)\s*```$", re.S)
 LANGUAGES = ("en", "bn", "banglish", "mixed", "other")
 CURRENCY_NAMES = ("BDT", "USD", "other", "unstated")
 
 
 def first_object(text: str | None) -> str | None:
-    """The first JSON object in a text: the whole, a fenced part, or the first balanced braces."""
-    if not text:
-        return None
-    fenced = FENCE.search(text)
-    for part in (text, fenced.group(1) if fenced else None):
+    """The JSON of a text: the whole of it, or of its one fence, else its first balanced braces.
+
+    Braces are counted wherever they stand. If the first balanced part is no JSON there is none: later
+    parts are not tried.
+    """
+    body = (text or "").strip()
+    fenced = FENCE.match(body)
+    body = fenced.group(1).strip() if fenced else body
+    start, depth, parts = body.find("{"), 0, [body]
+    for m in re.finditer(r"[{}]", body[start:]) if start >= 0 else ():
+        depth += 1 if m.group() == "{" else -1
+        if depth == 0:
+            parts.append(body[start:start + m.end()])
+            break
+    for part in parts:
         try:
-            if part and isinstance(json.loads(part), dict):
-                return json.dumps(json.loads(part), ensure_ascii=False)
+            return json.dumps(json.loads(part), ensure_ascii=False)
         except ValueError:
-            pass
-    decoder, at = json.JSONDecoder(), text.find("{")
-    while at >= 0:
-        try:
-            got, _ = decoder.raw_decode(text, at)
-            return json.dumps(got, ensure_ascii=False)
-        except ValueError:
-            at = text.find("{", at + 1)
+            continue
     return None
 
 

@@ -16,6 +16,10 @@ SCRIPT_HIGH, SCRIPT_LOW = 0.60, 0.20
 LOOP_REPEATS, LOOP_PERIOD, LOOP_SPAN, BAD_SHARE = 5, 60, 20, 0.10
 BENGALI = "\\u0980-\\u09FF"
 LATIN = "A-Za-z"
+#: White space of any script, brackets with what they hold, and marks that may stand before a word.
+BLANK = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
+BRACKETS = r"\([^)]*\)|\[[^\]]*\]|（[^）]*）"
+LEADING = "[\"'“‘(«\\[*–—•·-]*"
 
 
 def fold_text(s: str | None) -> str | None:
@@ -34,12 +38,6 @@ def fold(s: pd.Series) -> pd.Series:
     return s.map(fold_text, na_action="ignore")
 
 
-@pandas_udf(StringType())
-def fold_place(s: pd.Series) -> pd.Series:
-    """Canonical composition and case folding only."""
-    return s.map(lambda x: unicodedata.normalize("NFC", x).casefold(), na_action="ignore")
-
-
 def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
@@ -51,17 +49,21 @@ def script_ratio(text: Column, script: str = BENGALI, other: str = LATIN) -> Col
 
 
 def script_ratio_words(text: Column, script: str = BENGALI, other: str = LATIN) -> Column:
-    """Words with a character of the script among words with one of either."""
-    a = _count(text, f"(?<!\\S)(?=\\S*[{script}])\\S+")
-    b = _count(text, f"(?<!\\S)(?!\\S*[{script}])(?=\\S*[{other}])\\S+")
-    return F.when(a + b > 0, a / (a + b)).otherwise(0.0)
+    """Words of which the script has at least half of the letters, among words with a letter of either; 0 without."""
+    words = F.filter(F.split(text, f"{BLANK}+"), lambda w: w.rlike(f"[{script}{other}]"))
+    mine = F.filter(words, lambda w: _count(w, f"[{script}]") >= _count(w, f"[{other}]"))
+    return F.when(F.size(words) > 0, F.size(mine) / F.size(words)).otherwise(0.0)
 
 
 def prose_ratio(text: Column, script: str = BENGALI, other: str = LATIN) -> Column:
-    """script_ratio without brackets, tokens with digits and capitalised Latin tokens; of the whole text if nothing is left."""
-    bare = F.regexp_replace(text, r"\([^()]*\)", " ")
-    kept = F.filter(F.split(bare, r"\s+"), lambda w: ~w.rlike(r"(?U)\d") & ~w.rlike(r"^[^\p{L}]*[A-Z]"))
-    prose = F.array_join(kept, " ")
+    """script_ratio without bracketed parts, words with digits, and Latin words that begin with a capital.
+
+    Capitalised Latin words are names; marks before the first letter do not hide it. If no letter is
+    left, the ratio is that of the whole text.
+    """
+    words = F.split(F.regexp_replace(text, BRACKETS, " "), f"{BLANK}+")
+    name = lambda w: ~w.rlike(f"[{script}]") & w.rlike(f"[{other}]") & w.rlike(rf"^{LEADING}\p{{Lu}}")
+    prose = F.array_join(F.filter(words, lambda w: (w != "") & ~w.rlike(r"\p{Nd}") & ~name(w)), " ")
     return F.when(prose.rlike(f"[{script}{other}]"), script_ratio(prose, script, other)).otherwise(script_ratio(text, script, other))
 
 
@@ -69,24 +71,22 @@ def script_class(ratio: Column) -> Column:
     return F.when(ratio >= SCRIPT_HIGH, "bn").when(ratio <= SCRIPT_LOW, "latin").otherwise("mixed")
 
 
-def degenerate_reason(s: str | None) -> str | None:
-    """empty, bad_characters or loop, else None."""
-    body = (s or "").strip()
-    if not body:
-        return "empty"
-    bad = sum(c == "�" or (unicodedata.category(c) == "Cc" and c not in "\n\r\t") for c in body)
-    if bad > BAD_SHARE * len(body):
-        return "bad_characters"
-    for period in range(1, min(LOOP_PERIOD, len(body) // LOOP_REPEATS) + 1):
-        span = max(LOOP_REPEATS * period, LOOP_SPAN)
-        if span <= len(body) and body[-span:-period] == body[-span + period:]:
-            return "loop"
-    return None
+def degenerate(text: Column) -> Column:
+    """empty, unreadable_chars or loop:period<p>x<n> (a unit that ends the text n times or more), else null.
 
-
-@pandas_udf(StringType())
-def degenerate(s: pd.Series) -> pd.Series:
-    return s.map(degenerate_reason)
+    A unit of p characters, not all blank, must repeat to the text's end at least LOOP_REPEATS times
+    and over LOOP_SPAN characters, white space being one space. The shortest unit is named.
+    """
+    body = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{BLANK}+|{BLANK}+$", "")
+    bad = _count(body, r"[\uFFFD[\p{Cc}&&[^\n\r\t]]]")
+    flat = F.trim(F.regexp_replace(body, f"{BLANK}+", " "))
+    loops = []
+    for period in range(1, LOOP_PERIOD + 1):
+        times = max(LOOP_REPEATS, -(-LOOP_SPAN // period))
+        unit = F.right(flat, F.lit(period))
+        same = (F.length(flat) >= period * times) & (F.trim(unit) != "") & (F.right(flat, F.lit(period * times)) == F.repeat(unit, times))
+        loops.append(F.when(same, F.lit(f"loop:period{period}x{times}")))
+    return F.when(body == "", "empty").when(bad > BAD_SHARE * F.length(body), "unreadable_chars").otherwise(F.coalesce(*loops))
 
 
 def first_rule(text: Column, rules: list[tuple[str, str]]) -> Column:
@@ -100,12 +100,12 @@ def persona(text: Column, vendors: list[tuple[str, str]], generic: str) -> Colum
 
 
 # Spellings of currencies after lower-casing.
-CURRENCIES = {"BDT": ("bdt", "tk", "tk.", "taka", "৳", "টাকা"), "USD": ("usd", "$", "us$", "dollar", "dollars"), "unstated": ("", "unstated", "none", "?")}
+CURRENCIES = {"BDT": ("bdt", "taka", "tk", "৳", "টাকা"), "USD": ("usd", "dollar", "dollars"), "other": ("other",), "unstated": ("unstated",)}
 
 
 def fold_currency(token: Column) -> Column:
-    """BDT, USD, unstated; other for any other word; null for what is no currency word."""
-    t = F.lower(F.trim(F.coalesce(token, F.lit(""))))
+    """BDT, USD, unstated or other, which is any other word of letters; null for anything else."""
+    t = F.lower(F.trim(token))
     known = None
     for name, spellings in CURRENCIES.items():
         known = F.when(t.isin(*spellings), name) if known is None else known.when(t.isin(*spellings), name)
@@ -113,10 +113,11 @@ def fold_currency(token: Column) -> Column:
 
 
 def price(line: Column) -> Column:
-    """struct(amount, currency) of a line like '38,000 BDT'; null without a number."""
-    number = F.regexp_extract(line, r"([0-9][0-9,]*(?:\.[0-9]+)?)", 1)
-    unit = F.trim(F.regexp_replace(line, r"[0-9][0-9,]*(?:\.[0-9]+)?", ""))
-    return F.when(number != "", F.struct(F.regexp_replace(number, ",", "").cast("double").alias("amount"), fold_currency(unit).alias("currency")))
+    """struct(amount, currency) of a line like '38000 BDT': a number, blanks and one currency word; null for any other line."""
+    form = r"^([0-9]+(?:\.[0-9]+)?)\s+(\S{1,14})$"
+    number, unit = (F.regexp_extract(F.trim(line), form, k) for k in (1, 2))
+    currency = F.when(number != "", fold_currency(unit))
+    return F.when(currency.isNotNull(), F.struct(number.cast("double").alias("amount"), currency.alias("currency")))
 
 
 def lines(text: Column) -> Column:
@@ -159,15 +160,50 @@ def alias_pattern(alias: str) -> str:
     return f"(?i)(?<![A-Za-z0-9]){body}(?:'s|s)?(?![A-Za-z0-9])"
 
 
+def target(arm: Column) -> Column:
+    """The language an arm asks for."""
+    return F.when(arm.isin("en", "bn"), arm).otherwise("banglish")
+
+
 def conformity(arm: Column, script: Column) -> Column:
-    """conform, deviates or mixed: whether an answer's script is that of its arm."""
-    wanted = F.when(arm == "bn", "bn").otherwise("latin")
-    return F.when(script == "mixed", "mixed").when(script == wanted, "conform").otherwise("deviates")
+    """struct(language, pending, conforming) from the script alone.
+
+    The script decides between Bengali and Latin; which Latin language it is, and any mixed answer,
+    is pending until the extractor has spoken.
+    """
+    none = F.lit(None)
+    return (F.when(script == "bn", F.struct(F.lit("bn").alias("language"), F.lit(False).alias("pending"), (arm == "bn").alias("conforming")))
+            .when((script == "latin") & (arm == "bn"), F.struct(none.cast("string").alias("language"), F.lit(False).alias("pending"), F.lit(False).alias("conforming")))
+            .otherwise(F.struct(none.cast("string").alias("language"), F.lit(True).alias("pending"), none.cast("boolean").alias("conforming"))))
+
 
+def resolve_language(arm: Column, script: Column, extracted: Column) -> Column:
+    """struct(language, conforming, reason): the script's word on Bengali or Latin, else the extractor's.
 
-def answer_language(arm: Column, script: Column, extracted: Column) -> Column:
-    """struct(language, adjudicate): the extractor's word where the script allows it, else what the script says."""
-    agrees = ((extracted == "bn") & (script == "bn")) | (extracted.isin("en", "banglish") & (script == "latin")) | ((extracted == "mixed") & (script == "mixed"))
-    by_script = F.when(script == "bn", "bn").when(script == "latin", F.when(arm == "en", "en").otherwise("banglish")).otherwise("mixed")
-    return F.struct(F.when(F.coalesce(agrees, F.lit(False)), extracted).otherwise(by_script).alias("language"),
-                    F.when(extracted.isNull(), "missing").when(~agrees, "script_conflict").alias("adjudicate"))
+    reason is set where the two disagree on that boundary; conforming is null while undecided.
+    """
+    wanted, none = target(arm), F.lit(None)
+    out = lambda language, conforming, reason: F.struct(language.cast("string").alias("language"), conforming.cast("boolean").alias("conforming"), reason.cast("string").alias("reason"))
+    against = F.when(extracted != "bn", F.concat(F.lit("script=bn but extractor="), extracted))
+    no_bn = F.when(arm == "bn", F.lit(False))
+    return (F.when(script == "bn", out(F.lit("bn"), wanted == "bn", against))
+            .when((script == "latin") & (extracted == "bn"), out(F.lit("latin_unresolved"), no_bn, F.lit("script=latin but extractor=bn")))
+            .when((script == "latin") & extracted.isNull(), out(none, no_bn, none))
+            .when(script == "latin", out(extracted, F.when(arm == "bn", F.lit(False)).otherwise(extracted == wanted), none))
+            .when(extracted.isNull(), out(F.lit("mixed"), none, none))
+            .otherwise(out(extracted, extracted == wanted, none)))
+
+
+def outcome(degenerate_: Column, refusal: Column, extracted: Column, content: Column, pending: Column, arm: Column, script: Column, language: Column) -> Column:
+    """struct(outcome, hedged, language, reason) of an answer.
+
+    refusal: whether a refusal rule fired, null without rules; extracted: whether a valid extraction
+    exists; content: whether it names anything. A refusal that names something is hedged and keeps its code.
+    """
+    got = resolve_language(arm, script, language)
+    coded = F.when(got["conforming"].isNull(), "pending_adjudication").when(got["conforming"], "valid").otherwise("language_reversion")
+    code = (F.when(degenerate_, "degenerate").when(refusal.isNull(), "pending_refusal_rules").when(~extracted & (refusal | pending), "pending_extractor")
+            .when(refusal & ~content, "refusal"))
+    done = code.isNull()
+    return F.struct(F.coalesce(code, coded).alias("outcome"), F.coalesce(done & refusal, F.lit(False)).alias("hedged"),
+                    F.when(done, got["language"]).alias("language"), F.when(done, got["reason"]).alias("reason"))

@@ -66,43 +66,84 @@ def set_counts(lists: DataFrame, field: str = "names", cell: tuple[str, ...] = C
     return lists.groupBy(*cell, F.col(field).alias("s")).agg(F.count("*").cast("double").alias("c"))
 
 
-def within_similarity(sets: DataFrame, cell: tuple[str, ...] = CELL, sim=jaccard) -> DataFrame:
-    """(cell, n, within): mean similarity over pairs of answers i < j of a cell; null below two answers.
+#: Names that sets are written over as bits, 63 a column; with more names sets stay lists.
+MOST_NAMES, WORD = 1008, 63
 
-    Equal sets count by multiplicity: the sum over ordered pairs less the n answers with themselves.
+
+def encoded(sets: DataFrame, names: DataFrame) -> tuple[DataFrame, int]:
+    """sets with their members as bits b0, b1, ... over names (name), and how many such columns: 0 beyond MOST_NAMES.
+
+    A pair then costs a bit count of an and, not a search through lists.
     """
-    a = sets.select(*cell, F.col("s").alias("sa"), F.col("c").alias("ca"))
-    b = sets.select(*cell, F.col("s").alias("sb"), F.col("c").alias("cb"))
-    total = a.join(b, list(cell)).groupBy(*cell).agg(F.sum(F.col("ca") * F.col("cb") * sim(F.col("sa"), F.col("sb"))).alias("t"))
+    known = sorted(r[0] for r in names.select("name").distinct().limit(MOST_NAMES + 1).collect())
+    if len(known) > MOST_NAMES:
+        return sets, 0
+    words = -(-max(1, len(known)) // WORD)
+    for k in range(words):
+        mine = known[k * WORD:(k + 1) * WORD]
+        places = F.array(*map(F.lit, mine)) if mine else F.array().cast("array<string>")
+        bit = lambda acc, x: F.when(F.array_position(places, x) > 0, acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (F.array_position(places, x) - 1).cast("int")))).otherwise(acc)  # noqa: B023, E731
+        sets = sets.withColumn(f"b{k}", F.aggregate("s", F.lit(0).cast("long"), bit))
+    return sets, words
+
+
+def _sides(sets: DataFrame, words: int) -> tuple[list[Column], list[Column], Column]:
+    """A set's columns as the left and the right side of a pair, and the pair's Jaccard similarity."""
+    if not words:
+        left, right = ([F.col("s").alias(f"s{x}"), F.col("c").alias(f"c{x}")] for x in "xy")
+        return left, right, jaccard(F.col("sx"), F.col("sy"))
+    left, right = ([*[F.col(f"b{k}").alias(f"b{k}{x}") for k in range(words)], F.size("s").alias(f"n{x}"), F.col("c").alias(f"c{x}")] for x in "xy")
+    both = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"b{k}x").bitwiseAND(F.col(f"b{k}y"))) for k in range(words)])
+    total = F.col("nx") + F.col("ny") - both
+    return left, right, F.when(total > 0, both / total).otherwise(1.0)
+
+
+def within_similarity(sets: DataFrame, names: DataFrame, cell: tuple[str, ...] = CELL) -> DataFrame:
+    """(cell, n, t, within): mean Jaccard similarity over pairs of answers i < j of a cell; null below two answers.
+
+    t is the sum over all ordered pairs. Equal sets count by multiplicity, so t less the n answers
+    with themselves leaves the pairs.
+    """
+    sets, words = encoded(sets, names)
+    left, right, sim = _sides(sets, words)
+    total = sets.select(*cell, *left).join(sets.select(*cell, *right), list(cell)).groupBy(*cell).agg(F.sum(F.col("cx") * F.col("cy") * sim).alias("t"))
     n = sets.groupBy(*cell).agg(F.sum("c").alias("n"))
-    return n.join(total, list(cell)).select(*cell, "n", F.when(F.col("n") > 1, (F.col("t") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("within"))
+    return n.join(total, list(cell)).select(*cell, "n", "t", F.when(F.col("n") > 1, (F.col("t") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("within"))
+
+
+def between_similarity(sets: DataFrame, contrasts: tuple[tuple[str, str], ...], names: DataFrame) -> DataFrame:
+    """(model, query, contrast, between): mean Jaccard similarity over all pairs of answers of two arms.
+
+    A set is sent once for each contrast that it is the first side of, to its partner arm only.
+    """
+    sets, words = encoded(sets, names)
+    left, right, sim = _sides(sets, words)
+    partner = F.explode(F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("other"), F.lit(f"{a}-{b}").alias("contrast")) for a, b in contrasts])).alias("w")
+    first = sets.select("model", "query", "arm", *left, partner).where("arm = w.first").select("model", "query", "w.contrast", F.col("w.other").alias("arm"), *_left_names(words))
+    pairs = first.join(sets.select("model", "query", "arm", *right), ["model", "query", "arm"])
+    return pairs.groupBy("model", "query", "contrast").agg((F.sum(F.col("cx") * F.col("cy") * sim) / F.sum(F.col("cx") * F.col("cy"))).alias("between"))
 
 
-def between_similarity(sets: DataFrame, contrasts: tuple[tuple[str, str], ...], sim=jaccard) -> DataFrame:
-    """(model, query, contrast, between): mean similarity over all pairs of answers of two arms."""
-    wanted = [((F.col("arm") == a) & (F.col("arm_b") == b), f"{a}-{b}") for a, b in contrasts]
-    other = sets.select("model", "query", F.col("arm").alias("arm_b"), F.col("s").alias("sb"), F.col("c").alias("cb"))
-    pairs = sets.join(other, ["model", "query"]).withColumn("contrast", F.coalesce(*[F.when(w, F.lit(n)) for w, n in wanted])).where("contrast is not null")
-    return pairs.groupBy("model", "query", "contrast").agg((F.sum(F.col("c") * F.col("cb") * sim(F.col("s"), F.col("sb"))) / F.sum(F.col("c") * F.col("cb"))).alias("between"))
+def _left_names(words: int) -> list[str]:
+    return [*[f"b{k}x" for k in range(words)], "nx", "cx"] if words else ["sx", "cx"]
 
 
-def excess_divergence(sets: DataFrame, contrasts: tuple[tuple[str, str], ...], sim=jaccard) -> DataFrame:
+def excess_divergence(sets: DataFrame, contrasts: tuple[tuple[str, str], ...], names: DataFrame) -> DataFrame:
     """(model, query, contrast, d): divergence between two arms less the mean divergence within them.
 
     Units with an arm of fewer than two answers are undefined and have no row.
     """
-    within = within_similarity(sets, sim=sim).where("within is not null").select("model", "query", "arm", "within")
-    between = between_similarity(sets, contrasts, sim)
+    within = within_similarity(sets, names).where("within is not null").select("model", "query", "arm", "within")
+    between = between_similarity(sets, contrasts, names)
     first, second = F.substring_index("contrast", "-", 1), F.substring_index("contrast", "-", -1)
     both = between.withColumn("arm", first).join(within, ["model", "query", "arm"]).withColumnRenamed("within", "wa").withColumn("arm", second).join(within, ["model", "query", "arm"])
     return both.select("model", "query", "contrast", ((1 - F.col("between")) - ((1 - F.col("wa")) + (1 - F.col("within"))) / 2).alias("d"))
 
 
-def kernel_distance(sets: DataFrame, contrasts: tuple[tuple[str, str], ...], sim=jaccard) -> DataFrame:
-    """Squared maximum mean discrepancy of two arms' sets under a similarity kernel, draws with replacement."""
-    same = sets.join(sets.select(*CELL, F.col("s").alias("sb"), F.col("c").alias("cb")), list(CELL)).groupBy(*CELL).agg(
-        (F.sum(F.col("c") * F.col("cb") * sim(F.col("s"), F.col("sb"))) / F.sum(F.col("c") * F.col("cb"))).alias("k"))
-    between = between_similarity(sets, contrasts, sim)
+def kernel_distance(sets: DataFrame, contrasts: tuple[tuple[str, str], ...], names: DataFrame) -> DataFrame:
+    """Squared maximum mean discrepancy of two arms' sets under a Jaccard kernel, draws with replacement."""
+    same = within_similarity(sets, names).select(*CELL, (F.col("t") / (F.col("n") * F.col("n"))).alias("k"))
+    between = between_similarity(sets, contrasts, names)
     both = (between.withColumn("arm", F.substring_index("contrast", "-", 1)).join(same, ["model", "query", "arm"]).withColumnRenamed("k", "ka")
             .withColumn("arm", F.substring_index("contrast", "-", -1)).join(same, ["model", "query", "arm"]))
     return both.select("model", "query", "contrast", (F.col("ka") + F.col("k") - 2 * F.col("between")).alias("mmd2"))

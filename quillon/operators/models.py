@@ -198,7 +198,7 @@ def paired_tests(differences: DataFrame, group: tuple[str, ...] = ("model", "con
 
     def run(key: tuple, data: pd.DataFrame) -> pd.DataFrame:
         d = data.sort_values("query")["d"].tolist()
-        got = signed_rank(d) or (None, None, 0)
+        got = signed_rank(d) or (None, 1.0 if d else None, 0)  # differences that are all zero speak for no effect
         return pd.DataFrame([(*map(str, key), got[2], got[0], got[1], sign_flip(d, draws))], columns=[c.split()[0] for c in ddl.split(", ")])
 
     return differences.groupBy(*group).applyInPandas(run, ddl)
@@ -249,7 +249,8 @@ def alternative_annotator(scores: DataFrame, margin: float = 0.15, q: float = 0.
 
     For each rater: the share of items on which it is at least as good as the machine less the
     machine's share, tested below the margin (one-sided t); rejections by Benjamini-Yekutieli.
-    The moments are summed by Spark; a handful of rows is left for the t distribution.
+    Raters with fewer than least items take no part: no p, no rejection, no place in the winning
+    rate. The moments are summed by Spark; a handful of rows is left for the t distribution.
     """
     wf, wh = (F.col("machine") >= F.col("human")).cast("double"), (F.col("human") >= F.col("machine")).cast("double")
     d = wh - wf
@@ -260,16 +261,14 @@ def alternative_annotator(scores: DataFrame, margin: float = 0.15, q: float = 0.
         p = []
         for n, mean, sd in zip(data["n"], data["mean"], data["sd"]):
             if n < least:
-                p.append(1.0)
+                p.append(None)
             elif not sd > 0:
                 p.append(float(mean >= margin))
             else:
                 p.append(t_cdf((mean - margin) / (sd / math.sqrt(n)), n - 1))
-        rejected = by_rejects(p, q)
-        return data.assign(p=p, rejected=rejected, winning_rate=sum(rejected) / len(p))[["rater", "n", "mean", "advantage", "p", "rejected", "winning_rate"]]
+        tested = [x for x in p if x is not None]
+        won = iter(by_rejects(tested, q))
+        rejected = [x is not None and bool(next(won)) for x in p]
+        return data.assign(p=pd.array(p, "Float64"), rejected=rejected, winning_rate=sum(rejected) / len(tested) if tested else None)[["rater", "n", "mean", "advantage", "p", "rejected", "winning_rate"]]
 
     return m.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(run, "rater string, n long, mean double, advantage double, p double, rejected boolean, winning_rate double")
-
-
-def wald_interval(estimate: float, se: float) -> tuple[float, float]:
-    return estimate - Z95 * se, estimate + Z95 * se

@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Latin letters with marks, and the letters below the marks.
+ACCENTED, PLAIN = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+
 EXCLUDED = "__not_a_brand__"
 #: Rows added by decisions come after all rows of the table.
 NEW_ORDINAL = 2 ** 31 - 1
 
 
 def simple_fold(s: Column) -> Column:
-    """Lower case, single blanks, no final bracket: the part of folding that SQL engines share."""
+    """Decomposed and without combining marks where every engine agrees (accents of Latin letters), in lower
+    case, without a final bracket, single blanks. text.fold is the full Unicode folding of the same form.
+    """
+    s = F.translate(s, ACCENTED, PLAIN)
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(s), r"\s*\([^()]*\)\s*$", ""), r"\s+", " "))
 
 

@@ -35,6 +35,11 @@ class View:
     def mentions(self) -> DataFrame:
         return study.mentions(self.spark, self.dir)
 
+    @property
+    def names(self) -> DataFrame:
+        """Every name that an answer can mention: the brands of the part table."""
+        return self.table("part").select(F.col("p_brand").alias("name")).distinct()
+
     @property
     def classes(self) -> DataFrame:
         return study.name_classes(self.spark, self.dir)
@@ -217,11 +222,15 @@ def drift(v: View) -> DataFrame:
     return ledger.drift(v.answers, "query", "outcome")
 
 
-@query("a16_string_relation", """with n as (select distinct s_name, upper(replace(s_name, '#', '-')) || case when s_suppkey % 3 = 0 then '-preview' else '' end as back, s_suppkey from supplier)
-select s_suppkey, case when s_suppkey % 3 = 0 then 'subset' else 'equal' end as relation from n""")
+_RETURNED = "case s_suppkey % 5 when 0 then upper(s_name) when 1 then concat(s_name, '-preview') when 2 then 'supplier' when 3 then concat('Supplier-', s_suppkey, '-x') else 'gpt-x' end"
+
+
+@query("a16_string_relation", f"""with n as (select s_suppkey, list_distinct(list_filter(regexp_split_to_array(lower(s_name), '[^a-z0-9]+'), lambda x: x <> '')) as a,
+  list_distinct(list_filter(regexp_split_to_array(lower({_RETURNED}), '[^a-z0-9]+'), lambda x: x <> '')) as b from supplier), c as (select *, len(list_intersect(a, b)) as k from n)
+select s_suppkey, case when k = len(a) and k = len(b) then 'equal' when k = len(a) then 'subset' when k = len(b) then 'superset' when k > 0 then 'overlap' else 'disjoint' end as relation from c""", with_study=False)
 def string_relation(v: View) -> DataFrame:
-    back = F.concat(F.upper(F.replace("s_name", F.lit("#"), F.lit("-"))), F.when(F.col("s_suppkey") % 3 == 0, "-preview").otherwise(""))
-    return v.table("supplier").select("s_suppkey", ledger.string_relation(F.col("s_name"), back).alias("relation"))
+    """A model name as asked and as returned, by their parts; the returned ones are made from the key."""
+    return v.table("supplier").select("s_suppkey", ledger.string_relation(F.col("s_name"), F.expr(_RETURNED)).alias("relation"))
 
 
 @query("a17_latency_quantiles", """select event_type, count(*) as calls, round(avg(value), 6) as mean, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.9), 6) as p90, round(quantile_cont(value, 0.99), 6) as p99
@@ -422,20 +431,20 @@ _BETWEEN = f"""be as (select a.model, a.query, a.arm || '-' || b.arm as contrast
 
 @query("m1_within_jaccard", f"with {_SETCOUNT}, {_WITHIN} select model, query, arm, n, round(within, 6) as within from wi")
 def within(v: View) -> DataFrame:
-    return rounded(estimate.within_similarity(estimate.set_counts(v.lists)), "within")
+    return rounded(estimate.within_similarity(estimate.set_counts(v.lists), v.names).drop("t"), "within")
 
 
 @query("m6_excess_divergence", f"""with {_SETCOUNT}, {_WITHIN}, {_BETWEEN}, ex as (select be.model, be.query, contrast, (1 - between_) - ((1 - x.within) + (1 - y.within)) / 2 as d from be
 join wi x on be.model = x.model and be.query = x.query and aa = x.arm and x.within is not null join wi y on be.model = y.model and be.query = y.query and ab = y.arm and y.within is not null)
 select model, contrast, round(avg(d), 6) as estimate, count(*) as n from ex group by all""")
 def excess(v: View) -> DataFrame:
-    return rounded(estimate.contrast_means(estimate.excess_divergence(estimate.set_counts(v.lists), CONTRASTS)), "estimate")
+    return rounded(estimate.contrast_means(estimate.excess_divergence(estimate.set_counts(v.lists), CONTRASTS, v.names)), "estimate")
 
 
 @query("m7_kernel_distance", f"""with {_SETCOUNT}, {_BETWEEN}, k as (select a.model, a.query, a.arm, sum(a.c * b.c * {JAC.format(a='a.s', b='b.s')}) / sum(a.c * b.c) as k from sc a join sc b using (model, query, arm) group by all)
 select be.model, be.query, contrast, round(x.k + y.k - 2 * between_, 6) as mmd2 from be join k x on be.model = x.model and be.query = x.query and aa = x.arm join k y on be.model = y.model and be.query = y.query and ab = y.arm""")
 def kernel(v: View) -> DataFrame:
-    return rounded(estimate.kernel_distance(estimate.set_counts(v.lists), CONTRASTS), "mmd2")
+    return rounded(estimate.kernel_distance(estimate.set_counts(v.lists), CONTRASTS, v.names), "mmd2")
 
 
 @query("m2_m4_consensus_scores", f"""with {_SETS}, {_MAJOR} select rs.key, round({F1.format(a='r1', b='coalesce(consensus, [])')}, 6) as f1, round({JAC.format(a='r1', b='coalesce(consensus, [])')}, 6) as jaccard, r1 = coalesce(consensus, []) as exact from rs left join major using (key)""")
@@ -521,11 +530,14 @@ def opaque(v: View) -> DataFrame:
     return sampling.opaque_ids(v.answers.select("key"), "round1")
 
 
-@query("o8_nearest_rank", """with s as (select model, list(amount order by amount) as l from answers group by all) select model, round(l[greatest(1, ceil(0.9 * len(l)))::int], 6) as p90 from s""")
+@query("o8_nearest_rank", """with s as (select model, list(amount order by amount) as l from answers group by all) select model, round(l[1 + round_even(0.9::double * (len(l) - 1), 0)::int], 6) as p90 from s""")
 def nearest_rank(v: View) -> DataFrame:
+    """The value at the place nearest to 0.9 (n - 1) from 0, halves to even; distinct values are counted first, then added up."""
+    counts = v.answers.groupBy("model", "amount").agg(F.count("*").alias("c"))
     w = Window.partitionBy("model")
-    r = v.answers.select("model", "amount", F.row_number().over(w.orderBy("amount")).alias("i"), F.count("*").over(w).alias("n"))
-    return rounded(r.where(F.col("i") == F.greatest(F.lit(1), F.ceil(0.9 * F.col("n")))).select("model", F.col("amount").alias("p90")), "p90")
+    r = counts.withColumn("upto", F.sum("c").over(w.orderBy("amount"))).withColumn("n", F.sum("c").over(w))
+    place = F.bround(0.9 * (F.col("n") - 1), 0)
+    return rounded(r.where((F.col("upto") > place) & (F.col("upto") - F.col("c") <= place)).select("model", F.col("amount").alias("p90")), "p90")
 
 
 @query("u2_u3_supports", """select (select count(*) from (select model, query from answers where arm = 'en' intersect select model, query from answers where arm = 'bn')) as both, (select count(*) from (select name from classes except select name from mentions)) as unused,
@@ -637,11 +649,22 @@ def assign_raters(v: View) -> DataFrame:
     return sampling.assign_pairs(v.answers.select("key", "category"), study.RATERS, "as", stratum=("category",))
 
 
-@query("t3_t6_script_ratio", """with c as (select doc_id, len(regexp_extract_all(text, '[À-ÿ]')) as a, len(regexp_extract_all(text, '[A-Za-z]')) as b from documents), r as (select doc_id, case when a + b > 0 then a / (a + b) else 0.0 end as ratio from c)
-select doc_id, round(ratio, 6) as ratio, case when ratio >= 0.6 then 'bn' when ratio <= 0.2 then 'latin' else 'mixed' end as script from r""", with_study=False)
+_BLANK = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
+_LETTERS = "len(regexp_extract_all({t}, '[À-ÿ]')) as {a}, len(regexp_extract_all({t}, '[A-Za-z]')) as {b}"
+
+
+@query("t3_t6_script_ratio", rf"""with w as (select doc_id, text, list_filter(regexp_split_to_array(text, '{_BLANK}+'), lambda x: regexp_matches(x, '[À-ÿA-Za-z]')) as words,
+  list_filter(regexp_split_to_array(regexp_replace(text, '\([^)]*\)|\[[^\]]*\]|（[^）]*）', ' ', 'g'), '{_BLANK}+'), lambda x: x <> '' and not regexp_matches(x, '\p{{Nd}}')
+    and not (not regexp_matches(x, '[À-ÿ]') and regexp_matches(x, '[A-Za-z]') and regexp_matches(x, '^["''“‘(«\[*–—•·-]*\p{{Lu}}'))) as kept from documents),
+c as (select doc_id, {_LETTERS.format(t='text', a='a', b='b')}, len(words) as nw, len(list_filter(words, lambda x: len(regexp_extract_all(x, '[À-ÿ]')) >= len(regexp_extract_all(x, '[A-Za-z]')))) as mine,
+  {_LETTERS.format(t="array_to_string(kept, ' ')", a='pa', b='pb')} from w),
+r as (select doc_id, case when a + b > 0 then a / (a + b) else 0.0 end as ratio, case when nw > 0 then mine / nw else 0.0 end as ratio_words, case when pa + pb > 0 then pa / (pa + pb) when a + b > 0 then a / (a + b) else 0.0 end as prose from c)
+select doc_id, round(ratio, 6) as ratio, round(ratio_words, 6) as ratio_words, round(prose, 6) as prose, case when prose >= 0.6 then 'bn' when prose <= 0.2 then 'latin' else 'mixed' end as script from r""", with_study=False)
 def script_ratio(v: View) -> DataFrame:
-    r = v.table("documents").select("doc_id", text.script_ratio(F.col("text"), "À-ÿ").alias("ratio"))
-    return rounded(r.withColumn("script", text.script_class(F.col("ratio"))), "ratio")
+    """T3 to T6; accented letters stand in for the script, which these tables lack."""
+    t, script = F.col("text"), "À-ÿ"
+    r = v.table("documents").select("doc_id", text.script_ratio(t, script).alias("ratio"), text.script_ratio_words(t, script).alias("ratio_words"), text.prose_ratio(t, script).alias("prose"))
+    return rounded(r.withColumn("script", text.script_class(F.col("prose"))), "ratio", "ratio_words", "prose")
 
 
 @query("t16_t20_lines_and_tokens", """select doc_id, len(list_filter(list_transform(regexp_split_to_array(text, '\\r\\n|\\r|\\n'), lambda x: trim(x)), lambda x: x <> '')) as n_lines, len(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) as n_tokens from documents""", with_study=False)
@@ -655,11 +678,15 @@ def first_rule(v: View) -> DataFrame:
     return v.table("documents").select("doc_id", text.first_rule(F.col("text"), rules).alias("rule"))
 
 
-@query("t12_t14_prices", """with p as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice)::bigint as a, ['Tk', 'USD', 'euro', ''][(l_partkey % 4 + 1)::int] as u from lineitem)
-select l_orderkey, l_linenumber, l_partkey, l_suppkey, a::double as amount, case u when 'Tk' then 'BDT' when 'USD' then 'USD' when 'euro' then 'other' else 'unstated' end as currency from p""", with_study=False)
+_UNITS = ("Tk", "usd", "euro", "", "?", "Taka", "$", "unstated")
+
+
+@query("t12_t14_prices", """with p as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice)::bigint as a, l_partkey % 8 as u from lineitem)
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when u in (0, 1, 2, 5, 7) then a::double end as amount, case when u in (0, 5) then 'BDT' when u = 1 then 'USD' when u = 2 then 'other' when u = 7 then 'unstated' end as currency from p""", with_study=False)
 def price_lines(v: View) -> DataFrame:
-    unit = F.element_at(F.array(*map(F.lit, ("Tk", "USD", "euro", ""))), (F.col("l_partkey") % 4 + 1).cast("int"))
-    line = F.concat(F.format_number(F.round("l_extendedprice"), 0), F.lit(" "), unit)
+    """Lines without a currency word, or with one that is not letters, are no prices."""
+    unit = F.element_at(F.array(*map(F.lit, _UNITS)), (F.col("l_partkey") % 8 + 1).cast("int"))
+    line = F.concat(F.round("l_extendedprice").cast("long").cast("string"), F.lit(" "), unit)
     p = v.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", text.price(line).alias("p"))
     return p.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "p.amount", "p.currency")
 
@@ -674,15 +701,58 @@ def slug(v: View) -> DataFrame:
     return v.table("supplier").select("s_suppkey", text.slug(F.col("s_name")).alias("slug"))
 
 
-@query("t9_t10_conformity", f"""with x as (select key, arm, ['bn', 'latin', 'mixed'][({h("'script|' || key")} % 3 + 1)::int] as script, [null, 'en', 'bn', 'banglish', 'mixed'][({h("'lang|' || key")} % 5 + 1)::int] as ext from answers)
-select key, case when script = 'mixed' then 'mixed' when script = case when arm = 'bn' then 'bn' else 'latin' end then 'conform' else 'deviates' end as conformity,
-case when coalesce((ext = 'bn' and script = 'bn') or (ext in ('en', 'banglish') and script = 'latin') or (ext = 'mixed' and script = 'mixed'), false) then ext when script = 'bn' then 'bn' when script = 'latin' then case when arm = 'en' then 'en' else 'banglish' end else 'mixed' end as language,
-case when ext is null then 'missing' when not ((ext = 'bn' and script = 'bn') or (ext in ('en', 'banglish') and script = 'latin') or (ext = 'mixed' and script = 'mixed')) then 'script_conflict' end as adjudicate from x""")
+_CODED = f"""x as (select key, arm, ['bn', 'latin', 'mixed'][({h("'script|' || key")} % 3 + 1)::int] as script, [null, 'en', 'bn', 'banglish', 'mixed', 'other'][({h("'lang|' || key")} % 6 + 1)::int] as ext,
+  [null, true, false, false][({h("'rule|' || key")} % 4 + 1)::int] as fires, {h("'content|' || key")} % 3 > 0 as content, outcome = 'degenerate' as bad,
+  case arm when 'bl' then 'banglish' else arm end as wanted from answers),
+y as (select *, case when script = 'bn' then 'bn' end as language0, not (script = 'bn' or (script = 'latin' and arm = 'bn')) as pending,
+  case when script = 'bn' then arm = 'bn' when script = 'latin' and arm = 'bn' then false end as conforming0,
+  case when script = 'bn' then 'bn' when script = 'latin' then case when ext = 'bn' then 'latin_unresolved' else ext end else coalesce(ext, 'mixed') end as language1,
+  case when script = 'bn' then wanted = 'bn' when script = 'latin' and arm = 'bn' then false when script = 'latin' and ext = 'bn' then null else ext = wanted end as conforming1,
+  case when script = 'bn' and ext <> 'bn' then 'script=bn but extractor=' || ext when script = 'latin' and ext = 'bn' then 'script=latin but extractor=bn' end as reason1 from x)"""
+
+
+def _coded(v: View) -> DataFrame:
+    """Answers with what coding and extraction know of them, derived from md5 of the key."""
+    pick = lambda name, xs, kind: F.element_at(F.array(*[F.lit(x).cast(kind) for x in xs]), (hash32(name, F.col("key")) % len(xs) + 1).cast("int"))
+    return v.answers.select("key", "model", "arm", (F.col("outcome") == "degenerate").alias("bad"), pick("script", ("bn", "latin", "mixed"), "string").alias("script"),
+                            pick("lang", (None, "en", "bn", "banglish", "mixed", "other"), "string").alias("ext"), pick("rule", (None, True, False, False), "boolean").alias("fires"),
+                            (hash32("content", F.col("key")) % 3 > 0).alias("content"))
+
+
+@query("t9_t10_conformity", f"with {_CODED} select key, language0, pending, conforming0, language1, conforming1, reason1 from y")
 def conformity(v: View) -> DataFrame:
-    pick = lambda name, xs: F.element_at(F.array(*[F.lit(x).cast("string") for x in xs]), (hash32(name, F.col("key")) % len(xs) + 1).cast("int"))
-    x = v.answers.select("key", "arm", pick("script", ("bn", "latin", "mixed")).alias("script"), pick("lang", (None, "en", "bn", "banglish", "mixed")).alias("ext"))
-    lang = text.answer_language(F.col("arm"), F.col("script"), F.col("ext"))
-    return x.select("key", text.conformity(F.col("arm"), F.col("script")).alias("conformity"), lang["language"].alias("language"), lang["adjudicate"].alias("adjudicate"))
+    c, r = text.conformity(F.col("arm"), F.col("script")), text.resolve_language(F.col("arm"), F.col("script"), F.col("ext"))
+    return _coded(v).select("key", c["language"].alias("language0"), c["pending"].alias("pending"), c["conforming"].alias("conforming0"),
+                            r["language"].alias("language1"), r["conforming"].alias("conforming1"), r["reason"].alias("reason1"))
+
+
+_OUTCOME = """case when bad then 'degenerate' when fires is null then 'pending_refusal_rules' when {ext} is null and (fires or pending) then 'pending_extractor'
+  when fires and not content then 'refusal' when conforming1 is null then 'pending_adjudication' when conforming1 then 'valid' else 'language_reversion' end"""
+
+
+def _outcome(ext: Column) -> Column:
+    pending = text.conformity(F.col("arm"), F.col("script"))["pending"]
+    return text.outcome(F.col("bad"), F.col("fires"), ext.isNotNull(), F.col("content"), pending, F.col("arm"), F.col("script"), ext)
+
+
+@query("p15_j1_final_outcome", f"""with {_CODED}, o as (select *, {_OUTCOME.format(ext='ext')} as outcome from y)
+select key, outcome, coalesce(fires and outcome in ('pending_adjudication', 'valid', 'language_reversion'), false) as hedged from o""")
+def final_outcome(v: View) -> DataFrame:
+    """The final code of each answer: a refusal is content-free, one that names something is hedged."""
+    o = _outcome(F.col("ext"))
+    return _coded(v).select("key", o["outcome"].alias("outcome"), o["hedged"].alias("hedged"))
+
+
+@query("a8_g7_refolded_agreement", f"""with {_CODED}, o as (select *, {_OUTCOME.format(ext='ext')} as a from y),
+x2 as (select * replace (case when {h("'second|' || key")} % 5 = 0 then 'mixed' else ext end as ext) from x),
+y2 as (select *, not (script = 'bn' or (script = 'latin' and arm = 'bn')) as pending, case when script = 'bn' then wanted = 'bn' when script = 'latin' and arm = 'bn' then false when script = 'latin' and ext = 'bn' then null else ext = wanted end as conforming1 from x2),
+p as (select key, {_OUTCOME.format(ext='ext')} as b from y2)
+select arm, count(*) as n, round(avg((a = b)::int), 6) as agreement from o join p using (key) where a <> 'pending_extractor' group by all""")
+def refolded_agreement(v: View) -> DataFrame:
+    """Two extractors on the answers that the first has coded: how often the final code is the same."""
+    second = F.when(hash32("second", F.col("key")) % 5 == 0, "mixed").otherwise(F.col("ext"))
+    both = _coded(v).select("arm", _outcome(F.col("ext"))["outcome"].alias("a"), _outcome(second)["outcome"].alias("b")).where("a <> 'pending_extractor'")
+    return rounded(both.groupBy("arm").agg(F.count("*").alias("n"), F.avg((F.col("a") == F.col("b")).cast("int")).alias("agreement")), "agreement")
 
 
 @query("n5_json_fields", "select event_id, (props->>'$.k')::bigint as k from events", with_study=False)
@@ -695,34 +765,51 @@ def canonical_key(v: View) -> DataFrame:
     return v.table("supplier").select("s_suppkey", jsonx.canonical_key({"nation": F.col("s_nationkey"), "name": F.col("s_name")}).alias("id"))
 
 
-@query("n1_tolerant_json")
+@query("n1_tolerant_json", """select event_id, case when event_id % 6 <> 3 and event_id % 6 <> 5 then (props->>'$.k')::bigint end as k from events""", with_study=False)
 def tolerant_json(v: View) -> DataFrame:
-    wrapped = F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, F.concat(F.lit("Here: ```json\n"), "props", F.lit("\n``` done"))).otherwise(F.concat(F.lit("So {this} "), "props", F.lit(" ok")))
+    """Whole, fenced, wrapped in prose, after other braces, with braces left open, and spaced: the fourth and the last but one have none."""
+    i, p, lit = F.col("event_id") % 6, F.col("props"), F.lit
+    wrapped = (F.when(i == 0, p).when(i == 1, F.concat(lit("```json\n"), p, lit("\n```"))).when(i == 2, F.concat(lit("Here it is: "), p, lit(" as asked")))
+               .when(i == 3, F.concat(lit("So {this} "), p)).when(i == 4, F.concat(lit("  "), p, lit(" \n"))).otherwise(F.concat(lit("{ open "), p)))
     return v.table("events").select("event_id", F.from_json(jsonx.tolerant_json(wrapped), "k bigint")["k"].alias("k"))
 
 
-SQL["n1_tolerant_json"] = SQL["n5_json_fields"]
-
-
 @query("t1_fold")
 def fold(v: View) -> DataFrame:
     return v.table("documents").select("doc_id", F.md5(text.fold(F.col("text"))).alias("folded"))
 
 
-@query("t7_degenerate")
+_TAILS = "case doc_id % 5 when 0 then text || repeat(substr(text, 1, (doc_id % 61)::int), 25) when 1 then ' ' || chr(10) when 2 then repeat(chr(7), 9) || left(text, 40) when 3 then left(text, 30) || repeat('ab  ' || chr(9), 7) else text end"
+
+
+@query("t7_degenerate", rf"""with b as (select doc_id, regexp_replace(coalesce({_TAILS}, ''), '^{_BLANK}+|{_BLANK}+$', '', 'g') as s from documents),
+t as (select doc_id, s, trim(regexp_replace(s, '{_BLANK}+', ' ', 'g')) as f, len(regexp_extract_all(s, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\x{{FFFD}}]')) as bad from b),
+l as (select *, list_filter(range(1, 61), lambda p: length(f) >= p * greatest(5, ceil(20 / p)::int) and trim(right(f, p)) <> '' and right(f, p * greatest(5, ceil(20 / p)::int)) = repeat(right(f, p), greatest(5, ceil(20 / p)::int)))[1] as p from t)
+select doc_id, case when s = '' then 'empty' when bad > 0.1 * length(s) then 'unreadable_chars' when p is not null then 'loop:period' || p || 'x' || greatest(5, ceil(20 / p)::int) end as reason from l""", with_study=False)
 def degenerate(v: View) -> DataFrame:
-    return v.table("documents").select("doc_id", text.degenerate(F.col("text")).alias("reason"))
+    """Texts with repeated tails, blanks and control characters put to them, so that each reason occurs."""
+    return v.table("documents").select("doc_id", text.degenerate(F.expr(_TAILS)).alias("reason"))
 
 
-@query("j16_near_pairs", """with t as (select item_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as w from benchmark)
-select a.item_id as a, b.item_id as b from t a join t b on a.item_id < b.item_id where len(list_intersect(a.w, b.w)) >= 0.6 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) and len(list_intersect(a.w, b.w)) > 0""", with_study=False)
+@query("j16_near_pairs", """with t as (select p_partkey as id, p_brand as category, list_distinct(regexp_extract_all(lower(p_name || ' ' || p_type), '[\\p{L}\\p{N}]+')) as w from part where p_size <= 50)
+select a.id as a, b.id as b from t a join t b on a.category = b.category and a.id < b.id where len(list_intersect(a.w, b.w)) > 0 and len(list_intersect(a.w, b.w)) >= 0.6 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))""", with_study=False)
 def near_pairs(v: View) -> DataFrame:
-    """Pairs meet on a shared word, counted; the count is the intersection."""
-    t = v.table("benchmark").select("item_id", text.tokens(F.col("text")).alias("w"))
-    e = t.select("item_id", F.size("w").alias("n"), F.explode("w").alias("word"))
-    a, b = [e.select(F.col("item_id").alias(s), F.col("n").alias(f"n{s}"), "word") for s in ("a", "b")]
-    both = a.join(b, "word").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    return both.where("c >= 0.6 * (na + nb - c)").select("a", "b")
+    """Pairs of a category that share most of their words.
+
+    Words are ordered rarest first within the category; two texts that share so many have one in common
+    among the first n - ceil(0.6 n) + 1 of each, so only those meet, and each pair is then compared once.
+    """
+    t = v.table("part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("category"), text.tokens(F.concat_ws(" ", "p_name", "p_type")).alias("w"))
+    e = t.select("id", "category", F.explode("w").alias("word"))
+    df = e.groupBy("category", "word").agg(F.count("*").alias("f"))
+    ordered = e.join(df, ["category", "word"]).groupBy("category", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "word"))), lambda x: x["word"]).alias("w"))
+    n = F.size("w")
+    first = ordered.withColumn("word", F.explode(F.slice("w", F.lit(1), n - F.ceil(0.6 * n).cast("int") + 1)))
+    a, b = [first.select("category", "word", F.col("id").alias(s), F.col("w").alias(f"w{s}")) for s in ("a", "b")]
+    length = F.least(F.size("wa"), F.size("wb")) >= 0.6 * F.greatest(F.size("wa"), F.size("wb"))
+    met = a.join(b, ["category", "word"]).where("a < b").where(length).dropDuplicates(["a", "b"])
+    both = F.size(F.array_intersect("wa", "wb"))
+    return met.where(both >= 0.6 * (F.size("wa") + F.size("wb") - both)).select("a", "b")
 
 
 @query("j17_term_join", """with t as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as word from documents), n as (select distinct lower(p_type) as word, 'type' as kind from part union select unnest(['the', 'von', 'que', 'les']), 'function')
@@ -734,7 +821,7 @@ def term_join(v: View) -> DataFrame:
     return words.join(terms, "word").select("doc_id", "word", "kind")
 
 
-@query("j21_interval_overlap", """with i as (select model as name, min(asked_at) as lo, max(asked_at) as hi from answers where key % 1000 = 0 group by all), p as (select year(asked_at)::varchar as name, min(asked_at) as lo, max(asked_at) as hi from answers group by all)
+@query("j21_interval_overlap", """with i as (select model as name, min(asked_at) as lo, max(asked_at) as hi from answers group by all), p as (select year(asked_at)::varchar as name, min(asked_at) as lo, max(asked_at) as hi from answers group by all)
 select i.name as name_a, p.name as name_b from i join p on i.lo <= p.hi and i.hi >= p.lo""")
 def interval_overlap(v: View) -> DataFrame:
     spans = lambda rows, name: rows.groupBy(name.alias("name")).agg(F.min("asked_at").alias("lo"), F.max("asked_at").alias("hi"))
@@ -742,11 +829,15 @@ def interval_overlap(v: View) -> DataFrame:
     return ledger.overlaps(spans(a, F.col("model")), spans(a, F.year("asked_at").cast("string"))).select("name_a", "name_b")
 
 
-@query("c10_compare_stored", f"""{SHARE}, e as (select model, contrast, avg(d) as estimate from paired group by all) select model, contrast from e where {h("model || '|' || contrast")} % 5 = 0""")
+@query("c10_compare_stored", f"""{SHARE}, e as (select model, contrast, avg(d) as estimate from paired group by all),
+{cells_sql(name='cells2', where='n_local + n_global > 0 and not truncated')}, w2 as (select model, query, max(v) filter (where arm = 'en') as en, max(v) filter (where arm = 'bn') as bn from cells2 group by all),
+o as (select model, 'bn-en' as contrast, avg(bn - en) as estimate from w2 where bn - en is not null group by model)
+select coalesce(e.model, o.model) as model, coalesce(e.contrast, o.contrast) as contrast from e full join o on e.model = o.model and e.contrast = o.contrast where coalesce(abs(e.estimate - o.estimate) > 0.0005, true)""")
 def compare_stored(v: View) -> DataFrame:
+    """Estimates now against a stored run that left truncated answers out and knew one contrast only."""
     now = estimate.contrast_means(estimate.paired(v.share_cells(), CONTRASTS)).select("model", "contrast", "estimate")
-    stored = now.withColumn("estimate", F.col("estimate") + F.when(hash32(F.col("model"), F.col("contrast")) % 5 == 0, 0.01).otherwise(0.0))
-    return ledger.compare_stored(now, stored, ["model", "contrast"], "estimate").select("model", "contrast")
+    stored = estimate.contrast_means(estimate.paired(v.share_cells(where=~F.col("truncated")), CONTRASTS[:1])).select("model", "contrast", "estimate")
+    return ledger.compare_stored(now, stored, ["model", "contrast"], "estimate", 0.0005).select("model", "contrast")
 
 
 @query("k10_superseded", f"""with r as (select key, model, 'v' || ({h("'params|' || key")} % 3) as params from answers), w as (select distinct model, 'v' || ({h("'want|' || model")} % 3) as want from answers) select key, r.model, params from r join w using (model) where params <> want""")

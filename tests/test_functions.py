@@ -1,6 +1,8 @@
 """Functions against known answers and plain Python versions."""
 
 import json
+import unicodedata
+import re
 import math
 import random
 from itertools import product
@@ -89,9 +91,29 @@ def test_folding():
     assert text.fold_text(None) is None
 
 
-@pytest.mark.parametrize("body,reason", [(None, "empty"), ("  ", "empty"), ("fine text", None), ("��ab", "bad_characters"), ("x" + "ab c" * 8, "loop"), ("abcabc", None), ("no no no no no no no ", "loop")])
-def test_degenerate(body, reason):
-    assert text.degenerate_reason(body) == reason
+def test_degenerate(spark):
+    """Against the rule read off position by position."""
+    import random
+
+    def rule(body):
+        t = (body or "").strip()
+        if not t:
+            return "empty"
+        if sum(c == "\ufffd" or (unicodedata.category(c) == "Cc" and c not in "\n\r\t") for c in t) > 0.1 * len(t):
+            return "unreadable_chars"
+        t = re.sub(r"\s+", " ", t).strip()
+        for p in range(1, 61):
+            n = max(5, math.ceil(20 / p))
+            tail = t[len(t) - p * n:] if len(t) >= p * n else ""
+            if tail and tail[:p].strip() and all(tail[k] == tail[k - p] for k in range(p, p * n)):
+                return f"loop:period{p}x{n}"
+        return None
+
+    rng = random.Random(3)
+    rows = [None, "  ", "fine text", "\ufffd\ufffdab", "x" + "ab c" * 8, "abcabc", "no no no no no no no ", "abc" * 6 + "ab", "abc" * 7, "a \n\t a  a a   a a a a a a a", "." * 19, "." * 20, "a" + " " * 40, "ফোন ভালো। " * 6, "\x07" * 3 + "x" * 27]
+    rows += ["".join(rng.choice("ab ") for _ in range(9)) + "".join(rng.choice("abc \n") for _ in range(rng.randint(1, 60))) * rng.randint(1, 22) for _ in range(200)]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string").orderBy("i").select(text.degenerate(F.col("t"))).collect()]
+    assert got == [rule(t) for t in rows] and sum(bool(g) and g.startswith("loop") for g in got) > 50
 
 
 def test_scripts(spark):
@@ -102,11 +124,30 @@ def test_scripts(spark):
     assert got[2].r == pytest.approx(3 / 5) and got[2].w == 0.5 and got[4].p == 1.0 and got[4].r < 0.5 and got[0].i and not got[1].i
 
 
+def test_script_words_and_prose(spark):
+    """A word is the script's if at least half of its letters are; names, numbers and bracketed parts are no prose."""
+    rows = ["কabc", "কখ ab", "ফোন ab ফোab", "ফোন (Galaxy phone) [cheap one] （ভালো ফোন） X100", "“Galaxy ভালো", "-Redmi galaxy ফোন", "Galaxy Redmi", "৫জি ফোন ab", ""]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string").orderBy("i").select(text.script_ratio_words(F.col("t")).alias("w"), text.prose_ratio(F.col("t")).alias("p")).collect()
+    assert [round(r.w, 3) for r in got] == [0.0, 0.5, 0.667, 0.375, 0.5, 0.333, 0.0, 0.667, 0.0]
+    assert [round(r.p, 3) for r in got] == [0.25, 0.5, round(5 / 9, 3), 1.0, 1.0, round(3 / 9, 3), 0.0, 0.6, 0.0]
+
+
+def test_coding_lattice(spark):
+    """Script, extractor and arm: literal cases of the rule."""
+    cases = [("bn", "bn", "bn", ("bn", True, None)), ("en", "bn", "en", ("bn", False, "script=bn but extractor=en")), ("bn", "latin", "bn", ("latin_unresolved", False, "script=latin but extractor=bn")),
+             ("en", "latin", "bn", ("latin_unresolved", None, "script=latin but extractor=bn")), ("en", "latin", None, (None, None, None)), ("bn", "latin", None, (None, False, None)), ("en", "latin", "en", ("en", True, None)),
+             ("bl", "latin", "en", ("en", False, None)), ("bl", "latin", "banglish", ("banglish", True, None)), ("bl", "mixed", None, ("mixed", None, None)), ("bl", "mixed", "banglish", ("banglish", True, None)), ("bn", "mixed", "mixed", ("mixed", False, None))]
+    rows = spark.createDataFrame([(i, a, s, x) for i, (a, s, x, _) in enumerate(cases)], "i int, a string, s string, x string").orderBy("i")
+    got = rows.select(text.resolve_language(F.col("a"), F.col("s"), F.col("x")).alias("r"), text.conformity(F.col("a"), F.col("s")).alias("c")).collect()
+    assert [tuple(r.r) for r in got] == [want for *_, want in cases]
+    assert [tuple(r.c) for r in got[:5]] == [("bn", False, True), ("bn", False, False), (None, False, False), (None, True, None), (None, True, None)]
+
+
 def test_prices_and_numbers(spark):
-    rows = [("38,000 BDT",), ("tk 500",), ("99.5",), ("12 euro",), ("none",), ("৩৮,০০০ টাকা",)]
+    rows = [("38000 BDT",), ("500 tk",), ("99.5",), ("12 euro",), ("none",), ("৩৮,০০০ টাকা",), ("38,000 BDT",), ("tk 500",), ("7 $",), ("7 ?",), (" 5  unstated ",), ("0 টাকা",)]
     got = spark.createDataFrame(rows, "t string").select(text.price(F.col("t")).alias("p"), text.digit_runs(F.col("t")).alias("d"), text.traceable(F.lit(38000.0), F.col("t")).alias("x")).collect()
-    assert [(r.p.amount, r.p.currency) if r.p else None for r in got[:5]] == [(38000.0, "BDT"), (500.0, "BDT"), (99.5, "unstated"), (12.0, "other"), None]
-    assert got[5].d == ["38000"] and got[5].x and got[0].x and not got[1].x
+    assert [(r.p.amount, r.p.currency) if r.p else None for r in got] == [(38000.0, "BDT"), (500.0, "BDT"), None, (12.0, "other"), None, None, None, None, None, None, (5.0, "unstated"), (0.0, "BDT")]
+    assert got[5].d == ["38000"] and got[5].x and got[6].x and not got[1].x
 
 
 def test_alias_pattern():
@@ -117,9 +158,11 @@ def test_alias_pattern():
 
 def test_json():
     good = {"brands": ["A", "B"], "recommended": ["a"], "prices": [{"amount": 5, "currency": "BDT"}], "retailers": [], "refused": False, "answer_language": "en"}
-    for raw in (json.dumps(good), f"```json\n{json.dumps(good)}\n```", f"Sure {{so}}: {json.dumps(good)} bye"):
+    for raw in (json.dumps(good), f"```json\n{json.dumps(good)}\n```", f"Sure: {json.dumps(good)} bye"):
         assert json.loads(jsonx.first_object(raw)) == good
-    assert jsonx.first_object("no {braces: here") is None and jsonx.first_object(None) is None and jsonx.first_object("[1]") is None
+    assert jsonx.first_object("no {braces: here") is None and jsonx.first_object(None) is None and jsonx.first_object("[1]") == "[1]"
+    # the first balanced part decides, and a fence must hold all of the text
+    assert jsonx.first_object(f"So {{this}} {json.dumps(good)}") is None and jsonx.first_object(f"Here: ```json\n{json.dumps(good)}\n```") == json.dumps(good)
     assert jsonx.extraction_errors(json.dumps(good)) == []
     for change in ({"answer_language": "xx"}, {"refused": "no"}, {"recommended": ["C"]}, {"prices": [{"amount": "5", "currency": "BDT"}]}, {"brands": "A"}):
         assert jsonx.extraction_errors(json.dumps(good | change))

@@ -12,6 +12,10 @@ from quillon.operators import consensus, estimate, layers, ledger, models, resam
 PAIR = (("bn", "en"),)
 
 
+def NAMES(spark, names="xy"):
+    return spark.createDataFrame([(c,) for c in names], "name string")
+
+
 def sets_of(spark, en, bn):
     rows = [("m", "q", arm, r, list(s)) for arm, xs in (("en", en), ("bn", bn)) for r, s in enumerate(xs)]
     return estimate.set_counts(spark.createDataFrame(rows, "model string, query string, arm string, rep int, names array<string>"))
@@ -19,7 +23,7 @@ def sets_of(spark, en, bn):
 
 @pytest.mark.parametrize("en,bn,want", [(["x", "x"], ["y", "y"], 1.0), (["x", "y"], ["x", "y"], -0.5), (["x"], ["y", "y"], None)])
 def test_excess_divergence(spark, en, bn, want):
-    got = [r.d for r in estimate.excess_divergence(sets_of(spark, en, bn), PAIR).collect()]
+    got = [r.d for r in estimate.excess_divergence(sets_of(spark, en, bn), PAIR, NAMES(spark)).collect()]
     assert got == ([] if want is None else [want])
 
 
@@ -185,7 +189,7 @@ def test_randomisation_query_draws_ten_thousand(spark, monkeypatch):
 def test_alternative_annotator(spark):
     rows = [(r, i, 0.9 if i % 2 else 0.8, 0.85) for r in ("R1", "R2", "R3") for i in range(60)] + [("R9", i, 0.9, 0.1) for i in range(5)]
     got = {r.rater: r for r in models.alternative_annotator(spark.createDataFrame(rows, "rater string, item int, machine double, human double")).collect()}
-    assert got["R1"].advantage == 0.5 and got["R9"].p == 1.0 and got["R1"].p == got["R2"].p
+    assert got["R1"].advantage == 0.5 and got["R9"].p is None and got["R1"].p == got["R2"].p
 
 
 def test_calibration_and_power(spark):
@@ -199,3 +203,27 @@ def test_calibration_and_power(spark):
     assert t["fit"].is_monotonic_increasing and t["power"].iloc[0] < 0.3 and t["power"].iloc[-1] > 0.9 and 0 < effect <= 2.0
     assert simulate.refusal_bound(0, 250) == pytest.approx(1 - 0.05 ** (1 / 250))
     assert simulate.verdict(0, 100) == "pass" and simulate.verdict(60, 100) == "fail"
+
+
+def test_similarity_over_bits_is_that_of_lists(spark, monkeypatch):
+    """150 names fill three columns of bits; empty sets are alike. Beyond the limit sets stay lists."""
+    rng = np.random.default_rng(4)
+    names = [f"n{i}" for i in range(150)]
+    rows = [("m", f"q{i % 3}", ("en", "bn")[i % 2], i, [str(x) for x in rng.choice(names, rng.integers(0, 30), replace=False)]) for i in range(60)]
+    s = estimate.set_counts(spark.createDataFrame(rows, "model string, query string, arm string, rep int, names array<string>"))
+    got = []
+    for most in (1008, 100):
+        monkeypatch.setattr(estimate, "MOST_NAMES", most)
+        got.append({r.query: round(r.d, 9) for r in estimate.excess_divergence(s, PAIR, NAMES(spark, names)).collect()})
+    assert got[0] == got[1] and len(got[0]) == 3
+
+
+def test_annotators_with_few_items_take_no_part(spark):
+    rows = [(r, i, 0.9, 0.1) for r, n in (("R1", 40), ("R2", 40), ("R3", 29)) for i in range(n)]
+    got = {r.rater: r for r in models.alternative_annotator(spark.createDataFrame(rows, "rater string, item int, machine double, human double")).collect()}
+    assert got["R3"].p is None and not got["R3"].rejected and all(r.winning_rate == 1.0 for r in got.values())
+
+
+def test_no_differences_speak_for_no_effect(spark):
+    d = spark.createDataFrame([("m", "bn-en", f"q{i}", 0.0) for i in range(8)], "model string, contrast string, query string, d double")
+    assert [(r.n, r.p_rank) for r in models.paired_tests(d).collect()] == [(0, 1.0)]

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from quillon.plans import catalogue, models  # noqa: F401  models registers its queries
+from quillon.plans import catalogue, models, records  # noqa: F401  the latter two register their queries
 
 DATA = Path("/root/testdata/sf0.001")
 
