@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.stats import Z95, by_rejects, normal_cdf, sign_flip, signed_rank, t_cdf
+from quillon.functions.stats import by_rejects, normal_cdf, sign_flip, signed_rank, t_cdf
+from quillon.operators.estimate import cell_means, contrast_means, paired
 
 GLMM_DDL = "job string, status string, contrast string, estimate double, se double, z double, p double, sd_query double, sd_cell double, singular boolean"
 
@@ -204,44 +206,114 @@ def paired_tests(differences: DataFrame, group: tuple[str, ...] = ("model", "con
     return differences.groupBy(*group).applyInPandas(run, ddl)
 
 
+def _null_test(per_query: DataFrame, group: tuple[str, ...]) -> DataFrame:
+    """(group, n_queries, observed, p) from queries' statistics (group, observed, stars), stars one value a draw.
+
+    The test's statistic is the mean over queries, its null distribution the mean of the draws of one
+    number; a query's undefined draw is left out, and so is a draw that no query defines. Two-sided,
+    with the observed assignment counted among the draws.
+    """
+    seen = per_query.groupBy(*group).agg(F.count("*").cast("int").alias("n_queries"), F.avg("observed").alias("observed"))
+    draws = per_query.select(*group, F.posexplode("stars").alias("draw", "star")).groupBy(*group, "draw").agg(F.avg(F.nanvl("star", F.lit(None))).alias("star")).where("star is not null")
+    both = draws.join(seen, list(group))
+    tail = lambda c: (F.count_if(c) + 1) / (F.count("*") + 1)
+    p = both.groupBy(*group).agg(F.least(F.lit(1.0), 2 * F.least(tail(F.col("star") >= F.col("observed") - 1e-12), tail(F.col("star") <= F.col("observed") + 1e-12))).alias("p"))
+    return seen.join(p, list(group), "left").select(*group, "n_queries", "observed", "p")
+
+
 def randomisation(values: DataFrame, group: tuple[str, ...] = ("model", "contrast"), draws: int = 2000, seed: int = 11) -> DataFrame:
     """Two-sided randomisation test of the mean difference of two arms, re-assigning answers within queries.
 
     values: (group, query, side 'a' or 'b', v), null v undefined. Each draw permutes the sides of
     every query's answers; markers of undefined values move with the answers. Queries with an
-    undefined side in the data take no part; a draw without a defined query is left out. Equal values
-    are exchangeable, so a draw is how many of each go to side a: its cost is the distinct values.
+    undefined side in the data take no part. Equal values are exchangeable, so Spark counts them
+    first, a query is a group of its distinct values, and a draw is how many of each go to side a.
+    """
+    ddl = ", ".join(f"{g} string" for g in group) + ", observed double, stars array<double>"
+    counted = values.groupBy(*group, "query", "side", "v").agg(F.count("*").alias("c"))
+
+    def run(key: tuple, data: pd.DataFrame) -> pd.DataFrame:
+        table = data.pivot_table(index=data["v"].astype(float).fillna(np.inf), columns="side", values="c", aggfunc="sum", fill_value=0)
+        worth = table.index.to_numpy(float)
+        side = {x: table[x].to_numpy(np.int64) if x in table else np.zeros(len(worth), np.int64) for x in "ab"}
+        ok = np.isfinite(worth)
+        mean = lambda m: np.where(m[:, ok].sum(1) > 0, m[:, ok] @ worth[ok] / np.maximum(m[:, ok].sum(1), 1), np.nan)
+        t = (mean(side["a"][None]) - mean(side["b"][None]))[0]
+        if np.isnan(t):
+            return pd.DataFrame(columns=[*group, "observed", "stars"])
+        rng = np.random.default_rng([seed, *str(tuple(map(str, (key[:-1], key[-1])))).encode()])
+        each, stars = side["a"] + side["b"], []
+        step = max(1, 1_000_000 // len(worth))
+        for k in range(0, draws, step):
+            a = rng.multivariate_hypergeometric(each, int(side["a"].sum()), min(step, draws - k), method="marginals")
+            stars.append(mean(a) - mean(each - a))
+        return pd.DataFrame([(*map(str, key[:-1]), t, np.concatenate(stars))], columns=[*group, "observed", "stars"])
+
+    return _null_test(counted.groupBy(*group, "query").applyInPandas(run, ddl), group)
+
+
+def set_excess(a: np.ndarray, b: np.ndarray, alike: np.ndarray) -> np.ndarray:
+    """Excess divergence of rows of counts of distinct sets of two arms, given the sets' similarities."""
+    na, nb = a.sum(1), b.sum(1)
+    to_a = a @ alike
+    within = lambda m, to, n: ((to * m).sum(1) - n) / (n * (n - 1))
+    between = (to_a * b).sum(1) / (na * nb)
+    return (1 - between) - ((1 - within(a, to_a, na)) + (1 - within(b, b @ alike, nb))) / 2
+
+
+def set_randomisation(lists: DataFrame, contrasts: tuple[tuple[str, str], ...], field: str = "names", draws: int = 2000, seed: int = 12) -> DataFrame:
+    """Randomisation test of excess divergence: the pooled answers' name sets re-assigned to two arms within each query.
+
+    (model, contrast, n_queries, observed, p). Queries with an arm of fewer than two answers take no
+    part. Spark counts equal sets first; a query's draws cost the square of its distinct sets. If
+    there are no more assignments than draws, draws pick from all of them with equal chance.
     """
-    ddl = ", ".join(f"{g} string" for g in group) + ", n_queries int, observed double, p double"
+    sides = F.explode(F.array(*[F.struct(F.lit(f"{a}-{b}").alias("contrast"), F.when(F.col("arm") == a, "a").when(F.col("arm") == b, "b").alias("side")) for a, b in contrasts])).alias("w")
+    counted = lists.select("model", "query", "arm", F.array_sort(F.array_distinct(field)).alias("s")).groupBy("model", "query", "arm", "s").agg(F.count("*").alias("c"))
+    counted = counted.select("model", "query", "s", "c", sides).select("model", "w.contrast", "query", "w.side", "s", "c").where("side is not null")
 
     def run(key: tuple, data: pd.DataFrame) -> pd.DataFrame:
-        stats, total = [], np.zeros(draws)
-        counted = np.zeros(draws)
-        for q, g in sorted(data.groupby("query")):
-            g = g.sort_values(["side", "v"], na_position="last")
-            v, side = g["v"].to_numpy(float), g["side"].to_numpy() == "a"
-            mean = lambda m: np.nanmean(v[m]) if np.isfinite(v[m]).any() else np.nan
-            t = mean(side) - mean(~side)
-            if np.isnan(t):
-                continue
-            stats.append(t)
-            rng = np.random.default_rng([seed, *str((key, q)).encode()])
-            worth, each = np.unique(v, return_counts=True)
-            ok = np.isfinite(worth)
-            step = max(1, 1_000_000 // len(worth))
-            s = lambda m: np.where(m[:, ok].sum(1) > 0, m[:, ok] @ worth[ok] / np.maximum(m[:, ok].sum(1), 1), np.nan)
+        data = data.assign(s=[tuple(x) for x in data["s"]])
+        table = data.pivot_table(index="s", columns="side", values="c", aggfunc="sum", fill_value=0)
+        a, b = (table[x].to_numpy(np.int64) if x in table else np.zeros(len(table), np.int64) for x in "ab")
+        if a.sum() < 2 or b.sum() < 2:
+            return pd.DataFrame(columns=["model", "contrast", "observed", "stars"])
+        names = {x: k for k, x in enumerate(sorted({x for s in table.index for x in s}))}
+        member = np.zeros((len(table), max(1, len(names))))
+        for k, s in enumerate(table.index):
+            member[k, [names[x] for x in s]] = 1
+        both, size = member @ member.T, member.sum(1)
+        union = size[:, None] + size[None] - both
+        alike = np.where(union > 0, both / np.maximum(union, 1), 1.0)
+        rng, each = np.random.default_rng([seed, *str(key).encode()]), a + b
+        if math.comb(int(each.sum()), int(a.sum())) <= draws:
+            of = np.repeat(np.arange(len(each)), each)
+            every = np.array([np.bincount(of[list(x)], minlength=len(each)) for x in combinations(range(len(of)), int(a.sum()))])
+            stars = set_excess(every, each - every, alike)[rng.integers(0, len(every), draws)]
+        else:
+            step, parts = max(1, 4_000_000 // len(each)), []
             for k in range(0, draws, step):
-                a = rng.multivariate_hypergeometric(each, int(side.sum()), min(step, draws - k), method="marginals")
-                d = s(a) - s(each - a)
-                total[k:k + step] += np.nan_to_num(d)
-                counted[k:k + step] += np.isfinite(d)
-        if not stats:
-            return pd.DataFrame([(*map(str, key), 0, None, None)], columns=[c.split()[0] for c in ddl.split(", ")])
-        observed, star = float(np.mean(stats)), (total / np.maximum(counted, 1))[counted > 0]
-        hi, lo = ((star >= observed - 1e-12).sum() + 1) / (len(star) + 1), ((star <= observed + 1e-12).sum() + 1) / (len(star) + 1)
-        return pd.DataFrame([(*map(str, key), len(stats), observed, min(1.0, 2 * min(hi, lo)))], columns=[c.split()[0] for c in ddl.split(", ")])
-
-    return values.groupBy(*group).applyInPandas(run, ddl)
+                x = rng.multivariate_hypergeometric(each, int(a.sum()), min(step, draws - k), method="marginals")
+                parts.append(set_excess(x, each - x, alike))
+            stars = np.concatenate(parts)
+        return pd.DataFrame([(str(key[0]), str(key[1]), float(set_excess(a[None], b[None], alike)[0]), stars)], columns=["model", "contrast", "observed", "stars"])
+
+    per = counted.groupBy("model", "contrast", "query").applyInPandas(run, "model string, contrast string, observed double, stars array<double>")
+    return _null_test(per, ("model", "contrast"))
+
+
+def outcome_tests(rows: DataFrame, y, contrasts: tuple[tuple[str, str], ...]) -> DataFrame:
+    """The registered test of a yes-or-no outcome: (model, contrast, estimate, n, method, p).
+
+    estimate is the mean over queries of the paired difference of shares. P is the mixed model's where
+    it fits, else that of the signed-rank test of the paired differences. y: 0 or 1, null undefined.
+    """
+    d = paired(cell_means(rows, y.cast("double")), contrasts)
+    fit = glmm(binomial_counts(rows.where(y.isNotNull()), y), contrasts).where("status = 'ok' and p is not null and not isnan(p)")
+    fit = fit.select(F.col("job").alias("model"), "contrast", F.col("p").alias("p_fit"))
+    ranks = paired_tests(d, draws=200).select("model", "contrast", "p_rank")
+    return (contrast_means(d).join(ranks, ["model", "contrast"], "left").join(fit, ["model", "contrast"], "left")
+            .select("model", "contrast", "estimate", "n", F.when(F.col("p_fit").isNotNull(), "glmm").otherwise("signed rank").alias("method"), F.coalesce("p_fit", "p_rank").alias("p")))
 
 
 def alternative_annotator(scores: DataFrame, margin: float = 0.15, q: float = 0.05, least: int = 30) -> DataFrame:

@@ -15,7 +15,7 @@ from quillon.operators.study import CONTRASTS, STUDY_SQL, hash32
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-DRAWS = 200
+DRAWS = 10_000
 
 
 class View:

@@ -14,6 +14,10 @@ from quillon.sources.readers import synthetic_study
 from quillon.streaming import runs
 
 
+#: Re-assignments of name sets a query; their cost is the square of a query's distinct sets.
+SET_DRAWS = 2000
+
+
 def _refusals(v: View) -> DataFrame:
     return models.binomial_counts(v.answers.where(layers.predicates()["primary"]), F.col("outcome") == "refusal")
 
@@ -51,7 +55,28 @@ def randomisation(v: View) -> DataFrame:
     rows = v.counted().select("model", "query", "arm", estimate.local_share().alias("v"))
     sides = F.explode(F.array(*[F.struct(F.lit(f"{a}-{b}").alias("contrast"), F.when(F.col("arm") == a, "a").when(F.col("arm") == b, "b").alias("side")) for a, b in CONTRASTS])).alias("s")
     values = rows.select("model", "query", "v", sides).select("model", "query", "v", "s.contrast", "s.side").where("side is not null")
-    return rounded(models.randomisation(values, draws=10_000), "observed", "p")
+    shares = models.randomisation(values, draws=10_000).withColumn("statistic", F.lit("local share"))
+    sets = models.set_randomisation(v.lists, CONTRASTS, draws=SET_DRAWS).withColumn("statistic", F.lit("excess divergence"))
+    return rounded(shares.unionByName(sets), "observed", "p")
+
+
+@query("l5_outcome_tests")
+def outcome_tests(v: View) -> DataFrame:
+    """Refusals among answers that are not degenerate, each contrast with the method that gave its P."""
+    return rounded(models.outcome_tests(v.answers.where(layers.predicates()["primary"]), (F.col("outcome") == "refusal").cast("int"), CONTRASTS), "estimate", "p")
+
+
+@query("l7_registered_families")
+def registered_families(v: View) -> DataFrame:
+    """Every family of registered tests, corrected within itself: two yes-or-no outcomes and two means over queries."""
+    a = v.answers.where(layers.predicates()["primary"])
+    flags = layers.with_flag(a, v.prices.where("currency = 'BDT'"), "priced")
+    parts = {"refusal": models.outcome_tests(a, (F.col("outcome") == "refusal").cast("int"), CONTRASTS), "price": models.outcome_tests(flags, F.col("priced").cast("int"), CONTRASTS)}
+    for name, d in (("share", estimate.paired(v.share_cells(), CONTRASTS)), ("divergence", estimate.excess_divergence(estimate.set_counts(v.lists), CONTRASTS, v.names))):
+        p = models.paired_tests(d, draws=200).select("model", "contrast", F.col("p_rank").alias("p"))
+        parts[name] = estimate.contrast_means(d).join(p, ["model", "contrast"]).withColumn("method", F.lit("signed rank")).select("model", "contrast", "estimate", "n", "method", "p")
+    tests = estimate.union_all([t.withColumn("family", F.lit(f)) for f, t in parts.items()]).withColumn("tie", F.concat("model", "contrast"))
+    return rounded(resample.holm(tests, ("family",), tie="tie").withColumn("rejected", F.col("p_holm") <= 0.05).drop("tie"), "estimate", "p", "p_holm")
 
 
 @query("g5_alternative_annotator")

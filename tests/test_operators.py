@@ -227,3 +227,35 @@ def test_annotators_with_few_items_take_no_part(spark):
 def test_no_differences_speak_for_no_effect(spark):
     d = spark.createDataFrame([("m", "bn-en", f"q{i}", 0.0) for i in range(8)], "model string, contrast string, query string, d double")
     assert [(r.n, r.p_rank) for r in models.paired_tests(d).collect()] == [(0, 1.0)]
+
+
+def test_set_randomisation_against_all_assignments(spark):
+    """One query of 3 and 3 answers: 20 assignments, whose tail is known exactly; two queries average."""
+    from itertools import combinations
+
+    said = {("q", "bn"): [["x"], ["x", "y"], ["x"]], ("q", "en"): [["y"], ["y", "z"], ["z"]], ("r", "bn"): [["x"], ["y"]], ("r", "en"): [["y"], ["z"]], ("s", "bn"): [["x"]], ("s", "en"): [["y"], ["y"]]}
+    rows = [("m", q, arm, r, names) for (q, arm), sets in said.items() for r, names in enumerate(sets)]
+    lists = spark.createDataFrame(rows, "model string, query string, arm string, rep int, names array<string>")
+    jac = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    far = lambda xs, ys: 1 - np.mean([jac(x, y) for x in xs for y in ys])
+    own = lambda xs: 1 - np.mean([jac(x, y) for x, y in combinations(xs, 2)])
+    excess = lambda xs, ys: far(xs, ys) - (own(xs) + own(ys)) / 2
+    pool = said["q", "bn"] + said["q", "en"]
+    every = [excess([pool[i] for i in k], [pool[i] for i in range(6) if i not in k]) for k in combinations(range(6), 3)]
+    t = excess(said["q", "bn"], said["q", "en"])
+    want = min(1, 2 * min(np.mean([e >= t - 1e-12 for e in every]), np.mean([e <= t + 1e-12 for e in every])))
+    for draws, slack in ((4000, 0.03), (19, 0.4)):  # all assignments, or drawn ones
+        got = models.set_randomisation(lists.where("query = 'q'"), PAIR, draws=draws).first()
+        assert (got.n_queries, got.observed) == (1, pytest.approx(t)) and got.p == pytest.approx(want, abs=slack)
+    two = models.set_randomisation(lists, PAIR, draws=500).first()
+    assert two.n_queries == 2 and two.observed == pytest.approx((t + excess(said["r", "bn"], said["r", "en"])) / 2)
+    assert models.set_randomisation(lists.repartition(5), PAIR, draws=500).first() == two
+
+
+def test_outcome_tests_name_their_method(spark):
+    rng = np.random.default_rng(8)
+    rows = [("m", f"q{q}", arm, int(rng.random() < (0.6 if arm == "bn" else 0.2))) for q in range(15) for arm in ("en", "bn") for _ in range(20)]
+    rows += [("never", f"q{q}", arm, 0) for q in range(15) for arm in ("en", "bn") for _ in range(5)]
+    got = {r.model: r for r in models.outcome_tests(spark.createDataFrame(rows, "model string, query string, arm string, y int"), F.col("y"), PAIR).collect()}
+    assert got["m"].method == "glmm" and got["m"].p < 1e-6 and got["m"].estimate > 0.2
+    assert got["never"].method == "signed rank" and got["never"].p == 1.0 and got["never"].estimate == 0
