@@ -37,13 +37,13 @@ def tasks(docs: DataFrame, text: str = "text", size: int = TASK_BYTES) -> int:
 def pack(docs: DataFrame, parts: int, size: int = BUNDLE_BYTES) -> DataFrame:
     """docs as (bundle, payload), dealt by bundle to parts tasks. Rows keep their order and all their columns.
 
-    A bundle's number is its partition and its place in it, the same each time a table is read.
+    A bundle's number follows from its partition and its place in it, the same each time a table is read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId() << 33
+        task, made = TaskContext.get().partitionId(), 0
         for b in batches:
             if not b.num_rows:
                 continue
@@ -56,8 +56,8 @@ def pack(docs: DataFrame, parts: int, size: int = BUNDLE_BYTES) -> DataFrame:
                 part = pa.Table.from_batches([b.slice(i, j - i)]).rename_columns(names)
                 with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                     w.write_table(part)
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["bundle", "payload"])
-                number += 1
+                yield pa.RecordBatch.from_arrays([pa.array([bundle_number(task, made, parts)], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["bundle", "payload"])
+                made += 1
         trim()
 
     names = docs.columns
@@ -74,6 +74,46 @@ def column(table: pa.Table, name: str | int) -> pa.Array:
     return c.chunk(0) if c.num_chunks == 1 else pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type)
 
 
+def _mixed(h: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """One step of Murmur3 on 32-bit numbers."""
+    k = k * np.uint32(0xCC9E2D51)
+    k = ((k << np.uint32(15)) | (k >> np.uint32(17))) * np.uint32(0x1B873593)
+    h = h ^ k
+    return ((h << np.uint32(13)) | (h >> np.uint32(19))) * np.uint32(5) + np.uint32(0xE6546B64)
+
+
+def partition_of(x: np.ndarray, n: int) -> np.ndarray:
+    """The partition of n that Spark's hash partitioning deals an int32 or int64 key to."""
+    wide = x.dtype == np.int64
+    words = x.astype(np.uint64)
+    h = _mixed(np.full(len(x), 42, np.uint32), words.astype(np.uint32))
+    if wide:
+        h = _mixed(h, (words >> np.uint64(32)).astype(np.uint32))
+    h = h ^ np.uint32(8 if wide else 4)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return (h ^ (h >> np.uint32(16))).astype(np.int32).astype(np.int64) % n
+
+
+def labels(n: int, most: int = 1 << 20) -> np.ndarray:
+    """A key for each of n buckets, each in a partition of its own, so that no task gets several; beyond most any keys."""
+    if n > most:
+        return np.arange(n, dtype=np.int32)
+    tried = 8 * n
+    while True:
+        places, first = np.unique(partition_of(np.arange(tried, dtype=np.int32), n), return_index=True)
+        if len(places) == n:
+            return first.astype(np.int32)
+        tried *= 2
+
+
+def bundle_number(task: int, i: int, n: int) -> int:
+    """A number for the i-th bundle of a task; of 4096 that it may have, one that deals bundles to n partitions in turn."""
+    may = (np.int64(task) << np.int64(33)) + (np.int64(i) << np.int64(12)) + np.arange(4096, dtype=np.int64)
+    hit = np.flatnonzero(partition_of(may, n) == (task * 7919 + i) % n)
+    return int(may[hit[0] if len(hit) else 0])
+
+
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     """By the upper bits, so that sorted hashes lie in sorted buckets."""
     return (((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)

@@ -99,6 +99,8 @@ def describe(docs: DataFrame, size: int = SHINGLE, percent: tuple[int, int] = PE
     further rows. No group of documents is ever gathered.
     """
     n = B.tasks(docs)
+    names = B.labels(n).tolist()
+    number = {x: k for k, x in enumerate(names)}
     packed = B.pack(docs, n)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +108,7 @@ def describe(docs: DataFrame, size: int = SHINGLE, percent: tuple[int, int] = PE
             for bundle, payload in zip(b.column(0).to_pylist(), b.column(1)):
                 keys, counts = _Sets(payload.as_py(), size).frequencies()
                 places = np.searchsorted(_bucket(keys, n), np.arange(n + 1))
-                parts = [(k, _pack_counts(keys[places[k]:places[k + 1]], counts[places[k]:places[k + 1]])) for k in np.flatnonzero(np.diff(places)).tolist()]
+                parts = [(names[k], _pack_counts(keys[places[k]:places[k + 1]], counts[places[k]:places[k + 1]])) for k in np.flatnonzero(np.diff(places)).tolist()]
                 yield from B.blocks(bundle, parts).to_batches()
         trim()
 
@@ -136,8 +138,8 @@ def describe(docs: DataFrame, size: int = SHINGLE, percent: tuple[int, int] = PE
         keys, _ = s.frequencies()
         places = np.searchsorted(_bucket(keys, n), np.arange(n + 1))
         df = np.ones(len(keys), np.int64)
-        for k, raw in zip(right.column("bucket").to_pylist(), right.column("payload")):
-            raw = raw.as_py()
+        for bucket, raw in zip(right.column("bucket").to_pylist(), right.column("payload")):
+            k, raw = number[bucket], raw.as_py()
             m = len(raw) // 10
             df[places[k] + np.cumsum(B.unplanes(raw[:4 * m], 4).astype(np.int64))] = B.unplanes(raw[4 * m:], 6).astype(np.int64)
         out = [pa.table([pa.array(np.full(len(s.ids), DOCUMENT, np.int8)), s.ids, pa.array(s.names, pa.binary()), pa.array(s.n, pa.int32()),

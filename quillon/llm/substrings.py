@@ -71,6 +71,7 @@ def shared_runs(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, cov
     windows: 3e-13).
     """
     n = B.tasks(docs)
+    names = B.labels(n).tolist()
     packed = B.pack(docs.select("doc_id", "text", *map(quoted, carry)), n)
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +87,7 @@ def shared_runs(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, cov
                 parts = []
                 for k in np.flatnonzero(np.diff(places)).tolist():
                     s = slice(places[k], places[k + 1])
-                    parts.append((k, np.int64(many[s].sum()).tobytes() + u[s][many[s]].tobytes() + u[s][~many[s]].tobytes()))
+                    parts.append((names[k], np.int64(many[s].sum()).tobytes() + u[s][many[s]].tobytes() + u[s][~many[s]].tobytes()))
                 yield from B.blocks(bundle, parts).to_batches()
         trim()
 
@@ -125,7 +126,7 @@ def shared_runs(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, cov
         order, begin = _groups(h, g, ids)
         h, g, ids = h[order][begin], g[order][begin], ids[order][begin]
         places = B.cut(h, n)
-        parts = [(k, _pack_windows(h[s], g[s], ids[s])) for k in np.flatnonzero(np.diff(places)).tolist() for s in [slice(places[k], places[k + 1])]]
+        parts = [(names[k], _pack_windows(h[s], g[s], ids[s])) for k in np.flatnonzero(np.diff(places)).tolist() for s in [slice(places[k], places[k + 1])]]
         return B.blocks(bundle, parts)
 
     @B.trimmed

@@ -667,3 +667,15 @@ def test_near_vectors_at_the_limit(spark):
     rows = [(1, [1.0, 0.0]), (2, [4.0, 3.0]), (3, [3.999, 3.001]), (4, [-1.0, 0.0])]
     got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cosine=0.8)
     assert sorted(listed(got, "vec_id", "n_links")) == [(1, 1), (2, 2), (3, 1), (4, 0)]
+
+
+def test_buckets_and_bundles_are_dealt_evenly(spark):
+    from quillon.llm import bundles as B
+
+    for n in (1, 7, 50):
+        keys = B.labels(n).tolist()
+        got = spark.createDataFrame([(k,) for k in keys], "k int").repartition(n, "k").select(F.spark_partition_id().alias("p")).distinct().count()
+        assert got == n and len(set(keys)) == n
+    numbers = [B.bundle_number(t, i, 13) for t in (0, 3) for i in range(26)]
+    rows = spark.createDataFrame([(k,) for k in numbers], "k long").repartition(13, "k").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(set(numbers)) == 52 and [r["count"] for r in rows] == [4] * 13
