@@ -111,7 +111,8 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULE
     A url that a rule fits gets its verdict; any other is blocked iff its host's distrust exceeds
     balance times its trust, so a host without either is allowed. Null urls, and urls without
     ://, have an empty host and path, no rule, and are allowed. Null html has no links. Repeated
-    rows are judged alike, each on its own row. Empty tables give empty results.
+    rows are judged alike, each on its own row, and weigh in the seeds and links by their number.
+    Empty tables give empty results; other columns are not read.
     """
     host, path = url_host(F.col("url")), url_path(F.col("url"))
     judged = pages.select("page_id", host.alias("host"), path.alias("path"), "html").withColumn("_m", match_rule(F.col("host"), F.col("path"), rules))

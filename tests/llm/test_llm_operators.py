@@ -679,3 +679,87 @@ def test_buckets_and_bundles_are_dealt_evenly(spark):
     numbers = [B.bundle_number(t, i, 13) for t in (0, 3) for i in range(26)]
     rows = spark.createDataFrame([(k,) for k in numbers], "k long").repartition(13, "k").groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert len(set(numbers)) == 52 and [r["count"] for r in rows] == [4] * 13
+
+
+def test_sharding_is_the_exact_cut(docs):
+    """Rows in order of doc_id, text_crc32 and size; a row's shard holds the middle of its bytes."""
+    rows = sorted((r.doc_id, zlib.crc32((r.text or "").encode()), len((r.text or "").encode()) + 16) for r in docs.collect())
+    total, seen, want, used = sum(r[2] for r in rows), 0, [], defaultdict(int)
+    for i, crc, size in rows:
+        shard = min(39, (2 * seen + size) * 40 // (2 * total))
+        want.append((i, crc, size, shard, used[shard]))
+        used[shard] += 1
+        seen += size
+    assert sorted(listed(sharding.op2(docs), "doc_id", "text_crc32", "size", "shard", "slot")) == sorted(want)
+
+
+def test_tree_matching_by_brute_force():
+    """Sizes of matchings of random trees against the recurrence over all pairs of children."""
+    rng = random.Random(12)
+
+    def grow(depth):
+        tag = rng.choice(["div", "b", "i"])
+        return (tag, tuple(grow(depth - 1) for _ in range(rng.randint(0, 3)))) if depth else (tag, ())
+
+    def size(x, y):
+        if x[0] != y[0]:
+            return 0
+        table = [[0] * (len(y[1]) + 1) for _ in range(len(x[1]) + 1)]
+        for i, c in enumerate(x[1]):
+            for j, d in enumerate(y[1]):
+                table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + size(c, d))
+        return 1 + table[-1][-1]
+
+    html = lambda t: f"<{t[0]}>{''.join(map(html, t[1]))}</{t[0]}>"
+    for _ in range(60):
+        a, b = ("html", tuple(grow(4) for _ in range(2))), ("html", tuple(grow(4) for _ in range(3)))
+        trees = [pages.parse("".join(map(html, t[1]))) for t in (a, b)]
+        aligner = pages.Aligner()
+        for t in trees:
+            aligner.number(t)
+        pairs = aligner.pairs(*trees)
+        assert aligner.size(trees[0].shape, trees[1].shape) == len(pairs) == size(a, b)
+        assert all(x.tag == y.tag for x, y in pairs)
+
+
+def test_distrust_ranks(spark):
+    """Distrust against the links, in a graph with a loop and unequal numbers of links, by plain iteration."""
+    link = lambda *hs: "".join(f"<a href='http://{h}/'>t</a>" for h in hs)
+    pages_ = {"x.com": "", "a.net": link("x.com", "b.net"), "b.net": link("a.net", "c.net"), "c.net": link("x.com"), "d.net": link("a.net", "good.org"), "good.org": link("d.net")}
+    rows = [(i, f"http://{hst}/{'de/' if hst == 'x.com' else ''}1", body) for i, (hst, body) in enumerate(pages_.items())]
+    got = {r.host: r for r in urls.op9(spark.createDataFrame(rows + rows[:1], "page_id long, url string, html string")).collect()}
+    import re
+
+    out = {hst: re.findall("http://([^/]+)/", body) for hst, body in pages_.items()}
+    into = {hst: [s for s in out if hst in out[s]] for hst in out}
+
+    def rank(edges, seed):
+        r = {}
+        for _ in range(400):
+            new = defaultdict(float, {seed: 0.15})
+            for s, ts in edges.items():
+                for t in ts:
+                    new[t] += 0.85 * r.get(s, 0.0) / len(ts)
+            r = new
+        return r
+
+    distrust, trust = rank(into, "x.com"), rank(out, "good.org")
+    for hst, r in got.items():
+        assert r.distrust == pytest.approx(distrust[hst], abs=1e-7) and r.trust == pytest.approx(trust[hst], abs=1e-7)
+        assert r.verdict == ("block" if hst == "x.com" else "allow" if hst == "good.org" or distrust[hst] <= trust[hst] else "block")
+
+
+def test_label_model_counts_repeated_votes_once():
+    """Three voters that repeat one another weigh like one; a lone vote counts in full; accuracies follow the votes."""
+    rng = np.random.default_rng(3)
+    truth = rng.random(4000) < 0.4
+    cast = lambda right, share: (rng.random(4000) < share) & np.where(truth, rng.random(4000) < right, rng.random(4000) > right)
+    one = cast(0.9, 0.6)
+    votes = np.stack([one, one, one, cast(0.85, 0.6), ~truth & (rng.random(4000) < 0.5)], 1).astype(np.float32)
+    side = np.array([True, True, True, True, False])
+    p, right, alike = toxicity.label_model(votes, side, np.full(5, 0.8), 0.4)
+    assert (alike[:3, :3] > 0.99).all() and alike[0, 3] == 0 and alike[0, 4] == 0
+    only = (votes[:, 0] == 1) & (votes[:, 3:] == 0).all(1)
+    assert np.allclose(p[only], right[0], atol=0.01)
+    voted = votes.any(1)
+    assert np.mean((p > 0.5)[voted] == truth[voted]) > 0.85
