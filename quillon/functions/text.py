@@ -42,17 +42,27 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with value computed once, however often f uses it: Catalyst may copy a plain expression to each use."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def script_ratio(text: Column, script: str = BENGALI, other: str = LATIN) -> Column:
     """Characters of a script among those of it and of another; 0 without either."""
-    a, b = _count(text, f"[{script}]"), _count(text, f"[{other}]")
-    return F.when(a + b > 0, a / (a + b)).otherwise(0.0)
+    counts = F.struct(_count(text, f"[{script}]").alias("a"), _count(text, f"[{other}]").alias("b"))
+    return let(counts, lambda c: F.when(c["a"] + c["b"] > 0, c["a"] / (c["a"] + c["b"])).otherwise(0.0))
 
 
 def script_ratio_words(text: Column, script: str = BENGALI, other: str = LATIN) -> Column:
-    """Words of which the script has at least half of the letters, among words with a letter of either; 0 without."""
-    words = F.filter(F.split(text, f"{BLANK}+"), lambda w: w.rlike(f"[{script}{other}]"))
-    mine = F.filter(words, lambda w: _count(w, f"[{script}]") >= _count(w, f"[{other}]"))
-    return F.when(F.size(words) > 0, F.size(mine) / F.size(words)).otherwise(0.0)
+    """Words of which the script has at least half of the letters, among words with a letter of either; 0 without.
+
+    The text is first reduced to its words' letters, one mark for each script, so that words are
+    compared by lengths and not searched one by one.
+    """
+    marks = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, f"{BLANK}+", " "), f"[^ {script}{other}]+", ""), f"[{script}]", "\u0001")
+    words = F.filter(F.split(marks, " "), lambda w: w != "")
+    mine = lambda w: 2 * F.length(F.replace(w, F.lit("\u0001"), F.lit(""))) <= F.length(w)
+    return let(words, lambda ws: F.when(F.size(ws) > 0, F.size(F.filter(ws, mine)) / F.size(ws)).otherwise(0.0))
 
 
 def prose_ratio(text: Column, script: str = BENGALI, other: str = LATIN) -> Column:
@@ -61,10 +71,10 @@ def prose_ratio(text: Column, script: str = BENGALI, other: str = LATIN) -> Colu
     Capitalised Latin words are names; marks before the first letter do not hide it. If no letter is
     left, the ratio is that of the whole text.
     """
-    words = F.split(F.regexp_replace(text, BRACKETS, " "), f"{BLANK}+")
-    name = lambda w: ~w.rlike(f"[{script}]") & w.rlike(f"[{other}]") & w.rlike(rf"^{LEADING}\p{{Lu}}")
-    prose = F.array_join(F.filter(words, lambda w: (w != "") & ~w.rlike(r"\p{Nd}") & ~name(w)), " ")
-    return F.when(prose.rlike(f"[{script}{other}]"), script_ratio(prose, script, other)).otherwise(script_ratio(text, script, other))
+    flat = F.regexp_replace(F.regexp_replace(text, BRACKETS, " "), f"{BLANK}+", " ")
+    prose = F.regexp_replace(flat, r"(?<![^ ])[^ ]*\p{Nd}[^ ]*", "")
+    prose = F.regexp_replace(prose, rf"(?<![^ ])(?![^ ]*[{script}])(?=[^ ]*[{other}]){LEADING}\p{{Lu}}[^ ]*", "")
+    return let(prose, lambda p: F.when(p.rlike(f"[{script}{other}]"), script_ratio(p, script, other)).otherwise(script_ratio(text, script, other)))
 
 
 def script_class(ratio: Column) -> Column:
@@ -77,16 +87,22 @@ def degenerate(text: Column) -> Column:
     A unit of p characters, not all blank, must repeat to the text's end at least LOOP_REPEATS times
     and over LOOP_SPAN characters, white space being one space. The shortest unit is named.
     """
-    body = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{BLANK}+|{BLANK}+$", "")
-    bad = _count(body, r"[\uFFFD[\p{Cc}&&[^\n\r\t]]]")
-    flat = F.trim(F.regexp_replace(body, f"{BLANK}+", " "))
-    loops = []
-    for period in range(1, LOOP_PERIOD + 1):
-        times = max(LOOP_REPEATS, -(-LOOP_SPAN // period))
-        unit = F.right(flat, F.lit(period))
-        same = (F.length(flat) >= period * times) & (F.trim(unit) != "") & (F.right(flat, F.lit(period * times)) == F.repeat(unit, times))
-        loops.append(F.when(same, F.lit(f"loop:period{period}x{times}")))
-    return F.when(body == "", "empty").when(bad > BAD_SHARE * F.length(body), "unreadable_chars").otherwise(F.coalesce(*loops))
+    def loop(flat: Column) -> Column:
+        found = []
+        for period in range(1, LOOP_PERIOD + 1):
+            times = max(LOOP_REPEATS, -(-LOOP_SPAN // period))
+            unit = F.substring(flat, -period, period)
+            same = (F.length(flat) >= period * times) & (F.trim(unit) != "") & (F.substring(flat, -period * times, period * times) == F.repeat(unit, times))
+            found.append(F.when(same, F.lit(f"loop:period{period}x{times}")))
+        return F.coalesce(*found)
+
+    def reason(body: Column) -> Column:
+        bad = _count(body, r"[\uFFFD[\p{Cc}&&[^\n\r\t]]]")
+        # a loop's tail has at most LOOP_PERIOD * LOOP_REPEATS characters: only those are compared
+        return (F.when(body == "", "empty").when(bad > BAD_SHARE * F.length(body), "unreadable_chars")
+                .otherwise(let(F.trim(F.regexp_replace(body, f"{BLANK}+", " ")), lambda flat: let(F.substring(flat, -LOOP_PERIOD * LOOP_REPEATS, LOOP_PERIOD * LOOP_REPEATS), loop))))
+
+    return let(F.regexp_replace(F.coalesce(text, F.lit("")), f"^{BLANK}+|{BLANK}+$", ""), reason)
 
 
 def first_rule(text: Column, rules: list[tuple[str, str]]) -> Column:

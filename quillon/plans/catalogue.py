@@ -663,7 +663,8 @@ select doc_id, round(ratio, 6) as ratio, round(ratio_words, 6) as ratio_words, r
 def script_ratio(v: View) -> DataFrame:
     """T3 to T6; accented letters stand in for the script, which these tables lack."""
     t, script = F.col("text"), "À-ÿ"
-    r = v.table("documents").select("doc_id", text.script_ratio(t, script).alias("ratio"), text.script_ratio_words(t, script).alias("ratio_words"), text.prose_ratio(t, script).alias("prose"))
+    each = F.struct(text.script_ratio(t, script).alias("ratio"), text.script_ratio_words(t, script).alias("ratio_words"), text.prose_ratio(t, script).alias("prose"))
+    r = v.table("documents").select("doc_id", F.explode(F.array(each)).alias("r")).select("doc_id", "r.*")  # computed once, then used
     return rounded(r.withColumn("script", text.script_class(F.col("prose"))), "ratio", "ratio_words", "prose")
 
 
