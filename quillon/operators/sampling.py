@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +25,11 @@ def plan(*dimensions: DataFrame) -> DataFrame:
 def per_stratum(rows: DataFrame, stratum: tuple[str, ...], k: int, seed: str, key: str = "key") -> DataFrame:
     """k rows of each stratum by hash order, all if fewer; shortfall says how many are missing."""
     order = Window.partitionBy(*stratum).orderBy(shuffle_key(seed, F.col(key)), key)
-    n = F.count("*").over(Window.partitionBy(*stratum))
-    return rows.withColumn("_r", F.row_number().over(order)).withColumn("shortfall", F.greatest(F.lit(0), k - n)).where(F.col("_r") <= k).drop("_r")
+    # each task keeps its first k of a stratum before the shuffle; sizes are counted apart, map-side
+    kept = rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
+    sizes = rows.groupBy(*[F.col(c).alias(f"_{c}") for c in stratum]).agg(F.greatest(F.lit(0), k - F.count("*")).alias("shortfall"))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in stratum])
+    return kept.join(sizes, same).drop(*[f"_{c}" for c in stratum])
 
 
 def round_robin(rows: DataFrame, bucket: tuple[str, ...], n: int, seed: str, key: str = "key") -> DataFrame:
