@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from html import unescape
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import guarded, materialise
 from quillon.llm.urls import url_host
 
-#: Pages of one host that are aligned with one another; a larger host is cut into such groups.
+#: Pages of one host that one task reads; a larger host is spread over such groups, which share a template and its verdict.
 GROUP_PAGES = 64
 #: Largest table kept to read a matching back; longer lists are halved by Hirschberg's method, with the same matching size.
 TABLE_CELLS = 1_000_000
@@ -32,6 +34,7 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 BLOCK = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure
 footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th
 thead tr ul""".split())
+HOLDERS = BLOCK - frozenset("p h1 h2 h3 li td".split())
 NOT_TEXT = frozenset("""head script style noscript template nav footer aside form button input select option textarea iframe
 object embed svg canvas audio video dialog menu title xmp noembed noframes""".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -44,6 +47,15 @@ breadcrumb breadcrumbs toolbar footer comment comments commentlist disqus respon
 related recommended newsletter subscribe subscription signup login popup modal overlay pagination pager masthead topbar skip""".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
+#: Rows of a group that is read: one a page, and one with what the group found.
+READ = pa.schema([("host", pa.string()), ("url", pa.string()), ("aligned", pa.bool_()), ("roots", pa.list_(pa.int32())),
+                  ("lines", pa.list_(pa.struct([("text", pa.string()), ("near", pa.int32()), ("mark", pa.int64()), ("own", pa.bool_())]))),
+                  ("found", pa.list_(pa.struct([("node", pa.int32()), ("slot", pa.int64()), ("text", pa.string()), ("weight", pa.int64())])))])
+#: A group's pages in an order that no shuffle changes: of copies the first is heard.
+ORDER = [("page_id", "ascending"), ("url", "ascending"), ("html", "ascending")]
+READ_SQL = """host string, url string, aligned boolean, roots array<int>, lines array<struct<text: string, near: int, mark: bigint, own: boolean>>,
+found array<struct<node: int, slot: bigint, text: string, weight: bigint>>"""
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 PARTS = re.compile(r"[a-z]+")
@@ -389,59 +401,171 @@ def extract_group(htmls: list[str | None]) -> list[str]:
     alone, or stands in a group without enough distinct pages to tell, is read by its own marks.
     """
     trees = [parse(h or "") for h in htmls]
-    content = [_marked(t) or [t] for t in trees]
-    if len(trees) > 1:
-        _decide(trees, content)
-    return ["\n\n".join(b for node in nodes for b in blocks(node)) for nodes in content]
+    readings, found = _read(trees, _median(trees))
+    whole = sum(e.weight for e in found if e.node < 0)
+    verdict = decide(_median(trees), {e.node: e.slot for e in found if e.text is None and e.node >= 0},
+                     [(e.node, e.text) for e in found if e.text is not None and 2 * e.weight >= whole])
+    return ["\n\n".join(r.compose(verdict)) for r in readings]
+
+
+class Line(NamedTuple):
+    """A block's text; the template node it stands in; the mark of its owner and text, if template text; whether a page's own marks hold it."""
+
+    text: str
+    near: int
+    mark: int | None
+    own: bool
+
+
+class Evidence(NamedTuple):
+    """What a group says of a template node: the length of its varying text, or a text most distinct pages have, by their weight.
+
+    Node -1 carries the weight of the whole group.
+    """
+
+    node: int
+    slot: int
+    text: str | None
+    weight: int
+
+
+class Verdict(NamedTuple):
+    """The root's place among the template's nodes (first, past the last), whether marks hold it, and marks of template text."""
+
+    start: int
+    end: int
+    own: bool
+    drop: frozenset[int]
+
+
+class Reading(NamedTuple):
+    """A page's lines, whether it aligns, and the template nodes it has that can be roots."""
+
+    lines: list[Line]
+    aligned: bool
+    roots: list[int]
+
+    def compose(self, v: Verdict | None) -> list[str]:
+        """The blocks that stay; extract() states the same as an expression."""
+        if v is None or not self.aligned:
+            return [x.text for x in self.lines if x.own]
+        inside = not v.own and v.start in self.roots
+        return [x.text for x in self.lines if (v.start <= x.near < v.end if inside else x.own) and x.mark not in v.drop]
 
 
-def _decide(trees: list[Node], content: list[list[Node]]) -> None:
-    """Put each aligned page's content nodes into content, and take template text out of them."""
+def _median(trees: list[Node]) -> Node:
+    """The tree with the median number of nodes, the first of equals."""
+    sizes = [sum(1 for _ in _all(t)) for t in trees]
+    return trees[sorted(range(len(trees)), key=lambda k: (sizes[k], k))[len(trees) // 2]]
+
+
+def _all(root: Node):
+    """All nodes in page order."""
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        yield node
+        todo += reversed(node.elements())
+
+
+def _mark(node: int, text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{node} {text}".encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def _lines(root: Node, place: dict[int, int]) -> list[Line]:
+    """The blocks of a page as blocks() gives them, with the template nodes (place, by id) they belong to."""
+    out: list[Line] = []
+    line: list[str] = []
+    marked = {id(n) for n in _marked(root)}
+    owners = [(root, place.get(id(root), -1), not marked)]
+
+    def flush() -> None:
+        text = " ".join("".join(line).split())
+        line.clear()
+        if text:
+            owner, near, own = owners[-1]
+            at = place.get(id(owner))
+            out.append(Line(text, near, None if at is None else _mark(at, owner.text), own))
+
+    todo: list[Node | str | None] = [root]
+    while todo:
+        x = todo.pop()
+        if x is None:
+            flush()
+            owners.pop()
+        elif isinstance(x, str):
+            line.append(x)
+        elif x.aside:
+            continue
+        elif x.tag == "br":
+            line.append(" ")
+        else:
+            if x.tag in BLOCK:
+                flush()
+                owners.append((x, place.get(id(x), owners[-1][1]), owners[-1][2] or id(x) in marked))
+                todo.append(None)
+            todo += reversed(x.children)
+    flush()
+    return out
+
+
+def _read(trees: list[Node], template: Node) -> tuple[list[Reading], list[Evidence]]:
+    """Readings of a group's pages against a template, and the group's evidence about it.
+
+    A group with fewer than LEAST_PAGES distinct pages says nothing, or, if the template has no
+    article or main, only where text varies.
+    """
     aligner = Aligner()
-    for t in trees:
+    for t in {id(t): t for t in (template, *trees)}.values():
         aligner.number(t)
-    order = sorted(range(len(trees)), key=lambda k: (aligner.nodes[trees[k].shape], k))
-    template = trees[order[len(order) // 2]]
-    marks = _marked(template)
-    voices = _voices(trees)
-    if len(voices) < LEAST_PAGES:
-        if marks:
-            return
-        if len(voices) < 2:
-            voices = list(range(len(trees)))
+    number = {id(x): k for k, x in enumerate(_all(template))}
+    heard = _voices(trees)
+    few = len(heard) < LEAST_PAGES
+    silent = len(trees) < 2 or few and bool(_marked(template))
+    if len(heard) < 2:
+        heard = list(range(len(trees)))
     texts: dict[int, Counter] = {}
-    matched: dict[int, dict[int, Node]] = {}
-    heard = set(voices)
-    aligned = 0
+    out, aligned = [], 0
     for k, t in enumerate(trees):
         pairs = aligner.pairs(template, t)
-        if 2 * len(pairs) < min(aligner.nodes[template.shape], aligner.nodes[t.shape]):
-            continue
-        aligned += k in heard
-        for x, y in pairs:
-            matched.setdefault(id(x), {})[k] = y
-            if k in heard:
+        fits = 2 * len(pairs) >= min(aligner.nodes[template.shape], aligner.nodes[t.shape])
+        place = {id(y): number[id(x)] for x, y in pairs} if fits else {}
+        if fits and k in heard:
+            aligned += 1
+            for x, y in pairs:
                 texts.setdefault(id(x), Counter())[y.text] += 1
-    held = _slots(template, texts)
+        out.append(Reading(_lines(t, place), fits, sorted(number[id(x)] for x, _ in pairs if x.tag in HOLDERS) if fits else []))
+    if silent:
+        return out, []
+    found = [Evidence(-1, 0, None, aligned)]
+    for x in _walk(template):
+        c = texts.get(id(x), Counter())
+        if len(c) > 1 and x.tag in BLOCK:
+            found.append(Evidence(number[id(x)], sum(len(t) * n for t, n in c.items()), None, 0))
+        found += [Evidence(number[id(x)], 0, t, aligned) for t, n in c.items() if t and not few and n >= max(LEAST_PAGES, aligned / 2)]
+    return out, found
+
+
+def decide(template: Node, slots: dict[int, int], common: list[tuple[int, str]]) -> Verdict | None:
+    """The content root and the template text of a host, from the summed evidence of its groups."""
+    nodes = list(_all(template))
+    number = {id(x): k for k, x in enumerate(nodes)}
+    held = _slots(template, {id(nodes[k]): n for k, n in slots.items()})
     root = _content_root(template, held)
     if root is None:
-        return
+        return None
+    marks = _marked(template)
     inside = {id(n) for m in marks for n in _walk(m)}
-    own = id(root) in inside or sum(held.get(id(m), 0) for m in marks) > 0.6 * held[id(root)] and all(id(m) in {id(n) for n in _walk(root)} for m in marks)
-    if not own:
-        for k, y in matched[id(root)].items():
-            content[k] = [y]
+    below = {id(n) for n in _walk(root)}
+    own = id(root) in inside or sum(held.get(id(m), 0) for m in marks) > 0.6 * held[id(root)] and all(id(m) in below for m in marks)
     named = {id(n) for m in _walk(template) if m.soft for n in _walk(m)}
-    for x in _walk(template):
-        (text, n), = texts.get(id(x), Counter({"": 0})).most_common(1)
-        if text and n >= max(LEAST_PAGES, aligned / 2) and (id(x) not in inside or id(x) in named or len(text.split()) >= LEAST_WORDS):
-            for y in matched[id(x)].values():
-                if y.text == text and y.tag in BLOCK:
-                    y.children = [c for c in y.children if isinstance(c, Node) and any(n.tag in BLOCK for n in _walk(c))]
+    drop = frozenset(_mark(k, text) for k, text in common if id(nodes[k]) not in inside or id(nodes[k]) in named or len(text.split()) >= LEAST_WORDS)
+    start = number[id(root)]
+    return Verdict(start, start + sum(1 for _ in _all(root)), own, drop)
 
 
-def _slots(template: Node, texts: dict[int, Counter]) -> dict[int, int]:
-    """Of each node outside asides, the length of the text in and below it that varies."""
+def _slots(template: Node, own: dict[int, int]) -> dict[int, int]:
+    """Of each node outside asides, the length of the text in and below it that varies; own: that in it."""
     held: dict[int, int] = {}
     todo = [(template, False)]
     while todo:
@@ -452,9 +576,7 @@ def _slots(template: Node, texts: dict[int, Counter]) -> dict[int, int]:
             todo.append((node, True))
             todo += [(c, False) for c in node.elements()]
             continue
-        c = texts.get(id(node), Counter())
-        own = sum(len(t) * n for t, n in c.items()) if len(c) > 1 and node.tag in BLOCK else 0
-        held[id(node)] = own + sum(held.get(id(x), 0) for x in node.elements())
+        held[id(node)] = own.get(id(node), 0) + sum(held.get(id(x), 0) for x in node.elements())
     return held
 
 
@@ -462,7 +584,7 @@ def _content_root(template: Node, held: dict[int, int]) -> Node | None:
     """From the top down, as long as one child holds most of the text that varies."""
     node = template
     while held.get(id(node)):
-        inner = [(held[id(c)], c) for c in node.elements() if not c.aside and c.tag in BLOCK and c.tag not in ("p", "h1", "h2", "h3", "li", "td")]
+        inner = [(held[id(c)], c) for c in node.elements() if not c.aside and c.tag in HOLDERS]
         best = max(inner, key=lambda x: x[0], default=(0, node))
         if best[0] <= 0.6 * held[id(node)]:
             return node
@@ -473,21 +595,67 @@ def _content_root(template: Node, held: dict[int, int]) -> Node | None:
 def extract(pages: DataFrame, group_pages: int = GROUP_PAGES) -> DataFrame:
     """(page_id, url, text) of every page by its whole html.
 
-    Pages are grouped by host, large hosts cut by a hash into groups of about group_pages, so a
-    host that holds a third of all pages is spread over many tasks, each of bounded size. Null
+    Pages are grouped by host. A host of more than group_pages pages is spread over groups of
+    about that many, by a hash, so that one with a third of all pages makes many tasks of bounded
+    size; its groups share one template and one verdict, the sum of what all of them found. Null
     html gives an empty text; pages without a host form hosts of their own name. Repeated rows
-    give equal texts unless their groups' templates differ. Empty tables give empty results.
+    give equal texts. Empty tables give empty results.
     """
+    kind = pages.select("page_id").schema[0].dataType.simpleString()
     named = pages.select("page_id", "url", "html").withColumn("host", url_host(F.col("url")))
-    sizes = guarded(materialise(named.groupBy(F.col("host").alias("h")).agg(F.ceil(F.count("*") / group_pages).cast("int").alias("cuts"))))
-    dealt = named.join(sizes, named["host"] == F.col("h")).withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("cuts")).cast("int"))
+    sizes = materialise(named.groupBy(F.col("host").alias("h")).agg(F.ceil(F.count("*") / group_pages).cast("int").alias("cuts")))
+    dealt = named.join(guarded(sizes), named["host"] == F.col("h")).drop("h")
 
-    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        texts = extract_group(t.column("html").to_pylist())
-        return pa.table([t.column("page_id"), t.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by(ORDER)
+        return pa.table([t.column("page_id"), t.column("url"), pa.array(extract_group(t.column("html").to_pylist()), pa.string())], names=["page_id", "url", "text"])
 
-    kind = pages.select("page_id").schema[0].dataType.simpleString()
-    return dealt.select("host", "part", "page_id", "url", "html").groupBy("host", "part").applyInArrow(run, f"page_id {kind}, url string, text string")
+    small = dealt.where("cuts = 1").select("host", "page_id", "url", "html").groupBy("host").applyInArrow(run, f"page_id {kind}, url string, text string")
+    large = sizes.where("cuts > 1")
+    return small if large.isEmpty() else small.unionByName(_spread(dealt.where("cuts > 1"), guarded(large), kind))
+
+
+def _spread(dealt: DataFrame, large: DataFrame, kind: str) -> DataFrame:
+    """Pages of hosts in several groups: read in groups, judged by host, composed row by row.
+
+    The host's template is the page whose html has the median length (by steps of a quarter
+    octave, so that the exact median needs a few counts a host), of those the one with the least hash.
+    """
+    step = F.floor(4 * F.log2(F.coalesce(F.length("html"), F.lit(0)) + 1)).cast("int")
+    middle = materialise(dealt.groupBy(F.col("host").alias("mh")).agg(F.floor(F.percentile(step, F.lit(0.5))).alias("middle")))
+    near = F.struct(F.abs(step - F.col("middle")), F.xxhash64("html"), "page_id", F.xxhash64("url"))
+    templates = materialise(dealt.join(guarded(middle), F.col("host") == F.col("mh")).groupBy("host").agg(F.min_by(F.coalesce("html", F.lit("")), near).alias("template")))
+    copies = templates.join(large, F.col("host") == F.col("h")).select("host", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("part"), "template")
+    grouped = dealt.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("cuts")).cast("int")).select("host", "part", "page_id", "url", "html")
+
+    def read(t: pa.Table, shared: pa.Table) -> pa.Table:
+        t = t.sort_by(ORDER)
+        host, trees = shared.column("host")[0].as_py(), [parse(h or "") for h in t.column("html").to_pylist()]
+        readings, found = _read(trees, parse(shared.column("template")[0].as_py())) if trees else ([], [])
+        rows = [{"host": host, "page_id": i, "url": u, "aligned": r.aligned, "roots": r.roots, "lines": [x._asdict() for x in r.lines]}
+                for i, u, r in zip(t.column("page_id").to_pylist(), t.column("url").to_pylist(), readings)]
+        return pa.Table.from_pylist([*rows, {"host": host, "found": [x._asdict() for x in found]}], schema=READ.append(pa.field("page_id", t.schema.field("page_id").type)))
+
+    read_rows = materialise(grouped.groupBy("host", "part").cogroup(copies.groupBy("host", "part")).applyInArrow(read, f"{READ_SQL}, page_id {kind}"))
+    found = read_rows.where("found is not null").select("host", F.inline("found")).groupBy("host", "node", "text").agg(F.sum("slot").alias("slot"), F.sum("weight").alias("weight"))
+    found = materialise(found)
+    whole = found.where("node < 0").select(F.col("host").alias("wh"), F.col("weight").alias("whole"))
+    strong = found.join(guarded(materialise(whole)), F.col("host") == F.col("wh")).where("node >= 0 and (text is null or 2 * weight >= whole)").select("host", "node", "text", "slot")
+
+    def judge(t: pa.Table, shared: pa.Table) -> pa.Table:
+        rows = t.to_pylist()
+        v = decide(parse(shared.column("template")[0].as_py()), {r["node"]: r["slot"] for r in rows if r["text"] is None},
+                   [(r["node"], r["text"]) for r in rows if r["text"] is not None]) if rows else None
+        said = [] if v is None else [{"vh": shared.column("host")[0].as_py(), "start": v.start, "end": v.end, "marks": v.own, "gone": sorted(v.drop)}]
+        return pa.Table.from_pylist(said, schema=pa.schema([("vh", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("marks", pa.bool_()), ("gone", pa.list_(pa.int64()))]))
+
+    verdicts = materialise(strong.groupBy("host").cogroup(templates.groupBy("host")).applyInArrow(judge, "vh string, start int, end int, marks boolean, gone array<bigint>"))
+    judged = F.col("aligned") & F.col("vh").isNotNull()
+    inside = judged & ~F.col("marks") & F.array_contains("roots", F.col("start"))
+    lines = F.filter("lines", lambda x: F.when(inside, (x["near"] >= F.col("start")) & (x["near"] < F.col("end"))).otherwise(x["own"])
+                     & ~F.coalesce(judged & F.array_contains("gone", x["mark"]), F.lit(False)))
+    return (read_rows.where("found is null").join(guarded(verdicts), F.col("host") == F.col("vh"), "left")
+            .select("page_id", "url", F.array_join(F.transform(lines, lambda x: x["text"]), "\n\n").alias("text")))
 
 
 def op3(pages: DataFrame) -> DataFrame:

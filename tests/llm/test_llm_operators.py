@@ -230,6 +230,23 @@ def test_html_all_articles_and_named_sections():
     assert pages.extract_group([named]) == ["Discussion\n\nOthers did so."]
 
 
+def test_html_groups_of_a_host_share_one_verdict(spark):
+    """However a host is cut, its pages' texts are those of one group; copies that fill whole groups are no template."""
+    say = lambda i: "".join(f"<p>Line {i} {k} of its own story {i * k}</p>" for k in range(2 + i % 3))
+    marked = "<body><div>Top of the site</div><article><h1>Head {0}</h1>{1}<p>Please support our free work today</p></article></body>"
+    bare = "<body><div>Top of the site</div><div>{1}<h4>All rights are kept here</h4></div></body>"
+    rows = [(i, f"http://{h}.org/{i}", form.format(i, say(i))) for h, form in (("marked", marked), ("bare", bare)) for i in range(60)]
+    rows += [(i, f"http://same.org/{i}", marked.format(1, say(1))) for i in range(30)] + [(0, "http://few.org/", bare.format(1, "")), (None, None, None), (1, "http://marked.org/1", rows[1][2])]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    whole, cut = [sorted(map(str, listed(pages.extract(table, n), "page_id", "url", "text"))) for n in (1000, 7)]
+    assert cut == whole and len(whole) == len(rows)
+    texts = {(r["page_id"], r["url"]): r["text"] for r in pages.extract(table, 7).collect()}
+    for i in range(60):
+        story = "\n\n".join(f"Line {i} {k} of its own story {i * k}" for k in range(2 + i % 3))
+        assert texts[i, f"http://marked.org/{i}"] == f"Head {i}\n\n{story}" and texts[i, f"http://bare.org/{i}"] == story
+    assert "Please support" in texts[3, "http://same.org/3"]
+
+
 def test_html_query(spark):
     rows = [(i, f"http://h{i % 2}.org/{i}", PAGE.format("m", f"v{i}", f"<article><p>t {i}</p></article>"), 1) for i in range(9)] + [(9, None, None, 1), (9, None, None, 1)]
     got = pages.op3(spark.createDataFrame(rows, "page_id long, url string, html string, host int"))
