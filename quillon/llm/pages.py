@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from collections.abc import Iterator
 from html import unescape
 from typing import NamedTuple
 
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import guarded, materialise
+from quillon.llm.common import guarded, materialise, small_batches
 from quillon.llm.urls import url_host
 
 #: Pages of one host that one task reads; a larger host is spread over such groups, which share a template and its verdict.
@@ -22,6 +23,8 @@ GROUP_PAGES = 64
 TABLE_CELLS = 1_000_000
 #: Sizes of shape pairs kept between pages; they are only remembered, so forgetting them changes nothing.
 KEPT_SIZES = 1_000_000
+#: Shapes that an aligner, and hosts that a task, keeps between pages, on the same terms.
+KEPT_SHAPES, KEPT_DESKS = 50_000, 256
 #: In an alignment a matched node outweighs any number of equal texts, which decide between matchings of one size.
 NODE_WEIGHT = 1 << 24
 #: Distinct pages that template text needs at least, and words it needs inside article or main, where labels recur by chance.
@@ -47,14 +50,16 @@ breadcrumb breadcrumbs toolbar footer comment comments commentlist disqus respon
 related recommended newsletter subscribe subscription signup login popup modal overlay pagination pager masthead topbar skip""".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
-#: Rows of a group that is read: one a page, and one with what the group found.
-READ = pa.schema([("host", pa.string()), ("url", pa.string()), ("aligned", pa.bool_()), ("roots", pa.list_(pa.int32())),
-                  ("lines", pa.list_(pa.struct([("text", pa.string()), ("near", pa.int32()), ("mark", pa.int64()), ("own", pa.bool_())]))),
-                  ("found", pa.list_(pa.struct([("node", pa.int32()), ("slot", pa.int64()), ("text", pa.string()), ("weight", pa.int64())])))])
 #: A group's pages in an order that no shuffle changes: of copies the first is heard.
 ORDER = [("page_id", "ascending"), ("url", "ascending"), ("html", "ascending")]
-READ_SQL = """host string, url string, aligned boolean, roots array<int>, lines array<struct<text: string, near: int, mark: bigint, own: boolean>>,
-found array<struct<node: int, slot: bigint, text: string, weight: bigint>>"""
+READING_ORDER = [("page_id", "ascending"), ("url", "ascending"), ("whole", "ascending")]
+READ = pa.schema([("aligned", pa.bool_()), ("met", pa.list_(pa.int32())), ("whole", pa.int64()),
+                  ("lines", pa.list_(pa.struct([("text", pa.string()), ("digest", pa.int64()), ("near", pa.int32()), ("flow", pa.int64()),
+                                                ("size", pa.int32()), ("words", pa.int32()), ("own", pa.bool_())])))])
+READ_SQL = """aligned boolean, met array<int>, whole bigint,
+lines array<struct<text: string, digest: bigint, near: int, flow: bigint, size: int, words: int, own: boolean>>"""
+FOUND = pa.schema([("host", pa.string()), ("node", pa.int32()), ("slot", pa.int64()), ("flow", pa.int64()), ("words", pa.int32()), ("weight", pa.int64())])
+FOUND_SQL = "host string, node int, slot bigint, flow bigint, words int, weight bigint"
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -375,13 +380,14 @@ def _walk(root: Node):
             todo += node.elements()
 
 
-def _voices(trees: list[Node]) -> list[int]:
+def _voices(readings: list[Reading]) -> list[int]:
     """Places of pages that are no copies: of each kept page less than half of the text stands in another kept one."""
     kept: list[tuple[int, Counter, int]] = []
-    for k, t in enumerate(trees):
-        found = Counter(blocks(t))
-        length = sum(len(b) * n for b, n in found.items())
-        if all(sum(len(b) * n for b, n in (found & f).items()) * 2 < min(length, m) for _, f, m in kept):
+    for k, r in enumerate(readings):
+        long = {x.digest: len(x.text) for x in r.lines}
+        found = Counter(x.digest for x in r.lines)
+        length = sum(long[b] * n for b, n in found.items())
+        if all(sum(long[b] * n for b, n in (found & f).items()) * 2 < min(length, m) for _, f, m in kept):
             kept.append((k, found, length))
     return [k for k, _, _ in kept]
 
@@ -401,19 +407,28 @@ def extract_group(htmls: list[str | None]) -> list[str]:
     alone, or stands in a group without enough distinct pages to tell, is read by its own marks.
     """
     trees = [parse(h or "") for h in htmls]
-    readings, found = _read(trees, _median(trees))
+    template = _median(trees)
+    desk = Desk(template)
+    readings = [desk.read(t) for t in trees]
+    found = evidence(readings, bool(_marked(template)))
     whole = sum(e.weight for e in found if e.node < 0)
-    verdict = decide(_median(trees), {e.node: e.slot for e in found if e.text is None and e.node >= 0},
-                     [(e.node, e.text) for e in found if e.text is not None and 2 * e.weight >= whole])
+    verdict = decide(template, {e.node: e.slot for e in found if e.flow is None and e.node >= 0},
+                     [(e.node, e.flow, e.words) for e in found if e.flow is not None and 2 * e.weight >= whole])
     return ["\n\n".join(r.compose(verdict)) for r in readings]
 
 
 class Line(NamedTuple):
-    """A block's text; the template node it stands in; the mark of its owner and text, if template text; whether a page's own marks hold it."""
+    """A block's text and its digest; the template node it stands in or below; whether the page's own marks hold it.
+
+    If its element is matched itself, also the digest, length and words of all text that stands directly there.
+    """
 
     text: str
+    digest: int
     near: int
-    mark: int | None
+    flow: int | None
+    size: int
+    words: int
     own: bool
 
 
@@ -425,32 +440,33 @@ class Evidence(NamedTuple):
 
     node: int
     slot: int
-    text: str | None
+    flow: int | None
+    words: int
     weight: int
 
 
 class Verdict(NamedTuple):
-    """The root's place among the template's nodes (first, past the last), whether marks hold it, and marks of template text."""
+    """The root's place among the template's nodes (first, past the last), whether marks hold it, and (node, flow) of template text."""
 
     start: int
     end: int
     own: bool
-    drop: frozenset[int]
+    drop: frozenset[tuple[int, int]]
 
 
 class Reading(NamedTuple):
-    """A page's lines, whether it aligns, and the template nodes it has that can be roots."""
+    """A page's lines, whether it aligns, and the template's blocks that it has."""
 
     lines: list[Line]
     aligned: bool
-    roots: list[int]
+    met: list[int]
 
     def compose(self, v: Verdict | None) -> list[str]:
-        """The blocks that stay; extract() states the same as an expression."""
+        """The blocks that stay; _spread() states the same as an expression."""
         if v is None or not self.aligned:
             return [x.text for x in self.lines if x.own]
-        inside = not v.own and v.start in self.roots
-        return [x.text for x in self.lines if (v.start <= x.near < v.end if inside else x.own) and x.mark not in v.drop]
+        inside = not v.own and v.start in self.met
+        return [x.text for x in self.lines if (v.start <= x.near < v.end if inside else x.own) and (x.near, x.flow) not in v.drop]
 
 
 def _median(trees: list[Node]) -> Node:
@@ -468,8 +484,8 @@ def _all(root: Node):
         todo += reversed(node.elements())
 
 
-def _mark(node: int, text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{node} {text}".encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
 def _lines(root: Node, place: dict[int, int]) -> list[Line]:
@@ -484,8 +500,9 @@ def _lines(root: Node, place: dict[int, int]) -> list[Line]:
         line.clear()
         if text:
             owner, near, own = owners[-1]
-            at = place.get(id(owner))
-            out.append(Line(text, near, None if at is None else _mark(at, owner.text), own))
+            digest, matched = _digest(text), id(owner) in place
+            flow = None if not matched else digest if owner.text == text else _digest(owner.text)
+            out.append(Line(text, digest, near, flow, len(owner.text) * matched, owner.text.count(" ") + 1, own))
 
     todo: list[Node | str | None] = [root]
     while todo:
@@ -509,44 +526,55 @@ def _lines(root: Node, place: dict[int, int]) -> list[Line]:
     return out
 
 
-def _read(trees: list[Node], template: Node) -> tuple[list[Reading], list[Evidence]]:
-    """Readings of a group's pages against a template, and the group's evidence about it.
+class Desk:
+    """Reads pages against one template. What it remembers between pages changes no reading."""
+
+    def __init__(self, template: Node) -> None:
+        self.template = template
+        self.aligner = Aligner()
+        self.aligner.number(template)
+        seen = {id(x) for x in _walk(template)}
+        self.number = {id(x): k for k, x in enumerate(_all(template)) if id(x) in seen}
+
+    def read(self, page: Node) -> Reading:
+        if len(self.aligner.of) > KEPT_SHAPES:
+            self.__init__(self.template)
+        a = self.aligner
+        a.number(page)
+        pairs = a.pairs(self.template, page)
+        fits = 2 * len(pairs) >= min(a.nodes[self.template.shape], a.nodes[page.shape])
+        place = {id(y): self.number[id(x)] for x, y in pairs if id(x) in self.number} if fits else {}
+        return Reading(_lines(page, place), fits, sorted(place[id(y)] for _, y in pairs if id(y) in place and y.tag in BLOCK))
 
-    A group with fewer than LEAST_PAGES distinct pages says nothing, or, if the template has no
-    article or main, only where text varies.
+
+def evidence(readings: list[Reading], marks: bool) -> list[Evidence]:
+    """What a group's pages say of their template; marks: it has article or main.
+
+    A group with fewer than LEAST_PAGES distinct pages says nothing, or, without marks, only
+    where text varies.
     """
-    aligner = Aligner()
-    for t in {id(t): t for t in (template, *trees)}.values():
-        aligner.number(t)
-    number = {id(x): k for k, x in enumerate(_all(template))}
-    heard = _voices(trees)
+    heard = _voices(readings)
     few = len(heard) < LEAST_PAGES
-    silent = len(trees) < 2 or few and bool(_marked(template))
+    if len(readings) < 2 or few and marks:
+        return []
     if len(heard) < 2:
-        heard = list(range(len(trees)))
+        heard = list(range(len(readings)))
     texts: dict[int, Counter] = {}
-    out, aligned = [], 0
-    for k, t in enumerate(trees):
-        pairs = aligner.pairs(template, t)
-        fits = 2 * len(pairs) >= min(aligner.nodes[template.shape], aligner.nodes[t.shape])
-        place = {id(y): number[id(x)] for x, y in pairs} if fits else {}
-        if fits and k in heard:
-            aligned += 1
-            for x, y in pairs:
-                texts.setdefault(id(x), Counter())[y.text] += 1
-        out.append(Reading(_lines(t, place), fits, sorted(number[id(x)] for x, _ in pairs if x.tag in HOLDERS) if fits else []))
-    if silent:
-        return out, []
-    found = [Evidence(-1, 0, None, aligned)]
-    for x in _walk(template):
-        c = texts.get(id(x), Counter())
-        if len(c) > 1 and x.tag in BLOCK:
-            found.append(Evidence(number[id(x)], sum(len(t) * n for t, n in c.items()), None, 0))
-        found += [Evidence(number[id(x)], 0, t, aligned) for t, n in c.items() if t and not few and n >= max(LEAST_PAGES, aligned / 2)]
-    return out, found
-
-
-def decide(template: Node, slots: dict[int, int], common: list[tuple[int, str]]) -> Verdict | None:
+    aligned = 0
+    for r in (readings[k] for k in heard):
+        aligned += r.aligned
+        said = {x.near: (x.flow, x.size, x.words) for x in r.lines if x.flow is not None}
+        for node in r.met:
+            texts.setdefault(node, Counter())[said.get(node, (None, 0, 0))] += 1
+    found = [Evidence(-1, 0, None, 0, aligned)]
+    for node, c in texts.items():
+        if len(c) > 1:
+            found.append(Evidence(node, sum(size * n for (_, size, _), n in c.items()), None, 0, 0))
+        found += [Evidence(node, 0, flow, words, aligned) for (flow, _, words), n in c.items() if flow is not None and not few and n >= max(LEAST_PAGES, aligned / 2)]
+    return found
+
+
+def decide(template: Node, slots: dict[int, int], common: list[tuple[int, int, int]]) -> Verdict | None:
     """The content root and the template text of a host, from the summed evidence of its groups."""
     nodes = list(_all(template))
     number = {id(x): k for k, x in enumerate(nodes)}
@@ -559,7 +587,7 @@ def decide(template: Node, slots: dict[int, int], common: list[tuple[int, str]])
     below = {id(n) for n in _walk(root)}
     own = id(root) in inside or sum(held.get(id(m), 0) for m in marks) > 0.6 * held[id(root)] and all(id(m) in below for m in marks)
     named = {id(n) for m in _walk(template) if m.soft for n in _walk(m)}
-    drop = frozenset(_mark(k, text) for k, text in common if id(nodes[k]) not in inside or id(nodes[k]) in named or len(text.split()) >= LEAST_WORDS)
+    drop = frozenset((k, flow) for k, flow, words in common if id(nodes[k]) not in inside or id(nodes[k]) in named or words >= LEAST_WORDS)
     start = number[id(root)]
     return Verdict(start, start + sum(1 for _ in _all(root)), own, drop)
 
@@ -612,11 +640,13 @@ def extract(pages: DataFrame, group_pages: int = GROUP_PAGES) -> DataFrame:
 
     small = dealt.where("cuts = 1").select("host", "page_id", "url", "html").groupBy("host").applyInArrow(run, f"page_id {kind}, url string, text string")
     large = sizes.where("cuts > 1")
-    return small if large.isEmpty() else small.unionByName(_spread(dealt.where("cuts > 1"), guarded(large), kind))
+    return small if large.isEmpty() else small.unionByName(_spread(dealt.where("cuts > 1"), kind))
+
 
+def _spread(dealt: DataFrame, kind: str) -> DataFrame:
+    """Pages of hosts in several groups: read where they lie, heard in groups, judged by host, composed row by row.
 
-def _spread(dealt: DataFrame, large: DataFrame, kind: str) -> DataFrame:
-    """Pages of hosts in several groups: read in groups, judged by host, composed row by row.
+    Whole pages are not shuffled: groups see digests and lengths of a page's blocks.
 
     The host's template is the page whose html has the median length (by steps of a quarter
     octave, so that the exact median needs a few counts a host), of those the one with the least hash.
@@ -625,39 +655,67 @@ def _spread(dealt: DataFrame, large: DataFrame, kind: str) -> DataFrame:
     middle = materialise(dealt.groupBy(F.col("host").alias("mh")).agg(F.floor(F.percentile(step, F.lit(0.5))).alias("middle")))
     near = F.struct(F.abs(step - F.col("middle")), F.xxhash64("html"), "page_id", F.xxhash64("url"))
     templates = materialise(dealt.join(guarded(middle), F.col("host") == F.col("mh")).groupBy("host").agg(F.min_by(F.coalesce("html", F.lit("")), near).alias("template")))
-    copies = templates.join(large, F.col("host") == F.col("h")).select("host", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("part"), "template")
-    grouped = dealt.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("cuts")).cast("int")).select("host", "part", "page_id", "url", "html")
-
-    def read(t: pa.Table, shared: pa.Table) -> pa.Table:
-        t = t.sort_by(ORDER)
-        host, trees = shared.column("host")[0].as_py(), [parse(h or "") for h in t.column("html").to_pylist()]
-        readings, found = _read(trees, parse(shared.column("template")[0].as_py())) if trees else ([], [])
-        rows = [{"host": host, "page_id": i, "url": u, "aligned": r.aligned, "roots": r.roots, "lines": [x._asdict() for x in r.lines]}
-                for i, u, r in zip(t.column("page_id").to_pylist(), t.column("url").to_pylist(), readings)]
-        return pa.Table.from_pylist([*rows, {"host": host, "found": [x._asdict() for x in found]}], schema=READ.append(pa.field("page_id", t.schema.field("page_id").type)))
-
-    read_rows = materialise(grouped.groupBy("host", "part").cogroup(copies.groupBy("host", "part")).applyInArrow(read, f"{READ_SQL}, page_id {kind}"))
-    found = read_rows.where("found is not null").select("host", F.inline("found")).groupBy("host", "node", "text").agg(F.sum("slot").alias("slot"), F.sum("weight").alias("weight"))
-    found = materialise(found)
+    asked = dealt.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("cuts")).cast("int")).drop("cuts").join(
+        guarded(templates.withColumnRenamed("host", "th")), F.col("host") == F.col("th")).select("host", "part", "page_id", "url", "html", "template")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        desks: dict[str, Desk] = {}
+        for t in batches:
+            if len(desks) > KEPT_DESKS:
+                desks.clear()
+            out = []
+            for row in t.to_pylist():
+                if row["host"] not in desks:
+                    desks[row["host"]] = Desk(parse(row["template"]))
+                r = desks[row["host"]].read(parse(row["html"] or ""))
+                out.append({"aligned": r.aligned, "met": r.met, "whole": _digest(row["html"] or ""), "lines": [x._asdict() for x in r.lines]})
+            kept = t.select(["host", "part", "page_id", "url"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, *pa.RecordBatch.from_pylist(out, schema=READ).columns], names=[*kept.schema.names, *READ.names])
+
+    with small_batches(dealt.sparkSession):
+        readings = materialise(asked.mapInArrow(read, f"host string, part int, page_id {kind}, url string, {READ_SQL}"))
+    marked = templates.select("host", F.col("template").alias("t"))
+
+    def hear(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        rows = [Reading([Line(" " * x["chars"], x["digest"], x["near"], x["flow"], x["size"], x["words"], False) for x in r["said"]], r["aligned"], r["met"])
+                for r in t.sort_by(READING_ORDER).to_pylist()]
+        found = [{"host": key[0].as_py(), **e._asdict()} for e in evidence(rows, t.column("marks")[0].as_py())]
+        return pa.Table.from_pylist(found, schema=FOUND)
+
+    said = F.transform("lines", lambda x: F.struct(F.length(x["text"]).alias("chars"), *[x[n].alias(n) for n in ("digest", "near", "flow", "size", "words")]))
+    voices = readings.join(guarded(materialise(_with_marks(marked))), F.col("host") == F.col("th")).select("host", "part", "page_id", "url", "whole", "aligned", "met", "marks", said.alias("said"))
+    found = materialise(voices.groupBy("host", "part").applyInArrow(hear, FOUND_SQL).groupBy("host", "node", "flow").agg(
+        F.sum("slot").alias("slot"), F.max("words").alias("words"), F.sum("weight").alias("weight")))
     whole = found.where("node < 0").select(F.col("host").alias("wh"), F.col("weight").alias("whole"))
-    strong = found.join(guarded(materialise(whole)), F.col("host") == F.col("wh")).where("node >= 0 and (text is null or 2 * weight >= whole)").select("host", "node", "text", "slot")
+    strong = found.join(guarded(materialise(whole)), F.col("host") == F.col("wh")).where("node >= 0 and (flow is null or 2 * weight >= whole)").select("host", "node", "flow", "slot", "words")
 
     def judge(t: pa.Table, shared: pa.Table) -> pa.Table:
         rows = t.to_pylist()
-        v = decide(parse(shared.column("template")[0].as_py()), {r["node"]: r["slot"] for r in rows if r["text"] is None},
-                   [(r["node"], r["text"]) for r in rows if r["text"] is not None]) if rows else None
-        said = [] if v is None else [{"vh": shared.column("host")[0].as_py(), "start": v.start, "end": v.end, "marks": v.own, "gone": sorted(v.drop)}]
-        return pa.Table.from_pylist(said, schema=pa.schema([("vh", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("marks", pa.bool_()), ("gone", pa.list_(pa.int64()))]))
-
-    verdicts = materialise(strong.groupBy("host").cogroup(templates.groupBy("host")).applyInArrow(judge, "vh string, start int, end int, marks boolean, gone array<bigint>"))
+        v = decide(parse(shared.column("template")[0].as_py()), {r["node"]: r["slot"] for r in rows if r["flow"] is None},
+                   [(r["node"], r["flow"], r["words"]) for r in rows if r["flow"] is not None]) if rows else None
+        told = [] if v is None else [{"vh": shared.column("host")[0].as_py(), "start": v.start, "end": v.end, "marks": v.own, "gone": [{"near": n, "flow": f} for n, f in sorted(v.drop)]}]
+        return pa.Table.from_pylist(told, schema=pa.schema([("vh", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("marks", pa.bool_()),
+                                                            ("gone", pa.list_(pa.struct([("near", pa.int32()), ("flow", pa.int64())])))]))
+
+    verdicts = materialise(strong.groupBy("host").cogroup(templates.groupBy("host")).applyInArrow(
+        judge, "vh string, start int, end int, marks boolean, gone array<struct<near: int, flow: bigint>>"))
     judged = F.col("aligned") & F.col("vh").isNotNull()
-    inside = judged & ~F.col("marks") & F.array_contains("roots", F.col("start"))
+    inside = judged & ~F.col("marks") & F.array_contains("met", F.col("start"))
     lines = F.filter("lines", lambda x: F.when(inside, (x["near"] >= F.col("start")) & (x["near"] < F.col("end"))).otherwise(x["own"])
-                     & ~F.coalesce(judged & F.array_contains("gone", x["mark"]), F.lit(False)))
-    return (read_rows.where("found is null").join(guarded(verdicts), F.col("host") == F.col("vh"), "left")
+                     & ~F.coalesce(judged & F.exists("gone", lambda g: (g["near"] == x["near"]) & (g["flow"] == x["flow"])), F.lit(False)))
+    return (readings.join(guarded(verdicts), F.col("host") == F.col("vh"), "left")
             .select("page_id", "url", F.array_join(F.transform(lines, lambda x: x["text"]), "\n\n").alias("text")))
 
 
+def _with_marks(templates: DataFrame) -> DataFrame:
+    """(th, marks): whether a host's template has article or main elements of its own."""
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            yield pa.RecordBatch.from_arrays([t.column("host"), pa.array([bool(_marked(parse(x))) for x in t.column("t").to_pylist()], pa.bool_())], names=["th", "marks"])
+
+    return templates.mapInArrow(look, "th string, marks boolean")
+
+
 def op3(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars (code points) of every page."""
     return extract(pages).withColumn("n_chars", F.length("text").cast("long"))
