@@ -223,3 +223,10 @@ def outcome(degenerate_: Column, refusal: Column, extracted: Column, content: Co
     done = code.isNull()
     return F.struct(F.coalesce(code, coded).alias("outcome"), F.coalesce(done & refusal, F.lit(False)).alias("hedged"),
                     F.when(done, got["language"]).alias("language"), F.when(done, got["reason"]).alias("reason"))
+
+
+def serialised_price(s: Column) -> Column:
+    """(currency, amount) of a pair written as "(12.5, 'USD')"; anything else is an error, as such strings come from a program."""
+    pair = r"^\((\d+(?:\.\d+)?), '([^']+)'\)$"
+    parsed = F.struct(F.regexp_extract(s, pair, 2).alias("currency"), F.regexp_extract(s, pair, 1).cast("double").alias("amount"))
+    return F.when(s.rlike(pair), parsed).otherwise(F.raise_error(F.concat(F.lit("bad serialised price "), F.coalesce(s, F.lit("null")))))

@@ -481,3 +481,72 @@ def open_work(v: View) -> DataFrame:
 def redacted(v: View) -> DataFrame:
     r = v.table("events").select("event_id", F.struct("event_type", F.col("props").alias("secret")).alias("meta"))
     return sinks.redacted(r, "meta", ("secret",)).select("event_id", "meta.event_type", "meta.secret")
+
+
+# ------------------------------------------------------------------------------- ledger order, price strings, answers' tags, tails
+@query("o7_ledger_order", """with u as (select model, case when year(asked_at) < 1998 then 'early' else 'late' end as phase, %s %% 4000 as tokens_out from answers),
+t as (select phase, model, sum(tokens_out)::bigint as tokens_out from u group by all)
+select phase, model, tokens_out, row_number() over (partition by phase order by tokens_out desc, model) as place from t""" % h("'out|' || key"))
+def ledger_order(v: View) -> DataFrame:
+    """Models of a phase from the most output tokens down; the window stands over a row a phase and model."""
+    phase = F.when(F.year("asked_at") < 1998, "early").otherwise("late").alias("phase")
+    t = v.answers.select("model", phase, (hash32("out", F.col("key")) % 4000).alias("n")).groupBy("phase", "model").agg(F.sum("n").alias("tokens_out"))
+    return t.withColumn("place", F.row_number().over(Window.partitionBy("phase").orderBy(F.desc("tokens_out"), "model")))
+
+
+@query("t15_serialised_prices", """select key, currency, amount::double as amount, row_number() over (partition by key order by currency, amount) as place
+from prices where amount is not null and currency is not null""")
+def serialised_prices(v: View) -> DataFrame:
+    """Prices that were written as strings, read again and put in order of currency and amount within their answer."""
+    written = F.concat(F.lit("("), F.col("amount").cast("decimal(18,2)").cast("string"), F.lit(", '"), F.col("currency"), F.lit("')"))
+    lists = v.prices.where("amount is not null and currency is not null").groupBy("key").agg(F.collect_list(written).alias("s"))
+    ordered = lists.select("key", F.posexplode(F.array_sort(F.transform("s", text.serialised_price))).alias("i", "p"))
+    return ordered.select("key", "p.currency", "p.amount", (F.col("i") + 1).alias("place"))
+
+
+#: What a tag adds to an answer's gain while nothing is covered, and what its model adds.
+_TAG_GAIN = {"en": 1, "bn": 1, "bl": 2, "price_bdt": 3, "price_usd": 4, "retailers": 2, "many_brands": 1, "no_commercial": 2}
+_MODEL_GAIN = 6
+_TAG_GAIN_SQL = f"map {_TAG_GAIN}"
+
+
+@query("a25_feature_tags", f"""with p as (select key, bool_or(currency = 'BDT') as bdt, bool_or(currency = 'USD') as usd, count(*) as n_prices from prices group by key),
+r as (select key, count(*) as n_retailers from retailers group by key), l as (select key, len(names) as n_names from lists),
+t as (select a.key, list_filter([arm, case when bdt then 'price_bdt' end, case when usd then 'price_usd' end, case when n_retailers > 0 then 'retailers' end,
+case when n_names >= 4 then 'many_brands' end, case when coalesce(n_names, 0) + coalesce(n_prices, 0) + coalesce(n_retailers, 0) = 0 then 'no_commercial' end], lambda x: x is not null) as tags
+from answers a left join p using (key) left join r using (key) left join l using (key))
+select key, array_to_string(list_sort(tags), ',') as tags, ({_MODEL_GAIN} + list_sum(list_transform(tags, lambda x: coalesce({_TAG_GAIN_SQL}[x], 0))))::bigint as gain from t""")
+def feature_tags(v: View) -> DataFrame:
+    """Each answer's tags and its gain for a practice set in which nothing is covered yet."""
+    p = v.prices.groupBy("key").agg(F.bool_or(F.col("currency") == "BDT").alias("bdt"), F.bool_or(F.col("currency") == "USD").alias("usd"), F.count("*").alias("n_prices"))
+    r = v.retailers.groupBy("key").agg(F.count("*").alias("n_retailers"))
+    rows = v.answers.select("key", "arm").join(p, "key", "left").join(r, "key", "left").join(v.lists.select("key", F.size("names").alias("n_names")), "key", "left")
+    said = F.coalesce("n_names", F.lit(0)) + F.coalesce("n_prices", F.lit(0)) + F.coalesce("n_retailers", F.lit(0))
+    marks = {"price_bdt": F.col("bdt"), "price_usd": F.col("usd"), "retailers": F.col("n_retailers") > 0, "many_brands": F.col("n_names") >= 4, "no_commercial": said == 0}
+    tags = F.array_sort(F.array_compact(F.array(F.col("arm"), *[F.when(on, tag) for tag, on in marks.items()])))
+    worth = F.create_map(*[F.lit(x) for pair in _TAG_GAIN.items() for x in pair])
+    gain = F.aggregate("tags", F.lit(_MODEL_GAIN).cast("long"), lambda n, t: n + F.coalesce(worth[t], F.lit(0)))
+    return rows.select("key", tags.alias("tags")).select("key", F.array_join("tags", ",").alias("tags"), gain.alias("gain"))
+
+
+_SAMPLE, _BOUNDARY = 200, 120
+
+
+@query("g9_position_tail", f"""with s as (select model, outcome, row_number() over (partition by model order by {h("'position|' || key")}, key) as position from answers qualify position <= {_SAMPLE}),
+d as (select model, count(*) filter (where outcome <> 'valid') as n, count(*) filter (where outcome <> 'valid' and position <= {_BOUNDARY}) as k, least({_BOUNDARY}, count(*)) / count(*) as p from s group by model),
+i as (select *, unnest(range(0, k + 1)) as i from d)
+select model, n, k, round(case when max(k) >= max(n) then 1.0 else sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(p) + (n - i) * ln(1 - p))) end, 6) as tail from i group by model, n, k""")
+def position_tail(v: View) -> DataFrame:
+    """Of a checked sample of answers a model: do few of its deviations stand before the boundary? P(X <= k) of n at the boundary's share.
+
+    The sample's size is the feature; the sum's terms follow from one another, in logarithms, so that none underflows at the start.
+    """
+    order = Window.partitionBy("model").orderBy(hash32("position", F.col("key")), "key")
+    s = v.answers.select("model", "key", "outcome", F.row_number().over(order).alias("position")).where(F.col("position") <= _SAMPLE)
+    off = F.col("outcome") != "valid"
+    d = s.groupBy("model").agg(F.count_if(off).alias("n"), F.count_if(off & (F.col("position") <= _BOUNDARY)).alias("k"), (F.least(F.lit(_BOUNDARY), F.count("*")) / F.count("*")).alias("p"))
+    n, p, zero = F.col("n"), F.col("p"), F.lit(0.0)
+    start = F.struct(zero.alias("sum"), (n * F.log(1 - p)).alias("term"))
+    step = lambda a, i: F.struct((a["sum"] + F.exp(a["term"])).alias("sum"), (a["term"] + F.log((n - i) / (i + 1)) + F.log(p / (1 - p))).alias("term"))
+    tail = F.aggregate(F.sequence(F.lit(0), F.col("k").cast("int")), start, step)["sum"]
+    return d.select("model", "n", "k", F.round(F.when(F.col("k") >= n, 1.0).otherwise(tail), 6).alias("tail"))

@@ -173,3 +173,11 @@ def test_request_errors(spark):
     rows = [('{"model":"m","messages":[{"role":"user","content":"x"}]}',), ('{"model":"m","messages":[{"role":"system","content":"x"}],"seed":1}',)]
     got = [r[0] for r in spark.createDataFrame(rows, "b string").select(jsonx.request_errors(F.col("b"))).collect()]
     assert got == [[], ["roles", "fields: seed"]]
+
+
+def test_serialised_prices(spark):
+    read = lambda s: tuple(spark.createDataFrame([(s,)], "s string").select(text.serialised_price(F.col("s")).alias("p")).first()["p"])
+    assert read("(1200, 'BDT')") == ("BDT", 1200.0) and read("(9.5, 'USD')") == ("USD", 9.5)
+    for bad in ("9.5 USD", "", None):
+        with pytest.raises(Exception, match="bad serialised price"):
+            read(bad)
