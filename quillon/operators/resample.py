@@ -42,6 +42,33 @@ def percentile_interval(reps: DataFrame, group: tuple[str, ...]) -> DataFrame:
     return reps.groupBy(*group).agg(p.alias("p"), F.count("*").alias("used")).select(*group, F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"), "used")
 
 
+def frame_intervals(values: DataFrame, drawn: DataFrame, group: tuple[str, ...], member: str, least: int = 2) -> DataFrame:
+    """(member, group, estimate, n_units, lo, hi, used) over a frame of units that was fixed before any was found eligible.
+
+    values: (member, group, unit, v) of eligible units; drawn covers the whole frame and is shared
+    by all members, so a resample can lack every eligible unit and is then undefined. Member "all" is the members' mean with
+    equal weights, defined where all of them are. Below least units (of any member) there is no interval.
+    """
+    point = values.groupBy(member, *group).agg(F.avg("v").alias("estimate"), F.count("*").alias("n_units"))
+    reps = replicates(values, drawn, (member, *group))
+    members = values.select(member).distinct().agg(F.count("*").alias("members"))
+    whole = point.groupBy(*group).agg(F.avg("estimate").alias("estimate"), F.min("n_units").alias("n_units"), F.count("*").alias("met")).join(F.broadcast(members)).where("met = members")
+    joint = reps.groupBy(*group, "b").agg(F.avg("rep").alias("rep"), F.count("*").alias("met")).join(F.broadcast(members)).where("met = members")
+    name = F.lit("all").alias(member)
+    points = point.unionByName(whole.select(name, *group, "estimate", "n_units"))
+    limits = percentile_interval(reps.unionByName(joint.select(name, *group, "b", "rep")), (member, *group))
+    enough = lambda c: F.when(F.col("n_units") >= least, F.col(c)).alias(c)
+    return points.join(limits, [member, *group], "left").select(member, *group, "estimate", "n_units", enough("lo"), enough("hi"), F.coalesce("used", F.lit(0)).alias("used"))
+
+
+def kappa_replicates(cells: DataFrame, drawn: DataFrame) -> DataFrame:
+    """(b, rep) of Cohen's kappa of two binary labels; cells: (unit, n, a, b2, same), counts of rows, of each label and of agreement."""
+    t = cells.join(drawn, "unit").groupBy("b").agg(*[F.sum(F.col("w") * F.col(c)).cast("double").alias(c) for c in ("n", "a", "b2", "same")])
+    pa, pb = F.col("a") / F.nullif(F.col("n"), F.lit(0.0)), F.col("b2") / F.nullif(F.col("n"), F.lit(0.0))
+    chance = pa * pb + (1 - pa) * (1 - pb)
+    return t.select("b", ((F.col("same") / F.nullif(F.col("n"), F.lit(0.0)) - chance) / F.nullif(1 - chance, F.lit(0.0))).alias("rep")).where("rep is not null")
+
+
 def mean_effect(values: DataFrame, drawn: DataFrame, group: tuple[str, ...], draws: int, least: int = 10) -> DataFrame:
     """Studentised bootstrap test of a zero mean: (group, n, mean, t, p).
 

@@ -583,6 +583,35 @@ def ratio_bootstrap(v: View) -> DataFrame:
     return rounded(resample.percentile_interval(resample.ratio_replicates(t, resample.weights(_units(v), DRAWS), ("model", "arm")), ("model", "arm")), "lo", "hi")
 
 
+@query("b4_frame_bootstrap", f"""{SHARE}, {_PLAIN}, c as (select distinct query, category from answers), e as (select p.*, category from paired p join c using (query)),
+pt as (select model, contrast, category, avg(d) as estimate, count(*) as n_units from e group by all), m as (select count(distinct model) as members from e),
+r as (select model, contrast, category, b, sum(w * d) / nullif(sum(w), 0) as rep from e join wt on unit = query group by all),
+j as (select 'all' as model, contrast, category, b, avg(rep) as rep from r group by contrast, category, b having count(rep) = (select members from m)),
+pts as (select * from pt union all select 'all', contrast, category, avg(estimate), min(n_units) from pt group by contrast, category having count(*) = (select members from m)),
+l as (select model, contrast, category, quantile_cont(rep, 0.025) as lo, quantile_cont(rep, 0.975) as hi, count(*) as used from (select * from r where rep is not null union all select * from j) group by all)
+select model, contrast, category, round(estimate, 6) as estimate, n_units, case when n_units >= 2 then round(lo, 6) end as lo, case when n_units >= 2 then round(hi, 6) end as hi, coalesce(used, 0) as used
+from pts left join l using (model, contrast, category)""")
+def frame_bootstrap(v: View) -> DataFrame:
+    """Contrasts within a category, resampled over the frame of all queries; the models' mean shares the draws."""
+    categories = v.answers.select("query", "category").distinct()
+    d = estimate.paired(v.share_cells(), CONTRASTS).join(categories, "query").select("model", "contrast", "category", F.col("query").alias("unit"), F.col("d").alias("v"))
+    return rounded(resample.frame_intervals(d, resample.weights(_units(v), DRAWS), ("contrast", "category"), "model"), "estimate", "lo", "hi")
+
+
+@query("g2_g3_cluster_interval", f"""with {_VOTES}, p as (select key, max((vote = 'valid')::int) filter (where rater = 'R1') as x, max((vote = 'valid')::int) filter (where rater = 'R2') as y from votes group by all),
+cells as (select query, count(*) as c, sum(x) as x, sum(y) as y, sum((x = y)::int) as same from p join answers using (key) group by query), {_PLAIN},
+t as (select b, sum(w * c)::double as c, sum(w * x) as x, sum(w * y) as y, sum(w * same) as same from cells join wt on unit = query group by b),
+q as (select same / c as po, x / c * (y / c) + (1 - x / c) * (1 - y / c) as pe from t where c > 0), r as (select (po - pe) / nullif(1 - pe, 0) as rep from q)
+select round(quantile_cont(rep, 0.025), 6) as lo, round(quantile_cont(rep, 0.975), 6) as hi, count(rep) as used from r where rep is not null""")
+def kappa_interval(v: View) -> DataFrame:
+    """Kappa of two raters with all answers of a query resampled together."""
+    valid = (F.col("vote") == "valid").cast("int")
+    p = _votes(v).groupBy("key").agg(F.max(F.when(F.col("rater") == "R1", valid)).alias("x"), F.max(F.when(F.col("rater") == "R2", valid)).alias("y"))
+    cells = p.join(v.answers.select("key", F.col("query").alias("unit")), "key").groupBy("unit").agg(
+        F.count("*").alias("n"), F.sum("x").alias("a"), F.sum("y").alias("b2"), F.count_if(F.col("x") == F.col("y")).alias("same"))
+    return rounded(resample.percentile_interval(resample.kappa_replicates(cells, resample.weights(_units(v), DRAWS)), ()), "lo", "hi")
+
+
 _EFFECT = f"""{SHARE}, {_PLAIN}, base as (select model, contrast, count(*) as n, avg(d) as mean, avg(d) / (stddev_samp(d) / sqrt(count(*))) as t from paired group by all),
 sums as (select model, contrast, b, any_value(t) as t, sum(w)::double as nn, sum(w * (d - mean)) as s, sum(w * (d - mean) * (d - mean)) as q from paired join base using (model, contrast) join wt on unit = query group by all),
 va as (select *, case when nn > 1 then (q - s * s / nn) / (nn * (nn - 1)) end as v from sums),
