@@ -1,4 +1,4 @@
-"""The queries of the ten operators, by their contracts, and SQL where it can express them."""
+"""The queries of the thirteen operators, by their contracts, and SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import mixing, ngrams, oracles, pages, pieces, sharding, substrings, toxicity, urls, vectors
+from quillon.llm import mixing, ngrams, oracles, pages, phrases, pieces, quality, runs, sharding, substrings, toxicity, urls, vectors
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_join": lambda s, d: ngrams.op8(_read(s, d, "documents")),
         "op9_url_filter": lambda s, d: urls.op9(_read(s, d, "pages")),
         "op10_toxicity": lambda s, d: toxicity.op10(_read(s, d, "documents"), _read(s, d, "labels")),
+        "op11_periodic_runs": lambda s, d: runs.op11(_read(s, d, "documents")),
+        "op12_phrases": lambda s, d: phrases.op12(_read(s, d, "documents")),
+        "op13_quality": lambda s, d: quality.op13(_read(s, d, "documents"), _read(s, d, "labels")),
     }
 
 
@@ -35,4 +38,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_embedding_dedup": oracles.NEAR_VECTORS,
         "op7_substring_dedup": oracles.SUBSTRINGS,
         "op8_ngram_join": oracles.NEAR_DOCUMENTS,
+        "op11_periodic_runs": runs.ORACLE,
+        "op12_phrases": phrases.ORACLE,
     }
