@@ -13,6 +13,7 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
@@ -23,8 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import guarded, materialise, shuffle_width, small_batches, trim
-from quillon.llm.words import LOWER
+from quillon.llm.common import discard, guarded, materialise, shuffle_width, small_batches, trim
+from quillon.llm.words import FOLD, LOWER, mix
 
 MAX_WORDS, LEAST, MOST = 5, 100, 2000
 #: Bytes that end a piece, and those that end a word.
@@ -39,8 +40,10 @@ CODE[0] = 10
 PLAIN = {0: " ", 10: "\0"}
 #: Bytes of text whose equal suffixes are added up before the shuffle, and words that are handled at once.
 FLUSH_BYTES, FLUSH_WORDS = 8 << 20, 1 << 21
-#: Sampled suffixes for each range, and most of one batch.
-SAMPLED, SAMPLED_BATCH = 64, 1024
+#: Sampled suffixes for each range, and of one batch.
+SAMPLED, SAMPLED_BATCH = 64, 256
+#: Ranges for each shuffle partition: suffixes take several times the room of their text.
+RANGES = 3
 #: Rows of a batch that goes to Spark.
 ROWS = 1 << 15
 
@@ -73,6 +76,18 @@ class Suffixes:
     def spelled(self, i: int) -> bytes:
         return "\0".join(self.words[i:i + int(self.size[i])].to_pylist()).encode("utf-8", "surrogatepass")
 
+    def some(self, most: int) -> list[bytes]:
+        """At most so many of the distinct suffixes, each with the same chance: those of the smallest hashes."""
+        ids = np.r_[self.words.dictionary_encode().indices.to_numpy().astype(np.uint64) + np.uint64(1), np.zeros(MAX_WORDS, np.uint64)]
+        h = np.zeros(len(self), np.uint64)
+        for k in range(MAX_WORDS):
+            h = mix(h * FOLD + np.where(self.size > k, ids[k:k + len(self)], np.uint64(0)))
+        low = np.flatnonzero(h <= np.partition(h, min(8 * most, len(h) - 1))[min(8 * most, len(h) - 1)])
+        if len(np.unique(h[low])) < most:  # suffixes that repeat often
+            low = np.arange(len(h))
+        _, at = np.unique(h[low], return_index=True)
+        return [self.spelled(i) for i in low[at[:most]].tolist()]
+
     def counted(self, first: int, last: int) -> tuple[pa.LargeStringArray, np.ndarray, np.ndarray]:
         """The suffixes that begin at words first to last: sorted words, distinct rows of their numbers (0: none), counts.
 
@@ -80,11 +95,13 @@ class Suffixes:
         """
         own = self.words[first:min(last + MAX_WORDS - 1, len(self))].dictionary_encode()
         order = pc.sort_indices(own.dictionary).to_numpy()
-        number = np.empty(len(order), np.int64)
+        number = np.empty(len(order), np.int32)
         number[order] = np.arange(1, len(order) + 1)
-        ids = np.r_[number[own.indices.to_numpy()], np.zeros(MAX_WORDS, np.int64)]
-        n, base = last - first, len(order) + 1
-        rows = np.stack([np.where(self.size[first:last] > k, ids[k:k + n], 0) for k in range(MAX_WORDS)], 1)
+        ids = np.r_[number[own.indices.to_numpy()], np.zeros(MAX_WORDS, np.int32)]
+        n, base = last - first, np.int64(len(order) + 1)
+        rows = np.empty((n, MAX_WORDS), np.int32)
+        for k in range(MAX_WORDS):
+            rows[:, k] = np.where(self.size[first:last] > k, ids[k:k + n], 0)
         keys = [rows[:, k] * base + rows[:, k + 1] if k + 1 < MAX_WORDS else rows[:, k] for k in range(0, MAX_WORDS, 2)]
         by = np.lexsort(keys[::-1])
         new = np.zeros(n, bool)
@@ -113,20 +130,30 @@ def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.La
     yield from ((lang, pa.concat_arrays(parts)) for lang, parts in held.items())
 
 
-def bounds(texts: DataFrame, ranges: int) -> list[tuple[bytes, tuple[bytes, ...]]]:
+def _named(lang: str) -> str:
+    """A language as the first word of a suffix: without zero bytes."""
+    return lang.replace("\x01", "\x01\x01").replace("\0", "\x01\x02")
+
+
+def _unnamed(word: str) -> str:
+    return re.sub("\x01([\x01\x02])", lambda m: "\0" if m[1] == "\x02" else "\x01", word)
+
+
+def bounds(texts: DataFrame, ranges: int) -> list[tuple[bytes, ...]]:
     """Least (language, words) of every range but the first, in order, from a sample that grows with ranges alone."""
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, part in _by_language(batches):
             s = Suffixes(part)
             if len(s):
-                draw = np.random.default_rng(len(s))
-                some = {s.spelled(i): None for i in draw.integers(0, len(s), min(SAMPLED_BATCH, len(s))).tolist()}
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(list(some), pa.binary()), pa.array(draw.random(len(some)))], names=["lang", "suffix", "u"])
+                some = [f"{_named(lang)}\0".encode() + x for x in s.some(SAMPLED_BATCH)]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array(np.random.default_rng(len(s)).random(len(some)))], names=["suffix", "u"])
         trim()
 
-    rows = texts.mapInArrow(sample, "lang string, suffix binary, u double").orderBy("u", "lang", "suffix").limit(SAMPLED * ranges).collect()
-    known = sorted((r["lang"].encode(), tuple(bytes(r["suffix"]).split(b"\0"))) for r in rows)
+    found = materialise(texts.mapInArrow(sample, "suffix binary, u double"))
+    share = SAMPLED * ranges / max(1, found.count())
+    known = sorted(tuple(bytes(r[0]).split(b"\0")) for r in found.where(F.col("u") < share).select("suffix").collect())
+    discard(found)
     return sorted({known[len(known) * k // ranges] for k in range(1, ranges)}) if known else []
 
 
@@ -142,80 +169,79 @@ def _cut(dictionary: pa.LargeStringArray, rows: np.ndarray, words: tuple[bytes,
     return bisect_left(range(len(rows)), (key + [0] * MAX_WORDS)[:MAX_WORDS], key=lambda i: (2 * rows[i]).tolist())
 
 
-def suffixes(texts: DataFrame, edges: list[tuple[bytes, tuple[bytes, ...]]]) -> DataFrame:
-    """(part, lang, suffix, n): equal suffixes of a batch added up, and the range that each belongs to."""
+def suffixes(texts: DataFrame, edges: list[tuple[bytes, ...]]) -> DataFrame:
+    """(part, suffix, n): equal suffixes of a batch added up, and the range that each belongs to. The language is the first word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, texts_of in _by_language(batches):
-            s, code = Suffixes(texts_of), lang.encode()
-            before = sum(e[0] < code for e in edges)
-            own = [words for name, words in edges if name == code]
+            s, name = Suffixes(texts_of), _named(lang)
+            before = sum(e[0] < name.encode() for e in edges)
+            own = [e[1:] for e in edges if e[0] == name.encode()]
             for first in range(0, len(s), FLUSH_WORDS):
                 dictionary, rows, n = s.counted(first, min(first + FLUSH_WORDS, len(s)))
                 cuts = [_cut(dictionary, rows, words) for words in own]
                 part = before + np.searchsorted(np.array(cuts, np.int64), np.arange(len(rows)), "right")
+                dictionary = pa.concat_arrays([dictionary, pa.array([name], pa.large_string())])
                 for i in range(0, len(rows), ROWS):
-                    some = rows[i:i + ROWS]
-                    sizes = np.count_nonzero(some, axis=1)
+                    some = np.c_[np.full(len(rows[i:i + ROWS]), len(dictionary), np.int32), rows[i:i + ROWS]]
                     flat = dictionary.take(pa.array(some[some > 0] - 1))
-                    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), flat), pa.scalar("\0", pa.large_string()))
-                    yield pa.RecordBatch.from_arrays([pa.array(part[i:i + ROWS], pa.int32()), pa.array([lang] * len(some), pa.string()), joined.cast(pa.string()), pa.array(n[i:i + ROWS], pa.int64())],
-                                                     names=["part", "lang", "suffix", "n"])
+                    ends = np.r_[0, np.cumsum(np.count_nonzero(some, axis=1))]
+                    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.scalar("\0", pa.large_string()))
+                    yield pa.RecordBatch.from_arrays([pa.array(part[i:i + ROWS], pa.int32()), joined.cast(pa.string()), pa.array(n[i:i + ROWS], pa.int64())], names=["part", "suffix", "n"])
         trim()
 
-    return texts.mapInArrow(run, "part int, lang string, suffix string, n long")
+    return texts.mapInArrow(run, "part int, suffix string, n long")
 
 
 class Stack:
-    """Beginnings of the last suffix with what they have counted so far: the language, then one to MAX_WORDS words.
+    """Beginnings of the last suffix with what they have counted so far: the language, then one to MAX_WORDS words more.
 
     A batch of sorted suffixes passes over it at once, level by level: a beginning leaves where a suffix
     shares fewer words with the one before.
     """
 
     def __init__(self, least: int):
-        self.least, self.lang, self.suffix = least, None, None
+        self.least, self.last = least, None
         self.open = np.zeros(MAX_WORDS + 1, np.int64)
         self.edge = np.ones(MAX_WORDS + 1, bool)  # may have begun in the range before
 
-    def read(self, langs: pa.Array, suffix: pa.Array, n: np.ndarray) -> list[tuple[str, str | None, int]]:
+    def read(self, suffix: pa.Array, n: np.ndarray) -> list[tuple[str, str | None, int]]:
         """What leaves the stack: (language, words, count), or no words with all that the language counts."""
-        if self.lang is not None:
-            langs = pa.concat_arrays([pa.array([self.lang], langs.type), langs])
-            suffix = pa.concat_arrays([pa.array([self.suffix], suffix.type), suffix])
-            n = np.r_[0, n]
+        carried = self.last is not None
+        if carried:
+            suffix, n = pa.concat_arrays([pa.array([self.last], suffix.type), suffix]), np.r_[0, n]
         words = pc.split_pattern(suffix, "\0")
         offsets = words.offsets.to_numpy().astype(np.int64)
         sizes = np.diff(offsets)
-        rows = np.zeros((len(suffix), MAX_WORDS + 1), np.int64)
-        rows[:, 0] = langs.dictionary_encode().indices.to_numpy() + 1
+        rows = np.zeros((len(suffix), MAX_WORDS + 1), np.int32)
         owner = np.repeat(np.arange(len(sizes)), sizes)
-        rows[owner, np.arange(len(owner)) - np.repeat(offsets[:-1] - offsets[0], sizes) + 1] = words.flatten().dictionary_encode().indices.to_numpy() + 1
+        rows[owner, np.arange(len(owner)) - np.repeat(offsets[:-1] - offsets[0], sizes)] = words.flatten().dictionary_encode().indices.to_numpy() + 1
         shared = np.zeros(len(rows), np.int64)
         shared[1:] = np.cumprod(rows[1:] == rows[:-1], axis=1).sum(1)
         out = []
         for level in range(MAX_WORDS + 1):
-            begins = np.flatnonzero((shared <= level))
+            begins = np.flatnonzero(shared <= level)
             total = n.copy()
-            total[0] += self.open[level] if self.lang is not None else 0
+            total[0] += self.open[level] if carried else 0
             total = np.add.reduceat(total, begins)
             there = rows[begins, level] > 0
             leave = there & ((total >= self.least) | (level == 0))
             leave[0] |= there[0] and self.edge[level]
             leave[-1] = False  # the last stays
-            out += [self._entry(langs[i].as_py(), suffix[i].as_py(), level, c) for i, c in zip(begins[leave].tolist(), total[leave].tolist())]
+            out += [self._entry(suffix[i].as_py(), level, c) for i, c in zip(begins[leave].tolist(), total[leave].tolist())]
             self.open[level] = total[-1] if there[-1] else 0
             self.edge[level] &= len(begins) == 1
-        self.lang, self.suffix = langs[-1].as_py(), suffix[-1].as_py()
+        self.last = suffix[-1].as_py()
         return out
 
     def finish(self) -> list[tuple[str, str | None, int]]:
         """All that is left; it may go on in the next range."""
-        return [self._entry(self.lang, self.suffix, k, int(c)) for k, c in enumerate(self.open) if c] if self.lang is not None else []
+        return [self._entry(self.last, k, int(c)) for k, c in enumerate(self.open) if c] if self.last is not None else []
 
     @staticmethod
-    def _entry(lang: str, suffix: str, level: int, n: int) -> tuple[str, str | None, int]:
-        return lang, "\0".join(suffix.split("\0")[:level]).translate(PLAIN) if level else None, n
+    def _entry(suffix: str, level: int, n: int) -> tuple[str, str | None, int]:
+        lang, *words = suffix.split("\0")
+        return _unnamed(lang), "\0".join(words[:level]).translate(PLAIN) if level else None, n
 
 
 def frequent(docs: DataFrame, least: int = LEAST, lang: str = "lang", text: str = "text") -> DataFrame:
@@ -225,7 +251,7 @@ def frequent(docs: DataFrame, least: int = LEAST, lang: str = "lang", text: str
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text")).where("text is not null")
-    ranges = shuffle_width(spark)
+    ranges = RANGES * shuffle_width(spark)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stack = Stack(least)
@@ -235,16 +261,15 @@ def frequent(docs: DataFrame, least: int = LEAST, lang: str = "lang", text: str
 
         for b in batches:
             if b.num_rows:
-                yield table(stack.read(b.column(0), b.column(1), b.column(2).to_numpy()))
+                yield table(stack.read(b.column(0), b.column(1).to_numpy()))
         yield table(stack.finish())
         trim()
 
-    with small_batches(spark, 4000):
-        edges = bounds(texts, ranges)
-    dealt = suffixes(texts, edges).repartitionById(ranges, "part").select("lang", "suffix", "n").sortWithinPartitions(F.desc("lang"), F.desc("suffix"))
-    parts = dealt.mapInArrow(count, "lang string, phrase string, n long")
-    whole = parts.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where((F.col("f") >= least) | F.col("phrase").isNull())
-    return materialise(whole)
+    with small_batches(spark, 2000):
+        dealt = suffixes(texts, bounds(texts, ranges)).repartitionById(ranges, "part").select("suffix", "n").sortWithinPartitions(F.desc("suffix"))
+        parts = dealt.mapInArrow(count, "lang string, phrase string, n long")
+        whole = parts.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where((F.col("f") >= least) | F.col("phrase").isNull())
+        return materialise(whole)
 
 
 def collocations(docs: DataFrame, least: int = LEAST, most: int | None = MOST) -> DataFrame:

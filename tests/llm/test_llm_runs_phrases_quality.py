@@ -142,7 +142,7 @@ def phrase_rows(seed=4):
     rows = [(1, None, "en"), (2, "", None), (3, " \t\n,,", "en"), (4, "hot pair " * 700, "en"), (5, "und only", "und"), (6, "und only", None), (6, "und only", None), (7, "x", "")]
     for i in range(90):
         ws = [rng.choice(words[:rng.choice([4, 13])]) + rng.choice(["", "", "", ".", ",", "\n", "\t"]) for _ in range(rng.randint(1, 60))]
-        rows.append((10 + i, " ".join(ws + ["fixed phrase of five words"] * (i % 3)), rng.choice(["en", "en", "de", None])))
+        rows.append((10 + i, " ".join(ws + ["fixed phrase of five words"] * (i % 3)), rng.choice(["en", "en", "de", "d\0e", "d\x01\x02", None])))
     return rows
 
 
@@ -171,10 +171,10 @@ def test_suffixes_in_blocks_of_words(monkeypatch):
 
 def test_stack_over_batches():
     """Beginnings stay open from batch to batch; those at an edge leave whatever they count."""
-    rows = sorted([("en", "\0".join(random.Random(i).choice("ab") for _ in range(1 + i % 5)), 1 + i % 3) for i in range(60)] + [("de", "a", 5)], reverse=True)
+    rows = sorted([("\0".join(["en", *(random.Random(i).choice("ab") for _ in range(1 + i % 5))]), 1 + i % 3) for i in range(60)] + [("de\0a", 5)], reverse=True)
     want = Counter()
-    for lang, suffix, n in rows:
-        ws = suffix.split("\0")
+    for suffix, n in rows:
+        lang, *ws = suffix.split("\0")
         want[lang, None] += n
         for k in range(1, len(ws) + 1):
             want[lang, " ".join(ws[:k])] += n
@@ -182,13 +182,21 @@ def test_stack_over_batches():
         stack, got = phrases.Stack(1), []
         for i in range(0, len(rows), size):
             part = rows[i:i + size]
-            got += stack.read(pa.array([r[0] for r in part]), pa.array([r[1] for r in part]), np.array([r[2] for r in part]))
+            got += stack.read(pa.array([r[0] for r in part]), np.array([r[1] for r in part]))
         total = Counter()
         for lang, phrase, n in got + stack.finish():
             total[lang, phrase] += n
         assert total == want
 
 
+def test_sampled_suffixes():
+    text = "a b c d e " * 500 + " ".join(f"w{i}" for i in range(300))
+    s = phrases.Suffixes(pa.array([text], pa.large_string()))
+    for most in (3, 200, 10_000):
+        some = s.some(most)
+        assert len(some) == len(set(some)) == min(most, len({s.spelled(i) for i in range(len(s))}))
+
+
 def test_no_phrases(spark):
     assert phrases.op12(docs_of(spark, [])).collect() == []
     assert phrases.op12(docs_of(spark, [(1, None, None), (2, ".,", "en")])).collect() == []
