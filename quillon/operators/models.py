@@ -10,10 +10,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.optimise import simplex, trust_region
 from quillon.functions.stats import by_rejects, normal_cdf, sign_flip, signed_rank, t_cdf
 from quillon.operators.estimate import cell_means, contrast_means, paired
 
-GLMM_DDL = "job string, status string, contrast string, estimate double, se double, z double, p double, sd_query double, sd_cell double, singular boolean"
+GLMM_DDL = "job string, status string, contrast string, estimate double, se double, z double, p double, sd_query double, sd_cell double, singular boolean, optimizer string, tried string"
+#: Bounds of the logarithm of a random effect's standard deviation; below SINGULAR it counts as none.
+LOW_SD, HIGH_SD, SINGULAR = -9.0, 5.0, 1e-3
+#: A fit has converged where its gradient, scaled by the curvature, is below this.
+SETTLED = 2e-3
 
 
 def binomial_counts(rows: DataFrame, y, job: str = "model") -> DataFrame:
@@ -60,7 +65,7 @@ def minimise(f, par: np.ndarray, rounds: int = 120) -> tuple[np.ndarray, bool]:
     """Quasi-Newton descent with a backtracking line search."""
     inv, value, grad = np.eye(len(par)) * 0.1, f(par), _gradient(f, par)
     for _ in range(rounds):
-        if np.abs(grad).max() < 1e-4 * (1 + abs(value)):
+        if np.abs(grad).max() < 1e-6 * (1 + abs(value)):
             return par, True
         step = -inv @ grad
         if step @ grad >= 0:
@@ -80,41 +85,74 @@ def minimise(f, par: np.ndarray, rounds: int = 120) -> tuple[np.ndarray, bool]:
     return par, False
 
 
+def _settled(f, par: np.ndarray, k: int) -> tuple[bool, np.ndarray]:
+    """Whether par is a minimum by its scaled gradient and curvature, and half the curvature: the information.
+
+    A standard deviation at its bound has no curvature to use and is left out.
+    """
+    live = np.r_[np.ones(k, bool), np.exp(par[k:]) >= SINGULAR]
+    grad, info = _gradient(f, par)[live], (_hessian(f, par) / 2)[np.ix_(live, live)]
+    try:
+        scaled = np.linalg.solve(np.linalg.cholesky(info), grad / 2)
+    except np.linalg.LinAlgError:
+        return False, info
+    return bool(min(np.abs(scaled).max(), np.abs(grad).max()) < SETTLED), info
+
+
+def _separated(s: np.ndarray, n: np.ndarray) -> bool:
+    """Whether an arm has no rows, or all 0, or all 1, so that the model is not identified."""
+    return bool(((s == 0) | (s == n)).any())
+
+
+def _by_query(data: pd.DataFrame) -> tuple[list, list, np.ndarray, np.ndarray]:
+    """Arms, queries, and successes and trials by query and arm of rows (query, arm, s, n)."""
+    arms, queries = sorted(data["arm"].unique()), sorted(data["query"].unique())
+    s, n = np.zeros((len(queries), len(arms))), np.zeros((len(queries), len(arms)))
+    at = (data["query"].map({q: i for i, q in enumerate(queries)}).to_numpy(), data["arm"].map({a: i for i, a in enumerate(arms)}).to_numpy())
+    np.add.at(s, at, data["s"].to_numpy(float))
+    np.add.at(n, at, data["n"].to_numpy(float))
+    return arms, queries, s, n
+
+
 def fit_glmm(data: pd.DataFrame, contrasts: tuple[tuple[str, str], ...], cell: bool = False) -> list[tuple]:
     """Logistic model y ~ arm + (1 | query) [+ (1 | query:arm)] of one job: rows without the job's name.
 
-    status separation: an arm without rows, or all 0, or all 1; failed: no optimum. Contrasts are
-    Wald, with the joint curvature at the optimum.
+    Three minimisers are tried in order until one ends where the function's derivatives say that it is a
+    minimum: a trust region, a simplex, quasi-Newton steps. status separation: an arm without rows, or all
+    0, or all 1, and nothing is tried; failed: no minimiser converged. A singular fit, of which a random
+    effect is 0, counts. Contrasts are Wald, with the joint curvature at the optimum.
     """
-    arms = sorted(data["arm"].unique())
-    by = data.groupby("arm")[["s", "n"]].sum()
-    wanted = sorted({a for c in contrasts for a in c})
-    none = [("separation", f"{a}-{b}", *[None] * 6, None) for a, b in contrasts]
-    if any(a not in by.index or by.s[a] == 0 or by.s[a] == by.n[a] for a in wanted):
-        return none
+    arms, queries, s, n = _by_query(data)
+    wanted = {a for c in contrasts for a in c}
+    none = [f"{a}-{b}" for a, b in contrasts]
+    if not wanted <= set(arms) or _separated(s.sum(0), n.sum(0)):
+        return [("separation", c, *[None] * 9) for c in none]
     k = len(arms)
-    qs = {q: i for i, q in enumerate(sorted(data["query"].unique()))}
-    s, n = np.zeros((len(qs), k)), np.zeros((len(qs), k))
-    for q, a, si, ni in zip(data["query"], data["arm"], data["s"], data["n"]):
-        s[qs[q], arms.index(a)], n[qs[q], arms.index(a)] = si, ni
-    x = np.broadcast_to(np.eye(k), (len(qs), k, k))
-    z = np.ones((len(qs), k, 1))
+    x = np.broadcast_to(np.eye(k), (len(queries), k, k))
+    z = np.ones((len(queries), k, 1))
     if cell:
         z = np.concatenate([z, x], 2)
-    modes = np.zeros((len(qs), z.shape[2]))
+    modes = np.zeros((len(queries), z.shape[2]))
     f = lambda par: laplace(par, x, z, s, n, k, modes)
     share = (s.sum(0) + 0.5) / (n.sum(0) + 1)
-    par, ok = minimise(f, np.r_[np.log(share / (1 - share)), [-0.7] * (2 if cell else 1)])
-    if not ok:
-        return [("failed", c, *rest) for _, c, *rest in none]
+    start = np.r_[np.log(share / (1 - share)), [-0.7] * (2 if cell else 1)]
+    bounds = np.r_[[-30.0] * k, [LOW_SD] * (len(start) - k)], np.r_[[30.0] * k, [HIGH_SD] * (len(start) - k)]
+
+    def by_trust_region(par: np.ndarray) -> tuple[np.ndarray, bool]:
+        best, _, reached = trust_region(lambda rows, _: np.array([f(p) for p in rows]), par[None], *bounds)
+        return best[0], bool(reached[0])
+
+    tried = []
+    for name, method in (("trust region", by_trust_region), ("simplex", lambda par: simplex(f, par)), ("quasi-newton", lambda par: minimise(f, par))):
+        par, reached = method(start)
+        good, info = _settled(f, par, k)
+        tried.append(f"{name}: {'ok' if good else 'not at a minimum' if reached else 'no end'}")
+        if good:
+            break
+    else:
+        return [("failed", c, *[None] * 8, "; ".join(tried)) for c in none]
     sd = np.exp(par[k:])
-    singular = bool((sd < 1e-3).any())
-    h = _hessian(f, par) / 2
-    live = np.r_[np.ones(k, bool), sd >= 1e-3]  # a variance at its bound has no curvature to use
-    try:
-        v = np.linalg.inv(h[np.ix_(live, live)])[:k, :k]
-    except np.linalg.LinAlgError:
-        return [("failed", c, *rest) for _, c, *rest in none]
+    singular, v = bool((sd < SINGULAR).any()), np.linalg.inv(info)[:k, :k]
     out = []
     for a, b in contrasts:
         w = np.zeros(k)
@@ -122,7 +160,7 @@ def fit_glmm(data: pd.DataFrame, contrasts: tuple[tuple[str, str], ...], cell: b
         est, var = float(w @ par[:k]), float(w @ v @ w)
         se = math.sqrt(var) if var > 0 else None
         zz = est / se if se else None
-        out.append(("ok", f"{a}-{b}", est, se, zz, 2 * normal_cdf(-abs(zz)) if zz is not None else None, float(sd[0]), float(sd[1]) if cell else None, singular))
+        out.append(("ok", f"{a}-{b}", est, se, zz, 2 * normal_cdf(-abs(zz)) if zz is not None else None, float(sd[0]), float(sd[1]) if cell else None, singular, name, "; ".join(tried)))
     return out
 
 
@@ -135,15 +173,77 @@ def glmm(counts: DataFrame, contrasts: tuple[tuple[str, str], ...], cell: bool =
     return counts.groupBy("job").applyInPandas(run, GLMM_DDL)
 
 
-def glmm_bootstrap(counts: DataFrame, weights: DataFrame, contrasts: tuple[tuple[str, str], ...]) -> DataFrame:
-    """Refits on resampled queries: a query drawn w times is w clusters. One group a job and resample."""
-    drawn = counts.join(weights.where("w > 0").withColumnRenamed("unit", "query"), "query").withColumn("copy", F.explode(F.sequence(F.lit(1), "w")))
-    named = drawn.select("job", "b", F.concat_ws("#", "query", "copy").alias("query"), "arm", "s", "n")
+def deviances(par: np.ndarray, s: np.ndarray, n: np.ndarray, w: np.ndarray, modes: np.ndarray) -> np.ndarray:
+    """-2 log likelihoods (B) by the Laplace approximation of y ~ arm + (1 | query), one for each row of weights w (B, q).
+
+    par (B, k + 1): effects of the k arms, and the standard deviation, of either sign. s, n (q, k). A query
+    of weight 2 counts as two clusters alike, which share their mode. modes (B, q) are updated.
+    """
+    fixed, sd = par[:, None, :-1], par[:, -1:]
+    for _ in range(60):
+        mu = 1 / (1 + np.exp(-np.clip(fixed + (sd * modes)[..., None], -30, 30)))
+        info = sd**2 * (n * mu * (1 - mu)).sum(2) + 1
+        step = (sd * (s - n * mu).sum(2) - modes) / info
+        modes += np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-9:
+            break
+    eta = np.clip(fixed + (sd * modes)[..., None], -30, 30)
+    mu = 1 / (1 + np.exp(-eta))
+    info = sd**2 * (n * mu * (1 - mu)).sum(2) + 1
+    return -2 * (w * ((s * eta - n * np.logaddexp(0, eta)).sum(2) - 0.5 * modes**2 - 0.5 * np.log(info))).sum(1)
+
+
+def refit(s: np.ndarray, n: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Effects (B, k) of the model refitted under each row of weights w (B, q), and which of them were fitted.
+
+    All refits are one array program that starts from the fit of all queries. Separated ones are dropped.
+    """
+    total = np.stack([w @ s, w @ n])
+    ok = ~((total[0] == 0) | (total[0] == total[1])).any(1)
+    k = s.shape[1]
+    low, high = np.r_[[-30.0] * k, 0.0], np.r_[[30.0] * k, np.exp(HIGH_SD)]
+
+    def fit(weights: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        modes = np.zeros(weights.shape)
+
+        def f(par: np.ndarray, rows: np.ndarray) -> np.ndarray:
+            own = modes[rows]
+            out = deviances(par, s, n, weights[rows], own)
+            modes[rows] = own
+            return out
+
+        par, value, _ = trust_region(f, start, low, high)
+        return par, np.isfinite(value) & np.isfinite(par).all(1)
+
+    share = (s.sum(0) + 0.5) / (n.sum(0) + 1)
+    whole, _ = fit(np.ones((1, len(s))), np.r_[np.log(share / (1 - share)), 0.5][None])
+    whole[:, -1] = np.maximum(whole[:, -1], 0.1)  # from a deviation of 0 no slope leads away
+    out = np.full((len(w), k), np.nan)
+    if ok.any():
+        par, finite = fit(w[ok].astype(float), np.repeat(whole, ok.sum(), 0))
+        out[ok] = np.where(finite[:, None], par[:, :-1], np.nan)
+    return out, np.isfinite(out).all(1)
+
+
+def glmm_bootstrap(counts: DataFrame, weights: DataFrame, contrasts: tuple[tuple[str, str], ...], block: int = 250) -> DataFrame:
+    """(job, b, contrast, estimate): refits on resampled queries; estimate is null where the resample is separated.
+
+    weights: (b, unit, w), a query drawn w times counts as w clusters. One task a job and block of
+    resamples: it holds queries times arms rows, each query with its weights of the block as an array.
+    """
+    packed = weights.withColumn("block", F.floor(F.col("b") / block)).groupBy("block", F.col("unit").alias("query")).agg(F.array_sort(F.collect_list(F.struct("b", "w"))).alias("drawn"))
+    rows = counts.join(packed, "query").select("job", "block", "query", "arm", "s", "n", "drawn")
 
     def run(key: tuple, data: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(str(key[0]), int(key[1]), r[0], r[1], r[2]) for r in fit_glmm(data, contrasts)], columns=["job", "b", "status", "contrast", "estimate"])
+        arms, queries, s, n = _by_query(data)
+        drawn = data.drop_duplicates("query").set_index("query")["drawn"]
+        b = [x["b"] for x in drawn[queries[0]]]
+        par, _ = refit(s, n, np.array([[x["w"] for x in drawn[q]] for q in queries]).T)
+        each = [(f"{x}-{y}", par[:, arms.index(x)] - par[:, arms.index(y)] if x in arms and y in arms else np.full(len(b), np.nan)) for x, y in contrasts]
+        out = pd.concat([pd.DataFrame({"job": str(key[0]), "b": b, "contrast": name, "estimate": est}) for name, est in each])
+        return out.astype({"b": "int64"}).assign(estimate=pd.array(out["estimate"].where(out["estimate"].notna(), None), "Float64"))
 
-    return named.groupBy("job", "b").applyInPandas(run, "job string, b long, status string, contrast string, estimate double")
+    return rows.groupBy("job", "block").applyInPandas(run, "job string, b long, contrast string, estimate double")
 
 
 LMM_DDL = "job string, contrast string, estimate double, se double, z double, p double, ratio double"
@@ -302,18 +402,24 @@ def set_randomisation(lists: DataFrame, contrasts: tuple[tuple[str, str], ...],
     return _null_test(per, ("model", "contrast"))
 
 
-def outcome_tests(rows: DataFrame, y, contrasts: tuple[tuple[str, str], ...]) -> DataFrame:
-    """The registered test of a yes-or-no outcome: (model, contrast, estimate, n, method, p).
+def registered_tests(differences: DataFrame, counts: DataFrame | None, contrasts: tuple[tuple[str, str], ...]) -> DataFrame:
+    """(model, contrast, estimate, n, method, p): the registered test of each contrast of one family.
 
-    estimate is the mean over queries of the paired difference of shares. P is the mixed model's where
-    it fits, else that of the signed-rank test of the paired differences. y: 0 or 1, null undefined.
+    estimate is the mean over queries of the paired differences (model, query, contrast, d). P is the mixed model's on
+    counts (job, query, arm, s, n), where there are counts and it fits, else that of the signed-rank test.
     """
-    d = paired(cell_means(rows, y.cast("double")), contrasts)
-    fit = glmm(binomial_counts(rows.where(y.isNotNull()), y), contrasts).where("status = 'ok' and p is not null and not isnan(p)")
-    fit = fit.select(F.col("job").alias("model"), "contrast", F.col("p").alias("p_fit"))
-    ranks = paired_tests(d, draws=200).select("model", "contrast", "p_rank")
-    return (contrast_means(d).join(ranks, ["model", "contrast"], "left").join(fit, ["model", "contrast"], "left")
-            .select("model", "contrast", "estimate", "n", F.when(F.col("p_fit").isNotNull(), "glmm").otherwise("signed rank").alias("method"), F.coalesce("p_fit", "p_rank").alias("p")))
+    ranks = paired_tests(differences, draws=200).select("model", "contrast", "p_rank")
+    found = contrast_means(differences).join(ranks, ["model", "contrast"], "left")
+    if counts is None:
+        return found.select("model", "contrast", "estimate", "n", F.lit("signed rank").alias("method"), F.col("p_rank").alias("p"))
+    fit = glmm(counts, contrasts).where("status = 'ok' and p is not null and not isnan(p)").select(F.col("job").alias("model"), "contrast", F.col("p").alias("p_fit"))
+    return found.join(fit, ["model", "contrast"], "left").select(
+        "model", "contrast", "estimate", "n", F.when(F.col("p_fit").isNotNull(), "glmm").otherwise("signed rank").alias("method"), F.coalesce("p_fit", "p_rank").alias("p"))
+
+
+def outcome_tests(rows: DataFrame, y, contrasts: tuple[tuple[str, str], ...]) -> DataFrame:
+    """The registered test of a yes-or-no outcome of answers. y: 0 or 1, null undefined."""
+    return registered_tests(paired(cell_means(rows, y.cast("double")), contrasts), binomial_counts(rows.where(y.isNotNull()), y), contrasts)
 
 
 def alternative_annotator(scores: DataFrame, margin: float = 0.15, q: float = 0.05, least: int = 30) -> DataFrame:

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+from hashlib import md5
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.operators.study import hash32
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all shuffle partitions, before each is multiplied: adaptive execution would leave so few rows in one task."""
+    return rows.repartition(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def weights(units: DataFrame, draws: int, seed: int = 7, stratum: str | None = None) -> DataFrame:
     """(b, unit, w): how often each unit is drawn in each resample of as many units.
 
@@ -17,6 +27,7 @@ def weights(units: DataFrame, draws: int, seed: int = 7, stratum: str | None = N
     """
     s = F.col(stratum) if stratum else F.lit("all")
     numbered = units.select("unit", s.alias("s")).withColumn("i", F.row_number().over(Window.partitionBy("s").orderBy("unit")) - 1).withColumn("n", F.count("*").over(Window.partitionBy("s")))
+    numbered = spread(numbered)
     drawn = numbered.select("s", "n", F.col("i").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b")).select(
         "s", "b", (hash32(str(seed), F.col("b"), F.col("s"), F.col("j")) % F.col("n")).alias("i"))
     counts = drawn.groupBy("b", "s", "i").agg(F.count("*").alias("w"))
@@ -103,3 +114,56 @@ def benjamini_yekutieli(tests: DataFrame, family: tuple[str, ...], q: float = 0.
     t = tests.withColumn("_p", F.coalesce(p, F.lit(1.0))).withColumn("_m", F.count("*").over(w)).withColumn("_i", F.row_number().over(ordered))
     last = F.max(F.when(F.col("_p") <= F.col("_i") / F.col("_m") * q / harmonic, F.col("_i")).otherwise(0)).over(w)
     return t.withColumn("rejected", F.col("_i") <= last).drop("_p", "_m", "_i")
+
+
+@lru_cache(maxsize=4)
+def draw_matrix(strata: tuple[str, ...], draws: int, seed: int = 7) -> np.ndarray:
+    """The weights of `weights` as one array (draws, units); strata: each unit's, units in order of name."""
+    out = np.zeros((draws, len(strata)), np.int16)
+    for s in dict.fromkeys(strata):
+        own = np.array([i for i, x in enumerate(strata) if x == s])
+        for b in range(draws):
+            head = md5(f"{seed}|{b}|{s}|".encode())
+            for j in range(len(own)):
+                h = head.copy()
+                h.update(str(j).encode())
+                out[b, own[int.from_bytes(h.digest()[:4]) % len(own)]] += 1
+    return out
+
+
+def vector_means(values: np.ndarray, drawn: np.ndarray) -> np.ndarray:
+    """Weighted means (draws, columns) of values (units, columns) over their defined units: sums over units of whole arrays."""
+    known = ~np.isnan(values)
+    total, n = drawn @ np.where(known, values, 0.0), drawn @ known.astype(float)
+    return np.where(n > 0, total / np.maximum(n, 1), np.nan)
+
+
+def cluster_statistics(values: DataFrame, frame: DataFrame, group: tuple[str, ...], member: str, draws: int, seed: int = 7, least: int = 2) -> DataFrame:
+    """(group, member, measure, estimate, n_units, lo, hi, used) of many statistics that share one draw of clusters.
+
+    values: (group, member, unit, measure, v), v the statistic's value in a unit; its estimate is the mean over units. frame:
+    (unit) of all units that are drawn, eligible or not: clusters, few by design, whose names the driver hands to the tasks. Member
+    "all" is the members' mean, defined where all members of the measure are. Percentile limits over the defined resamples, none
+    below least units. A group holds its members' units; the draws are one matrix that each task derives from hashes,
+    and a group's replicates are its product with the values, so no resample is ever a row.
+    """
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in values.select(*group).schema.fields)
+    units = sorted(r[0] for r in frame.select("unit").distinct().collect())
+
+    def run(key: tuple, data: pd.DataFrame) -> pd.DataFrame:
+        wide = data.set_index(["unit", "measure", member])["v"].unstack(["measure", member]).reindex(units)
+        x = wide.to_numpy(float)
+        reps, n = vector_means(x, draw_matrix(("all",) * len(units), draws, seed)), (~np.isnan(x)).sum(0)
+        point, out, columns = np.nansum(x, 0) / np.maximum(n, 1), [], list(wide.columns)
+        for measure in sorted({c[0] for c in columns}):
+            at = [i for i, c in enumerate(columns) if c[0] == measure]
+            parts = [(columns[i][1], point[i], n[i], reps[:, i]) for i in at if n[i]]
+            if len(parts) == len(at):
+                parts.append(("all", point[at].mean(), n[at].min(), reps[:, at].mean(1)))
+            for who, estimate, many, r in parts:
+                r = r[~np.isnan(r)]
+                lo, hi = np.percentile(r, [2.5, 97.5]) if many >= least and len(r) else (None, None)
+                out.append((*key, who, measure, float(estimate), int(many), lo, hi, len(r)))
+        return pd.DataFrame(out, columns=[*group, member, "measure", "estimate", "n_units", "lo", "hi", "used"])
+
+    return values.groupBy(*group).applyInPandas(run, f"{kinds}, {member} string, measure string, estimate double, n_units long, lo double, hi double, used long")

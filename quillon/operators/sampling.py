@@ -54,19 +54,40 @@ def largest_remainder(strata: DataFrame, total: int, seed: str, name: str = "str
     return base.withColumn("quota", F.col("_base") + F.col("_q") + F.when(rank <= left, 1).otherwise(0)).select(*strata.columns, "quota")
 
 
-def assign_pairs(rows: DataFrame, raters: tuple[str, ...], seed: str, overlap: float = 0.1, key: str = "key", stratum: tuple[str, ...] = ()) -> DataFrame:
-    """rows with rater (in turn over a seeded order of each stratum) and all_rate for the overlap share."""
-    order = Window.partitionBy(*(stratum or (F.lit(0),))).orderBy(shuffle_key(seed, F.col(key)), key)
-    n = F.count("*").over(Window.partitionBy(*(stratum or (F.lit(0),))))
-    names = F.array(*map(F.lit, raters))
-    r = F.row_number().over(order)
-    return rows.withColumn("rater", F.element_at(names, (r - 1) % len(raters) + 1)).withColumn("all_rate", r <= F.ceil(n * overlap))
-
-
 def opaque_ids(rows: DataFrame, seed: str, key: str = "key") -> DataFrame:
     """rows with pid, a seeded name that hides the key."""
     return rows.withColumn("pid", F.concat(F.lit("p"), F.substring(shuffle_key(seed, F.col(key)), 1, 12)))
 
 
-def uniform(seed: str, *parts: Column) -> Column:
-    return hash32(seed, *parts) / float(2 ** 32)
+def smallest(rows: DataFrame, one_in: int, seed: str, name: str, key: str = "key") -> DataFrame:
+    """rows with a flag on exactly ceil(n / one_in) of them: those of the smallest seeded hashes.
+
+    An order statistic without a sort of all rows: hashes are counted by their first 16 bits, the counts say in
+    which of those 65,536 bins the limit lies, and only that bin's rows are put in order.
+    """
+    hashed = rows.withColumn("_h", shuffle_key(seed, F.col(key))).withColumn("_bin", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
+    bins = hashed.groupBy("_bin").agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy(F.lit(0))
+    upto = F.sum("_n").over(whole.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0))
+    cut = bins.withColumn("_upto", upto).withColumn("_all", F.sum("_n").over(whole)).withColumn("_limit", F.expr(f"(_all + {one_in - 1}) div {one_in}")).where("_upto >= _limit and _upto - _n < _limit").select(F.col("_bin").alias("_cut"), (F.col("_limit") - F.col("_upto") + F.col("_n")).alias("_left"))
+    marked = hashed.join(F.broadcast(cut))  # one row, or none without rows
+    order = Window.partitionBy("_bin").orderBy("_h", key)
+    inside = marked.where("_bin = _cut").withColumn(name, F.row_number().over(order) <= F.col("_left"))
+    outside = marked.where("_bin <> _cut").withColumn(name, F.col("_bin") < F.col("_cut"))
+    return outside.unionByName(inside).select(*rows.columns, name)
+
+
+def balanced_pairs(items: DataFrame, raters: tuple[str, ...], seed: str, group: tuple[str, ...] = ("query", "arm"), cell: str = "model", key: str = "key") -> DataFrame:
+    """items with rater: in each group the pairs of raters, each twice, are dealt to its cells in a seeded order.
+
+    The i-th cell of a group gets the i-th pair, and its items, in a seeded order, the pair's raters in turn; so no rater has
+    two items of a cell of two, and with as many cells as pairs all raters have equally many. Windows stand over a
+    group's cells and a cell's items, both few by the draw before.
+    """
+    pairs = [(a, b) for i, a in enumerate(raters) for b in raters[i + 1:]] * 2
+    slots = F.array_sort(F.array(*[F.struct(shuffle_key(seed, *map(F.col, group), F.lit(s)).alias("h"), F.lit(s).alias("s")) for s in range(len(pairs))]))
+    cells = items.select(*group, cell).distinct().withColumn("_i", F.row_number().over(Window.partitionBy(*group).orderBy(cell)))
+    names = F.array(*[F.array(*map(F.lit, p)) for p in pairs])
+    dealt = cells.withColumn("_pair", F.get(names, F.get(slots, (F.col("_i") - 1) % len(pairs))["s"])).drop("_i")
+    turn = F.row_number().over(Window.partitionBy(*group, cell).orderBy(shuffle_key(seed, F.col(key)), key))
+    return items.withColumn("_j", turn).join(dealt, [*group, cell]).withColumn("rater", F.get("_pair", (F.col("_j") - 1) % 2)).drop("_j", "_pair")

@@ -673,11 +673,6 @@ def guarantee_one(v: View) -> DataFrame:
     return sampling.largest_remainder(s, 300, "g1", at_least=1).withColumn("quota", F.col("quota").cast("long"))
 
 
-@query("r6_assign_raters", """select key, category, ['R1', 'R2', 'R3'][((r - 1) % 3 + 1)::int] as rater, r <= ceil(n * 0.1::double) as all_rate from (select key, category, row_number() over (partition by category order by md5('as|' || key), key) as r, count(*) over (partition by category) as n from answers)""")
-def assign_raters(v: View) -> DataFrame:
-    return sampling.assign_pairs(v.answers.select("key", "category"), study.RATERS, "as", stratum=("category",))
-
-
 _BLANK = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
 _LETTERS = "len(regexp_extract_all({t}, '[À-ÿ]')) as {a}, len(regexp_extract_all({t}, '[A-Za-z]')) as {b}"
 

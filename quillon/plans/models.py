@@ -18,27 +18,6 @@ from quillon.streaming import runs
 SET_DRAWS = 2000
 
 
-def _refusals(v: View) -> DataFrame:
-    return models.binomial_counts(v.answers.where(layers.predicates()["primary"]), F.col("outcome") == "refusal")
-
-
-@query("l1_glmm")
-def glmm(v: View) -> DataFrame:
-    return rounded(models.glmm(_refusals(v), CONTRASTS), "estimate", "se", "z", "p", "sd_query")
-
-
-@query("l2_glmm_query_and_cell")
-def glmm_cell(v: View) -> DataFrame:
-    return rounded(models.glmm(_refusals(v), CONTRASTS, cell=True), "estimate", "se", "z", "p", "sd_query", "sd_cell")
-
-
-@query("l3_glmm_bootstrap")
-def glmm_bootstrap(v: View) -> DataFrame:
-    units = v.table("nation").select(F.col("n_name").alias("unit"))
-    return models.glmm_bootstrap(_refusals(v), resample.weights(units, 10), CONTRASTS).groupBy("job", "contrast").agg(
-        F.count_if(F.col("status") == "ok").alias("fitted"), F.round(F.avg("estimate"), 6).alias("estimate"))
-
-
 @query("l4_length_model")
 def length_model(v: View) -> DataFrame:
     return rounded(models.lmm(v.answers, F.log(F.col("amount") + 1), CONTRASTS), "estimate", "se", "z", "p", "ratio")
@@ -66,19 +45,6 @@ def outcome_tests(v: View) -> DataFrame:
     return rounded(models.outcome_tests(v.answers.where(layers.predicates()["primary"]), (F.col("outcome") == "refusal").cast("int"), CONTRASTS), "estimate", "p")
 
 
-@query("l7_registered_families")
-def registered_families(v: View) -> DataFrame:
-    """Every family of registered tests, corrected within itself: two yes-or-no outcomes and two means over queries."""
-    a = v.answers.where(layers.predicates()["primary"])
-    flags = layers.with_flag(a, v.prices.where("currency = 'BDT'"), "priced")
-    parts = {"refusal": models.outcome_tests(a, (F.col("outcome") == "refusal").cast("int"), CONTRASTS), "price": models.outcome_tests(flags, F.col("priced").cast("int"), CONTRASTS)}
-    for name, d in (("share", estimate.paired(v.share_cells(), CONTRASTS)), ("divergence", estimate.excess_divergence(estimate.set_counts(v.lists), CONTRASTS, v.names))):
-        p = models.paired_tests(d, draws=200).select("model", "contrast", F.col("p_rank").alias("p"))
-        parts[name] = estimate.contrast_means(d).join(p, ["model", "contrast"]).withColumn("method", F.lit("signed rank")).select("model", "contrast", "estimate", "n", "method", "p")
-    tests = estimate.union_all([t.withColumn("family", F.lit(f)) for f, t in parts.items()]).withColumn("tie", F.concat("model", "contrast"))
-    return rounded(resample.holm(tests, ("family",), tie="tie").withColumn("rejected", F.col("p_holm") <= 0.05).drop("tie"), "estimate", "p", "p_holm")
-
-
 @query("g5_alternative_annotator")
 def alternative_annotator(v: View) -> DataFrame:
     s = consensus.rater_sets(v.raters, v.answers, study.RATERS).join(v.lists.select("key", "names"), "key")

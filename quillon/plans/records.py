@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text
 from quillon.operators import consensus, estimate, layers, study
 from quillon.operators.study import hash32
-from quillon.plans.catalogue import CONTRASTS, COUNTED, PAIRED, View, cells_sql, h, query, rounded
+from quillon.plans.catalogue import COUNTED, View, h, query, rounded
 from quillon.sources import readers, sinks
 
 
@@ -260,20 +260,6 @@ def persona_marks(v: View) -> DataFrame:
     return m.groupBy("source", "lang", "mark").agg(F.count("*").alias("n"), F.count_if("several").alias("n_several"))
 
 
-_SHARES = f"{COUNTED}, {cells_sql()}, {PAIRED}"
-
-
-@query("a29_a30_verdicts", f"""with {_SHARES}, e as (select model, contrast, avg(d) as est, stddev_samp(d) / sqrt(count(*)) as se, count(*) filter (where d > 0) as up, count(*) filter (where d < 0) as down from paired group by all),
-j as (select *, abs(est / se) > 1.96 as rejected, sign(up::int - down::int) * sign(est) > 0 as same_sign from e)
-select contrast, count(*) as tests, count(*) filter (where rejected) as rejected, count(*) filter (where rejected and same_sign) as supported, count(*) filter (where rejected and not same_sign) as not_supported from j group by all""")
-def verdicts(v: View) -> DataFrame:
-    """How many tests of a family reject, and of those how many a check of the sign supports."""
-    d = estimate.paired(v.share_cells(), CONTRASTS)
-    e = d.groupBy("model", "contrast").agg(F.avg("d").alias("est"), (F.stddev_samp("d") / F.sqrt(F.count("*"))).alias("se"), (F.count_if(F.col("d") > 0) - F.count_if(F.col("d") < 0)).alias("lean"))
-    j = e.select("contrast", F.coalesce(F.abs(F.try_divide("est", "se")) > 1.96, F.lit(False)).alias("r"), (F.signum(F.col("lean").cast("double")) * F.signum("est") > 0).alias("s"))
-    return j.groupBy("contrast").agg(F.count("*").alias("tests"), F.count_if("r").alias("rejected"), F.count_if(F.col("r") & F.col("s")).alias("supported"), F.count_if(F.col("r") & ~F.col("s")).alias("not_supported"))
-
-
 @query("a31_audit_checks", """select 'answers' as item, (select count(*) from orders) = (select count(*) from answers) as ok union all select 'arms', (select count(distinct arm) from answers) = 3
 union all select 'classed names', (select count(*) from classes) = 23 union all select 'no empty name', (select count(*) from mentions where name = '') = 0 union all select 'unique keys', (select count(*) from answers) = (select count(distinct key) from answers)""")
 def audit_checks(v: View) -> DataFrame:
@@ -285,18 +271,6 @@ def audit_checks(v: View) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("item"), c.alias("ok")) for k, c in checks.items()])).alias("x")).select("x.item", "x.ok")
 
 
-@query("a36_arm_gate", f"""with dr as (select model, query, arm, rep, key, unnest(range(1, case when {h("'draw|' || key")} % 10 = 0 then 3 else 2 end)) as draw from answers where arm = 'bl'),
-ou as (select *, {h("'outcome|' || key || '|' || draw")} % 100 < 20 as bad from dr), f as (select model, max_by(bad, draw) as bad from ou group by model, query, arm, rep)
-select model, 'all draws' as basis, count(*) filter (where bad) as bad, count(*) as n, round(count(*) filter (where bad) / count(*), 6) as rate from ou group by all
-union all select model, 'final draws', count(*) filter (where bad), count(*), round(count(*) filter (where bad) / count(*), 6) from f group by all""")
-def arm_gate(v: View) -> DataFrame:
-    """Share of degenerate answers of one arm, over all draws and over the final ones."""
-    draws = v.draws().where("arm = 'bl'")
-    one = lambda rows, basis: rows.groupBy("model").agg(F.count_if(F.col("outcome") == "degenerate").alias("bad"), F.count("*").alias("n")).withColumn("basis", F.lit(basis))
-    both = one(draws, "all draws").unionByName(one(layers.final_draws(draws), "final draws"))
-    return both.select("model", "basis", "bad", "n", F.round(F.col("bad") / F.col("n"), 6).alias("rate"))
-
-
 @query("a37_extraction_health", """select event_type, case when event_id % 9 = 0 then 'prices[i]: not a number' when event_id % 9 = 1 then 'refused: not a boolean' when event_id % 9 = 2 then 'brands[i]: empty' else 'ok' end as message, count(*) as n from events group by all""", with_study=False)
 def extraction_health(v: View) -> DataFrame:
     """Failure messages by kind, with the places in them made one."""
@@ -389,15 +363,6 @@ def cut_validation(v: View) -> DataFrame:
     return rounded(out, "least_bn", "most_latin")
 
 
-@query("e3_frozen_classes", """with d as (select name, count(*) filter (where l_suppkey % 3 = 0) as n_ret, count(*) filter (where l_suppkey % 3 > 0) as n_brand from (select p_brand as name, l_suppkey from lineitem join part on l_partkey = p_partkey) group by name)
-select name, n_ret, n_brand, case when 2 * n_ret > n_brand then 'retailer' else 'brand' end as kind from d""", with_study=False)
-def frozen_classes(v: View) -> DataFrame:
-    """Names frozen as retailers or brands by which of the two they are named as more (retailers weigh double)."""
-    d = v.table("lineitem").join(v.table("part").select("p_partkey", F.col("p_brand").alias("name")), F.col("l_partkey") == F.col("p_partkey"))
-    n = d.groupBy("name").agg(F.count_if(F.col("l_suppkey") % 3 == 0).alias("n_ret"), F.count_if(F.col("l_suppkey") % 3 > 0).alias("n_brand"))
-    return n.withColumn("kind", F.when(2 * F.col("n_ret") > F.col("n_brand"), "retailer").otherwise("brand"))
-
-
 @query("e5_e8_confirmed_classes", f"""with r as (select name, class as draft, case when {h("'a|' || name")} % 5 = 0 then 'ambiguous' else class end as a, case when {h("'b|' || name")} % 6 = 0 then 'local' when {h("'b|' || name")} % 6 = 1 then null else class end as b from classes)
 select name, draft, a, b, coalesce(a = draft and b = draft, false) as confirmed, case when b is null then 'not returned' when a <> b then 'conflict' end as problem from r""")
 def confirmed_classes(v: View) -> DataFrame:
@@ -411,36 +376,6 @@ def confirmed_classes(v: View) -> DataFrame:
     return j.select("name", "draft", "a", "b", F.coalesce(both, F.lit(False)).alias("confirmed"), F.when(F.col("b").isNull(), "not returned").when(F.col("a") != F.col("b"), "conflict").alias("problem"))
 
 
-@query("r8_design_check", f"""with x as (select model, arm, {_among_sql('rater', study.RATERS)} as rater from answers), c as (select rater, model, arm, count(*) as n from x group by all)
-select rater, min(n) as least, max(n) as most, count(*) as cells, max(n) <= 2 * min(n) as balanced from c group by all""")
-def design_check(v: View) -> DataFrame:
-    """How evenly an assignment spreads over the cells of the design."""
-    c = v.answers.groupBy(_among("rater", study.RATERS).alias("rater"), "model", "arm").agg(F.count("*").alias("n"))
-    return c.groupBy("rater").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("cells"), (F.max("n") <= 2 * F.min("n")).alias("balanced"))
-
-
-@query("r7_feature_cover", """with f as (select name, class, split_part(name, '#', 2)::int as n from classes), t as (select name, unnest([class, case when n % 2 = 0 then 'even' else 'odd' end, case when n > 20 then 'high' else 'low' end]) as tag from f)
-select tag, count(*) as n, min(name) as example from t group by tag""")
-def feature_cover(v: View) -> DataFrame:
-    """Features of candidates, how many have each, and one that covers it."""
-    n = F.substring_index("name", "#", -1).cast("int")
-    tags = F.array(F.col("class"), F.when(n % 2 == 0, "even").otherwise("odd"), F.when(n > 20, "high").otherwise("low"))
-    return v.classes.select("name", F.explode(tags).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"), F.min("name").alias("example"))
-
-
-@query("b5_projected_error", f"""with a as (select arm, query, rep, (outcome = 'refusal')::int as v from answers where model = '1-URGENT'), n as (select arm, query, count(*) as n from a group by all),
-d as (select arm, query, n, b, j, {h("'g1|' || arm || '|' || query || '|' || b || '|' || j")} % n + 1 as rep from n, (select unnest(range(0, 200)) as b), (select unnest(range(0, 5)) as j)),
-m as (select arm, b, avg(v) as mean from d join a using (arm, query, rep) group by all) select arm, round(stddev_pop(mean), 6) as se, round(avg(mean), 6) as mean, case when stddev_pop(mean) > 0.02 then 7 else 5 end as reps from m group by all""")
-def projected_error(v: View) -> DataFrame:
-    """Error of a mean if each query had five answers, drawn with replacement from its own; and how many answers that calls for."""
-    a = v.answers.where("model = '1-URGENT'").select("arm", "query", "rep", (F.col("outcome") == "refusal").cast("int").alias("v"))
-    n = a.groupBy("arm", "query").agg(F.count("*").alias("n"))
-    d = n.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(199)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    d = d.select("arm", "query", "b", (hash32("g1", F.col("arm"), F.col("query"), F.col("b"), F.col("j")) % F.col("n") + 1).cast("int").alias("rep"))
-    m = d.join(a, ["arm", "query", "rep"]).groupBy("arm", "b").agg(F.avg("v").alias("mean"))
-    return m.groupBy("arm").agg(F.round(F.stddev_pop("mean"), 6).alias("se"), F.round(F.avg("mean"), 6).alias("mean"), F.when(F.stddev_pop("mean") > 0.02, 7).otherwise(5).alias("reps"))
-
-
 # ------------------------------------------------------------------------------- sources and sinks, there and back
 def _home(v: View) -> str:
     base = v.spark.conf.get("spark.checkpoint.dir", None) or v.spark.conf.get("spark.sql.warehouse.dir")

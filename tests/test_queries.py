@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from quillon.plans import catalogue, models, records  # noqa: F401  the latter two register their queries
+from quillon.plans import catalogue, designs, families, models, records  # noqa: F401  the others register their queries there
 
 DATA = Path("/root/testdata/sf0.001")
 
