@@ -32,7 +32,11 @@ LEAST_PAGES, LEAST_WORDS = 3, 3
 
 # Element names of the HTML standard, and words that sites give to parts that are no article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-PROSE = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PROSE = HEADINGS | frozenset("p blockquote pre".split())
+#: Elements that a thread or a list of links repeats; what makes a header that of an article or section, not of the page.
+RECORDS = frozenset("article dd div dl li section tr".split())
+SECTIONS = frozenset("article main section".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 BLOCK = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure
 footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th
@@ -48,6 +52,13 @@ ASIDE_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising b
 promotion cookie cookies consent gdpr notice notices alert sidebar sidebars widget widgets menu menus nav navbar navigation
 breadcrumb breadcrumbs toolbar footer comment comments commentlist disqus respond reply replies discussion share sharing social
 related recommended newsletter subscribe subscription signup login popup modal overlay pagination pager masthead topbar skip""".split())
+#: Of these words the ones that say by themselves what an element is: it goes with all its prose.
+FIRM_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion cookie cookies
+consent gdpr sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs comment comments commentlist disqus respond
+newsletter subscribe subscription signup pagination pager masthead""".split())
+#: Words beside a firm one by which a wrapper says what it holds or leaves out; words after `related` that make it a list of links.
+WRAPPER_WORDS = frozenset("has have with without no not hide show is on off open".split())
+LINKED_WORDS = frozenset("articles content items links list news posts reading stories topics".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 #: A group's pages in an order that no shuffle changes: of copies the first is heard.
@@ -67,42 +78,75 @@ PARTS = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "aside", "soft", "children", "shape", "text")
+    __slots__ = ("tag", "aside", "soft", "firm", "children", "shape", "text")
 
-    def __init__(self, tag: str, aside: bool = False, soft: bool = False):
-        self.tag, self.aside, self.soft, self.children, self.shape, self.text = tag, aside, soft, [], -1, ""
+    def __init__(self, tag: str, aside: bool = False, soft: bool = False, firm: bool = False):
+        self.tag, self.aside, self.soft, self.firm, self.children, self.shape, self.text = tag, aside, soft, firm, [], -1, ""
 
     def elements(self) -> list[Node]:
         return [c for c in self.children if isinstance(c, Node)]
 
 
-def _aside(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether the element's name, role or hiding say that it is no part of an article, and whether class or id do."""
+def _aside(tag: str, attributes: str) -> tuple[bool, bool, bool]:
+    """Whether the element's name, role or hiding say that it is no part of an article; whether class or id do; and whether firmly."""
     if tag in NOT_TEXT:
-        return True, False
+        return True, False, False
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False, False
-    soft = False
+        return False, False, False
+    soft = firm = False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in ASIDE_ROLES):
-            return True, False
-        soft |= name in ("class", "id") and not ASIDE_WORDS.isdisjoint(PARTS.findall(value))
-    return False, soft
+            return True, False, False
+        if name in ("class", "id") and not ASIDE_WORDS.isdisjoint(PARTS.findall(value)):
+            soft = True
+            firm |= tag not in HEADINGS and (name == "class" or tag not in PROSE) and any(_is_firm(PARTS.findall(x)) for x in value.split())
+    return False, soft, firm
+
+
+def _is_firm(parts: list[str]) -> bool:
+    """Whether one class or id, as its words, names an aside beyond doubt: `post-comments` does, `with-sidebar` and `related-work` do not."""
+    if not WRAPPER_WORDS.isdisjoint(parts):
+        return False
+    links = parts[:1] in (["related"], ["recommended"]) and (len(parts) == 1 or parts[1] in LINKED_WORDS)
+    return links or not FIRM_WORDS.isdisjoint(parts)
+
+
+def _records(node: Node) -> bool:
+    """Whether an element is nothing but a heading and asides, or a list of items alike: two or more of one name that is no prose."""
+    inner = [c for c in node.elements() if c.tag not in HEADINGS and not c.aside]
+    alone = not inner and any(c.aside for c in node.elements())
+    if len(inner) == 1 and inner[0].tag in ("ul", "ol", "div", "section"):
+        inner = [c for c in inner[0].elements() if not c.aside]
+    loose = any(isinstance(c, str) and c.strip() for c in node.children)
+    return not loose and (alone or len(inner) > 1 and len({c.tag for c in inner}) == 1 and inner[0].tag in RECORDS)
 
 
 def _settle(root: Node) -> None:
-    """A class or id word makes an aside only of what is and holds no heading or prose block."""
+    """Which named elements are asides.
+
+    A firm name is one, with all its prose, unless it holds the article, the main part or a first heading. A name
+    that articles use too is one if it holds no heading or prose block, or only records alike, as a thread does.
+    """
     todo: list[tuple[Node, bool]] = [(root, False)]
     prose: set[int] = set()
+    holds: set[int] = set()
     while todo:
         node, done = todo.pop()
         if not done:
             todo.append((node, True))
             todo += [(c, False) for c in node.elements()]
         elif not node.aside:
-            if node.tag in PROSE or any(id(c) in prose for c in node.elements()):
-                prose.add(id(node))
+            inner = [c for c in node.elements() if not c.aside]
+            if node.tag in ("article", "main", "h1") or any(id(c) in holds for c in inner):
+                holds.add(id(node))
+            if node.firm and id(node) not in holds:
+                node.aside = True
+            elif node.tag in PROSE or any(id(c) in prose for c in inner):
+                if node.soft and node.tag not in PROSE and id(node) not in holds and _records(node):
+                    node.aside = True
+                else:
+                    prose.add(id(node))
             else:
                 node.aside = node.soft
 
@@ -140,6 +184,7 @@ def parse(html: str) -> Node:
         if tag in CLOSES:
             _close(stack, CLOSES[tag], SCOPE[tag])
         node = Node(tag, *_aside(tag, m.group(3)))
+        node.aside |= tag == "header" and SECTIONS.isdisjoint(x.tag for x in stack)
         stack[-1].children.append(node)
         if tag in VOID or m.group(3).endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
@@ -587,7 +632,11 @@ def decide(template: Node, slots: dict[int, int], common: list[tuple[int, int, i
     below = {id(n) for n in _walk(root)}
     own = id(root) in inside or sum(held.get(id(m), 0) for m in marks) > 0.6 * held[id(root)] and all(id(m) in below for m in marks)
     named = {id(n) for m in _walk(template) if m.soft for n in _walk(m)}
-    drop = frozenset((k, flow) for k, flow, words in common if id(nodes[k]) not in inside or id(nodes[k]) in named or words >= LEAST_WORDS)
+    said = sorted({k for k, _, _ in common} | {k for k, n in slots.items() if n})
+    after = dict(zip(said, said[1:]))
+    # inside marked articles a heading of the pages' own text is theirs, however many have it
+    heads = {k for k in said if nodes[k].tag in HEADINGS and id(nodes[k]) not in named and slots.get(after.get(k, -1))}
+    drop = frozenset((k, flow) for k, flow, words in common if id(nodes[k]) not in inside or id(nodes[k]) in named or words >= LEAST_WORDS and k not in heads)
     start = number[id(root)]
     return Verdict(start, start + sum(1 for _ in _all(root)), own, drop)
 
