@@ -23,10 +23,6 @@ PERCENT = (100, 75)
 KEY_BITS = 40
 #: An n-gram of more classes is compared in blocks of sets instead of pair by pair; sets of one side of a block.
 CROWD, BLOCK = 48, 512
-#: Tokens of a set are cut to 48 bits for the comparison of two documents: two sets of a thousand
-#: shingles then share one by chance, which matters only right at the limit, once in 3e8 pairs.
-SET_BYTES = 6
-
 ROWS = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("cid", pa.binary()), ("n", pa.int32()), ("token", pa.int64()),
                   ("pos", pa.int32()), ("spread", pa.int64()), ("tokens", pa.binary())])
 ROWS_DDL = "kind byte, doc_id long, cid binary, n int, token long, pos int, spread long, tokens binary"
@@ -36,8 +32,9 @@ DOCUMENT, PREFIX, SET = 0, 1, 2
 class _Sets:
     """The distinct shingle sets of a bundle's documents.
 
-    Shingles are hashed twice, by either hash of their words: the first is the shingle's token. Documents with equal sets form a class, named by the sums of both hashes over
-    its set (128 bits); the class is described once. set i holds the sorted tokens of class i.
+    Shingles are hashed twice, by either hash of their words: the first is the shingle's token, by which sets meet, and both together
+    (128 bits) say whether two shingles are the same. Documents with equal sets form a class, named by the sums of both
+    hashes over its set; the class is described once. set i holds both hashes of class i, sorted by the first, then the second.
     """
 
     def __init__(self, payload: bytes, size: int):
@@ -53,9 +50,9 @@ class _Sets:
                 pieces.append(tuple(run_hashes(h, k)[w.first[short]] for h in w.hashes))
                 owners.append(short)
         h, twin, doc = (np.concatenate(x) for x in (*zip(*pieces), owners))
-        order = np.lexsort((h, doc))
+        order = np.lexsort((twin, h, doc))
         h, twin, doc = h[order], twin[order], doc[order]
-        new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])] if len(h) else np.zeros(0, bool)
+        new = np.r_[True, (h[1:] != h[:-1]) | (twin[1:] != twin[:-1]) | (doc[1:] != doc[:-1])] if len(h) else np.zeros(0, bool)
         h, twin, doc = h[new], twin[new], doc[new]
         self.n = np.bincount(doc, minlength=t.num_rows)
         ends = np.cumsum(self.n)
@@ -69,11 +66,11 @@ class _Sets:
             if x is not None:
                 first.setdefault(x, i)
         self.classes = list(first.values())
-        self.sets = [h[ends[i] - self.n[i]:ends[i]] for i in self.classes]
+        self.sets = [np.stack([h[ends[i] - self.n[i]:ends[i]], twin[ends[i] - self.n[i]:ends[i]]]) for i in self.classes]
 
     def frequencies(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct frequency keys of all classes, sorted, and how many classes have each."""
-        every = np.concatenate(self.sets) if self.sets else np.empty(0, np.uint64)
+        every = np.concatenate([x[0] for x in self.sets]) if self.sets else np.empty(0, np.uint64)
         return np.unique(every >> np.uint64(64 - KEY_BITS), return_counts=True)
 
 
@@ -144,10 +141,11 @@ def describe(docs: DataFrame, size: int = SHINGLE, percent: tuple[int, int] = PE
             df[places[k] + np.cumsum(B.unplanes(raw[:4 * m], 4).astype(np.int64))] = B.unplanes(raw[4 * m:], 6).astype(np.int64)
         out = [pa.table([pa.array(np.full(len(s.ids), DOCUMENT, np.int8)), s.ids, pa.array(s.names, pa.binary()), pa.array(s.n, pa.int32()),
                          *(pa.nulls(len(s.ids), f.type) for f in list(ROWS)[4:])], schema=ROWS)]
-        for i, tokens in zip(s.classes, s.sets):
+        for i, both in zip(s.classes, s.sets):
+            tokens = both[0]
             own = df[np.searchsorted(keys, tokens >> np.uint64(64 - KEY_BITS))]
             m = int(prefix_length(len(tokens), percent))
-            order = np.lexsort((tokens, own))[:m]
+            order = np.argsort(own, kind="stable")[:m]  # tokens are sorted
             pos = np.flatnonzero(own[order] > 1)
             if not len(pos):
                 continue
@@ -157,8 +155,7 @@ def describe(docs: DataFrame, size: int = SHINGLE, percent: tuple[int, int] = PE
                 pa.array(np.full(k, kind, np.int8)), pa.nulls(k, pa.int64()), pa.array([c] * k, pa.binary()), pa.array(np.full(k, len(tokens), np.int32)), token, where,
                 pa.array(np.full(k, spread, np.int64)), kept], schema=ROWS)
             out.append(rows(PREFIX, many, pa.array(tokens[order][pos].view(np.int64)), pa.array(pos.astype(np.int32)), pa.nulls(many, pa.binary())))
-            cut = np.ascontiguousarray((tokens >> np.uint64(64 - 8 * SET_BYTES)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - SET_BYTES:])
-            out.append(rows(SET, 1, pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([cut.tobytes()], pa.binary())))
+            out.append(rows(SET, 1, pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([both.tobytes()], pa.binary())))
         return pa.concat_tables(out).combine_chunks()
 
     sent = packed.mapInArrow(send, B.BLOCKS_DDL)
@@ -180,10 +177,15 @@ def _unpack_counts(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _set(raw: bytes) -> np.ndarray:
-    flat = np.frombuffer(raw, np.uint8).reshape(-1, SET_BYTES)
-    out = np.zeros((len(flat), 8), np.uint8)
-    out[:, 8 - SET_BYTES:] = flat
-    return out.view(">u8").reshape(-1).astype(np.uint64)
+    """Both hashes of a set's shingles, (2, n)."""
+    return np.frombuffer(raw, np.uint64).reshape(2, -1)
+
+
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """Shingles of two sets that agree in all 128 bits."""
+    both = np.concatenate([x, y], 1)
+    first, second = both[:, np.lexsort(both[::-1])]
+    return int(((first[1:] == first[:-1]) & (second[1:] == second[:-1])).sum())
 
 
 def may_link(percent: tuple[int, int] = PERCENT, positions: bool = True) -> Column:
@@ -212,14 +214,13 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: tuple[int, int] = PERCENT
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             keep = np.zeros(t.num_rows, bool)
-            last, x = None, np.empty(0, np.uint64)
+            last, x = None, np.empty((2, 0), np.uint64)
             for i, (ra, rb) in enumerate(zip(t.column(2).to_pylist(), t.column(3).to_pylist())):
                 if ra != last:
                     last, x = ra, _set(ra)
                 y = _set(rb)
-                both = np.sort(np.concatenate([x, y]))
-                shared = int((both[1:] == both[:-1]).sum())
-                keep[i] = a_ * shared >= b_ * (len(x) + len(y) - shared)
+                shared = _shared(x, y)
+                keep[i] = a_ * shared >= b_ * (x.shape[1] + y.shape[1] - shared)
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(keep))
         trim()
 
@@ -295,7 +296,7 @@ def crowd_links(crowded: DataFrame, sets: DataFrame, percent: tuple[int, int] =
             return pa.table([pa.array([], pa.binary())] * 2, names=["a", "b"])
         raw = t.column("tokens").to_pylist()
         x, y = [_set(raw[k]) for k in left], [_set(raw[k]) for k in right]
-        nx, ny = (np.array([len(s) for s in side]) for side in (x, y))
+        nx, ny = (np.array([s.shape[1] for s in side]) for side in (x, y))
         shared = _intersections(x, y)
         differ = np.array([[parts[i] != parts[j] for j in right] for i in left])
         linked = differ & (a_ * shared >= b_ * (nx[:, None] + ny[None] - shared))
@@ -313,8 +314,14 @@ def crowd_links(crowded: DataFrame, sets: DataFrame, percent: tuple[int, int] =
 
 def _intersections(x: list[np.ndarray], y: list[np.ndarray], width: int = 4096) -> np.ndarray:
     """Sizes of all intersections of two lists of sets, by products of 0/1 matrices over strips of tokens."""
-    fx, fy = np.concatenate(x), np.concatenate(y)
-    rx, ry = np.repeat(np.arange(len(x)), [len(s) for s in x]), np.repeat(np.arange(len(y)), [len(s) for s in y])
+    every = np.concatenate([*x, *y], 1)
+    order = np.lexsort(every[::-1])
+    new = np.ones(len(order), np.int64)
+    new[1:] = (every[:, order[1:]] != every[:, order[:-1]]).any(0)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new)
+    rx, ry = (np.repeat(np.arange(len(side)), [s.shape[1] for s in side]) for side in (x, y))
+    fx, fy = number[:len(rx)], number[len(rx):]
     both = np.intersect1d(fx, fy)
     hx, hy = isin_sorted(fx, both), isin_sorted(fy, both)
     fx, rx, fy, ry = np.searchsorted(both, fx[hx]), rx[hx], np.searchsorted(both, fy[hy]), ry[hy]
@@ -365,4 +372,10 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, percent: tuple[int, int] = PE
 
 
 def op8(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document: five words a shingle, a similarity of 0.75 or more.
+
+    Null and empty texts have no shingles and link with nothing; texts of fewer than five words are one shingle. Repeated rows and
+    equal texts share a component; exactly 0.75 links. Texts of any length are read whole. Extra columns are not read,
+    whatever their names. Empty in, empty out.
+    """
     return near_duplicates(docs)

@@ -292,6 +292,20 @@ def test_html_query(spark):
     assert pages.op3(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_words_that_agree_in_48_bits_do_not_link(spark):
+    """Five of seven shingles are no link; the two that differ begin with words whose hashes agree in 48 bits."""
+    rows = [(1, "eyxif c1 c2 c3 c4 c5 c6 c7 c8 c9"), (2, "a0gsa c1 c2 c3 c4 c5 c6 c7 c8 c9")]
+    got = ngrams.op8(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(listed(got, "doc_id", "n_shingles", "component_id")) == [(1, 6, 1), (2, 6, 2)]
+
+
+def test_shingles_that_share_one_hash_differ_by_the_other():
+    x = np.array([[1, 2, 3, 3], [5, 6, 7, 8]], np.uint64)
+    y = np.array([[1, 2, 3, 4], [5, 9, 8, 1]], np.uint64)
+    assert ngrams._shared(x, y) == 2
+    assert ngrams._intersections([x, y], [y, x]).tolist() == [[2, 4], [4, 2]]
+
+
 def make_vectors():
     rng = np.random.default_rng(2)
     centre = rng.normal(size=(4, 8))
