@@ -21,6 +21,8 @@ PERCENT = (100, 75)
 #: which may put a rare one later in the common order but never loses a link. Raise it with the
 #: corpus: 12 more than the logarithm of its distinct shingles keeps such meetings rare.
 KEY_BITS = 40
+#: Bytes of a shingle's second hash that are kept beside the eight of the first: shingles are the same if all bits kept are.
+TWIN_BYTES = 8
 #: An n-gram of more classes is compared in blocks of sets instead of pair by pair; sets of one side of a block.
 CROWD, BLOCK = 48, 512
 ROWS = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("cid", pa.binary()), ("n", pa.int32()), ("token", pa.int64()),
@@ -32,8 +34,8 @@ DOCUMENT, PREFIX, SET = 0, 1, 2
 class _Sets:
     """The distinct shingle sets of a bundle's documents.
 
-    Shingles are hashed twice, by either hash of their words: the first is the shingle's token, by which sets meet, and both together
-    (128 bits) say whether two shingles are the same. Documents with equal sets form a class, named by the sums of both
+    Shingles are hashed twice, by either hash of their words: the first is the shingle's token, by which sets meet; with bytes of the
+    second it says whether two shingles are the same. Documents with equal sets form a class, named by the sums of both
     hashes over its set; the class is described once. set i holds both hashes of class i, sorted by the first, then the second.
     """
 
@@ -73,6 +75,12 @@ class _Sets:
         every = np.concatenate([x[0] for x in self.sets]) if self.sets else np.empty(0, np.uint64)
         return np.unique(every >> np.uint64(64 - KEY_BITS), return_counts=True)
 
+    def class_names(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Names of the classes (c, 2), sorted, whose they are, and where each of n buckets' names begin."""
+        raw = np.frombuffer(b"".join(self.names[i] for i in self.classes), np.uint64).reshape(-1, 2)
+        order = np.lexsort(raw.T[::-1])
+        return raw[order], order, np.searchsorted(B.bucket_of(raw[order, 0], n), np.arange(n + 1))
+
 
 def prefix_length(n: np.ndarray | int, percent: tuple[int, int] = PERCENT):
     """Tokens of a set of n, rarest first, among which two linked sets must meet."""
@@ -89,8 +97,9 @@ def _spread(tokens: np.ndarray) -> int:
 def describe(docs: DataFrame, size: int = SHINGLE, percent: tuple[int, int] = PERCENT) -> DataFrame:
     """One table of three kinds of rows: documents with their classes, prefix tokens, and token sets.
 
-    Every bundle sends its distinct frequency keys, packed to about three bytes each; buckets sum
-    them and answer those that are in two classes or more with their frequency. A class then
+    Every bundle sends its distinct frequency keys, packed to about three bytes each, and the names of its classes; buckets sum
+    the keys and answer those that are in two classes or more with their frequency, and tell the first bundle of each class
+    that it is the one to describe it, so that every class is described once. A class then
     orders its tokens by (frequency, hash), the same order everywhere, and keeps those of its
     prefix that another class may hold. A class with none such links with nothing and has no
     further rows. No group of documents is ever gathered.
@@ -103,28 +112,35 @@ def describe(docs: DataFrame, size: int = SHINGLE, percent: tuple[int, int] = PE
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for bundle, payload in zip(b.column(0).to_pylist(), b.column(1)):
-                keys, counts = _Sets(payload.as_py(), size).frequencies()
+                s = _Sets(payload.as_py(), size)
+                keys, counts = s.frequencies()
+                known, _, cuts = s.class_names(n)
                 places = np.searchsorted(_bucket(keys, n), np.arange(n + 1))
-                parts = [(names[k], _pack_counts(keys[places[k]:places[k + 1]], counts[places[k]:places[k + 1]])) for k in np.flatnonzero(np.diff(places)).tolist()]
+                parts = [(names[k], _with_size(_pack_counts(keys[places[k]:places[k + 1]], counts[places[k]:places[k + 1]]), known[cuts[k]:cuts[k + 1]].tobytes()))
+                         for k in np.flatnonzero(np.diff(places) + np.diff(cuts)).tolist()]
                 yield from B.blocks(bundle, parts).to_batches()
         trim()
 
     @B.trimmed
     def answer(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        got = [_unpack_counts(x.as_py()) for x in t.column("payload")]
+        raw = [_parted(x.as_py()) for x in t.column("payload")]
+        got, known = [_unpack_counts(x[0]) for x in raw], [np.frombuffer(x[1], np.uint64).reshape(-1, 2) for x in raw]
+        bundles = t.column("bundle").to_numpy()
+        first = _first_of(known, bundles)
         keys, counts = (np.concatenate([x[k] for x in got]) for k in (0, 1))
         order = np.argsort(keys)
         a = keys[order]
-        begin = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+        begin = np.flatnonzero(np.r_[True, a[1:] != a[:-1]][:len(a)])
         df = np.empty(len(a), np.int64)
-        df[order] = np.repeat(np.add.reduceat(counts[order], begin), np.diff(np.r_[begin, len(a)]))
+        if len(a):  # else only names came
+            df[order] = np.repeat(np.add.reduceat(counts[order], begin), np.diff(np.r_[begin, len(a)]))
         ends = np.cumsum([len(x[0]) for x in got])
         parts = []
-        for bundle, x, e in zip(t.column("bundle").to_pylist(), got, ends.tolist()):
+        for bundle, x, e, mine in zip(bundles.tolist(), got, ends.tolist(), first):
             own = df[e - len(x[0]):e]
             hit = np.flatnonzero(own > 1)
-            if len(hit):
-                parts.append((bundle, B.planes(np.diff(hit, prepend=0), 4) + B.planes(own[hit], 6)))
+            if len(hit) or mine.any():
+                parts.append((bundle, _with_size(B.planes(np.diff(hit, prepend=0), 4) + B.planes(own[hit], 6), np.packbits(mine).tobytes())))
         return B.answers(key[0].as_py(), parts)
 
     @B.trimmed
@@ -135,13 +151,18 @@ def describe(docs: DataFrame, size: int = SHINGLE, percent: tuple[int, int] = PE
         keys, _ = s.frequencies()
         places = np.searchsorted(_bucket(keys, n), np.arange(n + 1))
         df = np.ones(len(keys), np.int64)
+        _, whose, cuts = s.class_names(n)
+        first = np.zeros(len(s.classes), bool)
         for bucket, raw in zip(right.column("bucket").to_pylist(), right.column("payload")):
-            k, raw = number[bucket], raw.as_py()
+            k, (raw, bits) = number[bucket], _parted(raw.as_py())
+            first[whose[cuts[k]:cuts[k + 1]]] = np.unpackbits(np.frombuffer(bits, np.uint8))[:cuts[k + 1] - cuts[k]].astype(bool)
             m = len(raw) // 10
             df[places[k] + np.cumsum(B.unplanes(raw[:4 * m], 4).astype(np.int64))] = B.unplanes(raw[4 * m:], 6).astype(np.int64)
         out = [pa.table([pa.array(np.full(len(s.ids), DOCUMENT, np.int8)), s.ids, pa.array(s.names, pa.binary()), pa.array(s.n, pa.int32()),
                          *(pa.nulls(len(s.ids), f.type) for f in list(ROWS)[4:])], schema=ROWS)]
-        for i, both in zip(s.classes, s.sets):
+        for i, both, mine in zip(s.classes, s.sets, first.tolist()):
+            if not mine:
+                continue
             tokens = both[0]
             own = df[np.searchsorted(keys, tokens >> np.uint64(64 - KEY_BITS))]
             m = int(prefix_length(len(tokens), percent))
@@ -155,7 +176,7 @@ def describe(docs: DataFrame, size: int = SHINGLE, percent: tuple[int, int] = PE
                 pa.array(np.full(k, kind, np.int8)), pa.nulls(k, pa.int64()), pa.array([c] * k, pa.binary()), pa.array(np.full(k, len(tokens), np.int32)), token, where,
                 pa.array(np.full(k, spread, np.int64)), kept], schema=ROWS)
             out.append(rows(PREFIX, many, pa.array(tokens[order][pos].view(np.int64)), pa.array(pos.astype(np.int32)), pa.nulls(many, pa.binary())))
-            out.append(rows(SET, 1, pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([both.tobytes()], pa.binary())))
+            out.append(rows(SET, 1, pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([_packed_set(both)], pa.binary())))
         return pa.concat_tables(out).combine_chunks()
 
     sent = packed.mapInArrow(send, B.BLOCKS_DDL)
@@ -163,6 +184,26 @@ def describe(docs: DataFrame, size: int = SHINGLE, percent: tuple[int, int] = PE
     return packed.groupBy("bundle").cogroup(B.deal(counted, n, "bundle").groupBy("bundle")).applyInArrow(finish, ROWS_DDL)
 
 
+def _with_size(first: bytes, second: bytes) -> bytes:
+    return len(first).to_bytes(8, "little") + first + second
+
+
+def _parted(raw: bytes) -> tuple[bytes, bytes]:
+    end = 8 + int.from_bytes(raw[:8], "little")
+    return raw[8:end], raw[end:]
+
+
+def _first_of(known: list[np.ndarray], bundles: np.ndarray) -> list[np.ndarray]:
+    """Which of each bundle's names no bundle of a smaller number has."""
+    flat, sizes = np.concatenate(known), [len(x) for x in known]
+    order = np.lexsort((np.repeat(bundles, sizes), *flat.T))
+    new = np.ones(len(order), bool)
+    new[1:] = (flat[order[1:]] != flat[order[:-1]]).any(1)
+    out = np.zeros(len(flat), bool)
+    out[order] = new
+    return np.split(out, np.cumsum(sizes)[:-1])
+
+
 def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> np.uint64(KEY_BITS - 24)) * np.uint64(n)) >> np.uint64(24)
 
@@ -176,13 +217,19 @@ def _unpack_counts(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(B.unplanes(raw[:5 * m], 5)), B.unplanes(raw[5 * m:], 4).astype(np.int64)
 
 
+def _packed_set(both: np.ndarray) -> bytes:
+    """A set's first hashes as they are, then byte planes of the second ones."""
+    return both[0].tobytes() + B.planes(both[1], TWIN_BYTES)
+
+
 def _set(raw: bytes) -> np.ndarray:
-    """Both hashes of a set's shingles, (2, n)."""
-    return np.frombuffer(raw, np.uint64).reshape(2, -1)
+    """Both hashes of a set's shingles, (2, n), as far as they are kept."""
+    n = len(raw) // (8 + TWIN_BYTES)
+    return np.stack([np.frombuffer(raw[:8 * n], np.uint64), B.unplanes(raw[8 * n:], TWIN_BYTES)])
 
 
 def _shared(x: np.ndarray, y: np.ndarray) -> int:
-    """Shingles of two sets that agree in all 128 bits."""
+    """Shingles of two sets that agree in all bits kept."""
     both = np.concatenate([x, y], 1)
     first, second = both[:, np.lexsort(both[::-1])]
     return int(((first[1:] == first[:-1]) & (second[1:] == second[:-1])).sum())
@@ -230,7 +277,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: tuple[int, int] = PERCENT
     return joined.mapInArrow(run, "a binary, b binary")
 
 
-def class_links(rows: DataFrame, percent: tuple[int, int] = PERCENT) -> DataFrame:
+def class_links(prefix: DataFrame, sets: DataFrame, percent: tuple[int, int] = PERCENT) -> DataFrame:
     """Links (a, b) between classes that have the same connected components as all links.
 
     First every class is compared with the smallest class of each of its prefix tokens: one
@@ -239,10 +286,6 @@ def class_links(rows: DataFrame, percent: tuple[int, int] = PERCENT) -> DataFram
     than CROWD classes in blocks of sets. A pair inside one component can add no component, so
     none is lost.
     """
-    prefix = rows.where(F.col("kind") == PREFIX).select("token", "cid", "n", "pos", "spread").distinct()
-    prefix = materialise(prefix)
-    sets = rows.where(F.col("kind") == SET).groupBy("cid").agg(F.first("tokens").alias("tokens"))
-    sets = materialise(sets)
     side = lambda s: [F.col("cid").alias({"a": "a", "b": "b"}[s]), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"), F.col("spread").alias(f"s{s}")]
     heads = prefix.groupBy("token").agg(F.min(F.struct("cid", "n", "pos", "spread")).alias("h"), F.count("*").alias("m")).where("m > 1")
     # written out, so that the join below meets two plain shuffles and can be split at a frequent token
@@ -250,6 +293,7 @@ def class_links(rows: DataFrame, percent: tuple[int, int] = PERCENT) -> DataFram
     first = heads.join(prefix.select("token", *side("b")), "token").where("a <> b").where(may_link(percent)).select("a", "b").distinct()
     tried = materialise(first)
     links = materialise(verify(tried, sets, percent))
+    release(prefix.sparkSession)
     found = components(links)
     named = prefix.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     named = materialise(named)
@@ -347,7 +391,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: tuple[int, in
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = materialise(describe(docs, size, percent))
     release(spark)
-    found = components(class_links(rows, percent))
+    prefix = rows.where(F.col("kind") == PREFIX).select("token", "cid", "n", "pos", "spread")  # every class is described once
+    sets = rows.where(F.col("kind") == SET).select("cid", "tokens")
+    found = components(class_links(prefix, sets, percent))
     members = rows.where(F.col("kind") == DOCUMENT).select("doc_id", "cid", "n")
     classes = members.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("low"))
     classes = materialise(classes.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import guarded, materialise
+from quillon.llm.common import discard, guarded, materialise
 
 #: (verdict, host, path prefix)
 RULES = (
@@ -77,10 +77,13 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS,
     done, (hosts, total) = 0, measure(rank)
     while True:
         moved = e.join(rank, e["src"] == rank["host"]).select(F.col("dst").alias("host"), (F.col("p") * F.col("rank") * damping).alias("rank"))
-        rank = materialise(start.unionByName(moved).groupBy("host").agg(F.sum("rank").alias("rank")))
+        before, rank = rank, materialise(start.unionByName(moved).groupBy("host").agg(F.sum("rank").alias("rank")))
+        if before is not start:
+            discard(before)
         last_hosts, last_total = hosts, total
         done, (hosts, total) = done + 1, measure(rank)
         if done >= rounds and hosts == last_hosts and total - last_total < tolerance:
+            discard(e, start)
             return rank
 
 
@@ -125,4 +128,10 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULE
 
 
 def op9(pages: DataFrame) -> DataFrame:
+    """page_id, host, path, rule, verdict of every page, with its host's trust and distrust.
+
+    Null urls, empty ones and those without :// have an empty host and path, fit no rule and are allowed; null html has no
+    links. Repeated rows are judged alike, each for itself. Texts of any length are searched for links to their end. Extra
+    columns are not read, whatever their names. Empty in, empty out.
+    """
     return filter_urls(pages)

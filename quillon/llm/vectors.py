@@ -14,6 +14,8 @@ from quillon.llm.common import components, forest, materialise, trim
 SCALE, TOP_K, QUERY_STEP = 1024, 10, 100
 #: Candidates and queries of one task.
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 2048
+#: Rows that can be scored one after another in the time that one entry of a list takes, and the row that it leads to.
+ENTRY_COST = 4
 
 
 def usable(x: Column) -> Column:
@@ -35,19 +37,19 @@ class SortedLists:
         order = np.argsort(ids, kind="stable")
         self.ids, self.x = ids[order], x[order]
         lists = np.argsort(-self.x, axis=0, kind="stable")  # by dimension: rows from the largest component down
-        self.sorted = np.take_along_axis(self.x, lists, 0)
-        self.place = np.empty_like(lists)  # of each row in each list
-        np.put_along_axis(self.place, lists, np.arange(len(x))[:, None], 0)
+        self.sorted = np.ascontiguousarray(np.take_along_axis(self.x, lists, 0).T)
+        self.lists = np.ascontiguousarray(lists.T)
         self.spread = self.x.std(axis=0) if len(x) else np.zeros(x.shape[1])
 
     def top(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
         """The k best (vec_id, score) for query q, its own id left out, ties to smaller ids; and the rows scored.
 
         All lists are read down together, each as fast as its dimension can move a score (the
-        query's component times the list's spread), so a row is met once its place divided by the
-        rate is least over its lists. Rows are scored in that order. What is not met stands in
-        every list behind the frontier and cannot score more than the sum of the frontier's
-        products; the search ends when the kth score is above that bound, or all rows are met.
+        query's component times the list's spread), in steps that double. The rows met are scored whole. What is
+        not met stands in every list behind the frontier and cannot score more than the sum of the
+        frontier's products; the search ends when the kth score is above that bound, or all rows are met.
+        Once so many entries have been read that they have cost as much as all rows (ENTRY_COST), those not
+        met yet are scored at once.
         """
         n = len(self.x)
         use = np.flatnonzero(q)
@@ -57,24 +59,40 @@ class SortedLists:
         w, down = q[use], q[use] > 0
         rate = np.maximum(np.abs(w) * self.spread[use], 1e-9)
         rate = rate / rate.max()
-        place = self.place[:, use]
-        met = (np.where(down, place, n - 1 - place) / rate).min(axis=1)
-        order = np.argsort(met, kind="stable")
         rows, scores = np.empty(0, np.int64), np.empty(0, self.x.dtype)
-        at, step = 0, max(4 * k, 64)
-        while at < n:
-            end = min(n, at + step)
-            new = order[at:end]
-            new = new[self.ids[new] != own]
-            rows, scores = np.r_[rows, new], np.r_[scores, self.x[new] @ q]
+        met, depth, entries = np.zeros(n, bool), np.zeros(len(use), np.int64), 0
+        step = max(4 * k, 64) / rate.sum()
+        while True:
+            reach = np.minimum(n, np.ceil(step * rate - 1e-9).astype(np.int64))
+            many = reach - depth
+            of = np.repeat(np.arange(len(use)), many)
+            at = depth[of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+            new = self.lists[use[of], np.where(down[of], at, n - 1 - at)]
+            depth, entries = reach, entries + len(of)
+            last = entries >= n / ENTRY_COST
+            if last:
+                new = np.flatnonzero(~met & (self.ids != own))
+                found = (self.x @ q)[new]  # in place: rows lie one after another
+                if len(new) > k:
+                    enough = np.partition(found, -k)[-k]
+                    new, found = new[found >= enough], found[found >= enough]
+                met[:] = True
+            else:
+                new = np.unique(new[~met[new]])
+                met[new] = True
+                new = new[self.ids[new] != own]
+                found = self.x[new] @ q
+            rows, scores = np.r_[rows, new], np.r_[scores, found]
             best = np.lexsort((self.ids[rows], -scores))[:k]
             rows, scores = rows[best], scores[best]
-            at, step = end, step * 2
-            if at < n and len(rows) == k:
-                front = np.minimum(np.ceil(met[order[at]] * rate - 1e-6).astype(np.int64), n - 1)
-                if scores[-1] > self.sorted[np.where(down, front, n - 1 - front), use] @ w:
+            if last:
+                break
+            if len(rows) == k:
+                front = np.minimum(depth, n - 1)
+                if scores[-1] > self.sorted[use, np.where(down, front, n - 1 - front)] @ w:
                     break
-        return self.ids[rows], scores, at
+            step *= 2
+        return self.ids[rows], scores, int(met.sum())
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, scale: int = SCALE, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES, reads: bool = False) -> DataFrame:
