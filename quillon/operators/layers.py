@@ -33,11 +33,6 @@ def predicates() -> dict[str, Column]:
     }
 
 
-def content_free_refusal() -> Column:
-    """A refusal that names nothing: no brands, retailers or prices."""
-    return (F.col("outcome") == "refusal") & (F.size("brands") + F.size("retailers") + F.size("prices") == 0)
-
-
 def with_flag(rows: DataFrame, keys: DataFrame, name: str, key: str = "key") -> DataFrame:
     """rows with a flag for keys that are in a list (a semi-join as a column)."""
     marked = keys.select(key).distinct().withColumn(name, F.lit(True))

@@ -167,3 +167,27 @@ def cluster_statistics(values: DataFrame, frame: DataFrame, group: tuple[str, ..
         return pd.DataFrame(out, columns=[*group, member, "measure", "estimate", "n_units", "lo", "hi", "used"])
 
     return values.groupBy(*group).applyInPandas(run, f"{kinds}, {member} string, measure string, estimate double, n_units long, lo double, hi double, used long")
+
+
+def cluster_ratios(cells: DataFrame, frame: DataFrame, group: tuple[str, ...], sums: tuple[str, ...], statistics: dict, draws: int, seed: int = 7) -> DataFrame:
+    """(group, statistic, estimate, lo, hi, used): statistics of sums over clusters, which are drawn together.
+
+    cells: (group, unit, sums); statistics: name -> function of the sums by name, arrays over resamples. Drawn as in
+    cluster_statistics; a resample of which a statistic is undefined is dropped.
+    """
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.select(*group).schema.fields)
+    units = sorted(r[0] for r in frame.select("unit").distinct().collect())
+
+    def run(key: tuple, data: pd.DataFrame) -> pd.DataFrame:
+        x = data.set_index("unit")[list(sums)].reindex(units).fillna(0).to_numpy(float)
+        drawn = draw_matrix(("all",) * len(units), draws, seed) @ x
+        out = []
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for name, f in statistics.items():
+                point, reps = f(dict(zip(sums, x.sum(0)[:, None]))), f(dict(zip(sums, drawn.T)))
+                reps = reps[np.isfinite(reps)]
+                lo, hi = np.percentile(reps, [2.5, 97.5]) if len(reps) else (None, None)
+                out.append((*key, name, float(point[0]) if np.isfinite(point[0]) else None, lo, hi, len(reps)))
+        return pd.DataFrame(out, columns=[*group, "statistic", "estimate", "lo", "hi", "used"])
+
+    return cells.groupBy(*group).applyInPandas(run, f"{kinds}, statistic string, estimate double, lo double, hi double, used long")

@@ -79,6 +79,57 @@ def extend(names: DataFrame, decisions: DataFrame) -> DataFrame:
     return kept.unionByName(new, allowMissingColumns=True)
 
 
+KINDS = ("brand", "retailer", "both", "alias", "exclude", "unidentified")
+
+
+def extend_round(names: DataFrame, decisions: DataFrame, round_: int, source: str) -> DataFrame:
+    """The next version of a name table (id, display, aliases, class, ordinal, round, provenance) by a round of decisions.
+
+    decisions: (kind, id, display, class, form, how), one row a form. New entities (brand, retailer, both) become rows of the
+    round, with their further forms as aliases; aliases join their target's list, whose provenance says so. Forms that
+    the entity has already, folded, are not added. Excluded and unidentified forms change no row.
+    """
+    new = decisions.where(F.col("kind").isin("brand", "retailer", "both"))
+    other = F.when(simple_fold(F.col("form")) != simple_fold(F.col("display")), F.col("form"))
+    made = new.groupBy("id", "display", "class", "kind", "how").agg(F.array_join(F.array_sort(F.collect_set(other)), "|").alias("aliases"))
+    made = made.select("id", "display", "aliases", "class", F.lit(NEW_ORDINAL).cast("long").alias("ordinal"), F.lit(round_).alias("round"),
+                       F.concat(F.lit(f"{source} ("), "how", F.lit(")"), F.when(F.col("kind") == "both", "; brand and retailer").otherwise("")).alias("provenance"))
+    base = names.select("id", "display", F.coalesce("aliases", F.lit("")).alias("aliases"), "class", F.col("ordinal").cast("long").alias("ordinal"), "round", "provenance").unionByName(made)
+    more = decisions.where("kind = 'alias'").groupBy("id").agg(F.array_sort(F.collect_set("form")).alias("_more"))
+    have = F.transform(F.concat(F.array("display"), F.split("aliases", r"\|")), simple_fold)
+    joined = base.join(more, "id", "left").withColumn("_new", F.filter(F.coalesce("_more", F.array().cast("array<string>")), lambda x: ~F.array_contains(have, simple_fold(x))))
+    listed = F.array_join(F.concat(F.filter(F.split("aliases", r"\|"), lambda x: x != ""), F.col("_new")), "|")
+    noted = F.when(F.col("_more").isNotNull(), F.concat("provenance", F.lit(f"; aliases extended, {source}"))).otherwise(F.col("provenance"))
+    return joined.select("id", "display", listed.alias("aliases"), "class", "ordinal", "round", noted.alias("provenance"))
+
+
+def extension_problems(names: DataFrame, decisions: DataFrame, extended: DataFrame) -> DataFrame:
+    """(problem, surface, old_id, new_id): what speaks against an extension; empty if it may be used.
+
+    resolved: a new form that the old table knows already; id taken: a new entity with an old id; no target: an alias of
+    nothing; two entities: a folded surface of the extended table under two ids; moved or lost: an old surface
+    that no longer leads to its id; unexplained: a new surface that no decision asked for. The last three compare both
+    tables' key maps both ways, so an empty result proves that no old surface moved.
+    """
+    none = F.lit(None).cast("string")
+    old, new = key_map(names), key_map(extended)
+    fresh = decisions.where(F.col("kind") != "unidentified")
+    known = resolve(fresh.select(F.col("form").alias("surface"), F.col("id").alias("new_id")).distinct(), old).where("id is not null").select(F.lit("resolved").alias("problem"), simple_fold(F.col("surface")).alias("surface"), F.col("id").alias("old_id"), "new_id")
+    entities = decisions.where(F.col("kind").isin("brand", "retailer", "both"))
+    taken = entities.select("id").distinct().join(names.select("id"), "id").select(F.lit("id taken").alias("problem"), none.alias("surface"), F.col("id").alias("old_id"), F.col("id").alias("new_id"))
+    ids = names.select("id").union(entities.select("id")).distinct()
+    loose = decisions.where("kind = 'alias'").select("id").distinct().join(ids, "id", "left_anti").select(F.lit("no target").alias("problem"), none.alias("surface"), none.alias("old_id"), F.col("id").alias("new_id"))
+    two = collisions(extended).select(F.lit("two entities").alias("problem"), "surface", none.alias("old_id"), none.alias("new_id"))
+    both = old.withColumnRenamed("id", "old_id").join(new.withColumnRenamed("id", "new_id"), "surface", "full")
+    asked = decisions.where(F.col("kind").isin("brand", "retailer", "both", "alias")).select(F.explode(F.array("form", F.coalesce("display", "form"))).alias("s")).select(simple_fold(F.col("s")).alias("surface")).distinct()
+    gone = both.where("old_id is not null and not (old_id <=> new_id)").select(F.when(F.col("new_id").isNull(), "lost").otherwise("moved").alias("problem"), "surface", "old_id", "new_id")
+    extra = both.where("old_id is null").join(asked, "surface", "left_anti").select(F.lit("unexplained").alias("problem"), "surface", "old_id", "new_id")
+    out = known
+    for part in (taken, loose, two, gone, extra):
+        out = out.unionByName(part)
+    return out
+
+
 def merge_back(base: DataFrame, decided: DataFrame, key: str, value: str) -> DataFrame:
     """base with value replaced where decided has one; conflict marks a decision that contradicts an earlier one."""
     new = decided.select(key, F.col(value).alias("_new"))

@@ -54,6 +54,24 @@ def largest_remainder(strata: DataFrame, total: int, seed: str, name: str = "str
     return base.withColumn("quota", F.col("_base") + F.col("_q") + F.when(rank <= left, 1).otherwise(0)).select(*strata.columns, "quota")
 
 
+def capped_remainder(strata: DataFrame, total: DataFrame, seed: str, name: str = "stratum", size: str = "n") -> DataFrame:
+    """strata with quota: one each, the rest in proportion to size by largest remainders, none above its size.
+
+    total: one row (total), at least as many as there are strata. What the caps leave over goes, one by one, to the stratum
+    that has most room, ties by name, until it is spent or no room is left. That fixed point is found at once: a stratum with
+    room r would take its turns at levels r, r - 1, ...; of all strata's levels the highest are served. One row a stratum.
+    """
+    every = Window.partitionBy(F.lit(0))
+    base = strata.join(F.broadcast(total)).withColumn("_rest", F.col("total") - F.count("*").over(every)).withColumn("_all", F.sum(size).over(every))
+    base = base.withColumn("_q", F.expr(f"_rest * {size} div _all")).withColumn("_m", F.expr(f"_rest * {size} % _all"))
+    rank = F.row_number().over(every.orderBy(F.desc("_m"), shuffle_key(seed, F.col(name))))
+    given = base.withColumn("_a", F.least(F.col(size), 1 + F.col("_q") + F.when(rank <= F.col("_rest") - F.sum("_q").over(every), 1).otherwise(0)))
+    short = given.withColumn("_short", F.col("total") - F.sum("_a").over(every)).withColumn("_room", F.col(size) - F.col("_a"))
+    turns = short.where("_short > 0 and _room > 0").select(name, "_short", F.explode(F.expr("sequence(_room, greatest(1, _room - _short + 1), -1)")).alias("_level"))
+    served = turns.withColumn("_turn", F.row_number().over(every.orderBy(F.desc("_level"), name))).where("_turn <= _short").groupBy(name).agg(F.count("*").alias("_more"))
+    return short.join(served, name, "left").select(*strata.columns, (F.col("_a") + F.coalesce("_more", F.lit(0))).cast("long").alias("quota"))
+
+
 def opaque_ids(rows: DataFrame, seed: str, key: str = "key") -> DataFrame:
     """rows with pid, a seeded name that hides the key."""
     return rows.withColumn("pid", F.concat(F.lit("p"), F.substring(shuffle_key(seed, F.col(key)), 1, 12)))

@@ -320,8 +320,9 @@ def cube(v: View) -> DataFrame:
 @query("a35_outcome_table", """select model, arm, round(count(*) filter (where outcome in ('refusal', 'degenerate')) / count(*), 6) as gate_share, round(count(*) filter (where truncated) / count(*), 6) as truncated_share,
 round(quantile_cont(amount, 0.5), 6) as median_amount from answers group by all""")
 def outcome_table(v: View) -> DataFrame:
-    return rounded(v.answers.groupBy("model", "arm").agg((F.count_if(F.col("outcome").isin("refusal", "degenerate")) / F.count("*")).alias("gate_share"), (F.count_if("truncated") / F.count("*")).alias("truncated_share"),
-                                                         F.percentile("amount", F.lit(0.5)).alias("median_amount")), "gate_share", "truncated_share", "median_amount")
+    shares = v.answers.groupBy("model", "arm").agg((F.count_if(F.col("outcome").isin("refusal", "degenerate")) / F.count("*")).alias("gate_share"), (F.count_if("truncated") / F.count("*")).alias("truncated_share"))
+    middle = ledger.exact_quantiles(v.answers, ("model", "arm"), "amount", (0.5,)).select("model", "arm", F.col("q")[0].alias("median_amount"))
+    return rounded(shares.join(middle, ["model", "arm"], "left"), "gate_share", "truncated_share", "median_amount")
 
 
 @query("p13_price_predicates", """select key, count(*) filter (where amount > 0) > 0 as has_price, count(*) filter (where currency = 'BDT') as n_bdt, count(*) as n, count(*) filter (where currency <> 'unstated') as n_stated from prices group by all""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.operators import cover, estimate, layers, resample, sampling, scan, sizing, study
+from quillon.operators import cover, estimate, layers, resample, resolve, sampling, scan, sizing, study
 from quillon.operators.study import hash32
 from quillon.plans.catalogue import CONTRASTS, COUNTED, DRAWS, F1, JAC, _PLAIN, View, h, query, rounded
 
@@ -275,3 +275,90 @@ def term_scan(v: View) -> DataFrame:
     """Which terms of the benchmark stand in which documents: as words, as words with a case ending, anywhere."""
     hits = scan.term_hits(v.table("documents").select("doc_id", "text"), _terms(v))
     return hits.select("doc_id", "term", "kind", F.lit(True).alias("found"))
+
+
+# ------------------------------------------------------------------------------- allocation under caps
+@query("r3_capped_allocation", """with s as (select outcome || '|' || category as stratum, count(*) as n from answers where truncated group by all), t as (select (4 * sum(n)) // 5 as total, sum(n) as whole, count(*) as k from s),
+b as (select stratum, n, total, total - k as rest, ((total - k) * n) // whole as q, ((total - k) * n) % whole as m from s, t),
+a as (select *, least(n, 1 + q + case when row_number() over (order by m desc, md5('cap|' || stratum)) <= rest - sum(q) over () then 1 else 0 end) as a from b),
+r as (select *, total - sum(a) over () as short, n - a as room from a),
+u as (select stratum, short, unnest(range(greatest(1, room - short + 1)::bigint, room::bigint + 1)) as lev from r where short > 0 and room > 0),
+v as (select stratum, count(*) as more from (select stratum, short, row_number() over (order by lev desc, stratum) as turn from u) where turn <= short group by stratum)
+select stratum, n, (a + coalesce(more, 0))::bigint as quota from r left join v using (stratum)""")
+def capped_allocation(v: View) -> DataFrame:
+    """Four fifths of the truncated answers shared among outcomes and categories: one each, then by size, none above its size."""
+    s = v.answers.where("truncated").groupBy(F.concat_ws("|", "outcome", "category").alias("stratum")).agg(F.count("*").alias("n"))
+    total = s.agg(F.expr("4 * sum(n) div 5").alias("total"))
+    return sampling.capped_remainder(s, total, "cap")
+
+
+# ------------------------------------------------------------------------------- a name table and its next round
+_KEYED = """names as (select 's' || s_suppkey as id, lower(s_name) as display, 'alt ' || s_suppkey as alias from supplier where s_suppkey % 3 > 0),
+dec as (select s_suppkey as k, ['brand', 'alias', 'exclude', 'brand', 'unidentified'][(s_suppkey % 5 + 1)::int] as kind,
+  case when s_suppkey % 5 = 1 then 's' || (s_suppkey + 1) when s_suppkey % 5 in (0, 3) then 'n' || s_suppkey end as id,
+  case when s_suppkey % 5 = 0 then 'new ' || s_suppkey when s_suppkey % 5 = 3 then 'alt ' || (s_suppkey + 1) end as display,
+  case s_suppkey % 5 when 0 then 'new ' || s_suppkey when 1 then 'other ' || s_suppkey when 2 then 'drop ' || s_suppkey when 3 then 'alt ' || (s_suppkey + 1) else 'what ' || s_suppkey end as form from supplier where s_suppkey % 3 = 0),
+ents as (select * from dec where kind = 'brand'), ids as (select id from names union select id from ents),
+oldk as (select display as surface, id from names union all select alias, id from names),
+extk as (select surface, case when surface like 'alt %' and substr(surface, 5)::int % 50 = 1 then 's1' else id end as id from oldk union all select display, id from ents union all select form, id from dec where kind = 'alias' and id in (select id from ids)),
+newk as (select surface, max_by(id, (left(id, 1) = 'n', id)) as id from extk group by surface)"""
+
+
+@query("e2_e4_extension", f"""with {_KEYED}
+select 'resolved' as problem, form as surface, o.id as old_id, d.id as new_id from dec d join oldk o on o.surface = form where kind <> 'unidentified'
+union all select 'no target', null, null, d.id from (select distinct id from dec where kind = 'alias') d where id not in (select id from ids)
+union all select 'two entities', surface, null, null from extk group by surface having count(distinct id) > 1
+union all select 'moved', surface, o.id, n.id from oldk o join newk n using (surface) where o.id <> n.id""", with_study=False)
+def extension(v: View) -> DataFrame:
+    """What is wrong with a round of decisions in which known forms, missing targets and moved surfaces are planted."""
+    s, key = v.table("supplier"), F.col("s_suppkey")
+    text = lambda p, k=key: F.concat(F.lit(p), k.cast("string"))
+    names = s.where("s_suppkey % 3 > 0").select(text("s").alias("id"), F.lower("s_name").alias("display"), text("alt ").alias("aliases"), F.lit("local").alias("class"), key.alias("ordinal"), F.lit(1).alias("round"), F.lit("first").alias("provenance"))
+    kind, rest = F.element_at(F.array(*map(F.lit, ("brand", "alias", "exclude", "brand", "unidentified"))), (key % 5 + 1).cast("int")), key % 5
+    decisions = s.where("s_suppkey % 3 = 0").select(
+        kind.alias("kind"), F.when(rest == 1, text("s", key + 1)).when(rest.isin(0, 3), text("n")).alias("id"), F.when(rest == 0, text("new ")).when(rest == 3, text("alt ", key + 1)).alias("display"), F.lit("global").alias("class"),
+        F.when(rest == 0, text("new ")).when(rest == 1, text("other ")).when(rest == 2, text("drop ")).when(rest == 3, text("alt ", key + 1)).otherwise(text("what ")).alias("form"), F.lit("decision").alias("how"))
+    extended = resolve.extend_round(names, decisions, 2, "second round")
+    # a slip that the proof has to find: every fiftieth alias is written to another entity
+    slipped = F.col("aliases").rlike("^alt [0-9]+") & (F.regexp_extract("aliases", "^alt ([0-9]+)", 1).cast("int") % 50 == 1) & (F.col("id") != "s1")
+    moved = extended.where(slipped).select(F.regexp_extract("aliases", "^(alt [0-9]+)", 1).alias("a"))
+    first = extended.where("id = 's1'").crossJoin(F.broadcast(moved.agg(F.array_join(F.array_sort(F.collect_list("a")), "|").alias("more")))).withColumn("aliases", F.concat_ws("|", "aliases", F.nullif("more", F.lit("")))).drop("more")  # one row each
+    others = extended.where("id <> 's1'").withColumn("aliases", F.when(slipped, F.regexp_replace("aliases", "^alt [0-9]+[|]?", "")).otherwise(F.col("aliases")))
+    return resolve.extension_problems(names, decisions, first.unionByName(others))
+
+
+# ------------------------------------------------------------------------------- agreement on prices
+_COMPARED = [("R1-R2", "R1", "R2"), ("R1-R3", "R1", "R3"), ("R2-R3", "R2", "R3"), *[(f"{r} {rule}", r, f"{a} {op} {b}") for r, a, b in _VERSUS for rule, op in (("strict", "and"), ("lenient", "or"))]]
+_AGREE_SQL = ", ".join(f"struct_pack(c := '{name}', a := count(*) filter (where {a}), b := count(*) filter (where {b}), m := count(*) filter (where ({a}) and ({b})))" for name, a, b in _COMPARED)
+
+
+@query("g2_g11_price_agreement", f"""with {_PRICED}, pf as (select key, entry, {", ".join(f"coalesce(bool_or(rater = '{r}'), false) as {r}" for r in study.RATERS)} from rp group by all),
+pe as (select key, unnest([{_AGREE_SQL}]) as e from pf group by key), nm as (select unnest({[c for c, _, _ in _COMPARED]}) as c),
+an as (select a.key, a.query, nm.c, coalesce(e.a, 0) as a, coalesce(e.b, 0) as b, coalesce(e.m, 0) as m from answers a cross join nm left join pe on pe.key = a.key and pe.e.c = nm.c),
+cells as (select c, query, count(*)::double as n, sum((a > 0)::int) as x, sum((b > 0)::int) as y, sum(((a > 0) = (b > 0))::int) as same, sum((a = m and b = m)::int) as equal, sum(case when a + b = 0 then 1.0 else 2 * m / (a + b) end) as dice from an group by all), {_PLAIN},
+tb as (select c, b, sum(w * n) as n, sum(w * x) as x, sum(w * y) as y, sum(w * same) as same, sum(w * equal) as equal, sum(w * dice) as dice from cells join wt on unit = query group by all
+  union all select c, -1, sum(n), sum(x), sum(y), sum(same), sum(equal), sum(dice) from cells group by c),
+st as (select c, b, unnest(['agreement', 'kappa', 'identical', 'dice']) as statistic, unnest([same / n, (same / n - (x / n * y / n + (1 - x / n) * (1 - y / n))) / nullif(1 - (x / n * y / n + (1 - x / n) * (1 - y / n)), 0), equal / n, dice / n]) as v from tb where n > 0)
+select c as comparison, statistic, round(max(v) filter (where b < 0), 6) as estimate, round(quantile_cont(v, 0.025) filter (where b >= 0), 6) as lo, round(quantile_cont(v, 0.975) filter (where b >= 0), 6) as hi, count(v) filter (where b >= 0) as used from st group by all""")
+def price_agreement(v: View) -> DataFrame:
+    """Agreement on prices, of raters in pairs and of each with the other two: mention, kappa, equal sets, mean Dice, with intervals over queries."""
+    flags = _rater_prices(v).groupBy("key", "entry").agg(*[F.bool_or(F.col("rater") == r).alias(r) for r in study.RATERS])
+    n = lambda c: F.count_if(F.expr(c))
+    per = flags.groupBy("key").agg(*[F.struct(n(a).alias("a"), n(b).alias("b"), n(f"({a}) and ({b})").alias("m")).alias(f"e{i}") for i, (_, a, b) in enumerate(_COMPARED)])
+    each = v.answers.select("key", F.col("query").alias("unit")).join(per, "key", "left").select("unit", F.explode(F.array(*[F.struct(F.lit(c).alias("comparison"), F.col(f"e{i}").alias("e")) for i, (c, _, _) in enumerate(_COMPARED)])).alias("x"))
+    counts = each.select("unit", "x.comparison", *[F.coalesce(F.col(f"x.e.{c}"), F.lit(0)).alias(c) for c in "abm"])
+    some = lambda c: F.col(c) > 0
+    cells = counts.groupBy("comparison", "unit").agg(
+        F.count("*").alias("n"), F.count_if(some("a")).alias("x"), F.count_if(some("b")).alias("y"), F.count_if(some("a") == some("b")).alias("same"),
+        F.count_if((F.col("a") == F.col("m")) & (F.col("b") == F.col("m"))).alias("equal"), F.sum(F.when(F.col("a") + F.col("b") == 0, 1.0).otherwise(2 * F.col("m") / (F.col("a") + F.col("b")))).alias("dice"))
+    frame = v.table("nation").select(F.col("n_name").alias("unit"))
+    return rounded(resample.cluster_ratios(cells, frame, ("comparison",), ("n", "x", "y", "same", "equal", "dice"), _AGREEMENT, DRAWS), "estimate", "lo", "hi")
+
+
+def _chance(t):
+    p, q = t["x"] / t["n"], t["y"] / t["n"]
+    return p * q + (1 - p) * (1 - q)
+
+
+#: Statistics of a resample's sums, as array programs.
+_AGREEMENT = {"agreement": lambda t: t["same"] / t["n"], "kappa": lambda t: (t["same"] / t["n"] - _chance(t)) / (1 - _chance(t)), "identical": lambda t: t["equal"] / t["n"], "dice": lambda t: t["dice"] / t["n"]}

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from quillon.operators import consensus, estimate, layers, models, resample, simulate, study
 from quillon.plans.catalogue import CONTRASTS, View, query, rounded
 from quillon.functions.sets import set_f1
-from quillon.sources.readers import synthetic_study
 from quillon.streaming import runs
 
 
@@ -57,17 +56,6 @@ def alternative_annotator(v: View) -> DataFrame:
     return rounded(models.alternative_annotator(scores), "mean", "advantage", "p", "winning_rate")
 
 
-@query("c1_c4_calibration")
-def calibration(v: View) -> DataFrame:
-    """Null data sets of a synthetic study of fixed size: a simulation, not a sample of a table."""
-    rows = synthetic_study(v.spark, queries=20, models=2, reps=3)
-    value = F.size(F.filter("names", lambda n: F.substring(n, 2, 9).cast("int") % 4 == 0)) / F.size("names")
-    cells = rows.where("arm <> 'bl'").select("model", F.lit("bn-en").alias("contrast"), "query", F.when(F.col("arm") == "bn", "a").otherwise("b").alias("side"), value.alias("v")).toPandas()
-    todo = v.spark.range(0, 60, 1, 8).withColumnRenamed("id", "dataset")
-    logs = [simulate.calibrate(v.spark, cells, s, todo) for s in simulate.SCENARIOS]
-    return rounded(simulate.calibration_summary(estimate.union_all(logs)), "rank_rate", "flip_rate", "fwer", "lo", "hi")
-
-
 @query("c5_dispersion", """select arm, round(greatest(0.0, least(0.95, sum((x - n * p) * (x - n * p) - n * p * (1 - p)) / sum(n * (n - 1) * p * (1 - p)))), 6) as rho from (
   select arm, x, n, sum(x) over (partition by arm) / sum(n) over (partition by arm) as p from (
     select a.arm, key, count(*) filter (where currency = 'BDT') as x, count(*)::double as n from answers a join prices using (key) group by all)) where n >= 2 and p > 0 and p < 1 group by all""")
@@ -76,17 +64,6 @@ def dispersion(v: View) -> DataFrame:
     return rounded(simulate.dispersion(counts), "rho")
 
 
-@query("c9_power")
-def power(v: View) -> DataFrame:
-    r = simulate.power(v.spark, [0.0, 0.2, 0.4, 0.8], 40)
-    return rounded(r.groupBy("effect").agg(F.avg((F.col("p") < 0.05).cast("double")).alias("power"), F.count("*").alias("n")), "power")
-
-
-@query("s12_synthetic_study")
-def synthetic(v: View) -> DataFrame:
-    return synthetic_study(v.spark).withColumn("names", F.array_join("names", ","))
-
-
 @query("x_stream_windows", "select strftime(time_bucket(interval 1 hour, ts), '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n, round(sum(value), 6) as total from events group by all", with_study=False)
 def stream_windows(v: View) -> DataFrame:
     """events as a stream, each event once, counted by hour; files come in any order of time, so no watermark drops late ones."""

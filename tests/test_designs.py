@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import optimise
-from quillon.operators import cover, models, resample, sampling, scan, sizing
+from quillon.operators import cover, ledger, models, resample, resolve, sampling, scan, sizing
 from quillon.plans import families
 
 PAIRS = (("bn", "en"), ("bl", "en"), ("bn", "bl"))
@@ -218,3 +218,79 @@ def test_sign_test(spark, up, down):
     got = spark.range(1).select(families.sign_test(F.lit(up), F.lit(down)).alias("p")).first().p
     n = up + down
     assert got == pytest.approx(min(1.0, 2 * sum(math.comb(n, i) for i in range(min(up, down) + 1)) / 2**n))
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(4)
+    shares = (0.0, 0.1, 0.5, 0.9, 0.99, 1.0)
+    groups = {"even": rng.random(500), "one": [3.5], "two": [1.0, 2.0], "same": [7.0] * 40, "hot": np.r_[np.zeros(300), 1e9, rng.random(50)], "tied": rng.integers(0, 4, 99)}
+    rows = [(g, i % 2, float(x)) for g, xs in groups.items() for i, x in enumerate(xs)] + [("none", 0, None), ("two", 1, None)]
+    frame = spark.createDataFrame(rows, "g string, h int, x double").repartition(5)
+    for bins in (4096, 3):
+        got = {r.g: r.q for r in ledger.exact_quantiles(frame, ("g",), "x", shares, bins).collect()}
+        assert set(got) == set(groups)
+        for g, xs in groups.items():
+            assert got[g] == pytest.approx(np.quantile(np.array(xs, float), shares).tolist(), abs=1e-9)
+    both = {(r.g, r.h): r.q[0] for r in ledger.exact_quantiles(frame, ("g", "h"), "x", (0.5,)).collect()}
+    assert both["even", 0] == pytest.approx(np.median(groups["even"][::2]))
+
+
+def naive_allocation(sizes, total, order):
+    rest, whole = total - len(sizes), sum(sizes.values())
+    add = {s: n * rest // whole for s, n in sizes.items()}
+    left = rest - sum(add.values())
+    for s in sorted(sizes, key=lambda s: (-(sizes[s] * rest % whole), order[s]))[:left]:
+        add[s] += 1
+    quota = {s: min(1 + add[s], n) for s, n in sizes.items()}
+    short = total - sum(quota.values())
+    while short > 0 and (room := [s for s in sizes if quota[s] < sizes[s]]):
+        quota[min(room, key=lambda s: (-(sizes[s] - quota[s]), s))] += 1
+        short -= 1
+    return quota
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_capped_allocation_equals_giving_one_by_one(spark, seed):
+    rng = random.Random(seed)
+    sizes = {f"s{i:02d}": rng.choice([1, 1, 1, 2, 3, 40]) for i in range(14)}
+    total = rng.choice([len(sizes), sum(sizes.values()) * 4 // 5, sum(sizes.values())])
+    total = max(total, len(sizes))
+    frame = spark.createDataFrame(list(sizes.items()), "stratum string, n long")
+    order = {r.stratum: r.h for r in frame.select("stratum", sampling.shuffle_key("k", F.col("stratum")).alias("h")).collect()}
+    got = {r.stratum: r.quota for r in sampling.capped_remainder(frame, spark.createDataFrame([(total,)], "total long"), "k").collect()}
+    assert got == naive_allocation(sizes, total, order) and sum(got.values()) == total
+
+
+def test_extension_of_a_name_table(spark):
+    names = spark.createDataFrame([("a", "Alpha", "alef|first", "local", 1, 1, "old"), ("b", "Beta", "", "global", 2, 1, "old")], "id string, display string, aliases string, class string, ordinal long, round int, provenance string")
+    fine = [("brand", "c", "Gamma", "local", "gamma", "d"), ("brand", "c", "Gamma", "local", "Gamma Co", "d"), ("both", "e", "Shop", "global", "shop", "d"), ("alias", "a", None, None, "Alfa", "d"), ("alias", "a", None, None, "ALEF", "d"), ("exclude", None, None, None, "thing", "d"), ("unidentified", None, None, None, "alpha", "d")]
+    ddl = "kind string, id string, display string, class string, form string, how string"
+    decisions = spark.createDataFrame([r for r in fine if r[4] != "ALEF"], ddl)
+    new = resolve.extend_round(names, decisions, 2, "round two")
+    rows = {r.id: r for r in new.collect()}
+    assert rows["a"].aliases == "alef|first|Alfa" and rows["a"].provenance == "old; aliases extended, round two" and rows["a"].round == 1
+    assert rows["c"].aliases == "Gamma Co" and rows["c"].round == 2 and rows["e"].provenance == "round two (d); brand and retailer" and rows["b"].provenance == "old"
+    assert resolve.extension_problems(names, decisions, new).collect() == []
+    again = resolve.extend_round(names, spark.createDataFrame(fine, ddl), 2, "round two")
+    assert {r.id: r.aliases for r in again.collect()}["a"] == "alef|first|Alfa"  # a form that it has already, folded
+    bad = spark.createDataFrame([("brand", "b", "Beta Two", "local", "first", "d"), ("alias", "zz", None, None, "lost", "d")], ddl)
+    moved = new.withColumn("aliases", F.when(F.col("id") == "a", "alef|Alfa|odd").when(F.col("id") == "b", "first").otherwise(F.col("aliases"))).where("id <> 'e'")
+    got = {(r.problem, r.surface, r.old_id, r.new_id) for r in resolve.extension_problems(names, bad, moved).collect()}
+    assert {("resolved", "first", "a", "b"), ("id taken", None, "b", "b"), ("no target", None, None, "zz"), ("moved", "first", "a", "b"), ("unexplained", "odd", None, "a")} <= got
+    lost = resolve.extension_problems(names, decisions, new.where("id <> 'b'")).collect()
+    assert [tuple(r) for r in lost] == [("lost", "beta", "b", None)]
+
+
+def test_ratios_of_shared_draws(spark):
+    rng = random.Random(3)
+    units = [f"u{i}" for i in range(6)]
+    cells = {(g, u): (rng.randint(1, 9), rng.randint(0, 5)) for g in "pq" for u in units[:5]}
+    frame = spark.createDataFrame([(u,) for u in units], "unit string")
+    rows = spark.createDataFrame([(g, u, *x) for (g, u), x in cells.items()], "g string, unit string, n long, y long")
+    got = {r.g: r for r in resample.cluster_ratios(rows, frame, ("g",), ("n", "y"), {"share": lambda t: t["y"] / t["n"]}, 200).collect()}
+    w = resample.draw_matrix(("all",) * 6, 200)
+    for g in "pq":
+        n, y = ([sum(w[b, i] * cells.get((g, u), (0, 0))[k] for i, u in enumerate(units)) for b in range(200)] for k in (0, 1))
+        reps = [b / a for a, b in zip(n, y) if a]
+        assert got[g].used == len(reps) and (got[g].lo, got[g].hi) == pytest.approx(tuple(np.percentile(reps, [2.5, 97.5])))
+        assert got[g].estimate == pytest.approx(sum(x[1] for k, x in cells.items() if k[0] == g) / sum(x[0] for k, x in cells.items() if k[0] == g))
