@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.sets import jaccard
-
 CELL = ("model", "query", "arm")
 
 
@@ -66,84 +67,98 @@ def set_counts(lists: DataFrame, field: str = "names", cell: tuple[str, ...] = C
     return lists.groupBy(*cell, F.col(field).alias("s")).agg(F.count("*").cast("double").alias("c"))
 
 
-#: Names that sets are written over as bits, 63 a column; with more names sets stay lists.
-MOST_NAMES, WORD = 1008, 63
+#: Sets of one side of a block, and names whose memberships are a matrix at once.
+BLOCK, STRIP = 2048, 1024
 
 
-def encoded(sets: DataFrame, names: DataFrame) -> tuple[DataFrame, int]:
-    """sets with their members as bits b0, b1, ... over names (name), and how many such columns: 0 beyond MOST_NAMES.
+def similarity_sum(x: pa.Table, y: pa.Table) -> float:
+    """Sum of the Jaccard similarities of all pairs of sets (s, c) of two sides, times their counts; empty sets are alike.
 
-    A pair then costs a bit count of an and, not a search through lists.
+    Intersections are products of 0/1 matrices over strips of names, so a pair costs a few machine operations.
+    """
+    lists = [t.column("s").combine_chunks() for t in (x, y)]
+    flat = pa.concat_arrays([v.flatten() for v in lists]).dictionary_encode()
+    code, sizes = flat.indices.to_numpy(), [pc.list_value_length(v).to_numpy(zero_copy_only=False).astype(np.int64) for v in lists]
+    owner = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    codes = np.split(code, [len(owner[0])])
+    both = np.zeros((len(sizes[0]), len(sizes[1])))
+    for at in range(0, len(flat.dictionary), STRIP):
+        sides = []
+        for of, c, n in zip(owner, codes, sizes):
+            on = (c >= at) & (c < at + STRIP)
+            m = np.zeros((len(n), min(STRIP, len(flat.dictionary) - at)), np.float32)
+            m[of[on], c[on] - at] = 1
+            sides.append(m)
+        both += sides[0] @ sides[1].T
+    union = sizes[0][:, None] + sizes[1][None] - both
+    alike = np.where(union > 0, both / np.maximum(union, 1), 1.0)
+    return float(x.column("c").to_numpy() @ alike @ y.column("c").to_numpy())
+
+
+def pair_sums(left: DataFrame, right: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """(key, t): for each key the sum of similarities over all pairs of a left and a right set (key, s, c), times both counts.
+
+    Sets are distinct within a key's side. They meet in blocks of at most about BLOCK by BLOCK sets, each a task's group of bounded
+    size, so a key of many sets is split; a block returns one number.
     """
-    known = sorted(r[0] for r in names.select("name").distinct().limit(MOST_NAMES + 1).collect())
-    if len(known) > MOST_NAMES:
-        return sets, 0
-    words = -(-max(1, len(known)) // WORD)
-    for k in range(words):
-        mine = known[k * WORD:(k + 1) * WORD]
-        places = F.array(*map(F.lit, mine)) if mine else F.array().cast("array<string>")
-        bit = lambda acc, x: F.when(F.array_position(places, x) > 0, acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (F.array_position(places, x) - 1).cast("int")))).otherwise(acc)  # noqa: B023, E731
-        sets = sets.withColumn(f"b{k}", F.aggregate("s", F.lit(0).cast("long"), bit))
-    return sets, words
-
-
-def _sides(sets: DataFrame, words: int) -> tuple[list[Column], list[Column], Column]:
-    """A set's columns as the left and the right side of a pair, and the pair's Jaccard similarity."""
-    if not words:
-        left, right = ([F.col("s").alias(f"s{x}"), F.col("c").alias(f"c{x}")] for x in "xy")
-        return left, right, jaccard(F.col("sx"), F.col("sy"))
-    left, right = ([*[F.col(f"b{k}").alias(f"b{k}{x}") for k in range(words)], F.size("s").alias(f"n{x}"), F.col("c").alias(f"c{x}")] for x in "xy")
-    both = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"b{k}x").bitwiseAND(F.col(f"b{k}y"))) for k in range(words)])
-    total = F.col("nx") + F.col("ny") - both
-    return left, right, F.when(total > 0, both / total).otherwise(1.0)
-
-
-def within_similarity(sets: DataFrame, names: DataFrame, cell: tuple[str, ...] = CELL) -> DataFrame:
+    parts = lambda d, n: d.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(n))
+    cuts = parts(left, "_ni").join(parts(right, "_nj"), list(key))
+    spot = lambda n: F.pmod(F.xxhash64("s"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = left.join(cuts, list(key)).select(*key, spot("_ni").alias("_i"), every("_nj").alias("_j"), "s", "c")
+    b = right.join(cuts, list(key)).select(*key, every("_ni").alias("_i"), spot("_nj").alias("_j"), "s", "c")
+    by, own = [*key, "_i", "_j"], a.columns
+    b = b.toDF(*[f"{c}_right" for c in own])  # both sides may be one table
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in left.select(*key).schema.fields)
+
+    def run(names, x, y):
+        y = y.rename_columns(own)
+        if not x.num_rows or not y.num_rows:
+            return pa.table({**{k: pa.array([], v.type) for k, v in zip(key, names)}, "t": pa.array([], pa.float64())})
+        return pa.table({**{k: pa.array([v.as_py()], v.type) for k, v in zip(key, names)}, "t": pa.array([similarity_sum(x, y)])})
+
+    return a.groupBy(*by).cogroup(b.groupBy(*[f"{c}_right" for c in by])).applyInArrow(run, f"{schema}, t double").groupBy(*key).agg(F.sum("t").alias("t"))
+
+
+def within_similarity(sets: DataFrame, cell: tuple[str, ...] = CELL) -> DataFrame:
     """(cell, n, t, within): mean Jaccard similarity over pairs of answers i < j of a cell; null below two answers.
 
     t is the sum over all ordered pairs. Equal sets count by multiplicity, so t less the n answers
     with themselves leaves the pairs.
     """
-    sets, words = encoded(sets, names)
-    left, right, sim = _sides(sets, words)
-    total = sets.select(*cell, *left).join(sets.select(*cell, *right), list(cell)).groupBy(*cell).agg(F.sum(F.col("cx") * F.col("cy") * sim).alias("t"))
+    total = pair_sums(sets, sets, cell)
     n = sets.groupBy(*cell).agg(F.sum("c").alias("n"))
     return n.join(total, list(cell)).select(*cell, "n", "t", F.when(F.col("n") > 1, (F.col("t") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("within"))
 
 
-def between_similarity(sets: DataFrame, contrasts: tuple[tuple[str, str], ...], names: DataFrame) -> DataFrame:
+def between_similarity(sets: DataFrame, contrasts: tuple[tuple[str, str], ...]) -> DataFrame:
     """(model, query, contrast, between): mean Jaccard similarity over all pairs of answers of two arms.
 
-    A set is sent once for each contrast that it is the first side of, to its partner arm only.
+    A set is sent once for each contrast that it is a side of.
     """
-    sets, words = encoded(sets, names)
-    left, right, sim = _sides(sets, words)
-    partner = F.explode(F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("other"), F.lit(f"{a}-{b}").alias("contrast")) for a, b in contrasts])).alias("w")
-    first = sets.select("model", "query", "arm", *left, partner).where("arm = w.first").select("model", "query", "w.contrast", F.col("w.other").alias("arm"), *_left_names(words))
-    pairs = first.join(sets.select("model", "query", "arm", *right), ["model", "query", "arm"])
-    return pairs.groupBy("model", "query", "contrast").agg((F.sum(F.col("cx") * F.col("cy") * sim) / F.sum(F.col("cx") * F.col("cy"))).alias("between"))
-
-
-def _left_names(words: int) -> list[str]:
-    return [*[f"b{k}x" for k in range(words)], "nx", "cx"] if words else ["sx", "cx"]
+    key, side = ("model", "query", "contrast"), F.explode(F.array(*[F.struct(F.lit(f"{a}-{b}").alias("contrast"), F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in contrasts])).alias("w")
+    dealt = sets.select("model", "query", "arm", "s", "c", side)
+    left, right = (dealt.where(F.col("arm") == F.col(f"w.{x}")).select("model", "query", "w.contrast", "s", "c") for x in "ab")
+    n = left.groupBy(*key).agg(F.sum("c").alias("na")).join(right.groupBy(*key).agg(F.sum("c").alias("nb")), list(key))
+    return pair_sums(left, right, key).join(n, list(key)).select(*key, (F.col("t") / (F.col("na") * F.col("nb"))).alias("between"))
 
 
-def excess_divergence(sets: DataFrame, contrasts: tuple[tuple[str, str], ...], names: DataFrame) -> DataFrame:
+def excess_divergence(sets: DataFrame, contrasts: tuple[tuple[str, str], ...]) -> DataFrame:
     """(model, query, contrast, d): divergence between two arms less the mean divergence within them.
 
     Units with an arm of fewer than two answers are undefined and have no row.
     """
-    within = within_similarity(sets, names).where("within is not null").select("model", "query", "arm", "within")
-    between = between_similarity(sets, contrasts, names)
+    within = within_similarity(sets).where("within is not null").select("model", "query", "arm", "within")
+    between = between_similarity(sets, contrasts)
     first, second = F.substring_index("contrast", "-", 1), F.substring_index("contrast", "-", -1)
     both = between.withColumn("arm", first).join(within, ["model", "query", "arm"]).withColumnRenamed("within", "wa").withColumn("arm", second).join(within, ["model", "query", "arm"])
     return both.select("model", "query", "contrast", ((1 - F.col("between")) - ((1 - F.col("wa")) + (1 - F.col("within"))) / 2).alias("d"))
 
 
-def kernel_distance(sets: DataFrame, contrasts: tuple[tuple[str, str], ...], names: DataFrame) -> DataFrame:
+def kernel_distance(sets: DataFrame, contrasts: tuple[tuple[str, str], ...]) -> DataFrame:
     """Squared maximum mean discrepancy of two arms' sets under a Jaccard kernel, draws with replacement."""
-    same = within_similarity(sets, names).select(*CELL, (F.col("t") / (F.col("n") * F.col("n"))).alias("k"))
-    between = between_similarity(sets, contrasts, names)
+    same = within_similarity(sets).select(*CELL, (F.col("t") / (F.col("n") * F.col("n"))).alias("k"))
+    between = between_similarity(sets, contrasts)
     both = (between.withColumn("arm", F.substring_index("contrast", "-", 1)).join(same, ["model", "query", "arm"]).withColumnRenamed("k", "ka")
             .withColumn("arm", F.substring_index("contrast", "-", -1)).join(same, ["model", "query", "arm"]))
     return both.select("model", "query", "contrast", (F.col("ka") + F.col("k") - 2 * F.col("between")).alias("mmd2"))

@@ -138,22 +138,59 @@ def vector_means(values: np.ndarray, drawn: np.ndarray) -> np.ndarray:
     return np.where(n > 0, total / np.maximum(n, 1), np.nan)
 
 
+def _frame(frame: DataFrame) -> tuple[list[str], tuple[str, ...]]:
+    """Names of the units, sorted, and their strata ("all" without any): clusters, few by design."""
+    stratum = F.col("stratum") if "stratum" in frame.columns else F.lit("all")
+    rows = sorted(map(tuple, frame.select("unit", stratum).distinct().collect()))
+    return [r[0] for r in rows], tuple(r[1] for r in rows)
+
+
+def intervals(values: DataFrame, frame: DataFrame, group: tuple[str, ...], draws: int, seed: int = 7) -> DataFrame:
+    """(group, lo, hi, used): percentile limits of the means over units of values (group, unit, v)."""
+    one = values.select(*group, "unit", "v", F.lit("mean").alias("measure"), F.lit("one").alias("who"))
+    return cluster_statistics(one, frame, group, "who", draws, seed, least=1).where("who = 'one'").select(*group, "lo", "hi", "used")
+
+
+def mean_effects(values: DataFrame, frame: DataFrame, group: tuple[str, ...], draws: int, least: int = 10, seed: int = 7) -> DataFrame:
+    """As mean_effect, (group, n, mean, t, p), with the draws as one matrix: a group's resamples are three products with it."""
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in values.select(*group).schema.fields)
+    units, strata = _frame(frame)
+
+    def run(key: tuple, data: pd.DataFrame) -> pd.DataFrame:
+        v = data.set_index("unit")["v"].reindex(units).to_numpy(float)
+        known = ~np.isnan(v)
+        n, mean = int(known.sum()), float(v[known].mean())
+        sd = float(v[known].std(ddof=1)) if n > 1 else 0.0
+        t = mean / (sd / np.sqrt(n)) if sd > 0 else None
+        p = None if n < least else 1.0
+        if t is not None and n >= least:
+            e, w = np.where(known, v - mean, 0.0), draw_matrix(strata, draws, seed)
+            many, total, square = w @ known.astype(float), w @ e, w @ (e * e)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                var = np.where(many > 1, (square - total * total / many) / (many * (many - 1)), np.nan)
+                star = np.where(var > 1e-18, np.abs(total / many / np.sqrt(var)), np.inf)
+            p = (1 + int((star >= abs(t)).sum())) / (draws + 1)
+        return pd.DataFrame([(*key, n, mean, t, p)], columns=[*group, "n", "mean", "t", "p"])
+
+    return values.where("v is not null").groupBy(*group).applyInPandas(run, f"{kinds}, n long, mean double, t double, p double")
+
+
 def cluster_statistics(values: DataFrame, frame: DataFrame, group: tuple[str, ...], member: str, draws: int, seed: int = 7, least: int = 2) -> DataFrame:
     """(group, member, measure, estimate, n_units, lo, hi, used) of many statistics that share one draw of clusters.
 
     values: (group, member, unit, measure, v), v the statistic's value in a unit; its estimate is the mean over units. frame:
-    (unit) of all units that are drawn, eligible or not: clusters, few by design, whose names the driver hands to the tasks. Member
+    (unit[, stratum]) of all units that are drawn, within strata if there are any, eligible or not: clusters, few by design, whose names the driver hands to the tasks. Member
     "all" is the members' mean, defined where all members of the measure are. Percentile limits over the defined resamples, none
     below least units. A group holds its members' units; the draws are one matrix that each task derives from hashes,
     and a group's replicates are its product with the values, so no resample is ever a row.
     """
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in values.select(*group).schema.fields)
-    units = sorted(r[0] for r in frame.select("unit").distinct().collect())
+    units, strata = _frame(frame)
 
     def run(key: tuple, data: pd.DataFrame) -> pd.DataFrame:
         wide = data.set_index(["unit", "measure", member])["v"].unstack(["measure", member]).reindex(units)
         x = wide.to_numpy(float)
-        reps, n = vector_means(x, draw_matrix(("all",) * len(units), draws, seed)), (~np.isnan(x)).sum(0)
+        reps, n = vector_means(x, draw_matrix(strata, draws, seed)), (~np.isnan(x)).sum(0)
         point, out, columns = np.nansum(x, 0) / np.maximum(n, 1), [], list(wide.columns)
         for measure in sorted({c[0] for c in columns}):
             at = [i for i, c in enumerate(columns) if c[0] == measure]
@@ -176,11 +213,11 @@ def cluster_ratios(cells: DataFrame, frame: DataFrame, group: tuple[str, ...], s
     cluster_statistics; a resample of which a statistic is undefined is dropped.
     """
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.select(*group).schema.fields)
-    units = sorted(r[0] for r in frame.select("unit").distinct().collect())
+    units, strata = _frame(frame)
 
     def run(key: tuple, data: pd.DataFrame) -> pd.DataFrame:
         x = data.set_index("unit")[list(sums)].reindex(units).fillna(0).to_numpy(float)
-        drawn = draw_matrix(("all",) * len(units), draws, seed) @ x
+        drawn = draw_matrix(strata, draws, seed) @ x
         out = []
         with np.errstate(divide="ignore", invalid="ignore"):
             for name, f in statistics.items():

@@ -432,20 +432,20 @@ _BETWEEN = f"""be as (select a.model, a.query, a.arm || '-' || b.arm as contrast
 
 @query("m1_within_jaccard", f"with {_SETCOUNT}, {_WITHIN} select model, query, arm, n, round(within, 6) as within from wi")
 def within(v: View) -> DataFrame:
-    return rounded(estimate.within_similarity(estimate.set_counts(v.lists), v.names).drop("t"), "within")
+    return rounded(estimate.within_similarity(estimate.set_counts(v.lists)).drop("t"), "within")
 
 
 @query("m6_excess_divergence", f"""with {_SETCOUNT}, {_WITHIN}, {_BETWEEN}, ex as (select be.model, be.query, contrast, (1 - between_) - ((1 - x.within) + (1 - y.within)) / 2 as d from be
 join wi x on be.model = x.model and be.query = x.query and aa = x.arm and x.within is not null join wi y on be.model = y.model and be.query = y.query and ab = y.arm and y.within is not null)
 select model, contrast, round(avg(d), 6) as estimate, count(*) as n from ex group by all""")
 def excess(v: View) -> DataFrame:
-    return rounded(estimate.contrast_means(estimate.excess_divergence(estimate.set_counts(v.lists), CONTRASTS, v.names)), "estimate")
+    return rounded(estimate.contrast_means(estimate.excess_divergence(estimate.set_counts(v.lists), CONTRASTS)), "estimate")
 
 
 @query("m7_kernel_distance", f"""with {_SETCOUNT}, {_BETWEEN}, k as (select a.model, a.query, a.arm, sum(a.c * b.c * {JAC.format(a='a.s', b='b.s')}) / sum(a.c * b.c) as k from sc a join sc b using (model, query, arm) group by all)
 select be.model, be.query, contrast, round(x.k + y.k - 2 * between_, 6) as mmd2 from be join k x on be.model = x.model and be.query = x.query and aa = x.arm join k y on be.model = y.model and be.query = y.query and ab = y.arm""")
 def kernel(v: View) -> DataFrame:
-    return rounded(estimate.kernel_distance(estimate.set_counts(v.lists), CONTRASTS, v.names), "mmd2")
+    return rounded(estimate.kernel_distance(estimate.set_counts(v.lists), CONTRASTS), "mmd2")
 
 
 @query("m2_m4_consensus_scores", f"""with {_SETS}, {_MAJOR} select rs.key, round({F1.format(a='r1', b='coalesce(consensus, [])')}, 6) as f1, round({JAC.format(a='r1', b='coalesce(consensus, [])')}, 6) as jaccard, r1 = coalesce(consensus, []) as exact from rs left join major using (key)""")
@@ -564,16 +564,14 @@ def _units(v: View) -> DataFrame:
 select model, contrast, round(quantile_cont(rep, 0.025), 6) as lo, round(quantile_cont(rep, 0.975), 6) as hi, count(rep) as used from r where rep is not null group by all""")
 def bootstrap(v: View) -> DataFrame:
     d = estimate.paired(v.share_cells(), CONTRASTS).select("model", "contrast", F.col("query").alias("unit"), F.col("d").alias("v"))
-    reps = resample.replicates(d, resample.weights(_units(v), DRAWS), ("model", "contrast"))
-    return rounded(resample.percentile_interval(reps, ("model", "contrast")), "lo", "hi")
+    return rounded(resample.intervals(d, _units(v), ("model", "contrast"), DRAWS), "lo", "hi")
 
 
 @query("b3_stratified_bootstrap", f"""{SHARE}, {_STRATA}, r as (select model, contrast, b, sum(w * d) / nullif(sum(w), 0) as rep from paired join wt on unit = query group by all)
 select model, contrast, round(quantile_cont(rep, 0.025), 6) as lo, round(quantile_cont(rep, 0.975), 6) as hi, count(rep) as used from r where rep is not null group by all""")
 def stratified_bootstrap(v: View) -> DataFrame:
     d = estimate.paired(v.share_cells(), CONTRASTS).select("model", "contrast", F.col("query").alias("unit"), F.col("d").alias("v"))
-    reps = resample.replicates(d, resample.weights(_units(v), DRAWS, stratum="category"), ("model", "contrast"))
-    return rounded(resample.percentile_interval(reps, ("model", "contrast")), "lo", "hi")
+    return rounded(resample.intervals(d, _units(v).withColumnRenamed("category", "stratum"), ("model", "contrast"), DRAWS), "lo", "hi")
 
 
 @query("b1_ratio_bootstrap", f"""with {COUNTED}, t as (select model, arm, query, sum(n_local) as y, sum(n_local + n_global) as n from counted group by all), {_PLAIN},
@@ -622,7 +620,7 @@ tests as (select model, contrast, n, mean, t, (1 + hits) / ({DRAWS} + 1) as p fr
 
 def _tests(v: View) -> DataFrame:
     d = estimate.paired(v.share_cells(), CONTRASTS).select("model", "contrast", F.col("query").alias("unit"), F.col("d").alias("v"))
-    return resample.mean_effect(d, resample.weights(_units(v), DRAWS), ("model", "contrast"), DRAWS)
+    return resample.mean_effects(d, _units(v), ("model", "contrast"), DRAWS)
 
 
 @query("h4_mean_effect", f"{_EFFECT} select model, contrast, n, round(mean, 6) as mean, round(t, 6) as t, round(p, 6) as p from tests")

@@ -29,7 +29,7 @@ class Family:
 
     def differences(self, v: View) -> DataFrame:
         if self.values is None:
-            return estimate.excess_divergence(estimate.set_counts(v.lists), self.contrasts, v.names)
+            return estimate.excess_divergence(estimate.set_counts(v.lists), self.contrasts)
         return estimate.paired(estimate.cell_means(self.values, F.col("v")), self.contrasts)
 
     def counts(self) -> DataFrame | None:
@@ -175,13 +175,12 @@ def _verdicts(v: View) -> DataFrame:
     d = estimate.paired(v.share_cells(), CONTRASTS)
     unit = v.table("nation").select(F.col("n_name").alias("unit"))
     values = d.select("model", "contrast", F.col("query").alias("unit"), F.col("d").alias("v"))
-    drawn = resample.weights(unit, DRAWS)
     family, tie = F.lit("share").alias("family"), F.concat("model", "contrast").alias("tie")
-    tests = resample.holm(resample.mean_effect(values, drawn, ("model", "contrast"), DRAWS).select("*", family, tie), ("family",), tie="tie")
+    tests = resample.holm(resample.mean_effects(values, unit, ("model", "contrast"), DRAWS).select("*", family, tie), ("family",), tie="tie")
     signs = d.groupBy("model", "contrast").agg(F.count_if(F.col("d") > 0).alias("up"), F.count_if(F.col("d") < 0).alias("down"))
     check = resample.holm(signs.select("*", sign_test(F.col("up"), F.col("down")).alias("p"), family, tie), ("family",), tie="tie").select(
         "model", "contrast", F.signum((F.col("up") - F.col("down")).cast("double")).alias("lean"), F.col("p").alias("p_b"), F.col("p_holm").alias("b_holm"))
-    limits = resample.percentile_interval(resample.replicates(values, drawn, ("model", "contrast")), ("model", "contrast"))
+    limits = resample.intervals(values, unit, ("model", "contrast"), DRAWS)
     m = F.col("mean")
     return tests.join(check, ["model", "contrast"]).join(limits, ["model", "contrast"]).select(
         "model", "contrast", (F.col("p") < 0.05).alias("nominal"), (F.col("p_holm") <= 0.05).alias("rejected"), ((F.col("p_b") < 0.05) & (F.col("lean") * m > 0)).alias("agrees"),
@@ -237,10 +236,9 @@ def item_table(v: View) -> DataFrame:
     fams, units = families(v), v.table("nation").select(F.col("n_name").alias("unit"))
     d = _differences(v).persist()  # read by four tests; a row a family, contrast, model and query
     values = d.select(*by, F.col("query").alias("unit"), F.col("d").alias("v"))
-    drawn = resample.weights(units, DRAWS)
     tie = F.concat("model", "contrast").alias("tie")
     corrected = lambda t, name: resample.holm(t.select(*by, "p", tie), ("family",), tie="tie").select(*by, F.col("p").alias(f"p_{name}"), (F.col("p_holm") <= 0.05).alias(name))
-    effect = corrected(resample.mean_effect(values, drawn, tuple(by), DRAWS), "mean_effect")
+    effect = corrected(resample.mean_effects(values, units, tuple(by), DRAWS), "mean_effect")
     answers = estimate.union_all([_named(name, f.values) for name, f in fams.items() if f.values is not None])
     sides = F.explode(F.array(*[F.struct(F.lit(f"{a}-{b}").alias("contrast"), F.when(F.col("arm") == a, "a").when(F.col("arm") == b, "b").alias("side")) for a, b in CONTRASTS])).alias("s")
     dealt = answers.select("family", "model", "query", "v", sides).select("family", "model", "query", "v", "s.*").where("side is not null")
@@ -250,7 +248,7 @@ def item_table(v: View) -> DataFrame:
     random = corrected(scalar.unionByName(of_sets), "randomisation")
     flips = models.paired_tests(d, tuple(by), draws=TABLE_DRAWS).select(*by, F.col("p_flip"))
     registered = _registered(v).select(*by, "estimate", "n", "method", F.col("p").alias("p_registered"), F.col("rejected").alias("registered"))
-    limits = resample.percentile_interval(resample.replicates(values, drawn, tuple(by)), tuple(by)).select(*by, "lo", "hi")
+    limits = resample.intervals(values, units, tuple(by), DRAWS).select(*by, "lo", "hi")
     fits = _boot(v).select(*by, F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"))
     joined = registered
     for part in (effect, random, flips, limits, fits):

@@ -1,6 +1,7 @@
 """Operators on small tables with known answers."""
 
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -12,10 +13,6 @@ from quillon.operators import consensus, estimate, layers, ledger, models, resam
 PAIR = (("bn", "en"),)
 
 
-def NAMES(spark, names="xy"):
-    return spark.createDataFrame([(c,) for c in names], "name string")
-
-
 def sets_of(spark, en, bn):
     rows = [("m", "q", arm, r, list(s)) for arm, xs in (("en", en), ("bn", bn)) for r, s in enumerate(xs)]
     return estimate.set_counts(spark.createDataFrame(rows, "model string, query string, arm string, rep int, names array<string>"))
@@ -23,7 +20,7 @@ def sets_of(spark, en, bn):
 
 @pytest.mark.parametrize("en,bn,want", [(["x", "x"], ["y", "y"], 1.0), (["x", "y"], ["x", "y"], -0.5), (["x"], ["y", "y"], None)])
 def test_excess_divergence(spark, en, bn, want):
-    got = [r.d for r in estimate.excess_divergence(sets_of(spark, en, bn), PAIR, NAMES(spark)).collect()]
+    got = [r.d for r in estimate.excess_divergence(sets_of(spark, en, bn), PAIR).collect()]
     assert got == ([] if want is None else [want])
 
 
@@ -90,6 +87,12 @@ def test_mean_effect_edges(spark):
     rows = [("few", f"u{i}", float(i)) for i in range(5)] + [("flat", f"u{i}", 1.0) for i in range(12)] + [("big", f"u{i}", 5.0 + (i % 3) * 0.1) for i in range(12)]
     got = {r.g: r.p for r in resample.mean_effect(spark.createDataFrame(rows, "g string, unit string, v double"), resample.weights(units, 200), ("g",), 200).collect()}
     assert got["few"] is None and got["flat"] == 1.0 and got["big"] < 0.05
+    rng = random.Random(1)
+    rows += [("mixed", f"u{i}", rng.gauss(0.3, 1)) for i in range(11)] + [("mixed", "u11", None), ("lone", "u3", 2.0)]
+    values = spark.createDataFrame(rows, "g string, unit string, v double")
+    one = {r.g: r for r in resample.mean_effect(values.where("v is not null"), resample.weights(units, 200), ("g",), 200).collect()}
+    two = {r.g: r for r in resample.mean_effects(values, units, ("g",), 200).collect()}
+    assert set(one) == set(two) and all((one[g].n, one[g].p) == (two[g].n, two[g].p) and one[g].t == (two[g].t and pytest.approx(two[g].t)) for g in one)
 
 
 def test_sampling(spark):
@@ -203,17 +206,21 @@ def test_calibration_and_power(spark):
     assert simulate.verdict(0, 100) == "pass" and simulate.verdict(60, 100) == "fail"
 
 
-def test_similarity_over_bits_is_that_of_lists(spark, monkeypatch):
-    """150 names fill three columns of bits; empty sets are alike. Beyond the limit sets stay lists."""
+@pytest.mark.parametrize("block,strip", [(2048, 1024), (4, 7)])
+def test_similarity_in_blocks_equals_all_pairs(spark, monkeypatch, block, strip):
+    """150 names; empty sets are alike, repeated ones count by multiplicity, whatever the blocks."""
+    monkeypatch.setattr(estimate, "BLOCK", block)
+    monkeypatch.setattr(estimate, "STRIP", strip)
     rng = np.random.default_rng(4)
     names = [f"n{i}" for i in range(150)]
-    rows = [("m", f"q{i % 3}", ("en", "bn")[i % 2], i, [str(x) for x in rng.choice(names, rng.integers(0, 30), replace=False)]) for i in range(60)]
-    s = estimate.set_counts(spark.createDataFrame(rows, "model string, query string, arm string, rep int, names array<string>"))
-    got = []
-    for most in (1008, 100):
-        monkeypatch.setattr(estimate, "MOST_NAMES", most)
-        got.append({r.query: round(r.d, 9) for r in estimate.excess_divergence(s, PAIR, NAMES(spark, names)).collect()})
-    assert got[0] == got[1] and len(got[0]) == 3
+    rows = [("m", f"q{i % 3}", ("en", "bn")[i % 2], i, sorted(str(x) for x in rng.choice(names, rng.integers(0, 30) * (i % 4 > 0), replace=False))) for i in range(60)]
+    frame = spark.createDataFrame(rows, "model string, query string, arm string, rep int, names array<string>")
+    got = {r.query: r.d for r in estimate.excess_divergence(estimate.set_counts(frame), PAIR).collect()}
+    alike = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 1.0
+    for q in ("q0", "q1", "q2"):
+        a, b = ([r[4] for r in rows if r[1] == q and r[2] == arm] for arm in ("bn", "en"))
+        inner = [np.mean([alike(x[i], x[j]) for i in range(len(x)) for j in range(i)]) for x in (a, b)]
+        assert got[q] == pytest.approx((1 - np.mean([alike(x, y) for x in a for y in b])) - ((1 - inner[0]) + (1 - inner[1])) / 2)
 
 
 def test_annotators_with_few_items_take_no_part(spark):
