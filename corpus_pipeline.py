@@ -30,18 +30,25 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Runs of 50 words that also start in a document of a smaller doc_id are cut out.
 
-    A document of which nothing is left goes; null and blank texts stay.
+    A document of which nothing is left goes; null and blank texts stay. Rows of one doc_id do not cut one another.
+    Empty in, empty out.
     """
     return substrings.dedup_substrings(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's repetition rate says; null sources are one source."""
+    """Each document as often as its source's repetition rate says; null sources are one source.
+
+    Null and empty texts have no words and follow their source's rate; a source of size 0 goes; repeated rows draw alike. Empty in, empty out.
+    """
     return mixing.mix(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded text: a row for each copy in the mix; null texts are empty."""
+    """Token counts and digests of ids and decoded text: a row for each copy in the mix; null texts are empty.
+
+    Repeated rows give equal rows; texts of any length are encoded whole. Empty in, empty out.
+    """
     return pieces.op5(docs)
 
 
