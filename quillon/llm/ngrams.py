@@ -385,7 +385,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: tuple[int, in
     component_id is the smallest doc_id reachable by links. A text without words has an empty set
     and links with nothing; a text of fewer words than a shingle is one shingle. Null texts have no
     words. A null doc_id takes part and is never the smallest, unless all of its component are
-    null; then component_id is null. Repeated rows are linked like any other. Empty in, empty out.
+    null; then component_id is null. Repeated rows are linked like any other. Texts of any length are read whole; other
+    columns, whatever their names, are not read. Empty in, empty out.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -676,7 +676,8 @@ def extract(pages: DataFrame, group_pages: int = GROUP_PAGES) -> DataFrame:
     about that many, by a hash, so that one with a third of all pages makes many tasks of bounded
     size; its groups share one template and one verdict, the sum of what all of them found. Null
     html gives an empty text; pages without a host form hosts of their own name. Repeated rows
-    give equal texts. Empty tables give empty results.
+    give equal texts. Pages of any length are read whole; other columns, whatever their names, are not
+    read. Empty tables give empty results.
     """
     kind = pages.select("page_id").schema[0].dataType.simpleString()
     named = pages.select("page_id", "url", "html").withColumn("host", url_host(F.col("url")))

@@ -387,4 +387,10 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
 
 
 def op6(embeddings: DataFrame) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every vector; a cosine of 0.9 or more links, whatever the labels.
+
+    Null, empty and zero vectors and those with null or non-finite components link with nothing and keep their own id; vectors of
+    different lengths never link. Equal vectors link like others; repeated ids are rows of their own. Extra columns are not
+    read, whatever their names. Empty in, empty out.
+    """
     return near_vectors(embeddings)
