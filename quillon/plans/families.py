@@ -229,7 +229,6 @@ def conclude(items: DataFrame) -> DataFrame:
             .withColumn("disagreement", ~((three[0] == three[1]) & (three[1] == three[2])) | (all_ & ~gates)))
 
 
-@query("a39_item_table")
 def item_table(v: View) -> DataFrame:
     """Every family and contrast with its estimate, three tests, checks and the conclusion that they allow."""
     by = ["family", "model", "contrast"]
