@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.sets import jaccard
+from quillon.functions.subsets import SMALL, guest_sums, shared_sums
 
 CELL = ("model", "query", "arm")
 
@@ -68,6 +71,8 @@ def set_counts(lists: DataFrame, field: str = "names", cell: tuple[str, ...] = C
 
 #: Names that sets are written over as bits, 63 a column; with more names sets stay lists.
 MOST_NAMES, WORD = 1008, 63
+#: Groups among which a unit's subsets are divided.
+PARTS = 4
 
 
 def encoded(sets: DataFrame, names: DataFrame) -> tuple[DataFrame, int]:
@@ -98,34 +103,94 @@ def _sides(sets: DataFrame, words: int) -> tuple[list[Column], list[Column], Col
     return left, right, F.when(total > 0, both / total).otherwise(1.0)
 
 
-def within_similarity(sets: DataFrame, names: DataFrame, cell: tuple[str, ...] = CELL) -> DataFrame:
-    """(cell, n, t, within): mean Jaccard similarity over pairs of answers i < j of a cell; null below two answers.
+def _paired_sums(sets: DataFrame, words: int, unit: list[str], side: str) -> DataFrame:
+    """(unit, x, y, t): similarities of a unit's sets summed pair by pair, in both orders; y is null where t counts the answers of x."""
+    left, right, sim = _sides(sets, words)
+    pairs = sets.select(*unit, F.col(side).alias("x"), *left).join(sets.select(*unit, F.col(side).alias("y"), *right), unit)
+    counted = sets.groupBy(*unit, F.col(side).alias("x"), F.lit(None).cast("string").alias("y")).agg(F.sum("c").alias("t"))
+    return pairs.groupBy(*unit, "x", "y").agg(F.sum(F.col("cx") * F.col("cy") * sim).alias("t")).unionByName(counted)
 
-    t is the sum over all ordered pairs. Equal sets count by multiplicity, so t less the n answers
-    with themselves leaves the pairs.
+
+def _subset_sums(sets: DataFrame, known: list[str], unit: list[str], side: str) -> DataFrame:
+    """The same by the subsets that sets share, without forming their pairs.
+
+    A subset is counted where its first name belongs, in one of PARTS groups of a unit, to which a set goes once for
+    each of its names there. Each set also has one of PARTS homes; the few of more than SMALL names visit all of
+    them and meet the sets there one by one. A group holds a part of a unit's distinct sets.
     """
-    sets, words = encoded(sets, names)
-    left, right, sim = _sides(sets, words)
-    total = sets.select(*cell, *left).join(sets.select(*cell, *right), list(cell)).groupBy(*cell).agg(F.sum(F.col("cx") * F.col("cy") * sim).alias("t"))
-    n = sets.groupBy(*cell).agg(F.sum("c").alias("n"))
-    return n.join(total, list(cell)).select(*cell, "n", "t", F.when(F.col("n") > 1, (F.col("t") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("within"))
+    size, home = F.size("s"), F.pmod(F.xxhash64("s"), F.lit(PARTS)).cast("int")
+    places = F.array(*map(F.lit, known)) if known else F.array().cast("array<string>")
+    firsts = F.filter(F.transform("s", lambda x: F.array_position(places, x).cast("int") - 1), lambda i: i >= 0)
+    go = lambda part, first, kind: F.struct(part.cast("int").alias("part"), first.cast("int").alias("first"), F.lit(kind).alias("kind"))
+    none = F.array().cast("array<struct<part:int,first:int,kind:string>>")
+    stops = F.concat(F.array(go(PARTS + home, F.lit(0), "own")), F.when(size <= SMALL, F.transform(firsts, lambda i: go(i % PARTS, i, "first"))).otherwise(none),
+                     F.when(size > SMALL, F.array(*[go(F.lit(PARTS + k), F.lit(0), "guest") for k in range(PARTS)])).otherwise(none))
+    rows = sets.select(*unit, F.col(side).alias("side"), F.col("b0").alias("mask"), size.alias("size"), "c", F.explode(stops).alias("to")).select(*unit, "side", "mask", "size", "c", "to.*")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sets.select(*unit).schema.fields)
+
+    def run(key: tuple, data: pa.Table) -> pa.Table:
+        at, of = {n: data.column(n).to_numpy() for n in ("mask", "size", "c", "first")}, data.column("side").combine_chunks().dictionary_encode()
+        names, of, kind = of.dictionary.to_pylist(), of.indices.to_numpy(), data.column("kind").to_numpy()
+        mask, size, c, n, out = at["mask"], at["size"], at["c"], len(names), []
+        if key[-1].as_py() < PARTS:
+            t = shared_sums(mask, size, c, of, n, at["first"])
+        else:
+            own, none = kind == "own", np.bincount(of, c * (size == 0), n)
+            t = guest_sums(mask, size, c, of, n, ~own) + np.outer(none, none)  # equal sets have one home
+            out = [(*key[:-1], x, None, many) for x, many in zip(names, np.bincount(of[own], c[own], n))]
+        out += [(*key[:-1], x, y, t[i, j]) for i, x in enumerate(names) for j, y in enumerate(names)]
+        unit_ = [pa.array([v.as_py() for v in col]) for col in list(zip(*out))[:len(unit)]]
+        x, y, t = list(zip(*out))[len(unit):]
+        return pa.table([*unit_, pa.array(x, pa.string()), pa.array(y, pa.string()), pa.array(t, pa.float64())], names=[*unit, "x", "y", "t"])
+
+    # by number: adaptive execution would put many groups, whose rows are few but whose subsets are many, into one task
+    tasks = max(1, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(tasks, *unit, "part").groupBy(*unit, "part").applyInArrow(run, f"{kinds}, x string, y string, t double")
+
+
+def similarity_sums(sets: DataFrame, names: DataFrame, cell: tuple[str, ...] = CELL) -> DataFrame:
+    """(unit, x, y, nx, ny, t): answers of each two cells of a unit, and their Jaccard similarities summed over all ordered pairs.
+
+    The last column of cell is the side, the others the unit. Equal sets count by multiplicity. Up to WORD names, work is
+    linear in the sets, 2 ** size each; beyond, and for sets of over SMALL names, they meet pair by pair.
+    """
+    *unit, side = cell
+    sets, words = encoded(sets.where(F.col(side).isNotNull()), names)
+    parts = _subset_sums(sets, sorted(r[0] for r in names.select("name").distinct().collect()), unit, side) if words == 1 else _paired_sums(sets, words, unit, side)
+    total = parts.groupBy(*unit, "x", "y").agg(F.sum("t").alias("t"))
+    packed = total.groupBy(*unit).agg(F.collect_list(F.struct("x", "y", "t")).alias("l"))
+    many = F.filter("l", lambda e: e["y"].isNull())
+    t = lambda x, y: F.coalesce(F.get(F.filter("l", lambda e: (e["x"] == x) & (e["y"] == y)), F.lit(0))["t"], F.lit(0.0))
+    pairs = F.flatten(F.transform(many, lambda a: F.transform(many, lambda b: F.struct(a["x"].alias("x"), b["x"].alias("y"), a["t"].alias("nx"), b["t"].alias("ny"), t(a["x"], b["x"]).alias("t")))))
+    return packed.select(*unit, F.explode(pairs).alias("p")).select(*unit, "p.*")
 
 
-def between_similarity(sets: DataFrame, contrasts: tuple[tuple[str, str], ...], names: DataFrame) -> DataFrame:
-    """(model, query, contrast, between): mean Jaccard similarity over all pairs of answers of two arms.
+def _within() -> Column:
+    """Mean similarity over pairs of different answers: null below two."""
+    return F.when(F.col("nx") > 1, (F.col("t") - F.col("nx")) / (F.col("nx") * (F.col("nx") - 1)))
 
-    A set is sent once for each contrast that it is the first side of, to its partner arm only.
+
+def _all_pairs() -> Column:
+    return F.col("t") / (F.col("nx") * F.col("ny"))
+
+
+def within_similarity(sets: DataFrame, names: DataFrame, cell: tuple[str, ...] = CELL) -> DataFrame:
+    """(cell, n, t, within): mean Jaccard similarity over pairs of answers i < j of a cell; null below two answers.
+
+    t is the sum over all ordered pairs. Equal sets count by multiplicity, so t less the n answers
+    with themselves leaves the pairs.
     """
-    sets, words = encoded(sets, names)
-    left, right, sim = _sides(sets, words)
-    partner = F.explode(F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("other"), F.lit(f"{a}-{b}").alias("contrast")) for a, b in contrasts])).alias("w")
-    first = sets.select("model", "query", "arm", *left, partner).where("arm = w.first").select("model", "query", "w.contrast", F.col("w.other").alias("arm"), *_left_names(words))
-    pairs = first.join(sets.select("model", "query", "arm", *right), ["model", "query", "arm"])
-    return pairs.groupBy("model", "query", "contrast").agg((F.sum(F.col("cx") * F.col("cy") * sim) / F.sum(F.col("cx") * F.col("cy"))).alias("between"))
+    same = similarity_sums(sets, names, cell).where("x = y")
+    return same.select(*cell[:-1], F.col("x").alias(cell[-1]), F.col("nx").alias("n"), "t", _within().alias("within"))
 
 
-def _left_names(words: int) -> list[str]:
-    return [*[f"b{k}x" for k in range(words)], "nx", "cx"] if words else ["sx", "cx"]
+def _contrasted(sums: DataFrame, contrasts: tuple[tuple[str, str], ...], same: Column, result: Column, name: str) -> DataFrame:
+    """(model, query, contrast, result) of a (first arm with itself), b (second with itself) and ab; undefined ones have no row."""
+    value = F.when(F.col("x") == F.col("y"), same).otherwise(_all_pairs())
+    wide = sums.groupBy("model", "query").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("-", "x", "y").alias("k"), value.alias("v")))).alias("m"))
+    at = lambda a, b: F.col("m")[f"{a}-{b}"]
+    each = F.explode(F.array(*[F.struct(F.lit(f"{a}-{b}").alias("contrast"), at(a, a).alias("a"), at(b, b).alias("b"), at(a, b).alias("ab")) for a, b in contrasts])).alias("w")
+    return wide.select("model", "query", each).select("model", "query", "w.*").select("model", "query", "contrast", result.alias(name)).where(F.col(name).isNotNull())
 
 
 def excess_divergence(sets: DataFrame, contrasts: tuple[tuple[str, str], ...], names: DataFrame) -> DataFrame:
@@ -133,20 +198,12 @@ def excess_divergence(sets: DataFrame, contrasts: tuple[tuple[str, str], ...], n
 
     Units with an arm of fewer than two answers are undefined and have no row.
     """
-    within = within_similarity(sets, names).where("within is not null").select("model", "query", "arm", "within")
-    between = between_similarity(sets, contrasts, names)
-    first, second = F.substring_index("contrast", "-", 1), F.substring_index("contrast", "-", -1)
-    both = between.withColumn("arm", first).join(within, ["model", "query", "arm"]).withColumnRenamed("within", "wa").withColumn("arm", second).join(within, ["model", "query", "arm"])
-    return both.select("model", "query", "contrast", ((1 - F.col("between")) - ((1 - F.col("wa")) + (1 - F.col("within"))) / 2).alias("d"))
+    return _contrasted(similarity_sums(sets, names), contrasts, _within(), (1 - F.col("ab")) - ((1 - F.col("a")) + (1 - F.col("b"))) / 2, "d")
 
 
 def kernel_distance(sets: DataFrame, contrasts: tuple[tuple[str, str], ...], names: DataFrame) -> DataFrame:
     """Squared maximum mean discrepancy of two arms' sets under a Jaccard kernel, draws with replacement."""
-    same = within_similarity(sets, names).select(*CELL, (F.col("t") / (F.col("n") * F.col("n"))).alias("k"))
-    between = between_similarity(sets, contrasts, names)
-    both = (between.withColumn("arm", F.substring_index("contrast", "-", 1)).join(same, ["model", "query", "arm"]).withColumnRenamed("k", "ka")
-            .withColumn("arm", F.substring_index("contrast", "-", -1)).join(same, ["model", "query", "arm"]))
-    return both.select("model", "query", "contrast", (F.col("ka") + F.col("k") - 2 * F.col("between")).alias("mmd2"))
+    return _contrasted(similarity_sums(sets, names), contrasts, _all_pairs(), F.col("a") + F.col("b") - 2 * F.col("ab"), "mmd2")
 
 
 def crosstab(rows: DataFrame, row: str, col: str, values: tuple[str, ...]) -> DataFrame:
