@@ -815,25 +815,35 @@ def degenerate(v: View) -> DataFrame:
     return v.table("documents").select("doc_id", text.degenerate(F.expr(_TAILS)).alias("reason"))
 
 
+#: Rows of equal words that travel together, about.
+PACK = 256
+
+
 @query("j16_near_pairs", """with t as (select p_partkey as id, p_brand as category, list_distinct(regexp_extract_all(lower(p_name || ' ' || p_type), '[\\p{L}\\p{N}]+')) as w from part where p_size <= 50)
 select a.id as a, b.id as b from t a join t b on a.category = b.category and a.id < b.id where len(list_intersect(a.w, b.w)) > 0 and len(list_intersect(a.w, b.w)) >= 0.6 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))""", with_study=False)
 def near_pairs(v: View) -> DataFrame:
     """Pairs of a category that share most of their words.
 
-    Words are ordered rarest first within the category; two texts that share so many have one in common
-    among the first n - ceil(0.6 n) + 1 of each, so only those meet, and each pair is then compared once.
+    Rows with the same words are one class of their category, and classes are compared. Words are ordered rarest first within
+    the category; two sets that share so many have one in common among the first n - ceil(0.6 n) + 1 of each, so only those meet, and a
+    pair of classes counts where it meets first. Its rows are paired last, in packs of PACK a class, and not shuffled again.
     """
-    t = v.table("part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("category"), text.tokens(F.concat_ws(" ", "p_name", "p_type")).alias("w"))
-    e = t.select("id", "category", F.explode("w").alias("word"))
+    t = v.table("part").where("p_size <= 50").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("category"), F.array_sort(text.tokens(F.concat_ws(" ", "p_name", "p_type"))).alias("w"))
+    packs = t.where("category is not null and size(w) > 0").withColumn("pack", F.pmod(F.xxhash64("id"), F.ceil(F.count("*").over(Window.partitionBy("category", "w")) / PACK))).groupBy("category", "w", "pack").agg(F.collect_list("id").alias("ids"))
+    classes = packs.select("category", "w").distinct()
+    e = classes.select("category", "w", F.explode("w").alias("word"))
     df = e.groupBy("category", "word").agg(F.count("*").alias("f"))
-    ordered = e.join(df, ["category", "word"]).groupBy("category", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "word"))), lambda x: x["word"]).alias("w"))
+    ordered = e.join(df, ["category", "word"]).groupBy("category", "w").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "word"))), lambda x: x["word"]).alias("o"))
     n = F.size("w")
-    first = ordered.withColumn("word", F.explode(F.slice("w", F.lit(1), n - F.ceil(0.6 * n).cast("int") + 1)))
-    a, b = [first.select("category", "word", F.col("id").alias(s), F.col("w").alias(f"w{s}")) for s in ("a", "b")]
+    first = ordered.withColumn("o", F.slice("o", F.lit(1), n - F.ceil(0.6 * n).cast("int") + 1)).withColumn("word", F.explode("o"))
+    a, b = [first.select("category", "word", F.col("w").alias(f"w{s}"), F.col("o").alias(f"o{s}")) for s in ("a", "b")]
     length = F.least(F.size("wa"), F.size("wb")) >= 0.6 * F.greatest(F.size("wa"), F.size("wb"))
-    met = a.join(b, ["category", "word"]).where("a < b").where(length).dropDuplicates(["a", "b"])
     both = F.size(F.array_intersect("wa", "wb"))
-    return met.where(both >= 0.6 * (F.size("wa") + F.size("wb") - both)).select("a", "b")
+    met = a.join(b, ["category", "word"]).where(length).where(F.get(F.array_intersect("oa", "ob"), F.lit(0)) == F.col("word"))
+    alike = met.where(both >= 0.6 * (F.size("wa") + F.size("wb") - both)).select("category", "wa", "wb")
+    side = lambda s: packs.select("category", F.col("w").alias(f"w{s}"), F.col("ids").alias(f"ids{s}"))
+    rows = alike.join(side("a"), ["category", "wa"]).join(side("b"), ["category", "wb"])
+    return rows.select(F.explode("idsa").alias("a"), "idsb").select("a", F.explode("idsb").alias("b")).where("a < b")
 
 
 @query("j17_term_join", """with t as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as word from documents), n as (select distinct lower(p_type) as word, 'type' as kind from part union select unnest(['the', 'von', 'que', 'les']), 'function')

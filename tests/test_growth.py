@@ -26,3 +26,17 @@ def test_similarities_are_summed_without_pairs(spark):
     for (q, x, y), (nx, ny, t) in got.items():
         assert (nx, ny) == (len(of(q, x)), len(of(q, y))) and t == pytest.approx(sum(jac(a, b) for a in of(q, x) for b in of(q, y)), rel=1e-12)
     assert "Join" not in _plan(sums)
+
+
+def test_near_pairs_compare_classes_of_equal_words(spark, tmp_path):
+    """600 rows of three texts give all their pairs, but no row meets another before classes have met."""
+    from quillon.plans import catalogue
+
+    names = ["red ring", "red ring old", "blue bolt"]
+    rows = [(i, names[i % 3], "B", "LARGE", 60 if i == 0 else 5) for i in range(600)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    df = catalogue.QUERIES["j16_near_pairs"](spark, str(tmp_path))
+    n0, n1, n2 = 199, 200, 200
+    assert df.count() == df.distinct().count() == (n0 + n1) * (n0 + n1 - 1) // 2 + n2 * (n2 - 1) // 2
+    assert df.where("a >= b or a = 0 or b = 0").count() == 0
+    assert "Deduplicate [a#" not in _plan(df)
