@@ -69,3 +69,68 @@ def guest_sums(masks: np.ndarray, sizes: np.ndarray, counts: np.ndarray, side: n
             out[x] += np.bincount(side[own], rows, sides)
             out[:, x] += np.bincount(side[own][small], rows[small], sides)
     return out
+
+
+class Similarities:
+    """The matrix J of Jaccard similarities of distinct sets, used without being held: sets by their subsets, others in blocks of rows.
+
+    member (sets, names) is 0 or 1. Memory is that of the subsets, 2 ** size a set up to SMALL members, and of the names.
+    """
+
+    def __init__(self, member: np.ndarray, most: int = 1 << 21):
+        self.member, self.size = member.astype(np.float32), member.sum(1).astype(np.int64)
+        self.rows = np.flatnonzero(self.size > SMALL) if member.shape[1] <= 63 else np.arange(len(member))
+        self.step, self.both_ways = max(1, most // max(1, len(member))), np.full(len(member), 2.0)
+        self.both_ways[self.rows] = 1.0
+        inside = np.setdiff1d(np.arange(len(member)), self.rows)
+        self.empty = inside[self.size[inside] == 0]
+        masks = (member[inside].astype(np.int64) << np.arange(member.shape[1], dtype=np.int64)).sum(1) if len(inside) else np.zeros(0, np.int64)
+        owner, t = all_subsets(masks) if len(inside) else (masks, masks)
+        owner, t = owner[t != 0], t[t != 0]
+        found, at, many = np.unique(t, return_inverse=True, return_counts=True)
+        owner, k = inside[owner], np.bitwise_count(found).astype(np.int64)
+        # a subset of one set only adds to that set's product with itself
+        alone = many[at] == 1
+        p = self.size[owner[alone]]
+        own = np.array([[1 / comb(2 * a - 1, b) if a >= b >= 1 else 0.0 for b in range(SMALL + 1)] for a in range(SMALL + 1)])
+        self.alone = np.bincount(owner[alone], own[p, k[at[alone]]], len(member))
+        shared = np.flatnonzero(many > 1)
+        shared = shared[np.argsort(k[shared], kind="stable")]
+        place = np.zeros(len(found), np.int64)
+        place[shared] = np.arange(len(shared))
+        self.owner = owner[~alone].astype(np.int32)
+        self.at = (place[at[~alone]] * (SMALL + 1) + self.size[self.owner]).astype(np.int32 if len(shared) < 1 << 27 else np.int64)
+        self.many, ends = len(shared), np.searchsorted(k[shared], np.arange(1, SMALL + 2))
+        self.spans = [(n, ends[n - 1], ends[n]) for n in range(1, SMALL + 1) if ends[n] > ends[n - 1]]
+
+    def _weighed(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each shared subset, x summed by size of the sets that hold it, and its product with the terms."""
+        f = np.bincount(self.at, x[self.owner], self.many * (SMALL + 1)).reshape(self.many, SMALL + 1)
+        return f, np.concatenate([f[i:j] @ term(n) for n, i, j in self.spans]) if self.spans else f
+
+    def _blocks(self):
+        for k in range(0, len(self.rows), self.step):
+            g = self.rows[k:k + self.step]
+            both = (self.member[g] @ self.member.T).astype(float)
+            union = self.size[g][:, None] + self.size[None] - both
+            yield g, np.where(union > 0, both / np.maximum(union, 1), 1.0)
+
+    def product(self, x: np.ndarray) -> np.ndarray:
+        """J x."""
+        _, g = self._weighed(x)
+        out = self.alone * x + np.bincount(self.owner, g.ravel()[self.at], len(x))
+        out[self.empty] += x[self.empty].sum()
+        for rows, alike in self._blocks():
+            out[rows] += alike @ x
+            out += np.where(self.both_ways > 1, x[rows] @ alike, 0.0)
+        return out
+
+    def squares(self, xs: np.ndarray) -> np.ndarray:
+        """x' J x of each row x of xs."""
+        out = (xs * xs) @ self.alone + xs[:, self.empty].sum(1) ** 2
+        for i, x in enumerate(xs):
+            f, g = self._weighed(x)
+            out[i] += np.vdot(f, g)
+        for rows, alike in self._blocks():
+            out += (xs[:, rows] * (xs @ (alike * self.both_ways).T)).sum(1)
+        return out

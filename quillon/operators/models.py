@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.optimise import simplex, trust_region
 from quillon.functions.stats import by_rejects, normal_cdf, sign_flip, signed_rank, t_cdf
+from quillon.functions.subsets import Similarities
 from quillon.operators.estimate import cell_means, contrast_means, paired
 
 GLMM_DDL = "job string, status string, contrast string, estimate double, se double, z double, p double, sd_query double, sd_cell double, singular boolean, optimizer string, tried string"
@@ -361,11 +362,32 @@ def set_excess(a: np.ndarray, b: np.ndarray, alike: np.ndarray) -> np.ndarray:
     return (1 - between) - ((1 - within(a, to_a, na)) + (1 - within(b, b @ alike, nb))) / 2
 
 
+def set_excess_of(similar: Similarities, each: np.ndarray):
+    """A function from rows of counts of the first arm to excess divergences, the second having the rest of each; no similarity matrix is held."""
+    each = each.astype(float)
+    to_all = similar.product(each)
+    total = each @ to_all
+
+    def of(a: np.ndarray) -> np.ndarray:
+        a = a.astype(float)
+        na = a.sum(1)
+        nb, aa, ae = each.sum() - na, similar.squares(a), a @ to_all
+        within = lambda t, n: (t - n) / (n * (n - 1))
+        return (1 - (ae - aa) / (na * nb)) - ((1 - within(aa, na)) + (1 - within(total - 2 * ae + aa, nb))) / 2
+
+    return of
+
+
+#: Distinct sets of a query up to which their similarities are held as a matrix.
+MOST_HELD = 3000
+
+
 def set_randomisation(lists: DataFrame, contrasts: tuple[tuple[str, str], ...], field: str = "names", draws: int = 2000, seed: int = 12) -> DataFrame:
     """Randomisation test of excess divergence: the pooled answers' name sets re-assigned to two arms within each query.
 
     (model, contrast, n_queries, observed, p). Queries with an arm of fewer than two answers take no
-    part. Spark counts equal sets first; a query's draws cost the square of its distinct sets. If
+    part. Spark counts equal sets first. Up to MOST_HELD distinct sets of a query their similarities are a
+    matrix; beyond, a draw goes by the subsets that sets share, so memory and work grow as the sets do. If
     there are no more assignments than draws, draws pick from all of them with equal chance.
     """
     sides = F.explode(F.array(*[F.struct(F.lit(f"{a}-{b}").alias("contrast"), F.when(F.col("arm") == a, "a").when(F.col("arm") == b, "b").alias("side")) for a, b in contrasts])).alias("w")
@@ -379,24 +401,29 @@ def set_randomisation(lists: DataFrame, contrasts: tuple[tuple[str, str], ...],
         if a.sum() < 2 or b.sum() < 2:
             return pd.DataFrame(columns=["model", "contrast", "observed", "stars"])
         names = {x: k for k, x in enumerate(sorted({x for s in table.index for x in s}))}
-        member = np.zeros((len(table), max(1, len(names))))
+        member = np.zeros((len(table), max(1, len(names))), np.int8)
         for k, s in enumerate(table.index):
             member[k, [names[x] for x in s]] = 1
-        both, size = member @ member.T, member.sum(1)
-        union = size[:, None] + size[None] - both
-        alike = np.where(union > 0, both / np.maximum(union, 1), 1.0)
+        if len(table) <= MOST_HELD:
+            held = member.astype(float)
+            both, size = held @ held.T, held.sum(1)
+            union = size[:, None] + size[None] - both
+            alike = np.where(union > 0, both / np.maximum(union, 1), 1.0)
+            excess = lambda x: set_excess(x, a + b - x, alike)
+        else:
+            excess = set_excess_of(Similarities(member), a + b)
         rng, each = np.random.default_rng([seed, *str(key).encode()]), a + b
         if math.comb(int(each.sum()), int(a.sum())) <= draws:
             of = np.repeat(np.arange(len(each)), each)
             every = np.array([np.bincount(of[list(x)], minlength=len(each)) for x in combinations(range(len(of)), int(a.sum()))])
-            stars = set_excess(every, each - every, alike)[rng.integers(0, len(every), draws)]
+            stars = excess(every)[rng.integers(0, len(every), draws)]
         else:
             step, parts = max(1, 4_000_000 // len(each)), []
             for k in range(0, draws, step):
                 x = rng.multivariate_hypergeometric(each, int(a.sum()), min(step, draws - k), method="marginals")
-                parts.append(set_excess(x, each - x, alike))
+                parts.append(excess(x))
             stars = np.concatenate(parts)
-        return pd.DataFrame([(str(key[0]), str(key[1]), float(set_excess(a[None], b[None], alike)[0]), stars)], columns=["model", "contrast", "observed", "stars"])
+        return pd.DataFrame([(str(key[0]), str(key[1]), float(excess(a[None])[0]), stars)], columns=["model", "contrast", "observed", "stars"])
 
     per = counted.groupBy("model", "contrast", "query").applyInPandas(run, "model string, contrast string, observed double, stars array<double>")
     return _null_test(per, ("model", "contrast"))

@@ -13,7 +13,7 @@ from quillon.functions.sets import set_f1
 from quillon.streaming import runs
 
 
-#: Re-assignments of name sets a query; their cost is the square of a query's distinct sets.
+#: Re-assignments of name sets a query; each costs the subsets of a query's distinct sets.
 SET_DRAWS = 2000
 
 

@@ -1,10 +1,12 @@
 """Operators whose work or memory must grow no faster than the input."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
 from quillon.functions import subsets
-from quillon.operators import estimate
+from quillon.operators import estimate, models
 
 
 def _plan(df):
@@ -40,3 +42,30 @@ def test_near_pairs_compare_classes_of_equal_words(spark, tmp_path):
     assert df.count() == df.distinct().count() == (n0 + n1) * (n0 + n1 - 1) // 2 + n2 * (n2 - 1) // 2
     assert df.where("a >= b or a = 0 or b = 0").count() == 0
     assert "Deduplicate [a#" not in _plan(df)
+
+
+@pytest.mark.parametrize("names,most", [(25, 8), (25, 20), (80, 8)])
+def test_similarities_without_their_matrix(names, most):
+    """Draws of a query's sets, empty and large ones among them, score as with the matrix; over 63 names in blocks."""
+    rng = np.random.default_rng(6)
+    member = np.unique([rng.permutation(names) < rng.integers(0, most) for _ in range(300)], axis=0).astype(np.int8)
+    both, size = member.astype(float) @ member.T, member.sum(1)
+    union = size[:, None] + size[None] - both
+    alike = np.where(union > 0, both / np.maximum(union, 1), 1.0)
+    each = rng.integers(1, 4, len(member))
+    x = rng.multivariate_hypergeometric(each, int(each.sum()) // 3, 5, method="marginals")
+    similar = subsets.Similarities(member, most=5000)
+    assert similar.product(each.astype(float)) == pytest.approx(alike @ each, rel=1e-12)
+    assert models.set_excess_of(similar, each)(x) == pytest.approx(models.set_excess(x, each - x, alike), abs=1e-12)
+
+
+def test_randomisation_of_many_sets_holds_no_square():
+    """12,000 distinct sets, whose similarities alone would take 1,152 MB."""
+    rng = np.random.default_rng(7)
+    member = np.unique(rng.random((16_000, 25)) < 0.16, axis=0).astype(np.int8)[:12_000]
+    each = np.ones(len(member), np.int64)
+    tracemalloc.start()
+    got = models.set_excess_of(subsets.Similarities(member), each)(rng.multivariate_hypergeometric(each, 5000, 3, method="marginals"))
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert len(member) > 9000 and np.isfinite(got).all() and peak < 300
