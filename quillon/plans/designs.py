@@ -181,7 +181,7 @@ def _versus(flags: DataFrame, measures: dict[str, Column], by: str = "key") -> D
 
 
 def _rater_prices(v: View) -> DataFrame:
-    each = v.prices.select("key", "amount", "currency").distinct().withColumn("rater", F.explode(F.array(*map(F.lit, study.RATERS))))
+    each = study.by_key(v.prices, "key", v.prices).select("key", "amount", "currency").distinct().withColumn("rater", F.explode(F.array(*map(F.lit, study.RATERS))))
     seen = each.where(hash32(F.col("rater"), F.col("key"), F.col("currency"), F.floor("amount")) % 100 >= study.MISSES)
     return seen.select("key", "rater", F.concat_ws("|", "amount", "currency").alias("entry"))
 

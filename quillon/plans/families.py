@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.operators import estimate, layers, models, resample
+from quillon.operators import estimate, layers, models, resample, study
 from quillon.operators.study import CONTRASTS
 from quillon.plans.catalogue import COUNTED, DRAWS, PAIRED, View, _EFFECT, _PLAIN, cells_sql, query, rounded
 
@@ -42,10 +42,11 @@ def families(v: View) -> dict[str, Family]:
     a = v.answers
     ratio = lambda s, n: F.when(F.col(n) > 0, F.col(s) / F.col(n)).alias("v")
     shares = v.counted().select(*cell, F.col("n_local").alias("s"), (F.col("n_local") + F.col("n_global")).alias("n"))
-    entries = a.join(v.prices.groupBy("key").agg(F.count_if(F.col("currency") == "BDT").alias("s"), F.count("*").alias("n")), "key").select(*cell, "s", "n")
+    prices = study.by_key(v.prices, "key", v.prices)
+    entries = a.join(prices.groupBy("key").agg(F.count_if(F.col("currency") == "BDT").alias("s"), F.count("*").alias("n")), "key").select(*cell, "s", "n")
     yes = lambda rows, y: rows.select(*cell, y.cast("long").alias("s"), F.lit(1).cast("long").alias("n"))
     primary = a.where(layers.predicates()["primary"])
-    priced = yes(layers.with_flag(primary, v.prices.where("currency = 'BDT'"), "priced"), F.col("priced"))
+    priced = yes(layers.with_flag(primary, prices.where("currency = 'BDT'"), "priced"), F.col("priced"))
     turned = yes(a.where(layers.predicates()["non_refused"] & F.col("arm").isin("bn", "bl")), F.col("outcome") == "reversion")
     refused = yes(primary, F.col("outcome") == "refusal")
     of = lambda rows, contrasts=CONTRASTS: Family(rows.select(*cell, ratio("s", "n")), rows, contrasts)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from quillon.functions import subsets
-from quillon.operators import estimate, models
+from quillon.operators import estimate, models, study
 
 
 def _plan(df):
@@ -69,3 +69,16 @@ def test_randomisation_of_many_sets_holds_no_square():
     peak = tracemalloc.get_traced_memory()[1] / 1e6
     tracemalloc.stop()
     assert len(member) > 9000 and np.isfinite(got).all() and peak < 300
+
+
+@pytest.mark.parametrize("name", ["u4_set_equality", "j9_label_branches", "j13_a41_common_support", "g2_g11_price_agreement"])
+def test_keys_go_to_as_many_tasks_as_lines_ask_for(spark, monkeypatch, name):
+    from quillon.plans import catalogue, designs, records  # noqa: F401
+
+    rows, plans = [], []
+    for most in (250_000, 100):
+        monkeypatch.setattr(study, "LINES_A_TASK", most)
+        df = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+        rows.append(sorted(map(str, df.collect())))
+        plans.append(_plan(df))
+    assert rows[0] == rows[1] and "REPARTITION_BY_NUM" in plans[1] and "REPARTITION_BY_NUM" not in plans[0]
