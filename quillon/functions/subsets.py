@@ -7,12 +7,15 @@ at 0 of k / (|A| + |B| - k), which counts what is shared. So a sum over pairs ne
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import combinations_with_replacement
 from math import comb
 
 import numpy as np
 
 #: Sets of up to so many names go by their subsets, of which they have 2 ** size.
 SMALL = 12
+#: Rows that one sum takes, rows that are worked on at a time, and bytes of a table of sums by draws.
+RUN, CHUNK, WORK = 32, 1024, 1 << 26
 
 
 def all_subsets(masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,6 +105,64 @@ class Similarities:
         self.at = (place[at[~alone]] * (SMALL + 1) + self.size[self.owner]).astype(np.int32 if len(shared) < 1 << 27 else np.int64)
         self.many, ends = len(shared), np.searchsorted(k[shared], np.arange(1, SMALL + 2))
         self.spans = [(n, ends[n - 1], ends[n]) for n in range(1, SMALL + 1) if ends[n] > ends[n - 1]]
+        self._plan()
+
+    def _plan(self):
+        """How squares() sums many draws at once. A cell is a shared subset with a size of the sets that hold it.
+
+        Rows of the work table are the sets, a row of zeros, then sums of rows, in stages of at most RUN terms; a cell is one of these rows.
+        """
+        many = np.bincount(self.at, minlength=self.many * (SMALL + 1))
+        cells = np.flatnonzero(many)
+        m, items = many[cells], self.owner[np.argsort(self.at, kind="stable")]
+        start, where = np.cumsum(m) - m, np.empty(len(cells), np.int32)
+        self.stages, self.height = [], len(self.member) + 1
+        single = m == 1
+        where[single] = items[start[single]]
+        while (m > RUN).any():
+            far = np.flatnonzero(m > RUN)
+            pieces = -(-m[far] // RUN)
+            first = np.cumsum(pieces) - pieces
+            skip = (np.arange(pieces.sum()) - np.repeat(first, pieces)) * RUN
+            sums = self._stage(items, np.repeat(start[far], pieces) + skip, np.minimum(RUN, np.repeat(m[far], pieces) - skip))
+            start[far], m[far] = len(items) + first, pieces
+            items = np.concatenate([items, sums])
+        where[~single] = self._stage(items, start[~single], m[~single])
+        grid = np.full((self.many, SMALL + 1), len(self.member), np.int32)
+        grid.ravel()[cells] = where
+        held = grid != len(self.member)
+        kind = np.repeat([n for n, _, _ in self.spans], [j - i for _, i, j in self.spans]).astype(np.int64) << SMALL + 1 | (held << np.arange(SMALL + 1)).sum(1)
+        # subsets held by sets of the same sizes go together; kinds of few subsets share their zeros
+        _, of, number = np.unique(kind, return_inverse=True, return_counts=True)
+        kind = np.where(number[of] < 64, kind >> SMALL + 1 << SMALL + 1, kind)
+        order = np.argsort(kind, kind="stable")
+        self.groups = []
+        for t in np.split(order, np.flatnonzero(np.diff(kind[order])) + 1) if self.many else []:
+            p = np.flatnonzero(held[t].any(0))
+            n = int(kind[t[0]] >> SMALL + 1)
+            self.groups.append((n, term(n)[np.ix_(p, p)], np.ascontiguousarray(grid[np.ix_(t, p)].T)))
+
+    def _stage(self, items: np.ndarray, start: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """Rows of new sums, each of m items from start on."""
+        out = np.empty(len(m), np.int32)
+        for n in np.unique(m):
+            own = np.flatnonzero(m == n)
+            out[own] = self.height + np.arange(len(own))
+            self.stages.append((self.height, items[start[own] + np.arange(n)[:, None]]))
+            self.height += len(own)
+        return out
+
+    def _table(self, xs: np.ndarray, v: np.ndarray):
+        """Fills the work table v with the draws xs, a column a draw."""
+        v[:len(self.member)], v[len(self.member)] = xs.T, 0
+        part = np.empty((CHUNK, len(xs)), v.dtype)
+        for row, terms in self.stages:
+            n, w = len(terms), CHUNK // len(terms)
+            for k in range(0, terms.shape[1], w):
+                own = terms[:, k:k + w]
+                got, to = part[:own.size], v[row + k:row + k + own.shape[1]]
+                np.take(v, own.ravel(), axis=0, out=got, mode="clip")
+                np.add.reduce(got.reshape(n, -1), axis=0, dtype=v.dtype, out=to.reshape(-1))
 
     def _weighed(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each shared subset, x summed by size of the sets that hold it, and its product with the terms."""
@@ -126,11 +187,59 @@ class Similarities:
         return out
 
     def squares(self, xs: np.ndarray) -> np.ndarray:
-        """x' J x of each row x of xs."""
-        out = (xs * xs) @ self.alone + xs[:, self.empty].sum(1) ** 2
-        for i, x in enumerate(xs):
-            f, g = self._weighed(x)
-            out[i] += np.vdot(f, g)
+        """x' J x of each row x of xs, which are whole numbers from 0 on.
+
+        Sums and products of whole numbers are exact in the short types taken: the largest count of each set bounds them.
+        """
+        out = (xs.astype(float) ** 2) @ self.alone + xs[:, self.empty].sum(1, dtype=float) ** 2
+        f, _ = self._weighed(xs.max(0).astype(float))
+        top = {n: f[i:j].max() for n, i, j in self.spans}
+        most = max([xs.max(), *top.values()])
+        kind = np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else float
+        step = min(len(xs), 256, max(16, WORK // (self.height * np.dtype(kind).itemsize)))
+        space, part = np.empty((self.height, step), kind), np.empty((CHUNK, step), kind)
+        for k in range(0, len(xs) if self.many else 0, step):
+            draws = min(step, len(xs) - k)
+            v, got = (t.reshape(-1)[:len(t) * draws].reshape(-1, draws) for t in (space, part))
+            self._table(xs[k:k + draws], v)
+            for n, weights, rows in self.groups:
+                w = CHUNK // len(rows)
+                pairs = list(combinations_with_replacement(range(len(rows)), 2))
+                sums = np.zeros((len(pairs), draws))
+                short = np.float32 if w * top[n] ** 2 < 1 << 24 else float
+                for lo in range(0, rows.shape[1], w):
+                    own = rows[:, lo:lo + w]
+                    np.take(v, own.ravel(), axis=0, out=got[:own.size], mode="clip")
+                    g = got[:own.size].astype(short).reshape(len(rows), -1, draws)
+                    for at, (a, b) in enumerate(pairs):
+                        sums[at] += np.einsum("td,td->d", g[a], g[b])
+                out[k:k + draws] += np.array([weights[a, b] * (1 if a == b else 2) for a, b in pairs]) @ sums
         for rows, alike in self._blocks():
             out += (xs[:, rows] * (xs @ (alike * self.both_ways).T)).sum(1)
         return out
+
+
+def deal(rng: np.random.Generator, each: np.ndarray, k: int, draws: int) -> np.ndarray:
+    """(draws, classes): how many of each class are among k members, drawn without replacement, of classes of each members.
+
+    The law is that of multivariate_hypergeometric. All members are drawn with one chance, then as many as lack or
+    exceed k, which are any of those left out or drawn, each as likely as the others, are put in or out.
+    """
+    kinds, of = np.unique(each, return_inverse=True)
+    n, classes = int(each.sum()), np.argsort(of, kind="stable")
+    cut = min(255, max(1, round(256 * k / n)))
+    drawn = rng.integers(0, 1 << 64, -(-n * draws // 8), np.uint64).view(np.uint8)[:n * draws].reshape(n, draws) < cut
+    for j, lack in enumerate(k - drawn.sum(0, dtype=np.int64)):
+        while lack:
+            pick = rng.integers(0, n, 2 * abs(lack) + 16)
+            pick = pick[drawn[pick, j] == (lack < 0)]
+            _, first = np.unique(pick, return_index=True)
+            pick = pick[np.sort(first)][:abs(lack)]
+            drawn[pick, j] = lack > 0
+            lack -= len(pick) if lack > 0 else -len(pick)
+    out, row, at = np.empty((len(each), draws), np.int32 if n < 1 << 31 else np.int64), 0, 0
+    for m, number in zip(kinds, np.bincount(of)):
+        own = drawn[row:row + m * number].view(np.uint8).reshape(int(m), number, draws)
+        out[classes[at:at + number]] = own.sum(0, dtype=out.dtype)
+        row, at = row + m * number, at + number
+    return out.T

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import math
+from functools import partial
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.optimise import simplex, trust_region
 from quillon.functions.stats import by_rejects, normal_cdf, sign_flip, signed_rank, t_cdf
-from quillon.functions.subsets import Similarities
+from quillon.functions.subsets import Similarities, deal
 from quillon.operators.estimate import cell_means, contrast_means, paired
 
 GLMM_DDL = "job string, status string, contrast string, estimate double, se double, z double, p double, sd_query double, sd_cell double, singular boolean, optimizer string, tried string"
@@ -314,12 +315,19 @@ def _null_test(per_query: DataFrame, group: tuple[str, ...]) -> DataFrame:
     number; a query's undefined draw is left out, and so is a draw that no query defines. Two-sided,
     with the observed assignment counted among the draws.
     """
-    seen = per_query.groupBy(*group).agg(F.count("*").cast("int").alias("n_queries"), F.avg("observed").alias("observed"))
-    draws = per_query.select(*group, F.posexplode("stars").alias("draw", "star")).groupBy(*group, "draw").agg(F.avg(F.nanvl("star", F.lit(None))).alias("star")).where("star is not null")
-    both = draws.join(seen, list(group))
-    tail = lambda c: (F.count_if(c) + 1) / (F.count("*") + 1)
-    p = both.groupBy(*group).agg(F.least(F.lit(1.0), 2 * F.least(tail(F.col("star") >= F.col("observed") - 1e-12), tail(F.col("star") <= F.col("observed") + 1e-12))).alias("p"))
-    return seen.join(p, list(group), "left").select(*group, "n_queries", "observed", "p")
+    # one pass: a second use of per_query would run its draws again
+    draws = per_query.select(*group, "observed", F.posexplode("stars").alias("draw", "star")).groupBy(*group, "draw").agg(
+        F.count("*").cast("int").alias("n_queries"), F.avg("observed").alias("observed"), F.avg(F.nanvl("star", F.lit(None))).alias("star"))
+    every = Window.partitionBy(*group)
+    draws = draws.select(*group, "star", *[F.max(F.when(F.col("draw") == 0, F.col(x))).over(every).alias(x) for x in ("n_queries", "observed")])
+    tail = lambda c: (F.count_if(c) + 1) / (F.count("star") + 1)
+    p = F.least(F.lit(1.0), 2 * F.least(tail(F.col("star") >= F.col("observed") - 1e-12), tail(F.col("star") <= F.col("observed") + 1e-12)))
+    return draws.groupBy(*group, "n_queries", "observed").agg(F.when(F.count("star") > 0, p).alias("p"))
+
+
+def _spread(rows: DataFrame, *key: str) -> DataFrame:
+    """rows by key in a fixed number of partitions: adaptive execution would join groups, whose work is in their draws, to a few tasks by their bytes."""
+    return rows.repartition(8 * rows.sparkSession.sparkContext.defaultParallelism, *key)
 
 
 def randomisation(values: DataFrame, group: tuple[str, ...] = ("model", "contrast"), draws: int = 2000, seed: int = 11) -> DataFrame:
@@ -350,7 +358,7 @@ def randomisation(values: DataFrame, group: tuple[str, ...] = ("model", "contras
             stars.append(mean(a) - mean(each - a))
         return pd.DataFrame([(*map(str, key[:-1]), t, np.concatenate(stars))], columns=[*group, "observed", "stars"])
 
-    return _null_test(counted.groupBy(*group, "query").applyInPandas(run, ddl), group)
+    return _null_test(_spread(counted, *group, "query").groupBy(*group, "query").applyInPandas(run, ddl), group)
 
 
 def set_excess(a: np.ndarray, b: np.ndarray, alike: np.ndarray) -> np.ndarray:
@@ -380,6 +388,8 @@ def set_excess_of(similar: Similarities, each: np.ndarray):
 
 #: Distinct sets of a query up to which their similarities are held as a matrix.
 MOST_HELD = 3000
+#: Draws scored together where they are not.
+DRAWS_AT_ONCE = 250
 
 
 def set_randomisation(lists: DataFrame, contrasts: tuple[tuple[str, str], ...], field: str = "names", draws: int = 2000, seed: int = 12) -> DataFrame:
@@ -390,21 +400,21 @@ def set_randomisation(lists: DataFrame, contrasts: tuple[tuple[str, str], ...],
     matrix; beyond, a draw goes by the subsets that sets share, so memory and work grow as the sets do. If
     there are no more assignments than draws, draws pick from all of them with equal chance.
     """
-    sides = F.explode(F.array(*[F.struct(F.lit(f"{a}-{b}").alias("contrast"), F.when(F.col("arm") == a, "a").when(F.col("arm") == b, "b").alias("side")) for a, b in contrasts])).alias("w")
-    counted = lists.select("model", "query", "arm", F.array_sort(F.array_distinct(field)).alias("s")).groupBy("model", "query", "arm", "s").agg(F.count("*").alias("c"))
-    counted = counted.select("model", "query", "s", "c", sides).select("model", "w.contrast", "query", "w.side", "s", "c").where("side is not null")
+    arms = sorted({x for c in contrasts for x in c})
+    counted = lists.select("model", "query", "arm", F.array_sort(F.array_distinct(field)).alias("s")).groupBy("model", "query", "s").agg(*[F.count_if(F.col("arm") == x).alias(x) for x in arms])
+    pairs = F.explode(F.array(*[F.struct(F.lit(f"{a}-{b}").alias("contrast"), F.col(a).alias("a"), F.col(b).alias("b")) for a, b in contrasts])).alias("w")
+    counted = counted.select("model", "query", "s", pairs).select("model", "w.contrast", "query", "s", "w.a", "w.b").where("a + b > 0")
 
     def run(key: tuple, data: pd.DataFrame) -> pd.DataFrame:
-        data = data.assign(s=[tuple(x) for x in data["s"]])
-        table = data.pivot_table(index="s", columns="side", values="c", aggfunc="sum", fill_value=0)
-        a, b = (table[x].to_numpy(np.int64) if x in table else np.zeros(len(table), np.int64) for x in "ab")
+        table = data.assign(s=[tuple(x) for x in data["s"]]).set_index("s").sort_index()
+        a, b = (table[x].to_numpy(np.int64) for x in "ab")
         if a.sum() < 2 or b.sum() < 2:
             return pd.DataFrame(columns=["model", "contrast", "observed", "stars"])
         names = {x: k for k, x in enumerate(sorted({x for s in table.index for x in s}))}
         member = np.zeros((len(table), max(1, len(names))), np.int8)
-        for k, s in enumerate(table.index):
-            member[k, [names[x] for x in s]] = 1
-        if len(table) <= MOST_HELD:
+        member[np.repeat(np.arange(len(table)), [len(s) for s in table.index]), [names[x] for s in table.index for x in s]] = 1
+        held_whole = len(table) <= MOST_HELD
+        if held_whole:
             held = member.astype(float)
             both, size = held @ held.T, held.sum(1)
             union = size[:, None] + size[None] - both
@@ -418,14 +428,14 @@ def set_randomisation(lists: DataFrame, contrasts: tuple[tuple[str, str], ...],
             every = np.array([np.bincount(of[list(x)], minlength=len(each)) for x in combinations(range(len(of)), int(a.sum()))])
             stars = excess(every)[rng.integers(0, len(every), draws)]
         else:
-            step, parts = max(1, 4_000_000 // len(each)), []
+            some = partial(rng.multivariate_hypergeometric, method="marginals") if held_whole else partial(deal, rng)
+            step, parts = max(1, 4_000_000 // len(each)) if held_whole else DRAWS_AT_ONCE, []
             for k in range(0, draws, step):
-                x = rng.multivariate_hypergeometric(each, int(a.sum()), min(step, draws - k), method="marginals")
-                parts.append(excess(x))
+                parts.append(excess(some(each, int(a.sum()), min(step, draws - k))))
             stars = np.concatenate(parts)
         return pd.DataFrame([(str(key[0]), str(key[1]), float(excess(a[None])[0]), stars)], columns=["model", "contrast", "observed", "stars"])
 
-    per = counted.groupBy("model", "contrast", "query").applyInPandas(run, "model string, contrast string, observed double, stars array<double>")
+    per = _spread(counted, "model", "contrast", "query").groupBy("model", "contrast", "query").applyInPandas(run, "model string, contrast string, observed double, stars array<double>")
     return _null_test(per, ("model", "contrast"))
 
 

@@ -1,6 +1,8 @@
 """Operators whose work or memory must grow no faster than the input."""
 
 import tracemalloc
+from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -82,3 +84,54 @@ def test_keys_go_to_as_many_tasks_as_lines_ask_for(spark, monkeypatch, name):
         rows.append(sorted(map(str, df.collect())))
         plans.append(_plan(df))
     assert rows[0] == rows[1] and "REPARTITION_BY_NUM" in plans[1] and "REPARTITION_BY_NUM" not in plans[0]
+
+
+@pytest.mark.parametrize("most", [1, 9, 400, 70_000, 10**10])
+def test_draws_are_scored_together(monkeypatch, most):
+    """Draws in several tables, of counts that take each of the types, and subsets of so many sets that sums have stages."""
+    monkeypatch.setattr(subsets, "WORK", 1)
+    rng = np.random.default_rng(8)
+    member = np.unique([rng.permutation(12) < rng.integers(0, 9) for _ in range(900)], axis=0).astype(np.int8)
+    both, size = member.astype(float) @ member.T, member.sum(1)
+    union = size[:, None] + size[None] - both
+    alike = np.where(union > 0, both / np.maximum(union, 1), 1.0)
+    x = rng.integers(0, most + 1, (45, len(member)))
+    assert subsets.Similarities(member).squares(x) == pytest.approx(np.einsum("dx,xy,dy->d", x.astype(float), alike, x.astype(float)), rel=1e-12)
+
+
+@pytest.mark.parametrize("k", [1, 3, 6])
+def test_dealt_draws_have_the_law_of_draws_without_replacement(k):
+    each, rng = np.array([2, 1, 0, 3, 1]), np.random.default_rng(9)
+    got = subsets.deal(rng, each, k, 40_000)
+    assert (got.sum(1) == k).all() and (got <= each).all() and (got >= 0).all()
+    members = np.repeat(np.arange(len(each)), each)
+    want = Counter(tuple(np.bincount(c, minlength=len(each)).tolist()) for c in map(list, combinations(members, k)))
+    seen = Counter(map(tuple, got.tolist()))
+    assert set(seen) <= set(want)
+    for x, n in want.items():
+        p = n / want.total()
+        assert abs(seen[x] / 40_000 - p) < 5 * (p * (1 - p) / 40_000) ** 0.5 + 1e-12
+
+
+def test_randomisation_draws_once(spark):
+    """The statistic and its draws come from one pass, whose groups adaptive execution does not join to a few tasks."""
+    rows = [("m", f"q{i % 3}", ("en", "bn")[i // 3 % 2], [f"n{i % 5}", f"n{i % 7}"]) for i in range(60)]
+    lists = spark.createDataFrame(rows, "model string, query string, arm string, names array<string>")
+    values = spark.createDataFrame([("m", "c", f"q{i % 3}", "ab"[i // 3 % 2], i % 4 / 4) for i in range(60)], "model string, contrast string, query string, side string, v double")
+    for df in (models.set_randomisation(lists, (("bn", "en"),), draws=50), models.randomisation(values, draws=50)):
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        assert plan.count("FlatMapGroupsInPandas") == 1 and "REPARTITION_BY_NUM" in plan
+        r = df.collect()
+        assert len(r) == 1 and r[0].n_queries == 3 and 0 < r[0].p <= 1
+
+
+def test_randomisation_beyond_the_matrix(spark, monkeypatch):
+    """Queries of many sets, scored by dealt draws, have the matrix's observed value and about its P."""
+    rng = np.random.default_rng(10)
+    rows = [("m", f"q{i % 2}", ("en", "bn")[i // 2 % 2], sorted({f"n{x}" for x in rng.integers(0, 9 + i // 2 % 2, 3)})) for i in range(400)]
+    lists = spark.createDataFrame(rows, "model string, query string, arm string, names array<string>")
+    held = models.set_randomisation(lists, (("bn", "en"),)).first()
+    monkeypatch.setattr(models, "MOST_HELD", 10)
+    dealt = models.set_randomisation(lists, (("bn", "en"),)).first()
+    assert dealt.n_queries == held.n_queries == 2 and dealt.observed == pytest.approx(held.observed, abs=1e-12)
+    assert dealt.p == pytest.approx(held.p, abs=0.1)
