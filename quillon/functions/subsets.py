@@ -14,8 +14,10 @@ import numpy as np
 
 #: Sets of up to so many names go by their subsets, of which they have 2 ** size.
 SMALL = 12
-#: Rows that one sum takes, rows that are worked on at a time, and bytes of a table of sums by draws.
-RUN, CHUNK, WORK = 32, 1024, 1 << 26
+#: Rows that one sum takes, rows that are worked on at a time, cells of a block, and subsets below which a kind is not a group of its own.
+RUN, CHUNK, BLOCK, FEW = 32, 1024, 8192, 64
+#: Draws that are scored together, and bytes of their table, about.
+AT_ONCE, WORK = 256, 1 << 28
 
 
 def all_subsets(masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,6 +76,40 @@ def guest_sums(masks: np.ndarray, sizes: np.ndarray, counts: np.ndarray, side: n
     return out
 
 
+def _stages(items: np.ndarray, start: np.ndarray, m: np.ndarray, height: int) -> tuple[list, np.ndarray, int]:
+    """Sums of m rows each, listed in items from start on: stages (first new row, rows to sum by new row), the sums' rows, and all rows then."""
+    items = items[np.repeat(start - np.cumsum(m) + m, m) + np.arange(m.sum())]
+    start, out, stages = np.cumsum(m) - m, np.empty(len(m), np.int32), []
+
+    def stage(start: np.ndarray, m: np.ndarray) -> np.ndarray:
+        nonlocal height
+        new = np.empty(len(m), np.int32)
+        for n in np.unique(m):
+            own = np.flatnonzero(m == n)
+            new[own] = height + np.arange(len(own))
+            stages.append((height, items[start[own] + np.arange(n)[:, None]]))
+            height += len(own)
+        return new
+
+    single = m == 1
+    out[single] = items[start[single]]
+    while (m > RUN).any():
+        far = np.flatnonzero(m > RUN)
+        pieces = -(-m[far] // RUN)
+        first = np.cumsum(pieces) - pieces
+        skip = (np.arange(pieces.sum()) - np.repeat(first, pieces)) * RUN
+        sums = stage(np.repeat(start[far], pieces) + skip, np.minimum(RUN, np.repeat(m[far], pieces) - skip))
+        start[far], m[far] = len(items) + first, pieces
+        items = np.concatenate([items, sums])
+    out[~single] = stage(start[~single], m[~single])
+    return stages, out, height
+
+
+def _room(space: np.ndarray, shape: tuple[int, int], kind: type) -> np.ndarray:
+    """A part of these bytes as an array."""
+    return space[:shape[0] * shape[1] * np.dtype(kind).itemsize].view(kind).reshape(shape)
+
+
 class Similarities:
     """The matrix J of Jaccard similarities of distinct sets, used without being held: sets by their subsets, others in blocks of rows.
 
@@ -90,19 +126,23 @@ class Similarities:
         masks = (member[inside].astype(np.int64) << np.arange(member.shape[1], dtype=np.int64)).sum(1) if len(inside) else np.zeros(0, np.int64)
         owner, t = all_subsets(masks) if len(inside) else (masks, masks)
         owner, t = owner[t != 0], t[t != 0]
-        found, at, many = np.unique(t, return_inverse=True, return_counts=True)
-        owner, k = inside[owner], np.bitwise_count(found).astype(np.int64)
+        # one stable sort: the sets of a subset stay in the order of their sizes
+        order = np.argsort(t, kind="stable")
+        owner, t = inside[owner[order]], t[order]
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(t)), bool), t[1:] != t[:-1]]))
+        many = np.diff(first, append=len(t))
+        k = np.bitwise_count(t[first]).astype(np.int64)
         # a subset of one set only adds to that set's product with itself
-        alone = many[at] == 1
-        p = self.size[owner[alone]]
+        alone = many == 1
+        p = self.size[owner[first[alone]]]
         own = np.array([[1 / comb(2 * a - 1, b) if a >= b >= 1 else 0.0 for b in range(SMALL + 1)] for a in range(SMALL + 1)])
-        self.alone = np.bincount(owner[alone], own[p, k[at[alone]]], len(member))
-        shared = np.flatnonzero(many > 1)
-        shared = shared[np.argsort(k[shared], kind="stable")]
-        place = np.zeros(len(found), np.int64)
-        place[shared] = np.arange(len(shared))
-        self.owner = owner[~alone].astype(np.int32)
-        self.at = (place[at[~alone]] * (SMALL + 1) + self.size[self.owner]).astype(np.int32 if len(shared) < 1 << 27 else np.int64)
+        self.alone = np.bincount(owner[first[alone]], own[p, k[alone]], len(member))
+        self.owner = owner[np.repeat(~alone, many)].astype(np.int32)
+        many, k = many[~alone], k[~alone]
+        shared = np.argsort(k, kind="stable")
+        place = np.empty(len(k), np.int64)
+        place[shared] = np.arange(len(k))
+        self.at = (np.repeat(place, many) * (SMALL + 1) + self.size[self.owner]).astype(np.int32 if len(shared) < 1 << 27 else np.int64)
         self.many, ends = len(shared), np.searchsorted(k[shared], np.arange(1, SMALL + 2))
         self.spans = [(n, ends[n - 1], ends[n]) for n in range(1, SMALL + 1) if ends[n] > ends[n - 1]]
         self._plan()
@@ -110,59 +150,35 @@ class Similarities:
     def _plan(self):
         """How squares() sums many draws at once. A cell is a shared subset with a size of the sets that hold it.
 
-        Rows of the work table are the sets, a row of zeros, then sums of rows, in stages of at most RUN terms; a cell is one of these rows.
+        Subsets of one size make up blocks. A block's table has as rows the sets, a row of zeros, then sums of rows, in
+        stages of at most RUN terms; a cell is one of these rows, and a group has subsets held by sets of the same sizes.
         """
         many = np.bincount(self.at, minlength=self.many * (SMALL + 1))
-        cells = np.flatnonzero(many)
-        m, items = many[cells], self.owner[np.argsort(self.at, kind="stable")]
-        start, where = np.cumsum(m) - m, np.empty(len(cells), np.int32)
-        self.stages, self.height = [], len(self.member) + 1
-        single = m == 1
-        where[single] = items[start[single]]
-        while (m > RUN).any():
-            far = np.flatnonzero(m > RUN)
-            pieces = -(-m[far] // RUN)
-            first = np.cumsum(pieces) - pieces
-            skip = (np.arange(pieces.sum()) - np.repeat(first, pieces)) * RUN
-            sums = self._stage(items, np.repeat(start[far], pieces) + skip, np.minimum(RUN, np.repeat(m[far], pieces) - skip))
-            start[far], m[far] = len(items) + first, pieces
-            items = np.concatenate([items, sums])
-        where[~single] = self._stage(items, start[~single], m[~single])
-        grid = np.full((self.many, SMALL + 1), len(self.member), np.int32)
-        grid.ravel()[cells] = where
-        held = grid != len(self.member)
-        kind = np.repeat([n for n, _, _ in self.spans], [j - i for _, i, j in self.spans]).astype(np.int64) << SMALL + 1 | (held << np.arange(SMALL + 1)).sum(1)
-        # subsets held by sets of the same sizes go together; kinds of few subsets share their zeros
+        # lines of a cell stand together
+        items, start = self.owner, np.zeros(len(many), np.int64)
+        lines = np.flatnonzero(np.diff(self.at, prepend=-1))
+        start[self.at[lines]] = lines
+        held = (many > 0).reshape(self.many, SMALL + 1)
+        level = np.repeat([n for n, _, _ in self.spans], [j - i for _, i, j in self.spans]).astype(np.int64)
+        kind = level << SMALL + 1 | (held << np.arange(SMALL + 1)).sum(1)
         _, of, number = np.unique(kind, return_inverse=True, return_counts=True)
-        kind = np.where(number[of] < 64, kind >> SMALL + 1 << SMALL + 1, kind)
+        # kinds of few subsets share their zeros
+        kind = np.where(number[of] < FEW, level << SMALL + 1, kind)
         order = np.argsort(kind, kind="stable")
-        self.groups = []
-        for t in np.split(order, np.flatnonzero(np.diff(kind[order])) + 1) if self.many else []:
-            p = np.flatnonzero(held[t].any(0))
-            n = int(kind[t[0]] >> SMALL + 1)
-            self.groups.append((n, term(n)[np.ix_(p, p)], np.ascontiguousarray(grid[np.ix_(t, p)].T)))
-
-    def _stage(self, items: np.ndarray, start: np.ndarray, m: np.ndarray) -> np.ndarray:
-        """Rows of new sums, each of m items from start on."""
-        out = np.empty(len(m), np.int32)
-        for n in np.unique(m):
-            own = np.flatnonzero(m == n)
-            out[own] = self.height + np.arange(len(own))
-            self.stages.append((self.height, items[start[own] + np.arange(n)[:, None]]))
-            self.height += len(own)
-        return out
-
-    def _table(self, xs: np.ndarray, v: np.ndarray):
-        """Fills the work table v with the draws xs, a column a draw."""
-        v[:len(self.member)], v[len(self.member)] = xs.T, 0
-        part = np.empty((CHUNK, len(xs)), v.dtype)
-        for row, terms in self.stages:
-            n, w = len(terms), CHUNK // len(terms)
-            for k in range(0, terms.shape[1], w):
-                own = terms[:, k:k + w]
-                got, to = part[:own.size], v[row + k:row + k + own.shape[1]]
-                np.take(v, own.ravel(), axis=0, out=got, mode="clip")
-                np.add.reduce(got.reshape(n, -1), axis=0, dtype=v.dtype, out=to.reshape(-1))
+        self.blocks, self.height, width = [], len(self.member) + 1, held.sum(1)[order]
+        cut = level[order] * (1 << 40) + (np.cumsum(width) - width) // BLOCK
+        for t in np.split(order, np.flatnonzero(np.diff(cut)) + 1) if self.many else []:
+            of, p = np.nonzero(held[t])
+            cell = t[of] * (SMALL + 1) + p
+            stages, where, height = _stages(items, start[cell], many[cell], len(self.member) + 1)
+            grid = np.full((len(t), SMALL + 1), len(self.member), np.int32)
+            grid[of, p] = where
+            groups = []
+            for own in np.split(np.arange(len(t)), np.flatnonzero(np.diff(kind[t])) + 1):
+                sizes = np.flatnonzero(held[t[own]].any(0))
+                groups.append((term(int(level[t[0]]))[np.ix_(sizes, sizes)], np.ascontiguousarray(grid[np.ix_(own, sizes)].T)))
+            self.blocks.append((int(level[t[0]]), stages, groups))
+            self.height = max(self.height, height)
 
     def _weighed(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each shared subset, x summed by size of the sets that hold it, and its product with the terms."""
@@ -186,34 +202,53 @@ class Similarities:
             out += np.where(self.both_ways > 1, x[rows] @ alike, 0.0)
         return out
 
-    def squares(self, xs: np.ndarray) -> np.ndarray:
-        """x' J x of each row x of xs, which are whole numbers from 0 on.
+    def most(self, x: np.ndarray) -> dict[int, float]:
+        """By size of subsets, the largest sum of x over the sets of one size that share one: no draw from x exceeds it."""
+        f, _ = self._weighed(x.astype(float))
+        return {n: f[i:j].max() for n, i, j in self.spans}
+
+    def squares(self, xs: np.ndarray, top: dict[int, float] | None = None) -> np.ndarray:
+        """x' J x of each row x of xs, which are whole numbers from 0 on; top: most() of what the rows are drawn from.
 
-        Sums and products of whole numbers are exact in the short types taken: the largest count of each set bounds them.
+        Sums and products of whole numbers are exact in the short types taken, which top bounds.
         """
-        out = (xs.astype(float) ** 2) @ self.alone + xs[:, self.empty].sum(1, dtype=float) ** 2
-        f, _ = self._weighed(xs.max(0).astype(float))
-        top = {n: f[i:j].max() for n, i, j in self.spans}
-        most = max([xs.max(), *top.values()])
-        kind = np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else float
-        step = min(len(xs), 256, max(16, WORK // (self.height * np.dtype(kind).itemsize)))
-        space, part = np.empty((self.height, step), kind), np.empty((CHUNK, step), kind)
-        for k in range(0, len(xs) if self.many else 0, step):
-            draws = min(step, len(xs) - k)
-            v, got = (t.reshape(-1)[:len(t) * draws].reshape(-1, draws) for t in (space, part))
-            self._table(xs[k:k + draws], v)
-            for n, weights, rows in self.groups:
-                w = CHUNK // len(rows)
-                pairs = list(combinations_with_replacement(range(len(rows)), 2))
-                sums = np.zeros((len(pairs), draws))
-                short = np.float32 if w * top[n] ** 2 < 1 << 24 else float
-                for lo in range(0, rows.shape[1], w):
-                    own = rows[:, lo:lo + w]
-                    np.take(v, own.ravel(), axis=0, out=got[:own.size], mode="clip")
-                    g = got[:own.size].astype(short).reshape(len(rows), -1, draws)
-                    for at, (a, b) in enumerate(pairs):
-                        sums[at] += np.einsum("td,td->d", g[a], g[b])
-                out[k:k + draws] += np.array([weights[a, b] * (1 if a == b else 2) for a, b in pairs]) @ sums
+        top, out = top or self.most(xs.max(0)), xs[:, self.empty].sum(1, dtype=float) ** 2
+        kinds = {n: next(t for t, most in ((np.uint8, 1 << 8), (np.uint16, 1 << 16), (np.uint32, 1 << 32), (float, np.inf)) if top[n] < most) for n in top}
+        step = min(len(xs), max(16, min(AT_ONCE, WORK // (8 * self.height))))
+        part, short = np.empty(CHUNK * step * 8, np.uint8), np.empty(CHUNK * step * 8, np.uint8)
+        space = np.empty(self.height * step * max((np.dtype(t).itemsize for t in kinds.values()), default=0), np.uint8)
+        for k in range(0, len(xs), step):
+            x, now = np.ascontiguousarray(xs[k:k + step].T), None
+            draws = x.shape[1]
+            for lo in range(0, len(x), CHUNK):
+                out[k:k + draws] += self.alone[lo:lo + CHUNK] @ x[lo:lo + CHUNK].astype(float) ** 2
+            for n, stages, groups in self.blocks:
+                if now != kinds[n]:
+                    now = kinds[n]
+                    v, got = (_room(t, (rows, draws), now) for t, rows in ((space, self.height), (part, CHUNK)))
+                    # a count that this type does not hold is of a set without a cell here
+                    np.minimum(x, np.iinfo(now).max if now != float else np.inf, out=v[:len(x)], casting="unsafe")
+                    v[len(x)] = 0
+                for row, terms in stages:
+                    m, w = len(terms), CHUNK // len(terms)
+                    for lo in range(0, terms.shape[1], w):
+                        own = terms[:, lo:lo + w]
+                        to = v[row + lo:row + lo + own.shape[1]]
+                        np.take(v, own.ravel(), axis=0, out=got[:own.size], mode="clip")
+                        np.add.reduce(got[:own.size].reshape(m, -1), axis=0, dtype=now, out=to.reshape(-1))
+                for weights, rows in groups:
+                    w = CHUNK // len(rows)
+                    pairs = list(combinations_with_replacement(range(len(rows)), 2))
+                    sums, exact = np.zeros((len(pairs), draws)), np.float32 if w * top[n] ** 2 < 1 << 24 else float
+                    for lo in range(0, rows.shape[1], w):
+                        own = rows[:, lo:lo + w]
+                        np.take(v, own.ravel(), axis=0, out=got[:own.size], mode="clip")
+                        g = _room(short, (own.size, draws), exact)
+                        g[...] = got[:own.size]
+                        g = g.reshape(len(rows), -1, draws)
+                        for at, (a, b) in enumerate(pairs):
+                            sums[at] += np.einsum("td,td->d", g[a], g[b])
+                    out[k:k + draws] += np.array([weights[a, b] * (1 if a == b else 2) for a, b in pairs]) @ sums
         for rows, alike in self._blocks():
             out += (xs[:, rows] * (xs @ (alike * self.both_ways).T)).sum(1)
         return out

@@ -372,14 +372,12 @@ def set_excess(a: np.ndarray, b: np.ndarray, alike: np.ndarray) -> np.ndarray:
 
 def set_excess_of(similar: Similarities, each: np.ndarray):
     """A function from rows of counts of the first arm to excess divergences, the second having the rest of each; no similarity matrix is held."""
-    each = each.astype(float)
-    to_all = similar.product(each)
+    to_all, top = similar.product(each.astype(float)), similar.most(each)
     total = each @ to_all
 
     def of(a: np.ndarray) -> np.ndarray:
-        a = a.astype(float)
-        na = a.sum(1)
-        nb, aa, ae = each.sum() - na, similar.squares(a), a @ to_all
+        na = a.sum(1, dtype=float)
+        nb, aa, ae = each.sum() - na, similar.squares(a, top), a @ to_all
         within = lambda t, n: (t - n) / (n * (n - 1))
         return (1 - (ae - aa) / (na * nb)) - ((1 - within(aa, na)) + (1 - within(total - 2 * ae + aa, nb))) / 2
 
